@@ -189,3 +189,35 @@ def with_ctes(body: str) -> str:
     if not ordered:
         return body
     return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in ordered) + "\n" + body
+
+
+def _rank_sql() -> str:
+    bases = {"avg_per_100k_5yr": "per_100k", "avg_per_100k_pedestrian": "per_100k_pedestrian",
+             "avg_per_100k_cyclist": "per_100k_cyclist",
+             "avg_per_100k_motorist": "per_100k_motorist", "trend_pct_change": "trend",
+             "trend_pct_change_pedestrian": "trend_pedestrian",
+             "trend_pct_change_cyclist": "trend_cyclist",
+             "trend_pct_change_motorist": "trend_motorist"}
+    inner, outer = [], []
+    for m, b in bases.items():
+        inner.append(f"rank() OVER (ORDER BY {m} ASC NULLS LAST, population DESC) AS r1_{b}")
+        inner.append(f"rank() OVER (ORDER BY {m} ASC NULLS LAST) AS r2_{b}")
+        inner.append(f"rank() OVER (PARTITION BY is_pledged ORDER BY {m} ASC NULLS LAST) AS r3_{b}")
+    for m, b in bases.items():
+        outer.append(f"CASE WHEN {m} IS NOT NULL THEN r1_{b} END AS rank_{b}_all")
+    for m, b in bases.items():
+        outer.append(f"CASE WHEN {m} IS NOT NULL THEN (CASE WHEN n_all <= 1 THEN 0.0 ELSE "
+                     f"{hu(f'(100 * (r2_{b} - 1))', '(n_all - 1)', 2)} END) END AS pct_{b}_all")
+    for m, b in bases.items():
+        outer.append(f"CASE WHEN is_pledged THEN r3_{b} END AS rank_{b}_vz")
+    for m, b in bases.items():
+        outer.append(f"CASE WHEN is_pledged AND {m} IS NOT NULL THEN (CASE WHEN n_vz <= 1 "
+                     f"THEN 0.0 ELSE {hu(f'(100 * (r3_{b} - 1))', '(n_vz - 1)', 2)} END) "
+                     f"END AS pct_{b}_vz")
+    return ("SELECT e.*, " + ", ".join(inner) + ", count(*) OVER () AS n_all, "
+            "count(*) OVER (PARTITION BY is_pledged) AS n_vz FROM sp_eligible e", outer)
+
+
+CTES["sp_eligible"] = ("SELECT * FROM sp_city_stats WHERE population >= 100000 OR is_pledged")
+_rk_inner, _rk_outer = _rank_sql()
+CTES["sp_ranked"] = "SELECT *, " + ", ".join(_rk_outer) + f" FROM ({_rk_inner}) t"

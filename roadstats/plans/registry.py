@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadstats.operators import city_stats as cs
+from roadstats.operators import ranking as rk
 from roadstats.plans import oracle_sql as osql
 from roadstats.sources import standins as sp
 
@@ -61,3 +62,22 @@ _STATS_OUT = ("state_fips", "place_fips", "population", "is_pledged") + cs.STAT_
 def q_city_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = cs.city_stats(sp.crashes(spark, sf_dir), sp.places(spark, sf_dir))
     return stats.select(*_STATS_OUT)
+
+
+# ---------------------------------------------------------------------------
+# Ranks and percentiles (W1–W4) — the flagship query
+# ---------------------------------------------------------------------------
+
+_RANKED_OUT = _STATS_OUT + rk.ALL_RANK_OUTPUTS
+
+
+def ranked_city_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = cs.city_stats(sp.crashes(spark, sf_dir), sp.places(spark, sf_dir))
+    return cs.eligible(stats).join(rk.city_rankings(stats), list(cs.CITY_KEY), "inner")
+
+
+@register("city_rankings", "SELECT " + ", ".join(
+    f"CAST({c} AS BIGINT) AS {c}" if c == "population" else c for c in _RANKED_OUT)
+    + " FROM sp_ranked")
+def q_city_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_city_stats(spark, sf_dir).select(*_RANKED_OUT)
