@@ -188,7 +188,11 @@ def with_ctes(body: str) -> str:
     ordered = [n for n in names if n in needed]
     if not ordered:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in ordered) + "\n" + body
+    head = "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in ordered)
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":
+        return head + ",\n" + stripped[5:]
+    return head + "\n" + body
 
 
 def _rank_sql() -> str:
@@ -221,3 +225,41 @@ def _rank_sql() -> str:
 CTES["sp_eligible"] = ("SELECT * FROM sp_city_stats WHERE population >= 100000 OR is_pledged")
 _rk_inner, _rk_outer = _rank_sql()
 CTES["sp_ranked"] = "SELECT *, " + ", ".join(_rk_outer) + f" FROM ({_rk_inner}) t"
+
+CTES["sp_crash_keys"] = "SELECT o_orderkey AS st_case FROM orders WHERE o_orderkey % 23 <> 0"
+CTES["sp_person_sem"] = """
+    SELECT p.*, c.year, c.crash_date,
+           coalesce(p.injury_severity = 4, false) AS is_fatal_person,
+           CASE WHEN person_type = 1 THEN 'Driver'
+                WHEN person_type IN (2, 3, 9) THEN 'Passenger'
+                WHEN person_type IN (5, 8, 10, 11, 12, 13) THEN 'Pedestrian'
+                WHEN person_type = 6 THEN 'Bicyclist'
+                WHEN person_type = 7 THEN 'Other Cyclist'
+                WHEN person_type = 4 THEN 'Non-motorist Other'
+                ELSE 'Unknown' END AS person_role
+    FROM sp_persons p JOIN sp_crashes c ON p.st_case = c.st_case"""
+CTES["sp_person_modes"] = """
+    SELECT *, CASE WHEN person_role IN ('Driver', 'Passenger') THEN 'Motorist'
+                   WHEN person_role = 'Pedestrian' THEN 'Pedestrian'
+                   WHEN person_role IN ('Bicyclist', 'Other Cyclist') THEN 'Cyclist'
+                   WHEN person_role = 'Non-motorist Other' THEN 'Other'
+                   ELSE 'Unknown' END AS person_mode
+    FROM sp_person_sem"""
+CTES["sp_elig_cities"] = """
+    SELECT state_fips, place_fips FROM sp_places WHERE population >= 100000 OR is_pledged"""
+CTES["sp_export_points"] = """
+    SELECT e.state_fips, e.place_fips, c.lon, c.lat, c.st_case, c.year, c.crash_date,
+           c.state_name, c.fars_city_name, c.fips_city_name, c.road_label,
+           c.total_fatalities, c.motorist_fatalities, c.pedestrian_fatalities,
+           c.cyclist_fatalities, c.other_fatalities
+    FROM sp_crashes c JOIN sp_elig_cities e ON c.state = e.state_fips AND c.place_fips = e.place_fips
+    WHERE c.year >= 2001 AND c.lon IS NOT NULL AND c.lat IS NOT NULL"""
+CTES["sp_annual_city"] = """
+    SELECT e.state_fips, e.place_fips, c.year,
+           CAST(sum(total_fatalities) AS BIGINT) AS total_fatalities,
+           CAST(sum(motorist_fatalities) AS BIGINT) AS motorist_fatalities,
+           CAST(sum(pedestrian_fatalities) AS BIGINT) AS pedestrian_fatalities,
+           CAST(sum(cyclist_fatalities) AS BIGINT) AS cyclist_fatalities,
+           CAST(sum(other_fatalities) AS BIGINT) AS other_fatalities
+    FROM sp_crashes c JOIN sp_elig_cities e ON c.state = e.state_fips AND c.place_fips = e.place_fips
+    GROUP BY e.state_fips, e.place_fips, c.year"""

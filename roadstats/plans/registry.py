@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadstats.operators import city_stats as cs
+from roadstats.operators import loads as ld
+from roadstats.operators import quality as qa
 from roadstats.operators import ranking as rk
+from roadstats.operators import serving as sv
+from roadstats.operators import subtypes as st
 from roadstats.plans import oracle_sql as osql
 from roadstats.sources import standins as sp
 
@@ -81,3 +85,305 @@ def ranked_city_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " FROM sp_ranked")
 def q_city_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_city_stats(spark, sf_dir).select(*_RANKED_OUT)
+
+
+# ---------------------------------------------------------------------------
+# Crash table, persons, subtypes (N3–N6 typed, A1, A2, N13, J1, J3, L2, L5, D12)
+# ---------------------------------------------------------------------------
+
+_CRASH_OUT = ("st_case", "year", "crash_date", "state", "state_name", "county", "city",
+              "fars_city_name", "place_fips", "route_code", "road_label", "lon", "lat",
+              "total_fatalities") + st.SUBTYPE_COLS
+
+
+@register("crash_table", "SELECT " + ", ".join(
+    f"CAST({c} AS BIGINT) AS {c}" if c in ("year", "route_code", "total_fatalities")
+    + st.SUBTYPE_COLS else (f"strftime({c}, '%Y-%m-%d') AS {c}" if c == "crash_date" else c)
+    for c in _CRASH_OUT) + " FROM sp_crashes")
+def q_crash_table(spark, sf_dir):
+    return sp.crashes(spark, sf_dir).select(*_CRASH_OUT)
+
+
+@register("fatal_crash_flags", """
+    SELECT st_case, CAST(year AS BIGINT) AS year, bool_or(is_fatal_person) AS is_fatal_crash
+    FROM sp_person_sem GROUP BY st_case, year""")
+def q_fatal_crash_flags(spark, sf_dir):
+    return st.fatal_crash_flags(sp.persons(spark, sf_dir), sp.crashes(spark, sf_dir, with_subtypes=False),
+                                sp.PERSON_CRASH_KEY)
+
+
+@register("person_semantics", """
+    SELECT person_role, person_mode, is_fatal_person, count(*) AS n_persons
+    FROM sp_person_modes GROUP BY ALL""")
+def q_person_semantics(spark, sf_dir):
+    pw = st.person_with_crash(sp.persons(spark, sf_dir),
+                              sp.crashes(spark, sf_dir, with_subtypes=False), sp.PERSON_CRASH_KEY)
+    return (st.person_semantics(pw).groupBy("person_role", "person_mode", "is_fatal_person")
+            .agg(F.count(F.lit(1)).alias("n_persons")))
+
+
+@register("unknown_person_types", """
+    SELECT person_type, count(*) AS n_persons, count(DISTINCT st_case) AS n_crashes
+    FROM sp_persons WHERE injury_severity = 4
+      AND person_type NOT IN (1, 2, 3, 9, 5, 10, 6, 7, 4, 8, 11, 12, 13, 19, 99)
+    GROUP BY person_type""")
+def q_unknown_person_types(spark, sf_dir):
+    return st.unknown_person_types(sp.persons(spark, sf_dir), sp.PERSON_CRASH_KEY)
+
+
+@register("person_load_outcomes", """
+    WITH j AS (SELECT r.*, k.st_case IS NOT NULL AS has_crash FROM sp_persons_raw r
+               LEFT JOIN sp_crash_keys k ON r.st_case = k.st_case),
+    w AS (SELECT *, row_number() OVER (PARTITION BY st_case, vehicle_number, person_number
+                  ORDER BY l_partkey, l_extendedprice, l_quantity, l_shipdate) AS rn
+          FROM j WHERE has_crash)
+    SELECT outcome, count(*) AS n_rows FROM (
+        SELECT 'skipped_orphan' AS outcome FROM j WHERE NOT has_crash
+        UNION ALL
+        SELECT CASE WHEN rn = 1 THEN 'inserted' ELSE 'skipped_duplicate' END FROM w) t
+    GROUP BY outcome""")
+def q_person_load_outcomes(spark, sf_dir):
+    """J1 + L2 + L5: persons against crashes with st_case % 23 <> 0 removed
+    (orphans), first row wins per person key."""
+    crash_keys = sp.crash_points(spark, sf_dir).select("st_case") \
+        .filter(F.col("st_case") % 23 != 0).withColumn("_has", F.lit(True))
+    raw = sp.raw_persons(spark, sf_dir).join(crash_keys, "st_case", "left")
+    out = ld.load_outcomes(raw, None, ["st_case", "vehicle_number", "person_number"],
+                           ["load_order"], valid=F.col("_has").isNotNull())
+    out = out.withColumn("outcome", F.when(F.col("outcome") == "error", "skipped_orphan")
+                         .otherwise(F.col("outcome")))
+    return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("person_orphans", """
+    SELECT count(*) AS orphans, count(DISTINCT r.st_case) AS orphan_crashes
+    FROM sp_persons_raw r WHERE r.st_case NOT IN (SELECT st_case FROM sp_crash_keys)""")
+def q_person_orphans(spark, sf_dir):
+    crash_keys = sp.crash_points(spark, sf_dir).select("st_case").filter(F.col("st_case") % 23 != 0)
+    o = ld.orphans(sp.raw_persons(spark, sf_dir), crash_keys, ["st_case"])
+    return o.agg(F.count(F.lit(1)).alias("orphans"),
+                 F.count_distinct("st_case").alias("orphan_crashes"))
+
+
+# ---------------------------------------------------------------------------
+# Data quality
+# ---------------------------------------------------------------------------
+
+@register("blocking_checks", """
+    SELECT * , violations = 0 AS passed FROM (
+      SELECT 'duplicate_keys' AS "check", (SELECT count(*) FROM (SELECT st_case, year FROM sp_crashes
+              GROUP BY st_case, year HAVING count(*) > 1)) AS violations
+      UNION ALL SELECT 'missing_required_fields', count(*) FILTER (WHERE year IS NULL OR st_case IS NULL OR state IS NULL) FROM sp_crashes
+      UNION ALL SELECT 'date_out_of_range', count(*) FILTER (WHERE crash_date IS NOT NULL AND (crash_date < DATE '1987-01-01' OR crash_date > DATE '2024-12-31')) FROM sp_crashes
+      UNION ALL SELECT 'negative_fatalities', count(*) FILTER (WHERE total_fatalities < 0 OR motorist_fatalities < 0 OR cyclist_fatalities < 0 OR pedestrian_fatalities < 0) FROM sp_crashes
+      UNION ALL SELECT 'fatality_sum_mismatch', count(*) FILTER (WHERE total_fatalities <> motorist_fatalities + cyclist_fatalities + pedestrian_fatalities + other_fatalities) FROM sp_crashes
+      UNION ALL SELECT 'implausible_fatalities', count(*) FILTER (WHERE total_fatalities > 30) FROM sp_crashes) t""")
+def q_blocking_checks(spark, sf_dir):
+    return qa.blocking_checks(sp.crashes(spark, sf_dir))
+
+
+@register("duplicate_person_keys", """
+    SELECT st_case, vehicle_number, person_number, count(*) AS n FROM sp_persons_raw
+    GROUP BY ALL HAVING count(*) > 1""")
+def q_duplicate_person_keys(spark, sf_dir):
+    return qa.duplicate_keys(sp.raw_persons(spark, sf_dir),
+                             ["st_case", "vehicle_number", "person_number"])
+
+
+@register("missing_fields", """
+    SELECT count(*) FILTER (WHERE year IS NULL) AS missing_year,
+           count(*) FILTER (WHERE state IS NULL) AS missing_state,
+           count(*) FILTER (WHERE st_case IS NULL) AS missing_case FROM sp_crashes""")
+def q_missing_fields(spark, sf_dir):
+    return qa.missing_fields(sp.crashes(spark, sf_dir, with_subtypes=False))
+
+
+@register("bad_dates_per_year", """
+    SELECT CAST(year AS BIGINT) AS year, count(*) AS total_records, count(*) AS bad_dates
+    FROM sp_crashes WHERE crash_date IS NOT NULL
+      AND (crash_date < DATE '1987-01-01' OR crash_date > DATE '1998-12-31')
+    GROUP BY year""")
+def q_bad_dates_per_year(spark, sf_dir):
+    # diagnostic upper bound as a parameter; 1998-12-31 makes the stand-in years hit it
+    return qa.bad_dates_per_year(sp.crashes(spark, sf_dir, with_subtypes=False),
+                                 date_hi="1998-12-31")
+
+
+@register("negative_samples", """
+    SELECT st_case, CAST(year AS BIGINT) AS year, CAST(total_fatalities AS BIGINT) AS total_fatalities,
+           CAST(motorist_fatalities AS BIGINT) AS motorist_fatalities,
+           CAST(cyclist_fatalities AS BIGINT) AS cyclist_fatalities,
+           CAST(pedestrian_fatalities AS BIGINT) AS pedestrian_fatalities
+    FROM sp_crashes WHERE total_fatalities < 0 OR motorist_fatalities < 0
+       OR cyclist_fatalities < 0 OR pedestrian_fatalities < 0
+    ORDER BY year, st_case LIMIT 10""")
+def q_negative_samples(spark, sf_dir):
+    return qa.negative_samples(sp.crashes(spark, sf_dir))
+
+
+@register("implausible_samples", """
+    SELECT st_case, CAST(year AS BIGINT) AS year, CAST(total_fatalities AS BIGINT) AS total_fatalities,
+           CAST(motorist_fatalities AS BIGINT) AS motorist_fatalities,
+           CAST(cyclist_fatalities AS BIGINT) AS cyclist_fatalities,
+           CAST(pedestrian_fatalities AS BIGINT) AS pedestrian_fatalities
+    FROM sp_crashes WHERE total_fatalities > 3 ORDER BY year, st_case LIMIT 10""")
+def q_implausible_samples(spark, sf_dir):
+    # threshold is a parameter (30 in the blocking check); 3 exercises the report
+    return qa.implausible_samples(sp.crashes(spark, sf_dir), max_fatalities=3)
+
+
+@register("crashes_per_year", """
+    SELECT CAST(year AS BIGINT) AS year, count(*) AS crashes FROM sp_crashes GROUP BY year""")
+def q_crashes_per_year(spark, sf_dir):
+    return qa.crashes_per_year(sp.crashes(spark, sf_dir, with_subtypes=False))
+
+
+@register("total_crashes", "SELECT count(*) AS crashes FROM sp_crashes")
+def q_total_crashes(spark, sf_dir):
+    return qa.total_crashes(sp.crashes(spark, sf_dir, with_subtypes=False))
+
+
+@register("fatality_distribution", """
+    SELECT CAST(year AS BIGINT) AS year, CAST(sum(total_fatalities) AS BIGINT) AS total,
+           CAST(sum(pedestrian_fatalities) AS BIGINT) AS peds,
+           CAST(sum(cyclist_fatalities) AS BIGINT) AS cyclists,
+           CAST(sum(motorist_fatalities) AS BIGINT) AS motorists
+    FROM sp_crashes GROUP BY year""")
+def q_fatality_distribution(spark, sf_dir):
+    return qa.fatality_distribution(sp.crashes(spark, sf_dir))
+
+
+@register("year_mismatches", """
+    SELECT CAST(year AS BIGINT) AS year, count(*) AS mismatches FROM (
+        SELECT st_case, year + (st_case % 3 = 0)::INTEGER AS year, crash_date FROM sp_crashes) t
+    WHERE crash_date IS NOT NULL AND year(crash_date) <> year GROUP BY year""")
+def q_year_mismatches(spark, sf_dir):
+    # dataset year shifted by one for st_case % 3 = 0 so the check has hits
+    c = sp.crashes(spark, sf_dir, with_subtypes=False)
+    c = c.withColumn("year", F.col("year") + (F.col("st_case") % 3 == 0).cast("int"))
+    return qa.year_mismatches(c)
+
+
+@register("completeness", """
+    SELECT CAST(year AS BIGINT) AS year, count(*) AS total,
+           count(*) - count(crash_date) AS missing_date,
+           count(*) FILTER (WHERE lon IS NULL OR lat IS NULL) AS missing_geometry
+    FROM sp_crashes GROUP BY year""")
+def q_completeness(spark, sf_dir):
+    return qa.completeness(sp.crashes(spark, sf_dir, with_subtypes=False))
+
+
+@register("implausible_points", """
+    SELECT count(*) FILTER (WHERE lon IS NOT NULL AND lat IS NOT NULL AND NOT
+        (lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90)) AS invalid_points FROM sp_crashes""")
+def q_implausible_points(spark, sf_dir):
+    return qa.implausible_points(sp.crashes(spark, sf_dir, with_subtypes=False))
+
+
+_PROFILE_COLS = ["st_case", "year", "crash_date", "state", "place_fips", "lon", "lat"]
+
+
+@register("crash_profile", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({i} AS BIGINT) AS position, count(*) AS row_count, "
+    f"count(*) - count({c}) AS null_count FROM sp_crashes"
+    for i, c in enumerate(_PROFILE_COLS)))
+def q_crash_profile(spark, sf_dir):
+    return qa.table_profile(sp.crashes(spark, sf_dir, with_subtypes=False).select(*_PROFILE_COLS))
+
+
+# ---------------------------------------------------------------------------
+# Serving projections
+# ---------------------------------------------------------------------------
+
+@register("eligible_cities", """
+    SELECT state_fips, place_fips, CAST(population AS BIGINT) AS population, is_pledged
+    FROM sp_places WHERE population >= 100000 OR is_pledged""")
+def q_eligible_cities(spark, sf_dir):
+    return cs.eligible(sp.places(spark, sf_dir)).select(
+        "state_fips", "place_fips", "population", "is_pledged")
+
+
+_EXPORT_OUT = ("state_fips", "place_fips") + sv.EXPORT_CRASH_COLS
+
+
+@register("export_crash_points", "SELECT " + ", ".join(
+    f"strftime({c}, '%Y-%m-%d') AS {c}" if c == "crash_date" else
+    (f"CAST({c} AS BIGINT) AS {c}" if c in ("year",) + sv.ANNUAL_COLS else c)
+    for c in _EXPORT_OUT) + " FROM sp_export_points")
+def q_export_crash_points(spark, sf_dir):
+    return sv.export_crash_points(sp.crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
+
+
+@register("annual_fatalities", "SELECT state_fips, place_fips, CAST(year AS BIGINT) AS year, "
+          + ", ".join(sv.ANNUAL_COLS) + " FROM sp_annual_city")
+def q_annual_fatalities(spark, sf_dir):
+    return sv.annual_fatalities(sp.crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
+
+
+@register("year_extent", """
+    SELECT CAST(min(year) AS BIGINT) AS min_year, CAST(max(year) AS BIGINT) AS max_year
+    FROM sp_crashes""")
+def q_year_extent(spark, sf_dir):
+    return sv.year_extent(sp.crash_points(spark, sf_dir))
+
+
+@register("annual_gap_filled", """
+    WITH ext AS (SELECT max(year) AS mx FROM sp_crashes),
+    grid AS (SELECT e.state_fips, e.place_fips, y.year FROM sp_elig_cities e,
+             (SELECT unnest(range(1996, (SELECT mx FROM ext) + 1)) AS year) y)
+    SELECT g.state_fips, g.place_fips, CAST(g.year AS BIGINT) AS year, """
+          + ", ".join(f"CAST(coalesce(a.{c}, 0) AS BIGINT) AS {c}" for c in sv.ANNUAL_COLS)
+          + """ FROM grid g LEFT JOIN sp_annual_city a ON a.state_fips = g.state_fips
+      AND a.place_fips = g.place_fips AND a.year = g.year""")
+def q_annual_gap_filled(spark, sf_dir):
+    """J13 from 1996 (parameter; the dashboard uses 2001) to the max year."""
+    crashes = sp.crashes(spark, sf_dir)
+    elig = cs.eligible(sp.places(spark, sf_dir))
+    max_year = sv.year_extent(sp.crash_points(spark, sf_dir)).first()["max_year"]
+    return sv.gap_filled_annual(sv.annual_fatalities(crashes, elig), elig, 1996, max_year)
+
+
+@register("pedestrian_points", """
+    SELECT state_fips, place_fips, st_case, CAST(year AS BIGINT) AS year
+    FROM sp_export_points WHERE pedestrian_fatalities > 0""")
+def q_pedestrian_points(spark, sf_dir):
+    pts = sv.export_crash_points(sp.crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
+    return sv.fatality_filter(pts, "pedestrian").select("state_fips", "place_fips", "st_case", "year")
+
+
+@register("dominant_type_summary", """
+    SELECT CASE WHEN pedestrian_fatalities > 0 THEN 'pedestrian'
+                WHEN cyclist_fatalities > 0 THEN 'cyclist' ELSE 'motorist' END AS dominant_type,
+           count(*) AS n_points, CAST(sum(total_fatalities) AS BIGINT) AS fatalities
+    FROM sp_export_points GROUP BY 1""")
+def q_dominant_type_summary(spark, sf_dir):
+    pts = sv.export_crash_points(sp.crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
+    return sv.dominant_type(pts).groupBy("dominant_type").agg(
+        F.count(F.lit(1)).alias("n_points"), F.sum("total_fatalities").alias("fatalities"))
+
+
+@register("trend_directions", " UNION ALL ".join(
+    f"SELECT state_fips, place_fips, '{c}' AS metric, CASE WHEN {c} IS NULL THEN 'none' "
+    f"WHEN {c} <= 0 THEN 'improving' ELSE 'worsening' END AS direction, "
+    f"round(abs({c}), 1) AS magnitude FROM sp_eligible" for c in cs.TREND_COLS))
+def q_trend_directions(spark, sf_dir):
+    stats = cs.eligible(cs.city_stats(sp.crashes(spark, sf_dir), sp.places(spark, sf_dir)))
+    parts = []
+    for c in cs.TREND_COLS:
+        d, m = sv.trend_direction(c)
+        parts.append(stats.select("state_fips", "place_fips", F.lit(c).alias("metric"),
+                                  d.alias("direction"), m.alias("magnitude")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("city_search", """
+    SELECT state_fips, place_fips, place_name FROM sp_places
+    WHERE (population >= 100000 OR is_pledged) AND is_pledged
+      AND (lower(place_name) LIKE '%00001%')""")
+def q_city_search(spark, sf_dir):
+    elig = cs.eligible(sp.places(spark, sf_dir))
+    return sv.filter_cities(elig, scopes=("vz",), search="00001") \
+        .select("state_fips", "place_fips", "place_name")
