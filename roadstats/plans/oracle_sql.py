@@ -263,3 +263,67 @@ CTES["sp_annual_city"] = """
            CAST(sum(other_fatalities) AS BIGINT) AS other_fatalities
     FROM sp_crashes c JOIN sp_elig_cities e ON c.state = e.state_fips AND c.place_fips = e.place_fips
     GROUP BY e.state_fips, e.place_fips, c.year"""
+
+_TEMPLATE = "(0, 0.05, 0.05), (1, 0.95, 0.05), (2, 0.95, 0.45), (3, 0.45, 0.45), (4, 0.45, 0.95), (5, 0.05, 0.95)"
+CTES["sp_vertices"] = f"""
+    SELECT {zf('n_nationkey', 2)} AS state_fips, {zf('n_nationkey', 5)} AS place_fips,
+           n_regionkey, 0 AS part, 0 AS ring, v.seq,
+           CAST(-125 AS DOUBLE) + CAST(n_nationkey % 5 AS DOUBLE) * CAST(11.6 AS DOUBLE)
+             + CAST(v.rx AS DOUBLE) * CAST(11.6 AS DOUBLE) + CAST(0.00037 AS DOUBLE) AS x,
+           CAST(24.5 AS DOUBLE) + CAST(n_nationkey // 5 AS DOUBLE) * CAST(4.9 AS DOUBLE)
+             + CAST(v.ry AS DOUBLE) * CAST(4.9 AS DOUBLE) + CAST(0.00037 AS DOUBLE) AS y
+    FROM nation, (VALUES {_TEMPLATE}) v(seq, rx, ry)"""
+CTES["sp_edges"] = """
+    SELECT state_fips, place_fips, n_regionkey, part, ring, seq, x AS x1, y AS y1,
+           coalesce(lead(x) OVER w, first_value(x) OVER w2) AS x2,
+           coalesce(lead(y) OVER w, first_value(y) OVER w2) AS y2
+    FROM sp_vertices
+    WINDOW w AS (PARTITION BY state_fips, place_fips, part, ring ORDER BY seq),
+           w2 AS (PARTITION BY state_fips, place_fips, part, ring ORDER BY seq
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+CTES["sp_pip"] = """
+    SELECT c.st_case, c.year, e.state_fips, e.place_fips,
+           count(*) FILTER (WHERE (e.y1 > c.lat) <> (e.y2 > c.lat)
+               AND e.x1 + (c.lat - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1) > c.lon) AS n,
+           bool_or((e.x2 - e.x1) * (c.lat - e.y1) - (e.y2 - e.y1) * (c.lon - e.x1) = 0
+               AND c.lon BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2)
+               AND c.lat BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2)) AS on_edge
+    FROM sp_crashes c, sp_edges e
+    WHERE c.lon IS NOT NULL AND c.lat IS NOT NULL
+    GROUP BY c.st_case, c.year, e.state_fips, e.place_fips"""
+CTES["sp_hot_points"] = f"""
+    SELECT {zf('c_nationkey', 2)} AS state_fips, {zf('c_nationkey', 5)} AS place_fips,
+           o_orderkey AS st_case, ((o_orderkey % 29) * (o_orderkey % 29)) % 29 AS cx,
+           ((o_orderkey % 5) * 7) % 5 AS cy
+    FROM orders JOIN customer ON o_custkey = c_custkey"""
+CTES["sp_cell_counts"] = """
+    SELECT state_fips, place_fips, cx, cy, count(*) AS crash_count,
+           percent_rank() OVER (PARTITION BY state_fips, place_fips ORDER BY count(*)) AS pct_rank
+    FROM sp_hot_points GROUP BY state_fips, place_fips, cx, cy"""
+CTES["sp_hot"] = "SELECT * FROM sp_cell_counts WHERE pct_rank >= 0.85"
+
+
+def _sq_edges(src: str, x0: str, y0: str, side: int) -> str:
+    pts = [(x0, y0), (f"{x0} + {side}", y0), (f"{x0} + {side}", f"{y0} + {side}"),
+           (x0, f"{y0} + {side}")]
+    parts = []
+    for a, b in zip(pts, pts[1:] + pts[:1]):
+        parts.append(f"SELECT state_fips, place_fips, {a[0]} AS x1, {a[1]} AS y1, "
+                     f"{b[0]} AS x2, {b[1]} AS y2 FROM {src}")
+    return " UNION ALL ".join(parts)
+
+
+def _dissolved(edges_sql: str) -> str:
+    return f"""
+    SELECT state_fips, place_fips, min(x1) AS x1, min(y1) AS y1, min(x2) AS x2, min(y2) AS y2
+    FROM ({edges_sql}) e
+    GROUP BY state_fips, place_fips, least(x1, x2), least(y1, y2), greatest(x1, x2), greatest(y1, y2)
+    HAVING count(*) = 1"""
+
+
+CTES["sp_core_edges"] = _dissolved(_sq_edges("sp_hot", "(2 * cx - 1)", "(2 * cy - 1)", 2))
+CTES["sp_sub"] = """
+    SELECT DISTINCT state_fips, place_fips, sx, sy FROM sp_hot,
+        LATERAL (SELECT unnest(range(2 * cx - 2, 2 * cx + 2)) AS sx) a,
+        LATERAL (SELECT unnest(range(2 * cy - 2, 2 * cy + 2)) AS sy) b"""
+CTES["sp_buffer_edges"] = _dissolved(_sq_edges("sp_sub", "sx", "sy", 1))

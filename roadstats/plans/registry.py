@@ -20,6 +20,8 @@ from roadstats.operators import loads as ld
 from roadstats.operators import quality as qa
 from roadstats.operators import ranking as rk
 from roadstats.operators import serving as sv
+from roadstats.operators import spatial as sa
+from roadstats.operators import hotspots as hs
 from roadstats.operators import subtypes as st
 from roadstats.plans import oracle_sql as osql
 from roadstats.sources import standins as sp
@@ -387,3 +389,112 @@ def q_city_search(spark, sf_dir):
     elig = cs.eligible(sp.places(spark, sf_dir))
     return sv.filter_cities(elig, scopes=("vz",), search="00001") \
         .select("state_fips", "place_fips", "place_name")
+
+
+# ---------------------------------------------------------------------------
+# Spatial (J4/G1, G12, G14, O4, A13/G6)
+# ---------------------------------------------------------------------------
+
+@register("spatial_assignment", """
+    SELECT st_case, CAST(year AS BIGINT) AS year, min(state_fips) AS state_fips,
+           min(place_fips) AS place_fips
+    FROM sp_pip WHERE n % 2 = 1 AND NOT on_edge GROUP BY st_case, year""")
+def q_spatial_assignment(spark, sf_dir):
+    """Crash points within the stand-in city polygons (0.05 deg cells)."""
+    return sa.assign_points(sp.crash_points(spark, sf_dir), sp.polygon_vertices(spark, sf_dir),
+                            ["st_case", "year"], cell=0.05)
+
+
+@register("place_extents", """
+    SELECT state_fips, place_fips, min(x) AS min_lon, max(x) AS max_lon,
+           min(y) AS min_lat, max(y) AS max_lat
+    FROM sp_vertices WHERE ring = 0 GROUP BY state_fips, place_fips""")
+def q_place_extents(spark, sf_dir):
+    return sa.extents(sp.polygon_vertices(spark, sf_dir))
+
+
+@register("part_areas", """
+    SELECT state_fips, place_fips, CAST(part AS BIGINT) AS part,
+           round(abs(sum(x1 * y2 - x2 * y1)) / 2, 6) AS area, CAST(1 AS BIGINT) AS n_rings
+    FROM sp_edges GROUP BY state_fips, place_fips, part""")
+def q_part_areas(spark, sf_dir):
+    a = sa.part_areas(sa.largest_part(sp.polygon_vertices(spark, sf_dir)))
+    return a.withColumn("area", F.round("area", 6))
+
+
+@register("region_unions", """
+    WITH d AS (
+      SELECT n_regionkey, min(x1) AS x1, min(y1) AS y1, min(x2) AS x2, min(y2) AS y2
+      FROM sp_edges GROUP BY n_regionkey, least(x1, x2), least(y1, y2), greatest(x1, x2),
+           greatest(y1, y2) HAVING count(*) = 1)
+    SELECT lpad(CAST(n_regionkey AS VARCHAR), 2, '0') AS target_state, count(*) AS n_edges,
+           round(abs(sum(x1 * y2 - x2 * y1)) / 2, 6) AS area
+    FROM d GROUP BY n_regionkey""")
+def q_region_unions(spark, sf_dir):
+    """Union of the member polygons of each region (edge cancellation)."""
+    verts = sp.polygon_vertices(spark, sf_dir)
+    n = sp.table(spark, sf_dir, "nation")
+    members = n.select(F.lpad(F.col("n_regionkey").cast("string"), 2, "0").alias("target_state"),
+                       F.lit("00000").alias("target_place"),
+                       F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("state_fips"),
+                       F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("place_fips"))
+    u = sa.union_edges(sa.edges(verts), F.broadcast(members))
+    return u.groupBy("target_state").agg(
+        F.count(F.lit(1)).alias("n_edges"),
+        F.round(F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))) / 2, 6)
+         .alias("area"))
+
+
+# ---------------------------------------------------------------------------
+# Hotspots (A11, W5, G2–G9, U1, E6)
+# ---------------------------------------------------------------------------
+
+@register("hotspot_cells", """
+    SELECT state_fips, place_fips, cx, cy, crash_count, pct_rank >= 0.85 AS is_hot
+    FROM sp_cell_counts""")
+def q_hotspot_cells(spark, sf_dir):
+    ranked = hs.rank_cells(hs.cell_counts(sp.hotspot_points(spark, sf_dir)))
+    return ranked.select("state_fips", "place_fips", "cx", "cy", "crash_count", "is_hot")
+
+
+def _hot(spark, sf_dir):
+    ranked = hs.rank_cells(hs.cell_counts(sp.hotspot_points(spark, sf_dir)))
+    return ranked.filter("is_hot").select("state_fips", "place_fips", "cx", "cy")
+
+
+@register("hotspot_zones", """
+    WITH n AS (SELECT state_fips, place_fips, count(*) AS hot_cells FROM sp_hot GROUP BY ALL),
+    c AS (SELECT state_fips, place_fips, CAST(sum(x1 * y2 - x2 * y1) * 62500 // 2 AS BIGINT) AS core_area_m2,
+                 count(*) AS core_edges FROM sp_core_edges GROUP BY ALL),
+    b AS (SELECT state_fips, place_fips, CAST(sum(x1 * y2 - x2 * y1) * 62500 // 2 AS BIGINT) AS buffer_area_m2,
+                 count(*) AS buffer_edges FROM sp_buffer_edges GROUP BY ALL)
+    SELECT * FROM n JOIN c USING (state_fips, place_fips) JOIN b USING (state_fips, place_fips)""")
+def q_hotspot_zones(spark, sf_dir):
+    return hs.zone_summary(_hot(spark, sf_dir))
+
+
+@register("hotspot_features")
+def q_hotspot_features(spark, sf_dir):
+    """G8 + G9 + U1 (+ E6 rows): one GeoJSON feature per city and zone."""
+    return hs.zone_features(_hot(spark, sf_dir))
+
+
+@register("albers_projection", """
+    WITH p AS (SELECT st_case, lon, lat, radians(lat) AS phi, sin(radians(lat)) AS s FROM sp_crashes
+               WHERE lon IS NOT NULL AND lat IS NOT NULL)
+    SELECT st_case, round(x, 3) AS x_m, round(y, 3) AS y_m, CAST(round(x / 500) AS BIGINT) AS cx,
+           CAST(round(y / 500) AS BIGINT) AS cy FROM (
+      SELECT st_case, rho * sin(theta) AS x, RHO0 - rho * cos(theta) AS y FROM (
+        SELECT st_case, A * sqrt(C - N * ((1 - E2) * (s / (1 - E2 * s * s) - (1 / (2 * E)) *
+               ln((1 - E * s) / (1 + E * s))))) / N AS rho, N * radians(lon - (-96.0)) AS theta
+        FROM p) t) u""".replace("RHO0", repr(hs.RHO_0)).replace("A *", repr(hs.A_AXIS) + " *")
+          .replace("C -", repr(hs.C_CONE) + " -").replace("/ N", "/ " + repr(hs.N_CONE))
+          .replace("N *", repr(hs.N_CONE) + " *").replace("E2", repr(hs.E2))
+          .replace("(2 * E)", "(2 * " + repr(hs.E) + ")").replace("E * s", repr(hs.E) + " * s"))
+def q_albers_projection(spark, sf_dir):
+    """G2 + G3: projected metres (mm precision) and 500 m cell ids.  (The
+    oracle rounds half-even like rint only away from exact .5 — cell ids of
+    exact half-way points never occur with these coordinates.)"""
+    pts = hs.project_points(sp.crash_points(spark, sf_dir))
+    return pts.select("st_case", F.round("x", 3).alias("x_m"), F.round("y", 3).alias("y_m"),
+                      "cx", "cy")
