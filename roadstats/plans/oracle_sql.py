@@ -327,3 +327,72 @@ CTES["sp_sub"] = """
         LATERAL (SELECT unnest(range(2 * cx - 2, 2 * cx + 2)) AS sx) a,
         LATERAL (SELECT unnest(range(2 * cy - 2, 2 * cy + 2)) AS sy) b"""
 CTES["sp_buffer_edges"] = _dissolved(_sq_edges("sp_sub", "sx", "sy", 1))
+
+# ---------------------------------------------------------------------------
+# Raw crash / person files (generator rules of sources/raw_files.py)
+# ---------------------------------------------------------------------------
+
+def _dms_sql(milli: str) -> str:
+    """Packed DMS of |milli| thousandths of a degree, parsed back to degrees."""
+    a = f"abs({milli})"
+    cs = f"(({a} % 1000) * 360)"
+    return (f"(CAST({a} // 1000 AS DOUBLE) + CAST({cs} // 6000 AS DOUBLE) / CAST(60 AS DOUBLE)"
+            f" + (CAST({cs} % 6000 AS DOUBLE) / CAST(100 AS DOUBLE)) / CAST(3600 AS DOUBLE))")
+
+
+CTES["sp_raw_crash"] = """
+    SELECT c.*, c.st_case AS k, c.st_case % 50 AS r,
+           (c.year >= 1997 AND c.year % 2 = 0) AS named,
+           month(o.o_orderdate) AS mo, day(o.o_orderdate) AS dy,
+           24500 + (c.st_case * 104729) % 24500 AS lat_milli,
+           -125000 + (c.st_case * 7919) % 58000 AS lon_milli,
+           CASE WHEN c.st_case % 211 = 0 THEN 'bad_st_case'
+                WHEN c.year >= 1997 AND c.st_case % 97 = 0 THEN 'bad_route'
+                WHEN c.st_case % 101 = 0 THEN 'state_too_long' END AS reason
+    FROM sp_crashes c JOIN orders o ON o.o_orderkey = c.st_case"""
+CTES["sp_raw_loaded"] = f"""
+    SELECT st_case, year,
+           CASE WHEN r IN (0, 10, 20) THEN NULL
+                WHEN r = 25 AND year % 100 = 0 THEN NULL
+                WHEN r = 25 AND year % 100 < 24 THEN make_date(CAST(year % 100 AS INTEGER), mo, dy)
+                ELSE crash_date END AS crash_date,
+           state,
+           CASE WHEN named AND r = 40 THEN '' ELSE state_name END AS state_name,
+           county,
+           CASE WHEN named THEN 'County ' || county END AS county_name,
+           CASE WHEN r = 30 THEN '9999' ELSE city END AS city,
+           CASE WHEN r = 30 OR city = '0000' OR city >= '9000' THEN 'Unincorporated'
+                WHEN named AND r = 35 THEN 'Unincorporated'
+                WHEN named AND r = 45 THEN ''
+                ELSE fars_city_name END AS fars_city_name,
+           CASE WHEN year < 1997 THEN 9 ELSE route_code END AS route_code,
+           CASE WHEN year < 1997 THEN 'Unknown' ELSE road_label END AS road_label,
+           total_fatalities,
+           CASE WHEN lat IS NULL THEN 'blank'
+                WHEN k % 4 = 0 AND k % 9 = 0 THEN 'unparsable'
+                WHEN k % 4 = 0 THEN 'ok_decimal'
+                WHEN k % 4 = 1 AND k % 13 = 0 THEN 'out_of_range'
+                WHEN k % 4 = 1 THEN 'ok_dms'
+                WHEN k % 4 = 2 THEN 'sentinel'
+                ELSE 'blank' END AS coord_status,
+           lat_milli, lon_milli
+    FROM sp_raw_crash WHERE reason IS NULL"""
+CTES["sp_raw_points"] = f"""
+    SELECT *,
+           CASE coord_status WHEN 'ok_decimal' THEN CAST(lon_milli AS DOUBLE) / CAST(1000 AS DOUBLE)
+                             WHEN 'ok_dms' THEN {_dms_sql('lon_milli')} END AS lon,
+           CASE coord_status WHEN 'ok_decimal' THEN CAST(lat_milli AS DOUBLE) / CAST(1000 AS DOUBLE)
+                             WHEN 'ok_dms' THEN {_dms_sql('lat_milli')} END AS lat
+    FROM sp_raw_loaded"""
+CTES["sp_raw_person"] = """
+    SELECT p.*, CAST(year(o.o_orderdate) AS INTEGER) AS year,
+           NOT (p.st_case % 211 = 0 OR p.st_case % 101 = 0
+                OR (year(o.o_orderdate) >= 1997 AND p.st_case % 97 = 0)) AS has_crash,
+           (p.st_case + p.vehicle_number) % 199 = 0 AS bad_age
+    FROM sp_persons_raw p JOIN orders o ON o.o_orderkey = p.st_case
+    WHERE year(o.o_orderdate) <> 2001"""
+CTES["sp_raw_person_rank"] = """
+    SELECT *, row_number() OVER (PARTITION BY st_case, year, vehicle_number, person_number
+              ORDER BY l_partkey, l_extendedprice, l_quantity, l_shipdate, person_type,
+                       injury_severity) AS rn
+    FROM sp_raw_person WHERE has_crash AND NOT bad_age"""

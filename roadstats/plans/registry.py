@@ -22,8 +22,10 @@ from roadstats.operators import ranking as rk
 from roadstats.operators import serving as sv
 from roadstats.operators import spatial as sa
 from roadstats.operators import hotspots as hs
+from roadstats.operators import raw_load as rl
 from roadstats.operators import subtypes as st
 from roadstats.plans import oracle_sql as osql
+from roadstats.sources import raw_files as rf
 from roadstats.sources import standins as sp
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -498,3 +500,87 @@ def q_albers_projection(spark, sf_dir):
     pts = hs.project_points(sp.crash_points(spark, sf_dir))
     return pts.select("st_case", F.round("x", 3).alias("x_m"), F.round("y", 3).alias("y_m"),
                       "cx", "cy")
+
+
+# ---------------------------------------------------------------------------
+# Raw files: S1–S3, N1–N8, L1, L2, L5, J1, J2 (files generated once per scale
+# into the shared folder from the driver tables, then scanned as text)
+# ---------------------------------------------------------------------------
+
+def _raw_crash_outcomes(spark, sf_dir):
+    root = rf.ensure_fars_files(spark, sf_dir)
+    typed = rl.normalize_crashes(spark, rf.scan_crash_files(spark, root),
+                                 sp.city_codes(spark, sf_dir))
+    return root, rl.load_crashes(typed)
+
+
+_RAW_CRASH_OUT = rl.CRASH_COLUMNS
+
+
+@register("raw_crash_load", "SELECT " + ", ".join(
+    f"strftime({c}, '%Y-%m-%d') AS {c}" if c == "crash_date" else
+    (f"CAST({c} AS BIGINT) AS {c}" if c in ("year", "route_code", "total_fatalities") else c)
+    for c in _RAW_CRASH_OUT) + " FROM sp_raw_points")
+def q_raw_crash_load(spark, sf_dir):
+    """S1 + S3 + N1–N7 + J2 + L1: the crash table loaded from the raw files."""
+    _, out = _raw_crash_outcomes(spark, sf_dir)
+    return rl.inserted(out, _RAW_CRASH_OUT)
+
+
+@register("raw_crash_outcomes", """
+    SELECT CAST(year AS BIGINT) AS year, outcome, reject_reason, count(*) AS n_rows FROM (
+      SELECT year, CASE WHEN reason IS NOT NULL THEN 'error' WHEN cp = 0 THEN 'inserted'
+                        ELSE 'skipped_duplicate' END AS outcome, reason AS reject_reason
+      FROM sp_raw_crash, (SELECT unnest([0, 1]) AS cp) t WHERE cp = 0 OR k % 29 = 0) u
+    GROUP BY ALL""")
+def q_raw_crash_outcomes(spark, sf_dir):
+    """Rows per (year, outcome, reason) of the crash load."""
+    _, out = _raw_crash_outcomes(spark, sf_dir)
+    return out.groupBy("year", "outcome", "reject_reason").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("raw_person_outcomes", """
+    SELECT CAST(year AS BIGINT) AS year, outcome, count(*) AS n_rows FROM (
+      SELECT year, CASE WHEN NOT has_crash THEN 'skipped_orphan' ELSE 'error' END AS outcome
+      FROM sp_raw_person WHERE NOT has_crash OR bad_age
+      UNION ALL
+      SELECT year, CASE WHEN rn = 1 THEN 'inserted' ELSE 'skipped_duplicate' END
+      FROM sp_raw_person_rank) t
+    GROUP BY ALL""")
+def q_raw_person_outcomes(spark, sf_dir):
+    """S2 + N8 + J1 + L2 + L5: person rows per (year, outcome)."""
+    root, out = _raw_crash_outcomes(spark, sf_dir)
+    crashes = rl.inserted(out, rl.CRASH_KEY)
+    persons = rl.load_persons(rl.normalize_persons(rf.scan_person_files(spark, root)), crashes)
+    return persons.groupBy("year", "outcome").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("raw_person_subtypes", """
+    SELECT CAST(p.year AS BIGINT) AS year,
+      count(*) FILTER (WHERE injury_severity = 4 AND person_type IN (1, 2, 3, 9)) AS motorist_fatalities,
+      count(*) FILTER (WHERE injury_severity = 4 AND person_type IN (5, 10)) AS pedestrian_fatalities,
+      count(*) FILTER (WHERE injury_severity = 4 AND person_type IN (6, 7)) AS cyclist_fatalities,
+      count(*) FILTER (WHERE injury_severity = 4 AND person_type IN (4, 8, 11, 12, 13, 19, 99)) AS other_fatalities,
+      count(DISTINCT st_case) AS crashes_with_persons
+    FROM sp_raw_person_rank p WHERE rn = 1 GROUP BY p.year""")
+def q_raw_person_subtypes(spark, sf_dir):
+    """A1 over the persons loaded from the raw files, summed per year."""
+    root, out = _raw_crash_outcomes(spark, sf_dir)
+    crashes = rl.inserted(out, rl.CRASH_KEY)
+    persons = rl.load_persons(rl.normalize_persons(rf.scan_person_files(spark, root)), crashes)
+    loaded = persons.filter(F.col("outcome") == "inserted")
+    counts = st.crash_subtype_counts(loaded, ["st_case", "year"])
+    return counts.groupBy("year").agg(
+        *[F.sum(c).alias(c) for c in st.SUBTYPE_COLS],
+        F.count(F.lit(1)).alias("crashes_with_persons"))
+
+
+@register("dataset_presence", """
+    SELECT CAST(year AS BIGINT) AS year, CAST(1 AS BIGINT) AS crash_files,
+           CAST(CASE WHEN year = 2001 THEN 0 ELSE 1 END AS BIGINT) AS person_files,
+           true AS loads_crashes, year <> 2001 AS loads_persons
+    FROM (SELECT DISTINCT year(o_orderdate) AS year FROM orders) t""")
+def q_dataset_presence(spark, sf_dir):
+    """S3: which dataset files each year has, and what loads."""
+    root = rf.ensure_fars_files(spark, sf_dir)
+    return rf.dataset_presence(rf.dataset_files(spark, root))

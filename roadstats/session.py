@@ -27,6 +27,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("ROADSTATS_DRIVER_MEM", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # local runs only: a stable scratch folder as the shared folder, so
+        # generated stand-in files are reused between runs
+        .config("spark.checkpoint.dir",
+                os.environ.get("ROADSTATS_CHECKPOINT_DIR", "/tmp/roadstats-scratch"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -50,3 +54,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="roadstats-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder itself (``spark.checkpoint.dir``), without the
+    per-application sub-folder SparkContext adds for RDD checkpoints; used
+    for tables that later sessions reuse (e.g. generated stand-in files)."""
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or \
+        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if conf_dir:
+        return conf_dir.rstrip("/")
+    ckpt = checkpoint_dir(spark).rstrip("/")
+    return ckpt.rsplit("/", 1)[0]
