@@ -396,3 +396,33 @@ CTES["sp_raw_person_rank"] = """
               ORDER BY l_partkey, l_extendedprice, l_quantity, l_shipdate, person_type,
                        injury_severity) AS rn
     FROM sp_raw_person WHERE has_crash AND NOT bad_age"""
+
+# ---------------------------------------------------------------------------
+# City-side files (generator rules of sources/place_files.py)
+# ---------------------------------------------------------------------------
+
+CTES["sp_pcust"] = f"""
+    SELECT c_custkey AS c, c_name, c_nationkey, c_mktsegment,
+           {zf('c_nationkey', 2)} AS state_fips, {zf('c_custkey', 5)} AS place_fips,
+           CAST(floor(c_acctbal * CAST(20 AS DOUBLE)) AS INTEGER) AS population,
+           s.state_name AS real_state,
+           coalesce(s.state_name, 'State ' || {zf('c_nationkey', 2)}) AS state_label
+    FROM customer LEFT JOIN sp_states s ON s.state_fips = {zf('c_nationkey', 2)}"""
+
+
+def _override_values() -> str:
+    from roadstats.functions.dims import POINT_OVERRIDES
+    return ", ".join(f"({i}, CAST({lon!r} AS DOUBLE), CAST({lat!r} AS DOUBLE))"
+                     for i, (_, lon, lat) in enumerate(POINT_OVERRIDES))
+
+
+CTES["sp_point_overrides"] = f"SELECT * FROM (VALUES {_override_values()}) t(idx, lon, lat)"
+CTES["sp_city_points"] = """
+    SELECT state_fips, place_fips,
+           CASE WHEN c % 7 = 0 THEN o.lon
+                ELSE CAST(-125000 + (c * 7919) % 58000 AS DOUBLE) / CAST(1000 AS DOUBLE) END AS point_lon,
+           CASE WHEN c % 7 = 0 THEN o.lat
+                ELSE CAST(24500 + (c * 104729) % 24500 AS DOUBLE) / CAST(1000 AS DOUBLE) END AS point_lat,
+           CASE WHEN c % 7 = 0 THEN 'override' ELSE 'geocoded' END AS point_source
+    FROM sp_pcust LEFT JOIN sp_point_overrides o ON o.idx = c % 11
+    WHERE population > 100000 AND ((c % 7 = 0 AND c % 3 = 0) OR (c % 7 <> 0 AND c % 13 <> 0))"""

@@ -22,9 +22,11 @@ from roadstats.operators import ranking as rk
 from roadstats.operators import serving as sv
 from roadstats.operators import spatial as sa
 from roadstats.operators import hotspots as hs
+from roadstats.operators import places as pl
 from roadstats.operators import raw_load as rl
 from roadstats.operators import subtypes as st
 from roadstats.plans import oracle_sql as osql
+from roadstats.sources import place_files as pf
 from roadstats.sources import raw_files as rf
 from roadstats.sources import standins as sp
 
@@ -584,3 +586,130 @@ def q_dataset_presence(spark, sf_dir):
     """S3: which dataset files each year has, and what loads."""
     root = rf.ensure_fars_files(spark, sf_dir)
     return rf.dataset_presence(rf.dataset_files(spark, root))
+
+
+# ---------------------------------------------------------------------------
+# City-side files: S5–S9, N9–N12, L3, L4, L7, J9–J12, A12, U3, O4
+# ---------------------------------------------------------------------------
+
+def _place_root(spark, sf_dir):
+    return pf.ensure_place_files(spark, sf_dir)
+
+
+@register("population_load", """
+    SELECT state_fips, place_fips, c_name AS place_name, state_label AS state_name,
+           CAST(population AS BIGINT) AS population FROM sp_pcust""")
+def q_population_load(spark, sf_dir):
+    """S5 + N9 + L4: population rows loaded (first wins per place)."""
+    out = pl.load_populations(pf.scan_populations(spark, _place_root(spark, sf_dir)))
+    return out.filter(F.col("outcome") == "inserted").select(
+        "state_fips", "place_fips", "place_name", "state_name", "population")
+
+
+@register("population_outcomes", """
+    SELECT 'inserted' AS outcome, count(*) AS n_rows FROM sp_pcust
+    UNION ALL SELECT 'skipped_duplicate', count(*) FROM sp_pcust WHERE c % 47 = 0""")
+def q_population_outcomes(spark, sf_dir):
+    out = pl.load_populations(pf.scan_populations(spark, _place_root(spark, sf_dir)))
+    return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("city_points", "SELECT * FROM sp_city_points")
+def q_city_points(spark, sf_dir):
+    """S6 + N12 + L7: places after the point write-back (those with a point)."""
+    resolved = pl.resolve_points(spark, pf.scan_city_points(spark, _place_root(spark, sf_dir)))
+    places = sp.places(spark, sf_dir)
+    out = pl.apply_points(places, resolved)
+    return out.filter(F.col("point_source").isNotNull()).select(
+        "state_fips", "place_fips", "point_lon", "point_lat", "point_source")
+
+
+@register("pledged_places", """
+    SELECT state_fips, place_fips FROM sp_pcust
+    WHERE c_mktsegment = 'BUILDING' AND c % 19 <> 0 AND real_state IS NOT NULL""")
+def q_pledged_places(spark, sf_dir):
+    """S7 + N10 + L7: places flagged pledged from the list."""
+    pledges = pl.canonical_pledges(spark, pf.scan_pledged(spark, _place_root(spark, sf_dir)))
+    places = sp.places(spark, sf_dir).drop("is_pledged")
+    return pl.apply_pledges(places, pledges).filter("is_pledged") \
+        .select("state_fips", "place_fips")
+
+
+@register("unmatched_pledges", """
+    SELECT c_name AS city_name, state_label AS state_name, 'ERROR' AS state_fips FROM sp_pcust
+    WHERE c_mktsegment = 'BUILDING' AND c % 19 <> 0 AND real_state IS NULL
+    UNION ALL SELECT * FROM (VALUES ('Washington', 'District of Columbia', '11'),
+        ('Fort Lauderdale', 'Florida', '12'), ('Macon-Bibb County', 'Georgia', '13'),
+        ('New York', 'New York', '36'), ('Springfield', 'Atlantis', 'ERROR')) t(a, b, c)""")
+def q_unmatched_pledges(spark, sf_dir):
+    """Pledged-list entries that match no place."""
+    pledges = pl.canonical_pledges(spark, pf.scan_pledged(spark, _place_root(spark, sf_dir)))
+    return pl.unmatched_pledges(sp.places(spark, sf_dir), pledges)
+
+
+@register("city_code_load", f"""
+    SELECT {osql.zf('n_nationkey', 2)} AS state_code, {osql.zf('n_nationkey * 37', 4)} AS fars_city_code,
+           n_name AS fars_city_name,
+           CAST(CASE WHEN n_nationkey % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS source_rows
+    FROM nation""")
+def q_city_code_load(spark, sf_dir):
+    """S8 + L4: the city-code table, one name per code."""
+    return pl.load_city_codes(pf.scan_city_codes(spark, _place_root(spark, sf_dir)))
+
+
+@register("boundary_places", """
+    SELECT v.state_fips, v.place_fips, s.state_name, n.n_name AS display_name, '25' AS place_type,
+           CAST(count(*) AS BIGINT) AS n_vertices,
+           round(abs(sum(e.x1 * e.y2 - e.x2 * e.y1)) / 2, 6) AS area
+    FROM sp_vertices v JOIN nation n ON v.place_fips = lpad(CAST(n.n_nationkey AS VARCHAR), 5, '0')
+    JOIN sp_edges e ON e.place_fips = v.place_fips AND e.seq = v.seq
+    LEFT JOIN sp_states s ON s.state_fips = v.state_fips
+    GROUP BY ALL""")
+def q_boundary_places(spark, sf_dir):
+    """S9 + L3 + N11 + O4 + G14: loaded boundaries, largest part only."""
+    v = pf.scan_boundaries(spark, _place_root(spark, sf_dir))
+    places = pl.load_boundaries(spark, v)
+    kept = sa.largest_part(pl.boundary_vertices(v, places))
+    area = sa.part_areas(kept).select("state_fips", "place_fips",
+                                     F.round("area", 6).alias("area"))
+    nv = kept.groupBy("state_fips", "place_fips").agg(F.count(F.lit(1)).alias("n_vertices"))
+    return places.select("state_fips", "place_fips", "state_name", "display_name", "place_type") \
+        .join(nv, ["state_fips", "place_fips"]).join(area, ["state_fips", "place_fips"])
+
+
+@register("mismatched_city_names", """
+    SELECT DISTINCT fars_city_name AS city_name, state_name FROM (
+        SELECT fars_city_name, state_name FROM sp_crashes
+        WHERE fars_city_name IS NOT NULL AND TRY_CAST(city AS INTEGER) <> 0
+        GROUP BY ALL HAVING count(*) >= 50) f
+    WHERE NOT EXISTS (SELECT 1 FROM sp_pcust p WHERE upper(p.c_name) = f.fars_city_name
+                      AND p.state_label = f.state_name)""")
+def q_mismatched_city_names(spark, sf_dir):
+    """J9 + A12 + U3: frequent FARS city names with no population place."""
+    pops = pl.load_populations(pf.scan_populations(spark, _place_root(spark, sf_dir))) \
+        .filter(F.col("outcome") == "inserted")
+    return pl.mismatched_city_names(sp.crashes(spark, sf_dir, with_subtypes=False), pops)
+
+
+@register("eligible_without_boundary", f"""
+    SELECT e.state_fips, e.place_fips FROM sp_elig_cities e
+    WHERE NOT EXISTS (SELECT 1 FROM nation n WHERE {osql.zf('n.n_nationkey', 2)} = e.state_fips
+                      AND {osql.zf('n.n_nationkey', 5)} = e.place_fips)""")
+def q_eligible_without_boundary(spark, sf_dir):
+    """Eligible cities with no loaded boundary."""
+    v = pf.scan_boundaries(spark, _place_root(spark, sf_dir))
+    places = pl.load_boundaries(spark, v)
+    elig = cs.eligible(sp.places(spark, sf_dir)).select("state_fips", "place_fips")
+    return pl.eligible_without_boundary(elig, places)
+
+
+@register("geocode_candidates", """
+    SELECT p.state_fips, p.place_fips, p.place_name, s.state_name FROM sp_places p
+    JOIN sp_pcust c ON c.state_fips = p.state_fips AND c.place_fips = p.place_fips
+    LEFT JOIN sp_states s ON s.state_fips = p.state_fips
+    WHERE c.population > 100000 AND NOT ((c.c % 7 = 0 AND c.c % 3 = 0) OR (c.c % 7 <> 0 AND c.c % 13 <> 0))""")
+def q_geocode_candidates(spark, sf_dir):
+    """Places over 100000 people still without a point (work list)."""
+    resolved = pl.resolve_points(spark, pf.scan_city_points(spark, _place_root(spark, sf_dir)))
+    places = sp.places(spark, sf_dir)
+    return pl.geocode_candidates(places, places, resolved)
