@@ -203,3 +203,95 @@ def union_edges(edge_tab: DataFrame, members: DataFrame, key: Sequence[str] = PL
         .groupBy(*t, "_u").agg(F.count(F.lit(1)).alias("_n"),
                                F.first(F.struct("x1", "y1", "x2", "y2")).alias("_e"))
     return counted.filter(F.col("_n") == 1).select(*t, "_e.*")
+
+
+def _douglas_peucker(xs, ys, tol: float):
+    """Indices kept by Douglas–Peucker on an open polyline (numpy arrays)."""
+    import numpy as np
+    n = len(xs)
+    keep = np.zeros(n, dtype=bool)
+    keep[0] = keep[-1] = True
+    stack = [(0, n - 1)]
+    while stack:
+        a, b = stack.pop()
+        if b <= a + 1:
+            continue
+        dx, dy = xs[b] - xs[a], ys[b] - ys[a]
+        seg = np.hypot(dx, dy)
+        px, py = xs[a + 1:b] - xs[a], ys[a + 1:b] - ys[a]
+        d = np.abs(dx * py - dy * px) / seg if seg > 0 else np.hypot(px, py)
+        i = int(np.argmax(d))
+        if d[i] > tol:
+            m = a + 1 + i
+            keep[m] = True
+            stack.append((a, m))
+            stack.append((m, b))
+    return keep
+
+
+def simplify_rings(vertices: DataFrame, tolerance: float = 0.0001,
+                   key: Sequence[str] = PLACE_KEY, min_vertices: int = 3) -> DataFrame:
+    """Douglas–Peucker simplification of every ring (open vertex table).
+
+    One ``applyInPandas`` group per ring (a ring is bounded by one polygon
+    outline, not by the data volume).  The ring is split at its first vertex
+    and at the vertex farthest from it, each half simplified, so the ring
+    stays closed; a ring never drops below ``min_vertices`` distinct
+    vertices (declared difference: no check for crossings between rings).
+    """
+    import pandas as pd
+    ring_key = [*key, "part", "ring"]
+    cols = [*ring_key, "seq", "x", "y"]
+    schema = vertices.select(*cols).schema
+
+    def simplify(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+        pdf = pdf.sort_values("seq")
+        xs = pdf["x"].to_numpy(dtype=float)
+        ys = pdf["y"].to_numpy(dtype=float)
+        n = len(xs)
+        if n <= min_vertices:
+            return pdf[cols]
+        far = int(np.argmax(np.hypot(xs - xs[0], ys - ys[0])))
+        far = max(far, 1)
+        idx_a = np.arange(0, far + 1)
+        idx_b = np.append(np.arange(far, n), 0)
+        keep = np.zeros(n, dtype=bool)
+        keep[idx_a[_douglas_peucker(xs[idx_a], ys[idx_a], tolerance)]] = True
+        keep[idx_b[_douglas_peucker(xs[idx_b], ys[idx_b], tolerance)]] = True
+        if keep.sum() < min_vertices:
+            # put back the farthest-from-chord vertices until the ring is valid
+            order = np.argsort(-np.hypot(xs - xs.mean(), ys - ys.mean()))
+            for i in order:
+                keep[i] = True
+                if keep.sum() >= min_vertices:
+                    break
+        out = pdf[keep]
+        return out[cols]
+
+    return vertices.select(*cols).groupBy(*ring_key).applyInPandas(simplify, schema)
+
+
+def geojson_geometries(vertices: DataFrame, key: Sequence[str] = PLACE_KEY,
+                       digits: int | None = None) -> DataFrame:
+    """One GeoJSON geometry (JSON text) per place from its vertex table:
+    a Polygon for one part, a MultiPolygon otherwise; rings are closed by
+    repeating the first vertex.  The nesting is built with ordered
+    aggregates per ring, part and place (each bounded by one outline)."""
+    x = F.round("x", digits) if digits is not None else F.col("x")
+    y = F.round("y", digits) if digits is not None else F.col("y")
+    rings = vertices.groupBy(*key, "part", "ring").agg(
+        F.sort_array(F.collect_list(F.struct("seq", x.alias("x"), y.alias("y")))).alias("v"))
+    rings = rings.select(*key, "part", "ring", F.concat(
+        F.transform("v", lambda p: F.array(p["x"], p["y"])),
+        F.array(F.array(F.col("v")[0]["x"], F.col("v")[0]["y"]))).alias("coords"))
+    parts = rings.groupBy(*key, "part").agg(
+        F.sort_array(F.collect_list(F.struct("ring", "coords"))).alias("r"))
+    parts = parts.select(*key, "part", F.transform("r", lambda r: r["coords"]).alias("coords"))
+    places = parts.groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.struct("part", "coords"))).alias("p"))
+    polys = F.transform("p", lambda p: p["coords"])
+    return places.select(*key, F.when(F.size("p") == 1, F.concat(
+        F.lit('{"type":"Polygon","coordinates":'), F.to_json(polys[0]), F.lit("}")))
+        .otherwise(F.concat(F.lit('{"type":"MultiPolygon","coordinates":'),
+                            F.to_json(polys), F.lit("}"))).alias("geometry"))

@@ -25,7 +25,9 @@ from roadstats.operators import hotspots as hs
 from roadstats.operators import places as pl
 from roadstats.operators import raw_load as rl
 from roadstats.operators import subtypes as st
+from roadstats.plans import export as ex
 from roadstats.plans import oracle_sql as osql
+from roadstats.session import shared_dir
 from roadstats.sources import place_files as pf
 from roadstats.sources import raw_files as rf
 from roadstats.sources import standins as sp
@@ -659,7 +661,7 @@ def q_city_code_load(spark, sf_dir):
 
 @register("boundary_places", """
     SELECT v.state_fips, v.place_fips, s.state_name, n.n_name AS display_name, '25' AS place_type,
-           CAST(count(*) AS BIGINT) AS n_vertices,
+           CAST(4 * count(*) AS BIGINT) AS n_vertices,
            round(abs(sum(e.x1 * e.y2 - e.x2 * e.y1)) / 2, 6) AS area
     FROM sp_vertices v JOIN nation n ON v.place_fips = lpad(CAST(n.n_nationkey AS VARCHAR), 5, '0')
     JOIN sp_edges e ON e.place_fips = v.place_fips AND e.seq = v.seq
@@ -713,3 +715,146 @@ def q_geocode_candidates(spark, sf_dir):
     resolved = pl.resolve_points(spark, pf.scan_city_points(spark, _place_root(spark, sf_dir)))
     places = sp.places(spark, sf_dir)
     return pl.geocode_candidates(places, places, resolved)
+
+
+# ---------------------------------------------------------------------------
+# Sinks: E1–E6, A17, G9, G10 (each query writes a fresh export folder in the
+# shared folder, then reads the files back)
+# ---------------------------------------------------------------------------
+
+def _export_dir(spark):
+    import uuid
+    return f"{shared_dir(spark)}/roadstats_exports/{uuid.uuid4().hex}"
+
+
+def _ranked_places(spark, sf_dir):
+    resolved = pl.resolve_points(spark, pf.scan_city_points(spark, _place_root(spark, sf_dir)))
+    places = pl.apply_points(sp.places(spark, sf_dir), resolved)
+    stats = cs.city_stats(sp.crashes(spark, sf_dir), sp.places(spark, sf_dir))
+    ranked = stats.join(rk.city_rankings(stats), list(cs.CITY_KEY), "left")
+    return places, ranked
+
+
+@register("export_metadata", """
+    SELECT CAST(min(year) AS BIGINT) AS min_year, CAST(max(year) AS BIGINT) AS max_year
+    FROM sp_crashes""")
+def q_export_metadata(spark, sf_dir):
+    """crashes_metadata written and read back."""
+    path = ex.write_crashes_metadata(sp.crash_points(spark, sf_dir), _export_dir(spark))
+    return spark.read.schema("min_year long, max_year long").json(path)
+
+
+def _city_export_sql() -> str:
+    cols = []
+    for c in ex.CITY_EXPORT_COLS:
+        if c in ("place_name", "state_fips", "place_fips", "is_pledged"):
+            cols.append(f"r.{c}")
+        elif c == "display_name":
+            cols.append("r.place_name AS display_name")
+        elif c == "state_name":
+            cols.append("s.state_name")
+        elif c == "population":
+            cols.append("CAST(r.population AS BIGINT) AS population")
+        elif c == "lon":
+            cols.append("pt.point_lon AS lon")
+        elif c == "lat":
+            cols.append("pt.point_lat AS lat")
+        else:
+            cols.append(f"r.{c}")
+    return ("SELECT " + ", ".join(cols) + " FROM sp_ranked r "
+            "LEFT JOIN sp_states s ON s.state_fips = r.state_fips "
+            "LEFT JOIN sp_city_points pt ON pt.state_fips = r.state_fips "
+            "AND pt.place_fips = r.place_fips")
+
+
+@register("export_cities", _city_export_sql())
+def q_export_cities(spark, sf_dir):
+    """E2 (+ J6, F1, O2): cities.json rows written and read back."""
+    places, ranked = _ranked_places(spark, sf_dir)
+    cities = ex.city_export(places, ranked)
+    path = ex.write_cities(cities, _export_dir(spark))
+    return spark.read.schema(cities.schema).json(path)
+
+
+@register("export_annual", "SELECT state_fips, place_fips, CAST(year AS BIGINT) AS year, "
+          + ", ".join(sv.ANNUAL_COLS) + " FROM sp_annual_city")
+def q_export_annual(spark, sf_dir):
+    """annual_fatalities per city folder, read back."""
+    annual = sv.annual_fatalities(sp.crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
+    path = ex.write_annual(annual, _export_dir(spark))
+    schema = T.StructType([f for f in annual.schema.fields])
+    return spark.read.schema(schema).json(path)
+
+
+@register("export_crash_files", "SELECT " + ", ".join(
+    f"strftime({c}, '%Y-%m-%d') AS {c}" if c == "crash_date" else
+    (f"CAST({c} AS BIGINT) AS {c}" if c in ("year",) + sv.ANNUAL_COLS else c)
+    for c in _EXPORT_OUT) + " FROM sp_export_points")
+def q_export_crash_files(spark, sf_dir):
+    """E5: crash points per (city, year) folder, read back."""
+    pts = sv.export_crash_points(sp.crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
+    path = ex.write_crash_points(pts, _export_dir(spark))
+    return spark.read.schema(pts.schema).json(path).select(*_EXPORT_OUT)
+
+
+@register("export_empty_slots", """
+    WITH mx AS (SELECT max(year) AS m FROM sp_crashes)
+    SELECT e.state_fips, e.place_fips, CAST(y.year AS BIGINT) AS year
+    FROM sp_elig_cities e, (SELECT unnest(range(2001, (SELECT m FROM mx) + 1)) AS year) y
+    WHERE NOT EXISTS (SELECT 1 FROM sp_export_points p WHERE p.state_fips = e.state_fips
+                      AND p.place_fips = e.place_fips AND p.year = y.year)""")
+def q_export_empty_slots(spark, sf_dir):
+    """E5 coverage: (city, year) slots from 2001 with no crash file."""
+    crashes = sp.crashes(spark, sf_dir)
+    elig = cs.eligible(sp.places(spark, sf_dir))
+    pts = sv.export_crash_points(crashes, elig)
+    max_year = sv.year_extent(sp.crash_points(spark, sf_dir)).first()["max_year"]
+    slots = ex.empty_slots(pts, elig, max_year)
+    path = ex.write_empty_slots(slots, _export_dir(spark))
+    return spark.read.schema(slots.schema).json(path)
+
+
+@register("export_boundaries", """
+    SELECT state_fips, place_fips, CAST(0 AS BIGINT) AS part, CAST(0 AS BIGINT) AS ring,
+           CAST(7 AS BIGINT) AS n_points FROM sp_vertices WHERE seq = 0
+    UNION ALL
+    SELECT state_fips, place_fips, 1, 0, 5 FROM sp_vertices
+    WHERE seq = 0 AND CAST(place_fips AS INTEGER) % 4 = 0""")
+def q_export_boundaries(spark, sf_dir):
+    """E3 + G10 + G9: simplified boundary GeoJSON per city, read back and
+    counted per part and ring (closing point included)."""
+    v = pf.scan_boundaries(spark, _place_root(spark, sf_dir))
+    places = pl.load_boundaries(spark, v)
+    path = ex.write_boundaries(pl.boundary_vertices(v, places), _export_dir(spark))
+    back = spark.read.schema("value string, state_fips string, place_fips string").text(path)
+    g = back.select("state_fips", "place_fips",
+                    F.get_json_object("value", "$.type").alias("t"),
+                    F.get_json_object("value", "$.coordinates").alias("c"))
+    parts = F.when(F.col("t") == "Polygon", F.array(F.from_json("c", "array<array<array<double>>>"))) \
+        .otherwise(F.from_json("c", "array<array<array<array<double>>>>"))
+    p = g.select("state_fips", "place_fips", F.posexplode(parts).alias("part", "rings"))
+    r = p.select("state_fips", "place_fips", "part", F.posexplode("rings").alias("ring", "pts"))
+    return r.select("state_fips", "place_fips", "part", "ring", F.size("pts").alias("n_points"))
+
+
+@register("export_hotspots", """
+    SELECT DISTINCT place_fips, z.zone_type FROM sp_hot,
+           (VALUES ('core'), ('buffer')) z(zone_type)""")
+def q_export_hotspots(spark, sf_dir):
+    """Hotspot features written one per line and read back."""
+    path = ex.write_hotspots(_hot(spark, sf_dir), _export_dir(spark))
+    back = spark.read.text(path)
+    return back.select(F.get_json_object("value", "$.properties.place_fips").alias("place_fips"),
+                       F.get_json_object("value", "$.properties.zone_type").alias("zone_type"))
+
+
+@register("export_sizes")
+def q_export_sizes(spark, sf_dir):
+    """Files and bytes per sink after writing E1, E2 and E4."""
+    out = _export_dir(spark)
+    ex.write_crashes_metadata(sp.crash_points(spark, sf_dir), out)
+    places, ranked = _ranked_places(spark, sf_dir)
+    ex.write_cities(ex.city_export(places, ranked), out)
+    ex.write_annual(sv.annual_fatalities(sp.crashes(spark, sf_dir),
+                                         cs.eligible(sp.places(spark, sf_dir))), out)
+    return ex.export_sizes(spark, out)

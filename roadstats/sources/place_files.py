@@ -25,7 +25,7 @@ Rules (FIXED VALUES of the stand-in, mirrored by the oracles), with
 * ``fars_city_codes.csv`` — one row per nation (n, n * 37, n_name) and a
   second row with the lower-case name when n % 5 = 0
 * ``boundaries/`` — GeoJSON feature lines per state: the nation L-shape
-  (a Polygon) or, when n % 4 = 0, a MultiPolygon with an extra 0.5° square
+  with three extra collinear points per edge (a Polygon) or, when n % 4 = 0, a MultiPolygon with an extra 0.5° square
   south of the tile; nation 3 appears twice (first wins)
 """
 
@@ -43,13 +43,14 @@ from roadstats.session import shared_dir
 from roadstats.sources import standins as sp
 from roadstats.sources.raw_files import _exists, _fs, _milli_text
 
-GENERATOR_VERSION = 1
+GENERATOR_VERSION = 2
 
 # FIXED VALUES of the generator (see module docstring).
 POP_SUFFIXES = [" city", " town", " CDP", " city and borough", " village", ""]
 POP_HEADER = ["NAME", "B01003_001E", "state", "place"]
 POINT_HEADER = ["state_fips", "place_fips", "place_name", "state_name", "lon", "lat", "status"]
 ISLAND_SIZE = 0.5
+DENSIFY_STEPS = [0.0, 0.25, 0.5, 0.75]
 
 GEOJSON_SCHEMA = T.StructType([
     T.StructField("type", T.StringType()),
@@ -181,8 +182,18 @@ def ensure_place_files(spark: SparkSession, sf_dir: str) -> str:
     v = sp.polygon_vertices(spark, sf_dir)
     ring = v.groupBy("state_fips", "place_fips", "place_name").agg(
         F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("pts"))
-    closed = F.concat(F.transform("pts", lambda p: F.array(p["x"], p["y"])),
-                      F.array(F.array(F.col("pts")[0]["x"], F.col("pts")[0]["y"])))
+    # each edge gets three interior points on the straight line (removed
+    # again by the G10 simplification)
+    pts, n_pts = F.col("pts"), F.size("pts")
+
+    def seg(i):
+        a = F.element_at(pts, i + 1)
+        b = F.element_at(pts, F.when(i + 1 < n_pts, i + 2).otherwise(F.lit(1)))
+        return F.array(*[F.array(a["x"] + (b["x"] - a["x"]) * F.lit(t),
+                                 a["y"] + (b["y"] - a["y"]) * F.lit(t))
+                         for t in DENSIFY_STEPS])
+    dense = F.flatten(F.transform(F.sequence(F.lit(0), n_pts - 1), seg))
+    closed = F.concat(dense, F.array(dense[0]))
     x0 = F.col("pts")[0]["x"]
     y0 = F.col("pts")[0]["y"]
     sq = F.array(F.array(x0, y0 - 1), F.array(x0 + ISLAND_SIZE, y0 - 1),
