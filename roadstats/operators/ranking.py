@@ -222,8 +222,10 @@ def better_than(ranked_stats: DataFrame, small_population: int = 100000) -> Data
     long = long.join(F.broadcast(totals), "rank_column", "left")
     return long.select(
         *CITY_KEY, "metric", "scope", "rank", "n_ranked",
+        # 100 - pct to one decimal, half up on the 2-decimal value (integers)
         F.when(F.col("pct").isNotNull(),
-               F.round(F.lit(100.0) - F.col("pct"), 1)).alias("better_than_pct"),
+               ((F.lit(10005) - F.round(F.col("pct") * 100).cast("long")) / 10)
+               .cast("long").cast("double") / F.lit(10.0)).alias("better_than_pct"),
         F.when(F.col("rank").isNotNull(),
                F.concat(F.lit("#"), F.col("rank").cast("string"), F.lit(" of "),
                         F.col("n_ranked").cast("string"))).alias("rank_label"),

@@ -129,6 +129,23 @@ def sort_cities(cities: DataFrame, field: str = "population", ascending: bool =
                           *[F.col(k) for k in CITY_KEY])
 
 
+def sort_positions(cities: DataFrame, field: str = "population", ascending: bool = False,
+                   fatality_type: str = "all") -> DataFrame:
+    """O2/O3 as data: the 1-based position of every city in the chosen sort
+    (nulls last, then city key), from the distributed rank (no
+    single-partition window)."""
+    from roadstats.operators.ranking import global_rank, sort_key
+    sfx = "" if fatality_type == "all" else f"_{fatality_type}"
+    col = {"population": "population", "city": "place_name",
+           "avgFatalities": "avg_fatalities_5yr" if not sfx else f"avg_5yr{sfx}",
+           "perCapita": "avg_per_100k_5yr" if not sfx else f"avg_per_100k{sfx}",
+           "trend": f"trend_pct_change{sfx}"}.get(field, "population")
+    k = sort_key(col, ascending=ascending, nulls_last=True, prefix="_s")
+    keyed = cities.select("*", F.lit("sort").alias("_g"), *k)
+    ranked = global_rank(keyed, "_g", ["_s_n", "_s_v", *CITY_KEY])
+    return ranked.withColumnRenamed("rank", "position").drop("_g", "_s_n", "_s_v", "n")
+
+
 def recent_years(points: DataFrame, max_year: int, n: int = 5, min_year: int = 2001) -> DataFrame:
     """The ``n`` latest calendar years up to ``max_year`` (partition
     pruning on a year-partitioned table)."""
@@ -158,21 +175,6 @@ def metric_long_form(ranked: DataFrame) -> DataFrame:
         *CITY_KEY, "m.*")
 
 
-def resolve_city_points(points_raw: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Status != ok and name in the override table -> override point;
-    status ok and both coordinates present -> own point; else unset."""
-    j = points_raw.join(F.broadcast(overrides), "place_name", "left")
-    use_override = (F.col("status") != "ok") & F.col("override_lon").isNotNull()
-    own_ok = ((F.col("status") == "ok") & (F.trim("lon_raw") != "")
-              & (F.trim("lat_raw") != ""))
-    return j.select(
-        "state_fips", "place_fips", "place_name",
-        F.when(use_override, F.col("override_lon"))
-         .when(own_ok, F.col("lon_raw").cast("double")).alias("lon"),
-        F.when(use_override, F.col("override_lat"))
-         .when(own_ok, F.col("lat_raw").cast("double")).alias("lat"))
-
-
 def mercator_pixels(lon: str, lat: str, zoom: F.Column, tile: int = 256) -> tuple:
     """Web-Mercator world pixel coordinates at ``zoom``."""
     scale = F.lit(float(tile)) * F.pow(F.lit(2.0), zoom.cast("double"))

@@ -858,3 +858,109 @@ def q_export_sizes(spark, sf_dir):
     ex.write_annual(sv.annual_fatalities(sp.crashes(spark, sf_dir),
                                          cs.eligible(sp.places(spark, sf_dir))), out)
     return ex.export_sizes(spark, out)
+
+
+# ---------------------------------------------------------------------------
+# Serving projections: A15, W6, F7, O2/O3, O6/U2, G11 + A16 + G13
+# ---------------------------------------------------------------------------
+
+@register("ranked_totals", " UNION ALL ".join(
+    f"SELECT '{c}' AS rank_column, count({c}) AS n_ranked FROM sp_ranked"
+    for c in rk.RANK_COLS + rk.RANK_VZ_COLS))
+def q_ranked_totals(spark, sf_dir):
+    """Cities holding each rank."""
+    return rk.ranked_totals(ranked_city_stats(spark, sf_dir))
+
+
+def _better_sql() -> str:
+    parts = []
+    for m, b in rk.RANK_BASES.items():
+        for scope in ("all", "vz"):
+            rc, pc = f"rank_{b}_{scope}", f"pct_{b}_{scope}"
+            parts.append(
+                f"SELECT r.state_fips, r.place_fips, '{m}' AS metric, '{scope}' AS scope, "
+                f"CAST(r.{rc} AS BIGINT) AS rank, t.n AS n_ranked, "
+                f"CASE WHEN r.{pc} IS NOT NULL THEN CAST((10005 - CAST(round(r.{pc} * 100) AS BIGINT)) // 10 AS DOUBLE) / 10 END AS better_than_pct, "
+                f"CASE WHEN r.{rc} IS NOT NULL THEN '#' || CAST(r.{rc} AS VARCHAR) || ' of ' || CAST(t.n AS VARCHAR) END AS rank_label, "
+                f"r.population < 100000 AS small_population "
+                f"FROM sp_ranked r, (SELECT count({rc}) AS n FROM sp_ranked) t")
+    return " UNION ALL ".join(parts)
+
+
+@register("better_than", _better_sql())
+def q_better_than(spark, sf_dir):
+    """W6: "better than X %", "#rank of n", small-population flag."""
+    return rk.better_than(ranked_city_stats(spark, sf_dir))
+
+
+def _long_form_sql() -> str:
+    parts = []
+    for vt in ("all",) + sv.VICTIM_TYPES:
+        s = "" if vt == "all" else f"_{vt}"
+        avg = "avg_fatalities_5yr" if vt == "all" else f"avg_5yr{s}"
+        rate = "avg_per_100k_5yr" if vt == "all" else f"avg_per_100k{s}"
+        for scope in ("all", "vz"):
+            parts.append(
+                f"SELECT state_fips, place_fips, '{vt}' AS victim_type, '{scope}' AS scope, "
+                f"{avg} AS avg_5yr, {rate} AS per_100k, trend_pct_change{s} AS trend_pct, "
+                f"CAST(rank_per_100k{s}_{scope} AS BIGINT) AS rank_per_100k, "
+                f"pct_per_100k{s}_{scope} AS pct_per_100k, "
+                f"CAST(rank_trend{s}_{scope} AS BIGINT) AS rank_trend, "
+                f"pct_trend{s}_{scope} AS pct_trend FROM sp_ranked")
+    return " UNION ALL ".join(parts)
+
+
+@register("metric_long_form", _long_form_sql())
+def q_metric_long_form(spark, sf_dir):
+    """metric columns by victim type and scope, long form."""
+    return sv.metric_long_form(ranked_city_stats(spark, sf_dir))
+
+
+@register("sorted_cities", """
+    SELECT state_fips, place_fips, avg_per_100k_5yr,
+           row_number() OVER (ORDER BY avg_per_100k_5yr DESC NULLS LAST, state_fips, place_fips)
+             AS position
+    FROM sp_eligible""")
+def q_sorted_cities(spark, sf_dir):
+    """O2/O3: city table sorted by per-capita rate, descending, nulls last."""
+    stats = cs.eligible(cs.city_stats(sp.crashes(spark, sf_dir), sp.places(spark, sf_dir)))
+    pos = sv.sort_positions(stats, "perCapita", ascending=False)
+    return pos.select("state_fips", "place_fips", "avg_per_100k_5yr", "position")
+
+
+@register("recent_crash_points", """
+    SELECT state_fips, place_fips, st_case, CAST(year AS BIGINT) AS year FROM sp_export_points
+    WHERE year > (SELECT max(year) FROM sp_crashes) - 5""")
+def q_recent_crash_points(spark, sf_dir):
+    """The latest five calendar years of the exported points."""
+    pts = sv.export_crash_points(sp.crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
+    max_year = sv.year_extent(sp.crash_points(spark, sf_dir)).first()["max_year"]
+    return sv.recent_years(pts, max_year).select("state_fips", "place_fips", "st_case", "year")
+
+
+@register("city_clusters", """
+    WITH c AS (
+      SELECT p.state_fips, p.place_fips, p.place_name AS name, p.population, p.is_pledged,
+             pt.point_lon AS lon, pt.point_lat AS lat
+      FROM sp_places p JOIN sp_city_points pt USING (state_fips, place_fips)
+      WHERE p.population >= 100000 OR p.is_pledged),
+    z AS (SELECT c.*, zz.zoom, CAST(256 AS DOUBLE) * pow(2.0, zz.zoom) AS scale
+          FROM c, (SELECT unnest(range(0, 15)) AS zoom) zz),
+    b AS (SELECT z.*, CAST(floor((lon + 180.0) / 360.0 * scale / 40) AS BIGINT) AS cx,
+                 CAST(floor((1.0 - ln(tan(radians(lat)) + 1.0 / cos(radians(lat))) / pi()) / 2.0
+                            * scale / 40) AS BIGINT) AS cy FROM z),
+    r AS (SELECT b.*, row_number() OVER (PARTITION BY zoom, cx, cy
+                 ORDER BY population DESC, state_fips DESC, place_fips DESC) AS rn FROM b)
+    SELECT CAST(zoom AS BIGINT) AS zoom, cx, cy, count(*) AS n_cities, bool_or(is_pledged) AS any_pledged,
+           max(CASE WHEN rn = 1 THEN name END) AS largest_city,
+           min(lon) AS min_lon, max(lon) AS max_lon, min(lat) AS min_lat, max(lat) AS max_lat,
+           CASE WHEN max(CASE WHEN rn = 1 THEN name END) = 'San Jose' THEN 'Bay Area'
+                ELSE max(CASE WHEN rn = 1 THEN name END) || ' Region' END AS region_name
+    FROM r GROUP BY zoom, cx, cy""")
+def q_city_clusters(spark, sf_dir):
+    """G11 + A16 + G13: zoom-level clusters of eligible city points."""
+    resolved = pl.resolve_points(spark, pf.scan_city_points(spark, _place_root(spark, sf_dir)))
+    places = pl.apply_points(sp.places(spark, sf_dir), resolved)
+    cities = cs.eligible(places).filter(F.col("point_lon").isNotNull()) \
+        .withColumnRenamed("point_lon", "lon").withColumnRenamed("point_lat", "lat")
+    return sv.city_clusters(cities)
