@@ -964,3 +964,35 @@ def q_city_clusters(spark, sf_dir):
     cities = cs.eligible(places).filter(F.col("point_lon").isNotNull()) \
         .withColumnRenamed("point_lon", "lon").withColumnRenamed("point_lat", "lat")
     return sv.city_clusters(cities)
+
+
+# ---------------------------------------------------------------------------
+# Idempotent incremental load (batch manifest form, then streaming form)
+# ---------------------------------------------------------------------------
+
+@register("incremental_reload", """
+    WITH f AS (SELECT count(DISTINCT year(o_orderdate)) AS n FROM orders),
+         r AS (SELECT count(*) AS n FROM sp_raw_loaded)
+    SELECT 'batch' AS form, CAST(1 AS BIGINT) AS run, f.n AS new_files, r.n AS rows_added, r.n AS table_rows FROM f, r
+    UNION ALL SELECT 'batch', 2, 0, 0, r.n FROM r
+    UNION ALL SELECT 'stream', 1, f.n, r.n, r.n FROM f, r
+    UNION ALL SELECT 'stream', 2, 0, 0, r.n FROM r""")
+def q_incremental_reload(spark, sf_dir):
+    """Load every crash file twice (batch manifest, then an availableNow
+    stream); the second run of each finds no new file and adds nothing."""
+    from roadstats.streaming import incremental as inc
+    root = rf.ensure_fars_files(spark, sf_dir)
+    codes = sp.city_codes(spark, sf_dir)
+    base = _export_dir(spark)
+    rows = []
+    for run in (1, 2):
+        r = inc.load_new_files(spark, root, f"{base}/batch_crashes", codes)
+        n = spark.read.parquet(f"{base}/batch_crashes").count()
+        rows.append(("batch", run, r["new_files"], r["rows_added"], n))
+    for run in (1, 2):
+        r = inc.stream_new_files(spark, root, f"{base}/stream_crashes", codes,
+                                 f"{base}/stream_checkpoint")
+        n = spark.read.parquet(f"{base}/stream_crashes").count()
+        rows.append(("stream", run, r["new_files"], r["rows_added"], n))
+    return spark.createDataFrame(
+        rows, "form string, run long, new_files long, rows_added long, table_rows long")

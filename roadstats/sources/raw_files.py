@@ -375,6 +375,12 @@ def scan_crash_files(spark: SparkSession, root: str,
                  {"LATITUDE": ("LATITUDE", "latitude"), "LONGITUD": ("LONGITUD", "longitud")})
 
 
+def scan_crash_paths(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """S1 over an explicit file list (incremental loads)."""
+    return _scan(spark, list(paths), CRASH_FIELDS,
+                 {"LATITUDE": ("LATITUDE", "latitude"), "LONGITUD": ("LONGITUD", "longitud")})
+
+
 def scan_person_files(spark: SparkSession, root: str,
                       years: Sequence[int] | None = None) -> DataFrame:
     """Person files of years that also have a crash file."""
