@@ -75,22 +75,27 @@ def albers_forward(lon: Column, lat: Column) -> tuple[Column, Column]:
     return rho * F.sin(theta), F.lit(RHO_0) - rho * F.cos(theta)
 
 
-def albers_inverse(x: Column, y: Column, iterations: int = 8) -> tuple[Column, Column]:
-    """(lon, lat) degrees from EPSG:5070 metres; latitude by a fixed number
-    of Newton-style iterations unrolled as columns."""
-    dy = F.lit(RHO_0) - y
-    rho = F.sqrt(x * x + dy * dy)
-    theta = F.atan2(x, dy)
-    q = (F.lit(C_CONE) - rho * rho * F.lit(N_CONE * N_CONE / (A_AXIS * A_AXIS))) / F.lit(N_CONE)
-    phi = F.asin(q / F.lit(2.0))
+def with_albers_inverse(df: DataFrame, x: str = "x", y: str = "y", lon: str = "lon",
+                        lat: str = "lat", iterations: int = 8) -> DataFrame:
+    """(lon, lat) degrees from EPSG:5070 metres as new columns; latitude
+    by a fixed number of iterations, one projection per iteration (each step
+    refers to the previous latitude column, so the expression does not grow
+    with the iteration count)."""
+    dy = F.lit(RHO_0) - F.col(y)
+    rho2 = F.col(x) * F.col(x) + dy * dy
+    q = (F.lit(C_CONE) - rho2 * F.lit(N_CONE * N_CONE / (A_AXIS * A_AXIS))) / F.lit(N_CONE)
+    out = df.withColumn("_q", q).withColumn("_phi", F.asin(F.col("_q") / F.lit(2.0)))
     for _ in range(iterations):
+        phi = F.col("_phi")
         s = F.sin(phi)
         es = F.lit(E) * s
         one = F.lit(1.0) - F.lit(E2) * s * s
-        phi = phi + one * one / (F.lit(2.0) * F.cos(phi)) * (
-            q / F.lit(1 - E2) - s / one
-            + F.lit(1 / (2 * E)) * F.log((F.lit(1.0) - es) / (F.lit(1.0) + es)))
-    return F.degrees(theta / F.lit(N_CONE)) + F.lit(LON_0), F.degrees(phi)
+        out = out.withColumn("_phi", phi + one * one / (F.lit(2.0) * F.cos(phi)) * (
+            F.col("_q") / F.lit(1 - E2) - s / one
+            + F.lit(1 / (2 * E)) * F.log((F.lit(1.0) - es) / (F.lit(1.0) + es))))
+    theta = F.atan2(F.col(x), F.lit(RHO_0) - F.col(y))
+    return (out.withColumn(lon, F.degrees(theta / F.lit(N_CONE)) + F.lit(LON_0))
+            .withColumn(lat, F.degrees(F.col("_phi"))).drop("_q", "_phi"))
 
 
 def snap(v: Column, size: int = GRID_M) -> Column:

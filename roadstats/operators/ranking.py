@@ -124,9 +124,27 @@ def percent_from_rank(rank: str = "rank", n: str = "n", digits: int = 2) -> F.Co
         ratio_half_up(f"(100 * ({rank} - 1))", f"({n} - 1)", digits))
 
 
+def ranked_eligible(stats: DataFrame, min_population: int = 100000) -> DataFrame:
+    """Eligible cities with all their stats plus the 32 rank / percentile
+    columns (W1–W4), from one checkpoint of the eligible rows.
+
+    The eligible set is one row per city (bounded by the number of places,
+    not by the crash data); checkpointing it to the cluster's checkpoint
+    folder means the stats are computed once, although the rank job reads
+    them three times (distinct keys, join back, output).
+    """
+    elig = eligible(stats, min_population).checkpoint(eager=True)
+    return elig.join(_rank_columns(elig), list(CITY_KEY), "left")
+
+
 def city_rankings(stats: DataFrame, min_population: int = 100000) -> DataFrame:
+    """Key + the 32 rank / percentile columns of every eligible city."""
+    return ranked_eligible(stats, min_population).select(*CITY_KEY, *ALL_RANK_OUTPUTS)
+
+
+def _rank_columns(elig: DataFrame) -> DataFrame:
     """8 ranks and 8 percentiles among all eligible cities and among
-    pledged cities, one row per eligible city.
+    pledged cities, one row per eligible city of ``elig``.
 
     * ``rank_*_all``: order by metric asc nulls last, population desc; null
       when the metric is null.
@@ -136,8 +154,6 @@ def city_rankings(stats: DataFrame, min_population: int = 100000) -> DataFrame:
     * ``pct_*_vz``: as ``pct_*_all`` within pledged cities.
     """
     metrics = list(RANK_BASES)
-    elig = eligible(stats, min_population).select(
-        *CITY_KEY, "population", "is_pledged", *metrics)
     long = elig.select(
         *CITY_KEY, "population", "is_pledged",
         F.explode(F.array(*[F.struct(F.lit(m).alias("metric"),
@@ -192,7 +208,8 @@ def city_rankings(stats: DataFrame, min_population: int = 100000) -> DataFrame:
 
 def with_rankings(stats: DataFrame, min_population: int = 100000) -> DataFrame:
     """city_stats with the 32 rank/percentile columns (L7 write-back)."""
-    return stats.join(city_rankings(stats, min_population), list(CITY_KEY), "left")
+    ranks = ranked_eligible(stats, min_population).select(*CITY_KEY, *ALL_RANK_OUTPUTS)
+    return stats.join(ranks, list(CITY_KEY), "left")
 
 
 def ranked_totals(ranked_stats: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ _RANKED_OUT = _STATS_OUT + rk.ALL_RANK_OUTPUTS
 
 def ranked_city_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = cs.city_stats(sp.crashes(spark, sf_dir), sp.places(spark, sf_dir))
-    return cs.eligible(stats).join(rk.city_rankings(stats), list(cs.CITY_KEY), "inner")
+    return rk.ranked_eligible(stats)
 
 
 @register("city_rankings", "SELECT " + ", ".join(
@@ -731,8 +731,7 @@ def _ranked_places(spark, sf_dir):
     resolved = pl.resolve_points(spark, pf.scan_city_points(spark, _place_root(spark, sf_dir)))
     places = pl.apply_points(sp.places(spark, sf_dir), resolved)
     stats = cs.city_stats(sp.crashes(spark, sf_dir), sp.places(spark, sf_dir))
-    ranked = stats.join(rk.city_rankings(stats), list(cs.CITY_KEY), "left")
-    return places, ranked
+    return places, rk.ranked_eligible(stats)
 
 
 @register("export_metadata", """
@@ -924,7 +923,8 @@ def q_metric_long_form(spark, sf_dir):
 def q_sorted_cities(spark, sf_dir):
     """O2/O3: city table sorted by per-capita rate, descending, nulls last."""
     stats = cs.eligible(cs.city_stats(sp.crashes(spark, sf_dir), sp.places(spark, sf_dir)))
-    pos = sv.sort_positions(stats, "perCapita", ascending=False)
+    # one row per eligible city: checkpointed so the sort reads it once
+    pos = sv.sort_positions(stats.checkpoint(eager=True), "perCapita", ascending=False)
     return pos.select("state_fips", "place_fips", "avg_per_100k_5yr", "position")
 
 

@@ -34,8 +34,8 @@ def test_projection_round_trip(spark):
     df = spark.createDataFrame(pts, "lon double, lat double")
     x, y = hs.albers_forward(F.col("lon"), F.col("lat"))
     p = df.select("lon", "lat", x.alias("x"), y.alias("y"))
-    lon2, lat2 = hs.albers_inverse(F.col("x"), F.col("y"))
-    for r in p.select("lon", "lat", lon2.alias("lon2"), lat2.alias("lat2"), "x", "y").collect():
+    back = hs.with_albers_inverse(p, "x", "y", "lon2", "lat2")
+    for r in back.select("lon", "lat", "lon2", "lat2", "x", "y").collect():
         assert abs(r["lon"] - r["lon2"]) < 1e-9 and abs(r["lat"] - r["lat2"]) < 1e-9
     origin = p.filter((F.col("lon") == -96.0) & (F.col("lat") == 23.0)).first()
     assert abs(origin["x"]) < 1e-6 and abs(origin["y"]) < 1e-6
