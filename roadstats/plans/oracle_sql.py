@@ -426,3 +426,14 @@ CTES["sp_city_points"] = """
            CASE WHEN c % 7 = 0 THEN 'override' ELSE 'geocoded' END AS point_source
     FROM sp_pcust LEFT JOIN sp_point_overrides o ON o.idx = c % 11
     WHERE population > 100000 AND ((c % 7 = 0 AND c % 3 = 0) OR (c % 7 <> 0 AND c % 13 <> 0))"""
+
+
+def albers_xy_sql(lon: str, lat: str) -> tuple[str, str]:
+    """EPSG:5070 forward projection (same closed form as the Spark side)."""
+    from roadstats.operators import hotspots as hs
+    s = f"sin(radians({lat}))"
+    q = (f"((1 - {hs.E2!r}) * ({s} / (1 - {hs.E2!r} * {s} * {s}) - (1 / (2 * {hs.E!r})) * "
+         f"ln((1 - {hs.E!r} * {s}) / (1 + {hs.E!r} * {s}))))")
+    rho = f"({hs.A_AXIS!r} * sqrt({hs.C_CONE!r} - {hs.N_CONE!r} * {q}) / {hs.N_CONE!r})"
+    theta = f"({hs.N_CONE!r} * radians({lon} - ({hs.LON_0!r})))"
+    return f"({rho} * sin({theta}))", f"({hs.RHO_0!r} - {rho} * cos({theta}))"

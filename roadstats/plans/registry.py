@@ -996,3 +996,75 @@ def q_incremental_reload(spark, sf_dir):
         rows.append(("stream", run, r["new_files"], r["rows_added"], n))
     return spark.createDataFrame(
         rows, "form string, run long, new_files long, rows_added long, table_rows long")
+
+
+# ---------------------------------------------------------------------------
+# O1 on its own, J4 write-back (L7), state-mismatch diagnostic,
+# end-to-end hotspot cells from projected crash points
+# ---------------------------------------------------------------------------
+
+@register("year_windows", """
+    SELECT CAST(year AS BIGINT) AS year, is_recent, is_previous FROM sp_years""")
+def q_year_windows(spark, sf_dir):
+    """O1: the ten latest years, flagged recent / previous five."""
+    return cs.year_windows(sp.crash_points(spark, sf_dir))
+
+
+def _polygon_places(spark, sf_dir):
+    return sp.polygon_vertices(spark, sf_dir).select(
+        "state_fips", "place_fips", F.col("place_name").alias("display_name")).distinct()
+
+
+def _assignment(spark, sf_dir):
+    return sa.assign_points(sp.crash_points(spark, sf_dir), sp.polygon_vertices(spark, sf_dir),
+                            ["st_case", "year"], cell=0.05)
+
+
+CTES_ASSIGN = """
+    WITH a AS (SELECT st_case, year, min(state_fips) AS state_fips, min(place_fips) AS place_fips
+               FROM sp_pip WHERE n % 2 = 1 AND NOT on_edge GROUP BY st_case, year)"""
+
+
+@register("crash_place_enrichment", CTES_ASSIGN + f"""
+    SELECT c.st_case, CAST(c.year AS BIGINT) AS year, c.state,
+           CASE WHEN a.st_case IS NOT NULL THEN a.place_fips ELSE c.place_fips END AS place_fips,
+           CASE WHEN a.st_case IS NOT NULL THEN n.n_name ELSE c.fips_city_name END AS fips_city_name
+    FROM sp_crashes c LEFT JOIN a ON a.st_case = c.st_case AND a.year = c.year
+    LEFT JOIN nation n ON {osql.zf('n.n_nationkey', 5)} = a.place_fips""")
+def q_crash_place_enrichment(spark, sf_dir):
+    """J4 + L7: every crash after the spatial write-back of place and name."""
+    crashes = sp.crashes(spark, sf_dir, with_subtypes=False)
+    out = sa.enrich_crash_locations(crashes, _assignment(spark, sf_dir),
+                                    _polygon_places(spark, sf_dir))
+    return out.select("st_case", "year", "state", "place_fips", "fips_city_name")
+
+
+@register("state_mismatch", CTES_ASSIGN + """
+    SELECT c.state AS crash_state, a.state_fips AS polygon_state, count(*) AS n_crashes
+    FROM sp_crashes c JOIN a ON a.st_case = c.st_case AND a.year = c.year
+    WHERE c.state <> a.state_fips GROUP BY ALL""")
+def q_state_mismatch(spark, sf_dir):
+    """Diagnostic for §8 Q6: crashes assigned to a polygon of another state."""
+    crashes = sp.crashes(spark, sf_dir, with_subtypes=False).select("st_case", "year", "state")
+    a = _assignment(spark, sf_dir)
+    return (crashes.join(a, ["st_case", "year"]).filter(F.col("state") != F.col("state_fips"))
+            .groupBy(F.col("state").alias("crash_state"), F.col("state_fips").alias("polygon_state"))
+            .agg(F.count(F.lit(1)).alias("n_crashes")))
+
+
+def _projected_cells_sql() -> str:
+    x, y = osql.albers_xy_sql("lon", "lat")
+    return f"""
+    WITH p AS (SELECT state_fips, place_fips, CAST(round({x} / 500) AS BIGINT) AS cx,
+                      CAST(round({y} / 500) AS BIGINT) AS cy FROM sp_export_points),
+    c AS (SELECT state_fips, place_fips, cx, cy, count(*) AS crash_count FROM p GROUP BY ALL)
+    SELECT *, percent_rank() OVER (PARTITION BY state_fips, place_fips ORDER BY crash_count) >= 0.85
+              AS is_hot FROM c"""
+
+
+@register("hotspot_cells_projected", _projected_cells_sql())
+def q_hotspot_cells_projected(spark, sf_dir):
+    """J7 + F6 + G2 + G3 + A11 + W5 from the crash points of eligible cities."""
+    pts = sv.export_crash_points(sp.crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
+    ranked = hs.rank_cells(hs.cell_counts(hs.project_points(pts)))
+    return ranked.select("state_fips", "place_fips", "cx", "cy", "crash_count", "is_hot")
