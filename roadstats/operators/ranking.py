@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from roadstats.functions.exprs import ratio_half_up
 from roadstats.operators.city_stats import CITY_KEY, RATE_COLS, TREND_COLS, eligible
-from roadstats.session import checkpoint_dir
+from roadstats.session import checkpoint_dir, reliable_checkpoint
 
 # metric column -> base used in rank / percentile column names
 RANK_BASES = {
@@ -74,7 +74,7 @@ def global_rank(df: DataFrame, group_col: str, key_cols: Sequence[str]) -> DataF
     checkpoint_dir(spark)
     keys = [group_col, *key_cols]
     distinct = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_w"))
-    ordered = distinct.orderBy(*keys).checkpoint(eager=True)
+    ordered = reliable_checkpoint(distinct.orderBy(*keys))
 
     totals = (ordered.groupBy(F.spark_partition_id().alias("_pid"), group_col)
               .agg(F.sum("_w").alias("_t")).collect())
@@ -133,7 +133,7 @@ def ranked_eligible(stats: DataFrame, min_population: int = 100000) -> DataFrame
     folder means the stats are computed once, although the rank job reads
     them three times (distinct keys, join back, output).
     """
-    elig = eligible(stats, min_population).checkpoint(eager=True)
+    elig = reliable_checkpoint(eligible(stats, min_population))
     return elig.join(_rank_columns(elig), list(CITY_KEY), "left")
 
 

@@ -27,7 +27,7 @@ from roadstats.operators import raw_load as rl
 from roadstats.operators import subtypes as st
 from roadstats.plans import export as ex
 from roadstats.plans import oracle_sql as osql
-from roadstats.session import shared_dir
+from roadstats.session import reliable_checkpoint, shared_dir
 from roadstats.sources import place_files as pf
 from roadstats.sources import raw_files as rf
 from roadstats.sources import standins as sp
@@ -72,7 +72,7 @@ _STATS_OUT = ("state_fips", "place_fips", "population", "is_pledged") + cs.STAT_
     f"CAST({c} AS BIGINT) AS {c}" if c == "population" else c for c in _STATS_OUT)
     + " FROM sp_city_stats")
 def q_city_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = cs.city_stats(sp.crashes(spark, sf_dir), sp.places(spark, sf_dir))
+    stats = cs.city_stats(sp.loaded_crashes(spark, sf_dir), sp.places(spark, sf_dir))
     return stats.select(*_STATS_OUT)
 
 
@@ -84,7 +84,7 @@ _RANKED_OUT = _STATS_OUT + rk.ALL_RANK_OUTPUTS
 
 
 def ranked_city_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = cs.city_stats(sp.crashes(spark, sf_dir), sp.places(spark, sf_dir))
+    stats = cs.city_stats(sp.loaded_crashes(spark, sf_dir), sp.places(spark, sf_dir))
     return rk.ranked_eligible(stats)
 
 
@@ -116,7 +116,7 @@ def q_crash_table(spark, sf_dir):
     SELECT st_case, CAST(year AS BIGINT) AS year, bool_or(is_fatal_person) AS is_fatal_crash
     FROM sp_person_sem GROUP BY st_case, year""")
 def q_fatal_crash_flags(spark, sf_dir):
-    return st.fatal_crash_flags(sp.persons(spark, sf_dir), sp.crashes(spark, sf_dir, with_subtypes=False),
+    return st.fatal_crash_flags(sp.persons(spark, sf_dir), sp.loaded_crashes(spark, sf_dir),
                                 sp.PERSON_CRASH_KEY)
 
 
@@ -125,7 +125,7 @@ def q_fatal_crash_flags(spark, sf_dir):
     FROM sp_person_modes GROUP BY ALL""")
 def q_person_semantics(spark, sf_dir):
     pw = st.person_with_crash(sp.persons(spark, sf_dir),
-                              sp.crashes(spark, sf_dir, with_subtypes=False), sp.PERSON_CRASH_KEY)
+                              sp.loaded_crashes(spark, sf_dir), sp.PERSON_CRASH_KEY)
     return (st.person_semantics(pw).groupBy("person_role", "person_mode", "is_fatal_person")
             .agg(F.count(F.lit(1)).alias("n_persons")))
 
@@ -187,7 +187,7 @@ def q_person_orphans(spark, sf_dir):
       UNION ALL SELECT 'fatality_sum_mismatch', count(*) FILTER (WHERE total_fatalities <> motorist_fatalities + cyclist_fatalities + pedestrian_fatalities + other_fatalities) FROM sp_crashes
       UNION ALL SELECT 'implausible_fatalities', count(*) FILTER (WHERE total_fatalities > 30) FROM sp_crashes) t""")
 def q_blocking_checks(spark, sf_dir):
-    return qa.blocking_checks(sp.crashes(spark, sf_dir))
+    return qa.blocking_checks(sp.loaded_crashes(spark, sf_dir))
 
 
 @register("duplicate_person_keys", """
@@ -203,7 +203,7 @@ def q_duplicate_person_keys(spark, sf_dir):
            count(*) FILTER (WHERE state IS NULL) AS missing_state,
            count(*) FILTER (WHERE st_case IS NULL) AS missing_case FROM sp_crashes""")
 def q_missing_fields(spark, sf_dir):
-    return qa.missing_fields(sp.crashes(spark, sf_dir, with_subtypes=False))
+    return qa.missing_fields(sp.loaded_crashes(spark, sf_dir))
 
 
 @register("bad_dates_per_year", """
@@ -213,7 +213,7 @@ def q_missing_fields(spark, sf_dir):
     GROUP BY year""")
 def q_bad_dates_per_year(spark, sf_dir):
     # diagnostic upper bound as a parameter; 1998-12-31 makes the stand-in years hit it
-    return qa.bad_dates_per_year(sp.crashes(spark, sf_dir, with_subtypes=False),
+    return qa.bad_dates_per_year(sp.loaded_crashes(spark, sf_dir),
                                  date_hi="1998-12-31")
 
 
@@ -226,7 +226,7 @@ def q_bad_dates_per_year(spark, sf_dir):
        OR cyclist_fatalities < 0 OR pedestrian_fatalities < 0
     ORDER BY year, st_case LIMIT 10""")
 def q_negative_samples(spark, sf_dir):
-    return qa.negative_samples(sp.crashes(spark, sf_dir))
+    return qa.negative_samples(sp.loaded_crashes(spark, sf_dir))
 
 
 @register("implausible_samples", """
@@ -237,18 +237,18 @@ def q_negative_samples(spark, sf_dir):
     FROM sp_crashes WHERE total_fatalities > 3 ORDER BY year, st_case LIMIT 10""")
 def q_implausible_samples(spark, sf_dir):
     # threshold is a parameter (30 in the blocking check); 3 exercises the report
-    return qa.implausible_samples(sp.crashes(spark, sf_dir), max_fatalities=3)
+    return qa.implausible_samples(sp.loaded_crashes(spark, sf_dir), max_fatalities=3)
 
 
 @register("crashes_per_year", """
     SELECT CAST(year AS BIGINT) AS year, count(*) AS crashes FROM sp_crashes GROUP BY year""")
 def q_crashes_per_year(spark, sf_dir):
-    return qa.crashes_per_year(sp.crashes(spark, sf_dir, with_subtypes=False))
+    return qa.crashes_per_year(sp.loaded_crashes(spark, sf_dir))
 
 
 @register("total_crashes", "SELECT count(*) AS crashes FROM sp_crashes")
 def q_total_crashes(spark, sf_dir):
-    return qa.total_crashes(sp.crashes(spark, sf_dir, with_subtypes=False))
+    return qa.total_crashes(sp.loaded_crashes(spark, sf_dir))
 
 
 @register("fatality_distribution", """
@@ -258,7 +258,7 @@ def q_total_crashes(spark, sf_dir):
            CAST(sum(motorist_fatalities) AS BIGINT) AS motorists
     FROM sp_crashes GROUP BY year""")
 def q_fatality_distribution(spark, sf_dir):
-    return qa.fatality_distribution(sp.crashes(spark, sf_dir))
+    return qa.fatality_distribution(sp.loaded_crashes(spark, sf_dir))
 
 
 @register("year_mismatches", """
@@ -267,7 +267,7 @@ def q_fatality_distribution(spark, sf_dir):
     WHERE crash_date IS NOT NULL AND year(crash_date) <> year GROUP BY year""")
 def q_year_mismatches(spark, sf_dir):
     # dataset year shifted by one for st_case % 3 = 0 so the check has hits
-    c = sp.crashes(spark, sf_dir, with_subtypes=False)
+    c = sp.loaded_crashes(spark, sf_dir)
     c = c.withColumn("year", F.col("year") + (F.col("st_case") % 3 == 0).cast("int"))
     return qa.year_mismatches(c)
 
@@ -278,14 +278,14 @@ def q_year_mismatches(spark, sf_dir):
            count(*) FILTER (WHERE lon IS NULL OR lat IS NULL) AS missing_geometry
     FROM sp_crashes GROUP BY year""")
 def q_completeness(spark, sf_dir):
-    return qa.completeness(sp.crashes(spark, sf_dir, with_subtypes=False))
+    return qa.completeness(sp.loaded_crashes(spark, sf_dir))
 
 
 @register("implausible_points", """
     SELECT count(*) FILTER (WHERE lon IS NOT NULL AND lat IS NOT NULL AND NOT
         (lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90)) AS invalid_points FROM sp_crashes""")
 def q_implausible_points(spark, sf_dir):
-    return qa.implausible_points(sp.crashes(spark, sf_dir, with_subtypes=False))
+    return qa.implausible_points(sp.loaded_crashes(spark, sf_dir))
 
 
 _PROFILE_COLS = ["st_case", "year", "crash_date", "state", "place_fips", "lon", "lat"]
@@ -296,7 +296,7 @@ _PROFILE_COLS = ["st_case", "year", "crash_date", "state", "place_fips", "lon",
     f"count(*) - count({c}) AS null_count FROM sp_crashes"
     for i, c in enumerate(_PROFILE_COLS)))
 def q_crash_profile(spark, sf_dir):
-    return qa.table_profile(sp.crashes(spark, sf_dir, with_subtypes=False).select(*_PROFILE_COLS))
+    return qa.table_profile(sp.loaded_crashes(spark, sf_dir).select(*_PROFILE_COLS))
 
 
 # ---------------------------------------------------------------------------
@@ -319,13 +319,13 @@ _EXPORT_OUT = ("state_fips", "place_fips") + sv.EXPORT_CRASH_COLS
     (f"CAST({c} AS BIGINT) AS {c}" if c in ("year",) + sv.ANNUAL_COLS else c)
     for c in _EXPORT_OUT) + " FROM sp_export_points")
 def q_export_crash_points(spark, sf_dir):
-    return sv.export_crash_points(sp.crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
+    return sv.export_crash_points(sp.loaded_crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
 
 
 @register("annual_fatalities", "SELECT state_fips, place_fips, CAST(year AS BIGINT) AS year, "
           + ", ".join(sv.ANNUAL_COLS) + " FROM sp_annual_city")
 def q_annual_fatalities(spark, sf_dir):
-    return sv.annual_fatalities(sp.crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
+    return sv.annual_fatalities(sp.loaded_crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
 
 
 @register("year_extent", """
@@ -345,7 +345,7 @@ def q_year_extent(spark, sf_dir):
       AND a.place_fips = g.place_fips AND a.year = g.year""")
 def q_annual_gap_filled(spark, sf_dir):
     """J13 from 1996 (parameter; the dashboard uses 2001) to the max year."""
-    crashes = sp.crashes(spark, sf_dir)
+    crashes = sp.loaded_crashes(spark, sf_dir)
     elig = cs.eligible(sp.places(spark, sf_dir))
     max_year = sv.year_extent(sp.crash_points(spark, sf_dir)).first()["max_year"]
     return sv.gap_filled_annual(sv.annual_fatalities(crashes, elig), elig, 1996, max_year)
@@ -355,7 +355,7 @@ def q_annual_gap_filled(spark, sf_dir):
     SELECT state_fips, place_fips, st_case, CAST(year AS BIGINT) AS year
     FROM sp_export_points WHERE pedestrian_fatalities > 0""")
 def q_pedestrian_points(spark, sf_dir):
-    pts = sv.export_crash_points(sp.crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
+    pts = sv.export_crash_points(sp.loaded_crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
     return sv.fatality_filter(pts, "pedestrian").select("state_fips", "place_fips", "st_case", "year")
 
 
@@ -365,7 +365,7 @@ def q_pedestrian_points(spark, sf_dir):
            count(*) AS n_points, CAST(sum(total_fatalities) AS BIGINT) AS fatalities
     FROM sp_export_points GROUP BY 1""")
 def q_dominant_type_summary(spark, sf_dir):
-    pts = sv.export_crash_points(sp.crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
+    pts = sv.export_crash_points(sp.loaded_crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
     return sv.dominant_type(pts).groupBy("dominant_type").agg(
         F.count(F.lit(1)).alias("n_points"), F.sum("total_fatalities").alias("fatalities"))
 
@@ -375,7 +375,7 @@ def q_dominant_type_summary(spark, sf_dir):
     f"WHEN {c} <= 0 THEN 'improving' ELSE 'worsening' END AS direction, "
     f"round(abs({c}), 1) AS magnitude FROM sp_eligible" for c in cs.TREND_COLS))
 def q_trend_directions(spark, sf_dir):
-    stats = cs.eligible(cs.city_stats(sp.crashes(spark, sf_dir), sp.places(spark, sf_dir)))
+    stats = cs.eligible(cs.city_stats(sp.loaded_crashes(spark, sf_dir), sp.places(spark, sf_dir)))
     parts = []
     for c in cs.TREND_COLS:
         d, m = sv.trend_direction(c)
@@ -690,7 +690,7 @@ def q_mismatched_city_names(spark, sf_dir):
     """J9 + A12 + U3: frequent FARS city names with no population place."""
     pops = pl.load_populations(pf.scan_populations(spark, _place_root(spark, sf_dir))) \
         .filter(F.col("outcome") == "inserted")
-    return pl.mismatched_city_names(sp.crashes(spark, sf_dir, with_subtypes=False), pops)
+    return pl.mismatched_city_names(sp.loaded_crashes(spark, sf_dir), pops)
 
 
 @register("eligible_without_boundary", f"""
@@ -730,7 +730,7 @@ def _export_dir(spark):
 def _ranked_places(spark, sf_dir):
     resolved = pl.resolve_points(spark, pf.scan_city_points(spark, _place_root(spark, sf_dir)))
     places = pl.apply_points(sp.places(spark, sf_dir), resolved)
-    stats = cs.city_stats(sp.crashes(spark, sf_dir), sp.places(spark, sf_dir))
+    stats = cs.city_stats(sp.loaded_crashes(spark, sf_dir), sp.places(spark, sf_dir))
     return places, rk.ranked_eligible(stats)
 
 
@@ -779,7 +779,7 @@ def q_export_cities(spark, sf_dir):
           + ", ".join(sv.ANNUAL_COLS) + " FROM sp_annual_city")
 def q_export_annual(spark, sf_dir):
     """annual_fatalities per city folder, read back."""
-    annual = sv.annual_fatalities(sp.crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
+    annual = sv.annual_fatalities(sp.loaded_crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
     path = ex.write_annual(annual, _export_dir(spark))
     schema = T.StructType([f for f in annual.schema.fields])
     return spark.read.schema(schema).json(path)
@@ -791,7 +791,7 @@ def q_export_annual(spark, sf_dir):
     for c in _EXPORT_OUT) + " FROM sp_export_points")
 def q_export_crash_files(spark, sf_dir):
     """E5: crash points per (city, year) folder, read back."""
-    pts = sv.export_crash_points(sp.crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
+    pts = sv.export_crash_points(sp.loaded_crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
     path = ex.write_crash_points(pts, _export_dir(spark))
     return spark.read.schema(pts.schema).json(path).select(*_EXPORT_OUT)
 
@@ -804,7 +804,7 @@ def q_export_crash_files(spark, sf_dir):
                       AND p.place_fips = e.place_fips AND p.year = y.year)""")
 def q_export_empty_slots(spark, sf_dir):
     """E5 coverage: (city, year) slots from 2001 with no crash file."""
-    crashes = sp.crashes(spark, sf_dir)
+    crashes = sp.loaded_crashes(spark, sf_dir)
     elig = cs.eligible(sp.places(spark, sf_dir))
     pts = sv.export_crash_points(crashes, elig)
     max_year = sv.year_extent(sp.crash_points(spark, sf_dir)).first()["max_year"]
@@ -854,7 +854,7 @@ def q_export_sizes(spark, sf_dir):
     ex.write_crashes_metadata(sp.crash_points(spark, sf_dir), out)
     places, ranked = _ranked_places(spark, sf_dir)
     ex.write_cities(ex.city_export(places, ranked), out)
-    ex.write_annual(sv.annual_fatalities(sp.crashes(spark, sf_dir),
+    ex.write_annual(sv.annual_fatalities(sp.loaded_crashes(spark, sf_dir),
                                          cs.eligible(sp.places(spark, sf_dir))), out)
     return ex.export_sizes(spark, out)
 
@@ -922,9 +922,9 @@ def q_metric_long_form(spark, sf_dir):
     FROM sp_eligible""")
 def q_sorted_cities(spark, sf_dir):
     """O2/O3: city table sorted by per-capita rate, descending, nulls last."""
-    stats = cs.eligible(cs.city_stats(sp.crashes(spark, sf_dir), sp.places(spark, sf_dir)))
+    stats = cs.eligible(cs.city_stats(sp.loaded_crashes(spark, sf_dir), sp.places(spark, sf_dir)))
     # one row per eligible city: checkpointed so the sort reads it once
-    pos = sv.sort_positions(stats.checkpoint(eager=True), "perCapita", ascending=False)
+    pos = sv.sort_positions(reliable_checkpoint(stats), "perCapita", ascending=False)
     return pos.select("state_fips", "place_fips", "avg_per_100k_5yr", "position")
 
 
@@ -933,7 +933,7 @@ def q_sorted_cities(spark, sf_dir):
     WHERE year > (SELECT max(year) FROM sp_crashes) - 5""")
 def q_recent_crash_points(spark, sf_dir):
     """The latest five calendar years of the exported points."""
-    pts = sv.export_crash_points(sp.crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
+    pts = sv.export_crash_points(sp.loaded_crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
     max_year = sv.year_extent(sp.crash_points(spark, sf_dir)).first()["max_year"]
     return sv.recent_years(pts, max_year).select("state_fips", "place_fips", "st_case", "year")
 
@@ -1033,7 +1033,7 @@ CTES_ASSIGN = """
     LEFT JOIN nation n ON {osql.zf('n.n_nationkey', 5)} = a.place_fips""")
 def q_crash_place_enrichment(spark, sf_dir):
     """J4 + L7: every crash after the spatial write-back of place and name."""
-    crashes = sp.crashes(spark, sf_dir, with_subtypes=False)
+    crashes = sp.loaded_crashes(spark, sf_dir)
     out = sa.enrich_crash_locations(crashes, _assignment(spark, sf_dir),
                                     _polygon_places(spark, sf_dir))
     return out.select("st_case", "year", "state", "place_fips", "fips_city_name")
@@ -1045,7 +1045,7 @@ def q_crash_place_enrichment(spark, sf_dir):
     WHERE c.state <> a.state_fips GROUP BY ALL""")
 def q_state_mismatch(spark, sf_dir):
     """Diagnostic for §8 Q6: crashes assigned to a polygon of another state."""
-    crashes = sp.crashes(spark, sf_dir, with_subtypes=False).select("st_case", "year", "state")
+    crashes = sp.loaded_crashes(spark, sf_dir).select("st_case", "year", "state")
     a = _assignment(spark, sf_dir)
     return (crashes.join(a, ["st_case", "year"]).filter(F.col("state") != F.col("state_fips"))
             .groupBy(F.col("state").alias("crash_state"), F.col("state_fips").alias("polygon_state"))
@@ -1065,6 +1065,6 @@ def _projected_cells_sql() -> str:
 @register("hotspot_cells_projected", _projected_cells_sql())
 def q_hotspot_cells_projected(spark, sf_dir):
     """J7 + F6 + G2 + G3 + A11 + W5 from the crash points of eligible cities."""
-    pts = sv.export_crash_points(sp.crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
+    pts = sv.export_crash_points(sp.loaded_crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
     ranked = hs.rank_cells(hs.cell_counts(hs.project_points(pts)))
     return ranked.select("state_fips", "place_fips", "cx", "cy", "crash_count", "is_hot")

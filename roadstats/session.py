@@ -66,3 +66,21 @@ def shared_dir(spark: SparkSession) -> str:
         return conf_dir.rstrip("/")
     ckpt = checkpoint_dir(spark).rstrip("/")
     return ckpt.rsplit("/", 1)[0]
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint(eager=True)`` without computing ``df`` twice.
+
+    Writing a reliable checkpoint runs a second job over the same RDD; with
+    the rows persisted (memory, spilling to disk) for the duration, that job
+    reads them instead of recomputing the whole lineage.  The result reads
+    from the checkpoint folder only (lineage cut), so the persisted copy is
+    released afterwards and a lost executor costs nothing.
+    """
+    from pyspark import StorageLevel
+    checkpoint_dir(df.sparkSession)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()

@@ -32,6 +32,7 @@ TILE_LON0, TILE_LAT0, TILE_W, TILE_H, TILE_COLS = -125.0, 24.5, 11.6, 4.9, 5
 POLYGON_SHIFT = 0.00037
 ROUTE_CODE_MOD = 15          # route_code = o_orderkey % 15 + 1 (14, 15 unknown)
 CITY_CODE_STEP = 37          # city code of a nation = nation * 37
+TABLE_VERSION = 1            # part of the loaded-table path: bump when a rule changes
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,6 +166,37 @@ def crashes(spark: SparkSession, sf_dir: str, person_table: DataFrame | None = N
     )
 
 
+def loaded_crashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crash table as the analytics read it: ``crashes`` written once
+    per scale to ``<shared dir>/roadstats_tables/v<N>/<sf>/crashes``,
+    partitioned by ``year`` (the reference loads its crash table once and
+    every later stage reads it; so do these).
+
+    The write is range-partitioned on (year, state, st_case), so a year
+    holding a third of all rows is spread over many tasks, and sorted by
+    state inside each file (row-group statistics prune state filters).
+    Readers get year partition pruning (``year >= 2001``, ten-year window).
+    A missing ``_SUCCESS`` marker (interrupted write) means it is rewritten.
+    """
+    import re
+
+    from roadstats.session import shared_dir
+    tag = re.sub(r"[^A-Za-z0-9_.-]", "_", sf_dir.rstrip("/").split("/")[-1])
+    path = f"{shared_dir(spark)}/roadstats_tables/v{TABLE_VERSION}/{tag}/crashes"
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(marker):
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        (crashes(spark, sf_dir).repartitionByRange(n, "year", "state", "st_case")
+         .sortWithinPartitions("year", "state", "st_case")
+         .write.mode("overwrite").partitionBy("year").parquet(path))
+    cols = ["st_case", "year", "crash_date", "state", "state_name", "county", "city",
+            "fars_city_name", "fips_city_name", "place_fips", "route_code", "road_label",
+            "lon", "lat", "total_fatalities", *SUBTYPE_COLS]
+    return spark.read.parquet(path).select(*cols)
+
+
 def polygon_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """City polygons as a vertex table (state, place, part, ring, seq, x, y).
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadstats.operators import raw_load as rl
+from roadstats.session import reliable_checkpoint
 from roadstats.sources import raw_files as rf
 
 # the fixed schema of Spark's binaryFile source (content is never selected)
@@ -45,7 +46,7 @@ def _load_paths(spark: SparkSession, paths: list[str], table: str, quarantine: s
     raw = rf.scan_crash_paths(spark, paths)
     typed = rl.normalize_crashes(spark, raw, codes)
     target = spark.read.parquet(table) if _exists(spark, f"{table}/_SUCCESS") else None
-    out = rl.load_crashes(typed, target).checkpoint(eager=True)
+    out = reliable_checkpoint(rl.load_crashes(typed, target))
     new_rows = rl.inserted(out, rl.CRASH_COLUMNS)
     new_rows.write.mode("append").partitionBy("year").parquet(table)
     (out.filter(F.col("outcome") == "error")
@@ -62,7 +63,7 @@ def load_new_files(spark: SparkSession, raw_root: str, table: str, codes: DataFr
     files = rf.dataset_files(spark, raw_root).filter(F.col("dataset") == "crash")
     if _exists(spark, f"{manifest}/_SUCCESS"):
         files = files.join(spark.read.parquet(manifest).select("path"), "path", "left_anti")
-    new = files.checkpoint(eager=True)
+    new = reliable_checkpoint(files)
     paths = sorted(r["path"] for r in new.select("path").collect())
     added = _load_paths(spark, paths, table, f"{table}_quarantine", codes)
     if paths:
