@@ -43,7 +43,9 @@ def normalize_crashes(spark: SparkSession, raw: DataFrame, city_codes: DataFrame
 
     ``city_codes`` (state_code, fars_city_code, fars_city_name) is the J2
     lookup; it is de-duplicated on its key first (the source kept whichever
-    row its dict saw last) and broadcast — it is a fixed national code list.
+    row its dict saw last).  The fixed dimensions (states, routes) are
+    broadcast; the code table is joined without a hint, so its measured size
+    decides the strategy.
     """
     has = {c: F.col(f"has_{c.lower()}") for c in
            ("ST_CASE", "STATE", "STATENAME", "COUNTY", "COUNTYNAME", "CITY", "CITYNAME",
@@ -73,7 +75,9 @@ def normalize_crashes(spark: SparkSession, raw: DataFrame, city_codes: DataFrame
              .withColumnRenamed("state_code", "state").withColumnRenamed("fars_city_code", "city"))
     t = (t.join(F.broadcast(dims.state_dim(spark)).withColumnRenamed("state_fips", "state"),
                 "state", "left")
-         .join(F.broadcast(codes), ["state", "city"], "left")
+         # the code table is an input file: no broadcast hint; Spark's
+         # size threshold (and AQE at run time) decides
+         .join(codes, ["state", "city"], "left")
          .join(F.broadcast(dims.route_dim(spark)), "route_code", "left"))
     t = t.select(
         "*",

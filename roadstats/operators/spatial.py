@@ -138,7 +138,7 @@ def assign_points(points: DataFrame, vertices: DataFrame, point_key: Sequence[st
     hits = inside.unionByName(refined)
     if preferred is not None:
         pref = preferred.select(*key).withColumn("_pref", F.lit(0))
-        hits = hits.join(F.broadcast(pref), key, "left") \
+        hits = hits.join(pref, key, "left") \
             .withColumn("_pref", F.coalesce("_pref", F.lit(1)))
     else:
         hits = hits.withColumn("_pref", F.lit(1))
