@@ -23,13 +23,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadstats.functions.exprs import ratio_half_up
-from roadstats.operators.city_stats import CITY_KEY, RATE_COLS, TREND_COLS, eligible
+from roadstats.operators.city_stats import CITY_KEY, eligible
 from roadstats.session import checkpoint_dir, reliable_checkpoint
 
 # metric column -> base used in rank / percentile column names

@@ -84,3 +84,14 @@ def reliable_checkpoint(df):
         return held.checkpoint(eager=True)
     finally:
         held.unpersist()
+
+
+def scale_tag(sf_dir: str) -> str:
+    """Folder-safe name for data derived from ``sf_dir``: its base name plus
+    a short hash of the full path (two scales with the same base name in
+    different places do not share derived files)."""
+    import hashlib
+    import re
+    path = sf_dir.rstrip("/")
+    base = re.sub(r"[^A-Za-z0-9_.-]", "_", path.split("/")[-1])
+    return f"{base}-{hashlib.sha1(path.encode()).hexdigest()[:8]}"

@@ -31,15 +31,13 @@ Rules (FIXED VALUES of the stand-in, mirrored by the oracles), with
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadstats.functions import dims
 from roadstats.functions.exprs import zfill
-from roadstats.session import shared_dir
+from roadstats.session import scale_tag, shared_dir
 from roadstats.sources import standins as sp
 from roadstats.sources.raw_files import _exists, _fs, _milli_text
 
@@ -64,7 +62,7 @@ GEOJSON_SCHEMA = T.StructType([
 
 
 def place_root(spark: SparkSession, sf_dir: str) -> str:
-    tag = re.sub(r"[^A-Za-z0-9_.-]", "_", sf_dir.rstrip("/").split("/")[-1])
+    tag = scale_tag(sf_dir)
     return f"{shared_dir(spark)}/roadstats_place_raw/v{GENERATOR_VERSION}/{tag}"
 
 

@@ -47,7 +47,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadstats.session import shared_dir
+from roadstats.session import scale_tag, shared_dir
 from roadstats.sources import standins as sp
 
 YEAR_DIR_RE = r"fars_((19|20)[0-9]{2})"
@@ -244,7 +244,7 @@ def _write_per_year(spark: SparkSession, df: DataFrame, stage: str, root: str,
 
 
 def fars_root(spark: SparkSession, sf_dir: str) -> str:
-    tag = re.sub(r"[^A-Za-z0-9_.-]", "_", sf_dir.rstrip("/").split("/")[-1])
+    tag = scale_tag(sf_dir)
     return f"{shared_dir(spark)}/roadstats_fars_raw/v{GENERATOR_VERSION}/{tag}"
 
 

@@ -178,10 +178,8 @@ def loaded_crashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     Readers get year partition pruning (``year >= 2001``, ten-year window).
     A missing ``_SUCCESS`` marker (interrupted write) means it is rewritten.
     """
-    import re
-
-    from roadstats.session import shared_dir
-    tag = re.sub(r"[^A-Za-z0-9_.-]", "_", sf_dir.rstrip("/").split("/")[-1])
+    from roadstats.session import scale_tag, shared_dir
+    tag = scale_tag(sf_dir)
     path = f"{shared_dir(spark)}/roadstats_tables/v{TABLE_VERSION}/{tag}/crashes"
     jvm = spark.sparkContext._jvm
     marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
