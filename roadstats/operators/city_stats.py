@@ -57,8 +57,13 @@ def city_annual(crashes: DataFrame, years: DataFrame) -> DataFrame:
                   .alias("mot_fatalities")))
 
 
-def window_sums(annual: DataFrame, years: DataFrame) -> DataFrame:
-    """Per city: sum and count of non-null yearly values, recent and previous."""
+def window_sums(annual: DataFrame, years: DataFrame, fill_years: bool = False) -> DataFrame:
+    """Per city: sum and count of non-null yearly values, recent and previous.
+
+    ``fill_years=True`` (SURVEY §8 Q4 option): a window year without crashes
+    counts as a zero year, so the divisor is the number of window years, not
+    the number of years with a crash row.
+    """
     a = annual.join(F.broadcast(years), "year", "inner")
     aggs = []
     for suffix, col in METRICS:
@@ -67,7 +72,19 @@ def window_sums(annual: DataFrame, years: DataFrame) -> DataFrame:
             v = F.when(F.col(flag), F.col(col))
             aggs += [F.sum(v).cast("long").alias(f"s_{name}_{tag}"),
                      F.count(v).cast("long").alias(f"n_{name}_{tag}")]
-    return a.groupBy(*CITY_KEY).agg(*aggs)
+    sums = a.groupBy(*CITY_KEY).agg(*aggs)
+    if not fill_years:
+        return sums
+    # window sizes: two numbers from the <= 10-row year dimension
+    sizes = years.agg(F.count_if("is_recent").alias("nr"),
+                      F.count_if("is_previous").alias("np")).first()
+    for suffix, _ in METRICS:
+        tag = suffix or "all"
+        sums = (sums.withColumn(f"n_rec_{tag}", F.lit(int(sizes["nr"])).cast("long"))
+                .withColumn(f"n_prev_{tag}", F.lit(int(sizes["np"])).cast("long"))
+                .withColumn(f"s_rec_{tag}", F.coalesce(f"s_rec_{tag}", F.lit(0).cast("long")))
+                .withColumn(f"s_prev_{tag}", F.coalesce(f"s_prev_{tag}", F.lit(0).cast("long"))))
+    return sums
 
 
 def city_rates(sums: DataFrame, population: DataFrame) -> DataFrame:
@@ -101,14 +118,14 @@ def eligible(places: DataFrame, min_population: int = 100000) -> DataFrame:
 
 
 def city_stats(crashes: DataFrame, places: DataFrame, min_population: int = 100000,
-               n_years: int = 10, window: int = 5) -> DataFrame:
+               n_years: int = 10, window: int = 5, fill_years: bool = False) -> DataFrame:
     """The city_stats table: every place with its 12 metrics.
 
     Cities without computed stats that are eligible get zeros for the four
     averages and four rates (A8); trends stay null.
     """
     years = year_windows(crashes, n_years, window)
-    rates = city_rates(window_sums(city_annual(crashes, years), years), places)
+    rates = city_rates(window_sums(city_annual(crashes, years), years, fill_years), places)
     j = places.join(rates, list(CITY_KEY), "left")
     elig = (F.col("population") >= min_population) | F.coalesce(F.col("is_pledged"), F.lit(False))
     j = j.withColumn("_fill", elig & F.col("avg_per_100k_5yr").isNull())

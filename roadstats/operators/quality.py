@@ -159,3 +159,9 @@ def table_profile(df: DataFrame) -> DataFrame:
         F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"),
                  F.col("_rows").alias("row_count"), F.col(f"_null_{i}").alias("null_count"))
         for i, c in enumerate(cols)])).alias("p")).select("p.*")
+
+
+def table_preview(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
+    """The first ``n`` rows in key order (a distributed top-k: each task
+    keeps its ``n`` smallest rows, the driver merges at most tasks × n)."""
+    return df.orderBy(*order).limit(n)

@@ -1068,3 +1068,44 @@ def q_hotspot_cells_projected(spark, sf_dir):
     pts = sv.export_crash_points(sp.loaded_crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
     ranked = hs.rank_cells(hs.cell_counts(hs.project_points(pts)))
     return ranked.select("state_fips", "place_fips", "cx", "cy", "crash_count", "is_hot")
+
+
+@register("crash_preview", """
+    SELECT st_case, CAST(year AS BIGINT) AS year, strftime(crash_date, '%Y-%m-%d') AS crash_date,
+           state, place_fips, lon, lat FROM sp_crashes ORDER BY st_case, year LIMIT 5""")
+def q_crash_preview(spark, sf_dir):
+    """S10 (preview part): the first five crashes in key order."""
+    c = sp.loaded_crashes(spark, sf_dir).select(
+        "st_case", "year", "crash_date", "state", "place_fips", "lon", "lat")
+    return qa.table_preview(c, ["st_case", "year"], 5)
+
+
+@register("city_stats_filled_years", """
+    WITH w AS (SELECT count(*) FILTER (WHERE is_recent) AS nr,
+                      count(*) FILTER (WHERE is_previous) AS np FROM sp_years),
+    s AS (SELECT a.state_fips, a.place_fips,
+                 CAST(sum(a.fatalities) FILTER (WHERE y.is_recent) AS BIGINT) AS sr,
+                 CAST(sum(a.fatalities) FILTER (WHERE y.is_previous) AS BIGINT) AS sp
+          FROM sp_annual a JOIN sp_years y USING (year) GROUP BY ALL),
+    r AS (SELECT s.state_fips, s.place_fips,
+                 """ + osql.hu("coalesce(sr, 0)", "w.nr", 2) + """ AS avg_fatalities_5yr,
+                 """ + osql.hu("(coalesce(sr, 0) * 100000)", "(CAST(p.population AS BIGINT) * w.nr)", 2)
+          + """ AS avg_per_100k_5yr,
+                 CASE WHEN coalesce(sp, 0) > 0 THEN """
+          + osql.hu("(100 * (coalesce(sr, 0) * w.np - coalesce(sp, 0) * w.nr))",
+                    "(coalesce(sp, 0) * w.nr)", 1) + """ END AS trend_pct_change
+          FROM s JOIN sp_places p ON p.state_fips = s.state_fips AND p.place_fips = s.place_fips
+               AND p.population > 0, w)
+    SELECT p.state_fips, p.place_fips,
+           CASE WHEN (p.population >= 100000 OR p.is_pledged) AND r.avg_per_100k_5yr IS NULL
+                THEN CAST(0 AS DOUBLE) ELSE r.avg_fatalities_5yr END AS avg_fatalities_5yr,
+           CASE WHEN (p.population >= 100000 OR p.is_pledged) AND r.avg_per_100k_5yr IS NULL
+                THEN CAST(0 AS DOUBLE) ELSE r.avg_per_100k_5yr END AS avg_per_100k_5yr,
+           r.trend_pct_change
+    FROM sp_places p LEFT JOIN r ON p.state_fips = r.state_fips AND p.place_fips = r.place_fips""")
+def q_city_stats_filled_years(spark, sf_dir):
+    """A4–A7 with the Q4 option: crash-free window years count as zeros."""
+    stats = cs.city_stats(sp.loaded_crashes(spark, sf_dir), sp.places(spark, sf_dir),
+                          fill_years=True)
+    return stats.select("state_fips", "place_fips", "avg_fatalities_5yr", "avg_per_100k_5yr",
+                        "trend_pct_change")
