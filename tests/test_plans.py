@@ -36,3 +36,8 @@ def test_raw_scan_keeps_expressions_in_codegen(spark):
     # the normalisation is native: no Python UDF evaluation in the plan
     plan = _plan(QUERIES["raw_crash_load"](spark, SF_SMALL))
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_ten_year_window_prunes_partitions(spark):
+    plan = _plan(QUERIES["city_stats"](spark, SF_SMALL))
+    assert "PartitionFilters: [isnotnull(year" in plan and " IN (" in plan
