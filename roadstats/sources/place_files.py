@@ -39,7 +39,7 @@ from roadstats.functions import dims
 from roadstats.functions.exprs import zfill
 from roadstats.session import scale_tag, shared_dir
 from roadstats.sources import standins as sp
-from roadstats.sources.raw_files import _exists, _fs, _milli_text
+from roadstats.sources.raw_files import _exists, _fs, _milli_text, _reset
 
 GENERATOR_VERSION = 2
 
@@ -93,7 +93,8 @@ def _write_lines(spark: SparkSession, lines: DataFrame, target: str, single: boo
         for i, part in enumerate(f for f in fs.listStatus(st.getPath())
                                  if f.getPath().getName().startswith("part-")):
             fname = (f"{key}" if single else f"{key}_{i}")
-            fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(target + "/" + fname))
+            if not fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(target + "/" + fname)):
+                raise OSError(f"could not move {part.getPath()} to {target}/{fname}")
     fs.delete(stage_p, True)
 
 
@@ -101,6 +102,7 @@ def ensure_place_files(spark: SparkSession, sf_dir: str) -> str:
     root = place_root(spark, sf_dir)
     if _exists(spark, f"{root}/_COMPLETE"):
         return root
+    _reset(spark, root)   # an interrupted earlier run leaves no partial files behind
     c = _customers(spark, sf_dir)
     ck = F.col("c_custkey")
     # S5 populations: "[header" , ",[row]" ... , "]" per state file

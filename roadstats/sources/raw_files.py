@@ -239,10 +239,17 @@ def _write_per_year(spark: SparkSession, df: DataFrame, stage: str, root: str,
         fs.mkdirs(target_dir)
         for i, part in enumerate(sorted(parts, key=lambda f: f.getPath().getName())):
             fname = name_of_year(year) if i == 0 else f"extra_{i}_{name_of_year(year)}"
-            fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(target_dir, fname))
+            if not fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(target_dir, fname)):
+                raise OSError(f"could not move {part.getPath()} to {target_dir}/{fname}")
     fs.delete(stage_p, True)
 
 
+def _reset(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    if fs.exists(p):
+        fs.delete(p, True)
+
+
 def fars_root(spark: SparkSession, sf_dir: str) -> str:
     tag = scale_tag(sf_dir)
     return f"{shared_dir(spark)}/roadstats_fars_raw/v{GENERATOR_VERSION}/{tag}"
@@ -254,6 +261,7 @@ def ensure_fars_files(spark: SparkSession, sf_dir: str) -> str:
     done = f"{root}/_COMPLETE"
     if _exists(spark, done):
         return root
+    _reset(spark, root)   # an interrupted earlier run leaves no partial files behind
     crashes = raw_crash_text(spark, sf_dir).withColumn("_era", _crash_era(F.col("_year")))
     for era, cols in _ERA_COLUMNS.items():
         part = crashes.filter(F.col("_era") == era)
