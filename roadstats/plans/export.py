@@ -104,10 +104,10 @@ def write_annual(annual: DataFrame, out: str) -> str:
 def write_crash_points(points: DataFrame, out: str, partitions: int | None = None) -> str:
     """E5: one folder per (city, year); skew-safe range partitioning."""
     path = f"{out}/crashes"
-    spark = points.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = ["state_fips", "place_fips", "year"]
-    (points.repartitionByRange(n, *keys, "st_case").sortWithinPartitions(*keys, "st_case")
+    ranged = (points.repartitionByRange(partitions, *keys, "st_case") if partitions
+              else points.repartitionByRange(*keys, "st_case"))   # AQE may coalesce
+    (ranged.sortWithinPartitions(*keys, "st_case")
      .write.mode("overwrite").option("ignoreNullFields", False).partitionBy(*keys).json(path))
     return path
 

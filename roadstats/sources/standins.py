@@ -185,8 +185,9 @@ def loaded_crashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(marker):
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        (crashes(spark, sf_dir).repartitionByRange(n, "year", "state", "st_case")
+        # no fixed count: AQE coalesces small ranges, large data keeps the
+        # configured shuffle partitions
+        (crashes(spark, sf_dir).repartitionByRange("year", "state", "st_case")
          .sortWithinPartitions("year", "state", "st_case")
          .write.mode("overwrite").partitionBy("year").parquet(path))
     cols = ["st_case", "year", "crash_date", "state", "state_name", "county", "city",
