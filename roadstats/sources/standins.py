@@ -33,6 +33,12 @@ POLYGON_SHIFT = 0.00037
 ROUTE_CODE_MOD = 15          # route_code = o_orderkey % 15 + 1 (14, 15 unknown)
 CITY_CODE_STEP = 37          # city code of a nation = nation * 37
 TABLE_VERSION = 1            # part of the loaded-table path: bump when a rule changes
+LOADED_CRASH_SCHEMA = (
+    "st_case bigint, year int, crash_date date, state string, state_name string, "
+    "county string, city string, fars_city_name string, fips_city_name string, "
+    "place_fips string, route_code int, road_label string, lon double, lat double, "
+    "total_fatalities int, motorist_fatalities int, pedestrian_fatalities int, "
+    "cyclist_fatalities int, other_fatalities int")
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,10 +196,9 @@ def loaded_crashes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (crashes(spark, sf_dir).repartitionByRange("year", "state", "st_case")
          .sortWithinPartitions("year", "state", "st_case")
          .write.mode("overwrite").partitionBy("year").parquet(path))
-    cols = ["st_case", "year", "crash_date", "state", "state_name", "county", "city",
-            "fars_city_name", "fips_city_name", "place_fips", "route_code", "road_label",
-            "lon", "lat", "total_fatalities", *SUBTYPE_COLS]
-    return spark.read.parquet(path).select(*cols)
+    # explicit schema: no footer-reading job to infer it on every read
+    return spark.read.schema(LOADED_CRASH_SCHEMA).parquet(path).select(
+        *[c.split(" ")[0] for c in LOADED_CRASH_SCHEMA.split(", ")])
 
 
 def polygon_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
