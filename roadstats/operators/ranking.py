@@ -7,13 +7,15 @@
 1. collapses rows to distinct sort keys with a weight (an aggregate with a
    map-side partial step, so a key shared by a third of all rows becomes one
    row per map task);
-2. sorts the distinct keys globally (range exchange) and checkpoints them to
-   the cluster's checkpoint folder, which freezes the partition boundaries;
-3. sums the weights per (partition, group) — one small row per partition —
-   and turns them into offsets on the driver (bounded by the partition count);
-4. computes ``rank = offset + weight of smaller keys in the partition + 1``
-   in one Arrow-batched pass per partition and joins the ranks back on the
-   sort key.
+2. range-partitions the distinct keys (range exchange), tags each row with
+   its range index and checkpoints them to the cluster's checkpoint folder,
+   which freezes the range boundaries;
+3. sums the weights per (range, group) — one small row per range — and
+   turns them into offsets with a window over that small table (bounded by
+   the partition count, so it is broadcast);
+4. computes ``rank = offset + weight of smaller keys in the range + 1`` with
+   a running-sum window per (range, group) and joins the ranks back on the
+   sort key.  Everything stays on the JVM; nothing is collected.
 
 It is meant for a small number of groups (here 24 = 3 scopes × 8 metrics);
 many-group windows (per-city hot cells) are ordinary partitioned windows.
@@ -23,13 +25,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from roadstats.functions.exprs import ratio_half_up
 from roadstats.operators.city_stats import CITY_KEY, eligible
-from roadstats.session import checkpoint_dir, reliable_checkpoint
+from roadstats.session import reliable_checkpoint
 
 # metric column -> base used in rank / percentile column names
 RANK_BASES = {
@@ -69,51 +70,31 @@ def global_rank(df: DataFrame, group_col: str, key_cols: Sequence[str]) -> DataF
     through one task.  ``key_cols`` must be null-free and ascending (see
     ``sort_key``).  Returns ``df`` with columns ``rank`` and ``n`` added.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
     keys = [group_col, *key_cols]
     distinct = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_w"))
-    ordered = reliable_checkpoint(distinct.orderBy(*keys))
-
-    totals = (ordered.groupBy(F.spark_partition_id().alias("_pid"), group_col)
-              .agg(F.sum("_w").alias("_t")).collect())
-    # offsets: weight of the same group in earlier partitions; n per group
-    per_group: dict = {}
-    for r in totals:
-        per_group.setdefault(r[group_col], []).append((r["_pid"], int(r["_t"])))
-    offsets: dict[int, dict] = {}
-    sizes: dict = {}
-    for g, parts in per_group.items():
-        run = 0
-        for pid, t in sorted(parts):
-            offsets.setdefault(pid, {})[g] = run
-            run += t
-        sizes[g] = run
-
-    out_schema = T.StructType(
-        [ordered.schema[c] for c in keys]
-        + [T.StructField("rank", T.LongType()), T.StructField("n", T.LongType())])
-
-    def prefix_ranks(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        base = offsets.get(pid, {})
-        carry: dict = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            g = pdf[group_col]
-            w = pdf["_w"].astype("int64")
-            before = w.groupby(g, sort=False).cumsum() - w
-            start = g.map(lambda x: base.get(x, 0) + carry.get(x, 0)).astype("int64")
-            res = pdf[keys].copy()
-            res["rank"] = start + before + 1
-            res["n"] = g.map(sizes).astype("int64")
-            for x, s in w.groupby(g, sort=False).sum().items():
-                carry[x] = carry.get(x, 0) + int(s)
-            yield res
-
-    ranks = ordered.mapInPandas(prefix_ranks, out_schema)
+    # range exchange on (group, keys); the task index after it is the range
+    # index (AQE only merges neighbouring ranges), frozen by the checkpoint;
+    # clustering the tagged rows by (range, group) before the checkpoint
+    # gives the per-range window and totals below their layout for free
+    ordered = reliable_checkpoint(
+        distinct.repartitionByRange(*keys).withColumn("_pid", F.spark_partition_id())
+        .repartition("_pid", group_col))
+    # per (range, group) totals: at most partitions x groups rows
+    totals = ordered.groupBy("_pid", group_col).agg(F.sum("_w").alias("_t"))
+    by_range = Window.partitionBy(group_col).orderBy("_pid")
+    offsets = totals.select(
+        "_pid", group_col,
+        F.coalesce(F.sum("_t").over(by_range.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_off"),
+        F.sum("_t").over(Window.partitionBy(group_col)).alias("n"))
+    # weight of smaller keys inside the same range: a window per (range,
+    # group), i.e. one balanced range of distinct keys per task
+    inside = Window.partitionBy("_pid", group_col).orderBy(*key_cols) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    local = ordered.withColumn("_before", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+    ranks = local.join(F.broadcast(offsets), ["_pid", group_col]).select(
+        *keys, (F.col("_off") + F.col("_before") + 1).cast("long").alias("rank"),
+        F.col("n").cast("long"))
     return df.join(ranks, keys, "inner")
 
 
