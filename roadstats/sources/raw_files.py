@@ -46,6 +46,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadstats.session import scale_tag, shared_dir
 from roadstats.sources import standins as sp
@@ -351,8 +352,11 @@ def _scan(spark: SparkSession, paths: Sequence[str], fields: Sequence[str],
         eras.setdefault(_header(spark, p), []).append(p)
     out = None
     for header, era_paths in eras.items():
-        df = (spark.read.option("header", True).option("inferSchema", False)
-              .option("enforceSchema", False).csv(era_paths))
+        # all-text schema from the header already read: no schema-inference
+        # job; enforceSchema=false still checks each file's header against it
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        df = (spark.read.option("header", True).option("enforceSchema", False)
+              .schema(schema).csv(era_paths))
         sel = []
         for name in fields:
             present = [a for a in aliases.get(name, (name,)) if a in header]
