@@ -131,7 +131,8 @@ def q_person_semantics(spark, sf_dir):
 
 
 @register("unknown_person_types", """
-    SELECT person_type, count(*) AS n_persons, count(DISTINCT st_case) AS n_crashes
+    SELECT CAST(person_type AS BIGINT) AS person_type, count(*) AS n_persons,
+           count(DISTINCT st_case) AS n_crashes
     FROM sp_persons WHERE injury_severity = 4
       AND person_type NOT IN (1, 2, 3, 9, 5, 10, 6, 7, 4, 8, 11, 12, 13, 19, 99)
     GROUP BY person_type""")
@@ -191,7 +192,8 @@ def q_blocking_checks(spark, sf_dir):
 
 
 @register("duplicate_person_keys", """
-    SELECT st_case, vehicle_number, person_number, count(*) AS n FROM sp_persons_raw
+    SELECT st_case, CAST(vehicle_number AS BIGINT) AS vehicle_number,
+           CAST(person_number AS BIGINT) AS person_number, count(*) AS n FROM sp_persons_raw
     GROUP BY ALL HAVING count(*) > 1""")
 def q_duplicate_person_keys(spark, sf_dir):
     return qa.duplicate_keys(sp.raw_persons(spark, sf_dir),
