@@ -122,3 +122,19 @@ def test_ring_simplification(spark):
     got = {r["place_fips"]: r["n"] for r in
            out.groupBy("place_fips").agg(F.count("*").alias("n")).collect()}
     assert got == {"00001": 4, "00002": 5}
+
+
+def test_hot_duplicate_key_keeps_first_row(spark, tmp_path):
+    root = str(tmp_path / "raw")
+    rows = ["ST_CASE,STATE,COUNTY,CITY,FATALS,YEAR,MONTH,DAY,LATITUDE,LONGITUD"]
+    for i in range(900):
+        # every third row repeats crash 1; its FATALS records the file position
+        key = 1 if i % 3 == 0 else 1000 + i
+        rows.append(f"{key},6,37,37,{i},2019,1,1,,")
+    _write(f"{root}/fars_2019/ACCIDENT.CSV", "\n".join(rows) + "\n")
+    out = _load(spark, root)
+    counts = {r["outcome"]: r["n"] for r in
+              out.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
+    assert counts == {"inserted": 601, "skipped_duplicate": 299}
+    first = out.filter((F.col("st_case") == 1) & (F.col("outcome") == "inserted")).collect()
+    assert len(first) == 1 and first[0]["total_fatalities"] == 0

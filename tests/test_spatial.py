@@ -75,3 +75,41 @@ def test_ring_with_hole():
     e = e[key.map(key.value_counts()) == 1]
     geom = hs.geojson_geometry(e)
     assert geom["type"] == "Polygon" and len(geom["coordinates"]) == 2
+
+
+def _brute_within(px, py, ring):
+    """Crossing-number test with the on-edge exclusion (plain Python)."""
+    inside, n = False, len(ring)
+    for i in range(n):
+        (x1, y1), (x2, y2) = ring[i], ring[(i + 1) % n]
+        cross = (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)
+        if cross == 0 and min(x1, x2) <= px <= max(x1, x2) and min(y1, y2) <= py <= max(y1, y2):
+            return False
+        if (y1 > py) != (y2 > py) and x1 + (py - y1) * (x2 - x1) / (y2 - y1) > px:
+            inside = not inside
+    return inside
+
+
+def test_assignment_matches_brute_force_with_a_hot_cell(spark):
+    import random
+    from roadstats.sources import standins as sp
+    from tests.conftest import SF_SMALL
+    verts = sp.polygon_vertices(spark, SF_SMALL)
+    rings = {}
+    for r in verts.orderBy("place_fips", "seq").collect():
+        rings.setdefault((r["state_fips"], r["place_fips"]), []).append((r["x"], r["y"]))
+    rnd = random.Random(7)
+    pts = [(i, rnd.uniform(-126, -66), rnd.uniform(24, 50)) for i in range(2000)]
+    # a third of all points in one 0.05-degree cell inside a polygon corner
+    pts += [(2000 + i, -124.3 + rnd.uniform(0, 0.049), 25.0 + rnd.uniform(0, 0.049))
+            for i in range(1000)]
+    df = spark.createDataFrame(pts, "id int, lon double, lat double").repartition(8)
+    got = {r["id"]: (r["state_fips"], r["place_fips"])
+           for r in sa.assign_points(df, verts, ["id"], cell=0.05).collect()}
+    want = {}
+    for i, x, y in pts:
+        hits = sorted(k for k, ring in rings.items() if _brute_within(x, y, ring))
+        if hits:
+            want[i] = hits[0]
+    assert got == want
+    assert sum(1 for i in got if i >= 2000) > 0
