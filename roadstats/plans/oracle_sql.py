@@ -437,3 +437,26 @@ def albers_xy_sql(lon: str, lat: str) -> tuple[str, str]:
     rho = f"({hs.A_AXIS!r} * sqrt({hs.C_CONE!r} - {hs.N_CONE!r} * {q}) / {hs.N_CONE!r})"
     theta = f"({hs.N_CONE!r} * radians({lon} - ({hs.LON_0!r})))"
     return f"({rho} * sin({theta}))", f"({hs.RHO_0!r} - {rho} * cos({theta}))"
+
+
+def albers_inverse_ctes(src: str, iterations: int = 8) -> tuple[str, str]:
+    """(CTE text, final CTE name): lon/lat from EPSG:5070 x/y columns of
+    ``src``, the same closed form and operation order as the Spark side."""
+    from roadstats.operators import hotspots as hs
+    k = repr(hs.N_CONE * hs.N_CONE / (hs.A_AXIS * hs.A_AXIS))
+    parts = [
+        f"inv_q AS (SELECT *, ({hs.C_CONE!r} - (x * x + ({hs.RHO_0!r} - y) * ({hs.RHO_0!r} - y))"
+        f" * {k}) / {hs.N_CONE!r} AS q FROM {src})",
+        "inv_0 AS (SELECT *, asin(q / 2.0) AS phi FROM inv_q)",
+    ]
+    for i in range(iterations):
+        s = "sin(phi)"
+        es = f"({hs.E!r} * {s})"
+        one = f"(1.0 - {hs.E2!r} * {s} * {s})"
+        step = (f"phi + {one} * {one} / (2.0 * cos(phi)) * (q / {1 - hs.E2!r} - {s} / {one}"
+                f" + {1 / (2 * hs.E)!r} * ln((1.0 - {es}) / (1.0 + {es})))")
+        parts.append(f"inv_{i + 1} AS (SELECT * REPLACE ({step} AS phi) FROM inv_{i})")
+    last = f"inv_{iterations}"
+    parts.append(f"inv_out AS (SELECT *, degrees(atan2(x, {hs.RHO_0!r} - y) / {hs.N_CONE!r})"
+                 f" + ({hs.LON_0!r}) AS lon, degrees(phi) AS lat FROM {last})")
+    return ",\n".join(parts), "inv_out"

@@ -1111,3 +1111,22 @@ def q_city_stats_filled_years(spark, sf_dir):
                           fill_years=True)
     return stats.select("state_fips", "place_fips", "avg_fatalities_5yr", "avg_per_100k_5yr",
                         "trend_pct_change")
+
+
+def _zone_lonlat_sql() -> str:
+    ctes, out = osql.albers_inverse_ctes("zv")
+    return ("WITH zv AS (SELECT DISTINCT state_fips, place_fips, CAST(x1 * 250 AS DOUBLE) AS x, "
+            "CAST(y1 * 250 AS DOUBLE) AS y FROM sp_core_edges),\n" + ctes +
+            f"\nSELECT state_fips, place_fips, x AS x_m, y AS y_m, round(lon, 7) AS lon, "
+            f"round(lat, 7) AS lat FROM {out}")
+
+
+@register("hotspot_zone_vertices", _zone_lonlat_sql())
+def q_hotspot_zone_vertices(spark, sf_dir):
+    """G4 + G5 + G8: vertices of the dissolved core zones, back in lon/lat."""
+    e = hs.core_edges(_hot(spark, sf_dir))
+    v = e.select("state_fips", "place_fips", (F.col("x1") * hs.SUB_M).cast("double").alias("x"),
+                 (F.col("y1") * hs.SUB_M).cast("double").alias("y")).distinct()
+    out = hs.with_albers_inverse(v, "x", "y", "lon", "lat")
+    return out.select("state_fips", "place_fips", F.col("x").alias("x_m"), F.col("y").alias("y_m"),
+                      F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
