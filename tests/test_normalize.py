@@ -129,3 +129,16 @@ def test_year_selection():
         resolve_years([1980])
     with pytest.raises(ValueError):
         resolve_years(None, 2020, 2019)
+
+
+def test_boundary_display_names_and_first_feature(spark):
+    rows = [("15", "71550", "Urban Honolulu", "57", ("f1", 0), 0, 0, 0, 0.0, 0.0),
+            ("15", "71550", "Urban Honolulu", "99", ("f2", 0), 0, 0, 0, 0.0, 0.0),
+            ("06", "44000", "Los Angeles", "25", ("f1", 1), 0, 0, 0, 0.0, 0.0)]
+    v = spark.createDataFrame(rows, "state_fips string, place_fips string, place_name string, "
+                                    "place_type string, load_order struct<file:string,row:int>, "
+                                    "part int, ring int, seq int, x double, y double")
+    got = {r["place_fips"]: (r["display_name"], r["state_name"], r["place_type"])
+           for r in pl.load_boundaries(spark, v).collect()}
+    assert got == {"71550": ("Honolulu", "Hawaii", "57"),
+                   "44000": ("Los Angeles", "California", "25")}
