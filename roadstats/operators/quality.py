@@ -165,3 +165,22 @@ def table_preview(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
     """The first ``n`` rows in key order (a distributed top-k: each task
     keeps its ``n`` smallest rows, the driver merges at most tasks × n)."""
     return df.orderBy(*order).limit(n)
+
+
+def file_profile(raw: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """S10 for raw files: per file (dataset year) and column present in it,
+    the row count and the number of blank cells — one aggregate pass over
+    all files, unpivoted with ``explode``."""
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for i, c in enumerate(fields):
+        aggs.append(F.count_if(F.col(c).isNull()).alias(f"_null_{i}"))
+        aggs.append(F.max(F.col(f"has_{c.lower()}")).alias(f"_has_{i}"))
+    per_file = raw.groupBy("source_file", "dataset_year").agg(*aggs)
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"_null_{i}").alias("null_count"),
+                 F.col(f"_has_{i}").alias("present"))
+        for i, c in enumerate(fields)])).alias("c")
+    return (per_file.select(F.col("dataset_year").alias("year"),
+                            F.col("_rows").alias("row_count"), cells)
+            .filter("c.present")
+            .select("year", "c.column_name", "row_count", "c.null_count"))

@@ -1130,3 +1130,28 @@ def q_hotspot_zone_vertices(spark, sf_dir):
     out = hs.with_albers_inverse(v, "x", "y", "lon", "lat")
     return out.select("state_fips", "place_fips", F.col("x").alias("x_m"), F.col("y").alias("y_m"),
                       F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
+
+
+def _raw_profile_sql() -> str:
+    eras = {"early": "year < 1997", "route": "year >= 1997 AND year % 2 = 1",
+            "named": "year >= 1997 AND year % 2 = 0"}
+    cols = {"ST_CASE": ("all", "FALSE"), "STATE": ("all", "FALSE"), "COUNTY": ("all", "FALSE"),
+            "CITY": ("all", "FALSE"), "FATALS": ("all", "FALSE"), "YEAR": ("all", "FALSE"),
+            "MONTH": ("all", "FALSE"), "DAY": ("all", "FALSE"),
+            "LATITUDE": ("all", "lat IS NULL OR k % 4 = 3"), "LONGITUD": ("all", "lat IS NULL"),
+            "ROUTE": ("route_named", "k % 97 = 0"), "STATENAME": ("named", "r = 40"),
+            "COUNTYNAME": ("named", "FALSE"), "CITYNAME": ("named", "r = 45")}
+    where = {"all": "TRUE", "route_named": "year >= 1997", "named": eras["named"]}
+    rows = ("(SELECT *, 1 + CAST(k % 29 = 0 AS INTEGER) AS copies FROM sp_raw_crash) t")
+    parts = [f"SELECT CAST(year AS BIGINT) AS year, '{c}' AS column_name, "
+             f"CAST(sum(copies) AS BIGINT) AS row_count, "
+             f"CAST(sum(CASE WHEN {cond} THEN copies ELSE 0 END) AS BIGINT) AS null_count "
+             f"FROM {rows} WHERE {where[w]} GROUP BY year" for c, (w, cond) in cols.items()]
+    return " UNION ALL ".join(parts)
+
+
+@register("raw_file_profile", _raw_profile_sql())
+def q_raw_file_profile(spark, sf_dir):
+    """S10 over the raw crash files: rows and blank cells per file and column."""
+    root = rf.ensure_fars_files(spark, sf_dir)
+    return qa.file_profile(rf.scan_crash_files(spark, root), rf.CRASH_FIELDS)
