@@ -112,6 +112,16 @@ def load_crashes(typed: DataFrame, target: DataFrame | None = None) -> DataFrame
                             valid=F.col("reject_reason").isNull())
 
 
+def loaded_keys(typed: DataFrame, target: DataFrame | None = None) -> DataFrame:
+    """Crash keys present after a load: the target's keys plus every key of
+    a valid batch row (each such key gets exactly one inserted row).  An
+    aggregate, without the per-row outcome join of ``load_crashes``."""
+    keys = typed.filter(F.col("reject_reason").isNull()).select(*CRASH_KEY)
+    if target is not None:
+        keys = keys.unionByName(target.select(*CRASH_KEY))
+    return keys.distinct()
+
+
 def inserted(outcomes: DataFrame, columns: Sequence[str]) -> DataFrame:
     return outcomes.filter(F.col("outcome") == "inserted").select(*columns)
 

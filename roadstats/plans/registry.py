@@ -555,9 +555,11 @@ def q_raw_crash_outcomes(spark, sf_dir):
     GROUP BY ALL""")
 def q_raw_person_outcomes(spark, sf_dir):
     """S2 + N8 + J1 + L2 + L5: person rows per (year, outcome)."""
-    root, out = _raw_crash_outcomes(spark, sf_dir)
-    crashes = rl.inserted(out, rl.CRASH_KEY)
-    persons = rl.load_persons(rl.normalize_persons(rf.scan_person_files(spark, root)), crashes)
+    root = rf.ensure_fars_files(spark, sf_dir)
+    typed = rl.normalize_crashes(spark, rf.scan_crash_files(spark, root),
+                                 sp.city_codes(spark, sf_dir))
+    persons = rl.load_persons(rl.normalize_persons(rf.scan_person_files(spark, root)),
+                              rl.loaded_keys(typed))
     return persons.groupBy("year", "outcome").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -571,9 +573,11 @@ def q_raw_person_outcomes(spark, sf_dir):
     FROM sp_raw_person_rank p WHERE rn = 1 GROUP BY p.year""")
 def q_raw_person_subtypes(spark, sf_dir):
     """A1 over the persons loaded from the raw files, summed per year."""
-    root, out = _raw_crash_outcomes(spark, sf_dir)
-    crashes = rl.inserted(out, rl.CRASH_KEY)
-    persons = rl.load_persons(rl.normalize_persons(rf.scan_person_files(spark, root)), crashes)
+    root = rf.ensure_fars_files(spark, sf_dir)
+    typed = rl.normalize_crashes(spark, rf.scan_crash_files(spark, root),
+                                 sp.city_codes(spark, sf_dir))
+    persons = rl.load_persons(rl.normalize_persons(rf.scan_person_files(spark, root)),
+                              rl.loaded_keys(typed))
     loaded = persons.filter(F.col("outcome") == "inserted")
     counts = st.crash_subtype_counts(loaded, ["st_case", "year"])
     return counts.groupBy("year").agg(

@@ -138,3 +138,14 @@ def test_hot_duplicate_key_keeps_first_row(spark, tmp_path):
     assert counts == {"inserted": 601, "skipped_duplicate": 299}
     first = out.filter((F.col("st_case") == 1) & (F.col("outcome") == "inserted")).collect()
     assert len(first) == 1 and first[0]["total_fatalities"] == 0
+
+
+def test_loaded_keys_equal_inserted_keys(spark, tmp_path):
+    root = str(tmp_path / "raw")
+    _fixture(root)
+    typed = rl.normalize_crashes(spark, rf.scan_crash_files(spark, root),
+                                 spark.createDataFrame(CODES, "state_code string, fars_city_code "
+                                                              "string, fars_city_name string"))
+    a = sorted(tuple(r) for r in rl.loaded_keys(typed).collect())
+    b = sorted(tuple(r) for r in rl.inserted(rl.load_crashes(typed), rl.CRASH_KEY).collect())
+    assert a == b
