@@ -1159,3 +1159,25 @@ def q_raw_file_profile(spark, sf_dir):
     """S10 over the raw crash files: rows and blank cells per file and column."""
     root = rf.ensure_fars_files(spark, sf_dir)
     return qa.file_profile(rf.scan_crash_files(spark, root), rf.CRASH_FIELDS)
+
+
+@register("hotspot_feature_edges", """
+    SELECT state_fips, place_fips, 'core' AS zone_type, count(*) AS n_edges
+    FROM sp_core_edges GROUP BY ALL
+    UNION ALL
+    SELECT state_fips, place_fips, 'buffer' AS zone_type, count(*) AS n_edges
+    FROM sp_buffer_edges GROUP BY ALL""")
+def q_hotspot_feature_edges(spark, sf_dir):
+    """G5 + G7 + G9 + U1 checked through the assembled GeoJSON: every ring
+    keeps its lattice vertices, so coordinates minus closing points per
+    feature equals the dissolved boundary edges."""
+    f = hs.zone_features(_hot(spark, sf_dir))
+    g = f.select("state_fips", "place_fips", "zone_type",
+                 F.get_json_object("feature", "$.geometry.type").alias("t"),
+                 F.get_json_object("feature", "$.geometry.coordinates").alias("c"))
+    parts = F.when(F.col("t") == "Polygon", F.array(F.from_json("c", "array<array<array<double>>>"))) \
+        .otherwise(F.from_json("c", "array<array<array<array<double>>>>"))
+    rings = g.select("state_fips", "place_fips", "zone_type", F.explode(parts).alias("p")) \
+        .select("state_fips", "place_fips", "zone_type", F.explode("p").alias("r"))
+    return rings.groupBy("state_fips", "place_fips", "zone_type").agg(
+        F.sum(F.size("r") - 1).cast("long").alias("n_edges"))
