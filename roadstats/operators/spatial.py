@@ -12,11 +12,11 @@ Spatial join (``assign_points``) without a nested-loop join:
   edge passes through are *boundary* cells (found by clipping each edge to
   each grid row it spans), all other cover cells are wholly inside or
   wholly outside, decided once per cell by testing its centre;
-* points equi-join cells on (cx, cy): points in *interior* cells are inside
-  with no further work, points in boundary cells are refined by counting
-  crossings of a rightward ray with the polygon's edges *of the same grid
-  row* (half-open rule ``(y1 > py) != (y2 > py)``), odd = inside; points on
-  an edge are not "within".
+* points equi-join the covered cells on (cx, cy) once: points in *interior*
+  cells are inside with no further work, points in boundary cells are
+  refined by counting crossings of a rightward ray with the polygon's edges
+  *of the same grid row* (half-open rule ``(y1 > py) != (y2 > py)``), odd =
+  inside; points on an edge are not "within".  The point table is read once.
 
 All steps are equi-joins and aggregates, so Spark shuffles on cell / place
 keys; a dense cell is a skewed join key that AQE's skew-join splits.
@@ -128,14 +128,25 @@ def assign_points(points: DataFrame, vertices: DataFrame, point_key: Sequence[st
     pts = points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(
         *pk, "lon", "lat", F.floor(F.col("lon") / F.lit(cell)).alias("cx"),
         F.floor(F.col("lat") / F.lit(cell)).alias("cy"))
-    inside = pts.join(interior, ["cx", "cy"], "inner").select(*pk, *key)
-    cand = pts.join(boundary, ["cx", "cy"], "inner")
+    # one pass over the points: a single join with all covered cells, tagged
+    # interior / boundary; boundary hits then meet the edges of their grid
+    # row (the join condition keeps interior hits edge-free), and one
+    # aggregate per (point, place) decides
+    cells = (interior.select(*key, "cx", "cy").withColumn("_in", F.lit(True))
+             .unionByName(boundary.select(*key, "cx", "cy").withColumn("_in", F.lit(False))))
+    hits = pts.join(cells, ["cx", "cy"], "inner")
+    e = rows.select(*[F.col(k).alias(f"_e_{k}") for k in key], F.col("cy").alias("_e_cy"),
+                    "x1", "y1", "x2", "y2")
+    cond = (hits["cy"] == e["_e_cy"]) & ~hits["_in"]
+    for k in key:
+        cond = cond & (hits[k] == e[f"_e_{k}"])
     crosses, on_edge = _crossing("lon", "lat")
-    refined = (cand.join(rows, [*key, "cy"], "inner")
-               .groupBy(*pk, *key)
-               .agg(F.count_if(crosses).alias("n"), F.bool_or(on_edge).alias("edge"))
-               .filter((F.col("n") % 2 == 1) & ~F.col("edge")).select(*pk, *key))
-    hits = inside.unionByName(refined)
+    hits = (hits.join(e, cond, "left")
+            .groupBy(*pk, *key)
+            .agg(F.bool_or("_in").alias("_in"), F.count_if(crosses).alias("n"),
+                 F.coalesce(F.bool_or(on_edge), F.lit(False)).alias("edge"))
+            .filter(F.col("_in") | ((F.col("n") % 2 == 1) & ~F.col("edge")))
+            .select(*pk, *key))
     if preferred is not None:
         pref = preferred.select(*key).withColumn("_pref", F.lit(0))
         hits = hits.join(pref, key, "left") \

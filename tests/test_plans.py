@@ -43,3 +43,9 @@ def test_ten_year_window_prunes_partitions(spark):
     filters = [line.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
                for line in plan.splitlines() if "PartitionFilters: [" in line]
     assert any("year" in f and " IN (" in f for f in filters)
+
+
+def test_spatial_join_reads_the_points_once(spark):
+    plan = _plan(QUERIES["spatial_assignment"](spark, SF_SMALL))
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "orders.parquet" in line]
+    assert len(scans) == 1
