@@ -101,3 +101,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         roots.select("node", F.col("node").alias("component")))
+
+
+def sent(df: DataFrame, row_bytes: int, limit: int = 32_000_000) -> DataFrame:
+    """``df`` (a saved table) marked for broadcast if its rows fit in ``limit`` bytes; else as it is, for a shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df

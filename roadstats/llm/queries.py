@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadstats.llm import line_rules, winnowing
+from roadstats.llm import line_rules, ngram_join, winnowing
 from roadstats.llm.common import read
 
 QUERIES: dict = {}
@@ -89,3 +89,25 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items",
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                       (F.col("n_hit") > 0).alias("contaminated"))
+
+
+JOIN_SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(words[i:i + least(len(words), 5) - 1], ' ') AS g
+      FROM d, unnest(range(1, len(words) - least(len(words), 5) + 2)) AS t(i) WHERE len(words) > 0),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+o AS (SELECT x.rid AS a, y.rid AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.rid <> y.rid GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n p ON p.rid = a JOIN n q ON q.rid = b WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+r AS (SELECT rid AS a, rid AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT r.a AS rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.b GROUP BY r.a)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
+       CASE WHEN n.n IS NULL THEN doc_id ELSE component_id END AS component_id
+FROM d LEFT JOIN n USING (rid) LEFT JOIN c USING (rid)
+"""
+
+
+@query(JOIN_SQL)
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

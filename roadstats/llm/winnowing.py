@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadstats.llm.common import ascii_lower, null_safe, save
+from roadstats.llm.common import sent as sent_rows
 from roadstats.llm.line_rules import shifted
 
 WINDOW, GRAM = 10, 4
@@ -108,8 +109,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.first("n_words").alias("n_words"), F.max("match").alias("match")), "winnow-docs")
 
     # extend the hits: whole windows, compared as text
-    candidates = null_safe(keyed, per_doc.where("match = 1").select("doc_id", "text_hash"),
-                           ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    matching = save(per_doc.where("match = 1").select("doc_id", "text_hash"), "winnow-matching")
+    candidates = null_safe(keyed, sent_rows(matching, 32), ["doc_id", "text_hash"], "left_semi").dropDuplicates(
+        ["doc_id", "text_hash"])
     texts = windows.select("fp", "len", "window").distinct()
     hits = save(_exact(candidates, ["doc_id", "text_hash"], lengths).join(sent(texts), ["fp", "len", "window"]).select(
         "doc_id", "text_hash", "start", "len", "window"), "winnow-hits")
