@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadstats.llm import line_rules, ngram_join, winnowing
+from roadstats.llm import bpe, line_rules, nbsvm, ngram_join, winnowing
 from roadstats.llm.common import read
 
 QUERIES: dict = {}
@@ -111,3 +111,16 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN c USING (rid)
 @query(JOIN_SQL)
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query()
+def op2_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return nbsvm.classify(docs, nbsvm.train(docs, read(spark, sf_dir, "labels")))
+
+
+@query()
+def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
