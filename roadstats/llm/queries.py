@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadstats.llm import bpe, line_rules, nbsvm, ngram_join, winnowing
+from roadstats.llm import bpe, line_rules, nbsvm, ngram_join, pii, secrets, winnowing
 from roadstats.llm.common import read
 
 QUERIES: dict = {}
@@ -124,3 +124,29 @@ def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _joined(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _of_kind(spans, kind):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+@query()
+def op4_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.train(docs)).select(
+        "doc_id", *[_of_kind("base", k) for k in pii.KINDS], F.sha2(_joined("base"), 256).alias("base_sha256"),
+        _joined("spans").alias("spans"))
+
+
+@query()
+def op6_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in secrets.BASE]
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    return found.withColumn("base", base).select(
+        "doc_id", *[_of_kind("base", k) for k in kinds], F.sha2(_joined("base"), 256).alias("base_sha256"),
+        _joined("spans").alias("spans"))
