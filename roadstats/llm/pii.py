@@ -278,7 +278,8 @@ def all_spans(network: Network | None, texts: list[str]) -> list[tuple[list, lis
                 a += 1
             while b > a and not text[b - 1].isalnum():
                 b -= 1
-            if a < b and tests[kind](text[a:b]) and not any(x < b and a < y for x, _, y in own):
+            whole = not text[a - 1:a].isalnum() and not text[b:b + 1].isalnum()  # no part of a longer run
+            if a < b and whole and tests[kind](text[a:b]) and not any(x < b and a < y for x, _, y in own):
                 extra.append((a, kind, b))
         out.append((own, sorted(own + extra)))
     return out

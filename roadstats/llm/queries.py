@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadstats.llm import bpe, line_rules, nbsvm, ngram_join, pii, secrets, winnowing
+from roadstats.llm import (
+    bpe,
+    line_rules,
+    nbsvm,
+    ngram_join,
+    paragraphs,
+    pii,
+    secrets,
+    sharding,
+    url_model,
+    winnowing,
+)
 from roadstats.llm.common import read
 
 QUERIES: dict = {}
@@ -150,3 +161,20 @@ def op6_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base", base).select(
         "doc_id", *[_of_kind("base", k) for k in kinds], F.sha2(_joined("base"), 256).alias("base_sha256"),
         _joined("spans").alias("spans"))
+
+
+@query()
+def op3_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_model.filter_urls(read(spark, sf_dir, "pages"))
+
+
+@query()
+def op7_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(read(spark, sf_dir, "documents"), shards=40).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op8_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(read(spark, sf_dir, "documents"))

@@ -133,3 +133,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                       F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no item's window occurs."""
+    keys = ["__doc_id", "__text_hash"]
+    found = decontaminate(docs, benchmark).where("n_hit > 0").select(
+        F.col("doc_id").alias(keys[0]), F.col("text_hash").alias(keys[1])).distinct()
+    keyed = docs.withColumns({keys[0]: F.col("doc_id"), keys[1]: F.xxhash64("text")})
+    return null_safe(keyed, sent_rows(save(found, "winnow-contaminated"), 32), keys, "left_anti").drop(*keys)
