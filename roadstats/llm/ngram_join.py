@@ -44,7 +44,7 @@ THRESHOLD = 80
 #: Postings that a task packs at once, and that one hash range holds at most on average.
 FLUSH, RANGE = 1_500_000, 2_000_000
 #: Hashes of each set whose lists are searched first, sets in a block of these, and sets that one query is held to at once.
-FIRST_LISTS, BLOCK, ASKED = 3, 64, 512
+FIRST_LISTS, BLOCK, ASKED = 2, 64, 512
 
 
 def _kept(n: int) -> int:
@@ -242,10 +242,10 @@ def set_links(sets: DataFrame) -> DataFrame:
         F.row_number().over(own.orderBy("df", "t")).alias("rarity"), F.row_number().over(own.orderBy("t")).alias("place"))
     # too few shingles that any other set has; else the prefix, after the shingles that are the set's alone
     need = F.ceil(F.col("n") * THRESHOLD / 100)
-    posts = posts.where(F.col("shared") >= need).withColumn(
-        "prefix", F.col("rarity") <= F.col("n") - need + 1 - (F.col("n") - F.col("shared")))
+    posts = posts.where(F.col("shared") >= need).withColumn("pos", F.col("rarity") + F.col("n") - F.col("shared"))
+    posts = posts.withColumn("prefix", F.col("pos") <= F.col("n") - need + 1)
     posts = save(posts.where(F.col("prefix") | (F.col("place") <= FIRST_LISTS)).select(
-        "sig", "n", "t", "prefix", "place"), "join-posts")
+        "sig", "n", "t", "pos", "prefix", "place"), "join-posts")
 
     first = posts.where(F.col("place") <= FIRST_LISTS)
     blocks = first.groupBy("t").agg(F.count("*").alias("in_list")).where("in_list > 1")
@@ -257,16 +257,18 @@ def set_links(sets: DataFrame) -> DataFrame:
 
     labels = connected_components(links)
     labelled = posts.where("prefix").join(labels, posts["sig"] == labels["node"], "left").select(
-        "sig", "n", "t", F.coalesce("component", "sig").alias("label"))
+        "sig", "n", "t", "pos", F.coalesce("component", "sig").alias("label"))
     split = labelled.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     across = save(labelled.join(split.select("t"), "t"), "join-across")
     # the side whose component is smaller asks, so that few queries meet a large group
     sizes = labels.groupBy("component").agg(F.count("*").alias("members"))
     across = across.join(sizes, across["label"] == sizes["component"], "left").select(
-        "sig", "n", "t", "label", F.struct(F.coalesce("members", F.lit(1)).alias("members"), "label").alias("rank"))
-    x, y = across.select("t", *[F.col(c).alias(f"{c}_a") for c in ("sig", "n", "rank")]), across.drop("label")
-    pairs = x.join(y, "t").where((F.col("rank_a") < F.col("rank"))
-                                 & (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * THRESHOLD))
+        "sig", "n", "t", "pos", "label", F.struct(F.coalesce("members", F.lit(1)).alias("members"), "label").alias("rank"))
+    x, y = across.select("t", *[F.col(c).alias(f"{c}_a") for c in ("sig", "n", "pos", "rank")]), across.drop("label")
+    # two linked sets share so many shingles that the rarest of these lies this early in both
+    least = F.ceil((F.col("n") + F.col("n_a")) * THRESHOLD / (100 + THRESHOLD))
+    pairs = x.join(y, "t").where((F.col("rank_a") < F.col("rank")) & (F.col("pos") <= F.col("n") - least + 1)
+                                 & (F.col("pos_a") <= F.col("n_a") - least + 1))
     pairs = save(pairs.select(F.col("sig_a").alias("a"), F.col("sig").alias("b")).distinct(), "join-pairs")
     asked = pairs.groupBy("a").agg(F.ceil(F.count("*") / ASKED).alias("blocks"))
     pairs = pairs.join(asked, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks"))
