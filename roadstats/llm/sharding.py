@@ -61,6 +61,13 @@ def _fill_large(large: list[tuple[int, int, int]], room: list[int]) -> dict[tupl
     return out
 
 
+def _share(free: int, coming: int) -> float:
+    """The share of the moves to let through by chance so that they rarely exceed the places that are free."""
+    if coming <= free:
+        return 1.0
+    return max(0.0, free - 2 * max(free, 0) ** 0.5) / coming
+
+
 def propagate(cells: DataFrame, quota: list[int], rounds: int) -> DataFrame:
     """(g, cell, shard) of the cells (g, cell, n) of linked rows, after ``rounds`` of moves under ``quota``."""
     spark, shards = cells.sparkSession, len(quota)
@@ -73,7 +80,11 @@ def propagate(cells: DataFrame, quota: list[int], rounds: int) -> DataFrame:
     placed = _fill_large(large, room)
     fixed = spark.createDataFrame([(g, c, s) for (g, c), s in placed.items()], "g bigint, cell int, shard int")
 
-    state = cells.where(F.col("size") <= half).select("g", "cell", "n", F.col("cell").alias("shard"))
+    # what starts in a shard that large groups mostly fill goes elsewhere, a group's rows together
+    free = [j for j in range(shards) if room[j] >= half] or list(range(shards))
+    other = _by_shard(free, F.pmod(F.xxhash64("g"), F.lit(len(free))).cast("int"))
+    state = cells.where(F.col("size") <= half).select("g", "cell", "n", F.when(
+        _by_shard([j in free for j in range(shards)], F.col("cell")), F.col("cell")).otherwise(other).alias("shard"))
     for turn in range(rounds):
         # neighbours vote: the shard with most of the group, and among equal ones any, but the same for all
         votes = state.groupBy("g", "shard").agg(F.sum("n").alias("votes"))
@@ -87,13 +98,13 @@ def propagate(cells: DataFrame, quota: list[int], rounds: int) -> DataFrame:
         if not any(coming):
             state = moves
             break
-        share = [min(1.0, max(0.0, (room[j] - staying[j]) / coming[j])) if coming[j] else 1.0 for j in range(shards)]
+        share = [_share(room[j] - staying[j], coming[j]) for j in range(shards)]
         let = F.pmod(F.xxhash64("g", F.lit(-1 - turn)), F.lit(1 << 20)) < _by_shard(share, F.col("target")) * (1 << 20)
         state = moves.select("g", "cell", "n", F.when(let, F.col("target")).otherwise(F.col("shard")).alias("shard"))
     return state.select("g", "cell", "shard").union(fixed)
 
 
-def assign(docs: DataFrame, shards: int = 40, rounds: int = 5) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, size, text_crc32, shard and slot."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),

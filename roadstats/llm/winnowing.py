@@ -49,30 +49,33 @@ def _fingerprints(df: DataFrame, words: str) -> DataFrame:
     return df.withColumn("fp", F.slice("fp", F.lit(1), F.greatest(F.size(words) - (WINDOW - 1), F.lit(0))))
 
 
+def _runs(words: str, n: int, of) -> Column:
+    """``of`` the (0-based) start and the words of every run of ``n`` words; none in a shorter text."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))
+    return F.transform(F.filter(starts, lambda i: i + n <= F.size(words)), lambda i: of(i, F.slice(words, i + 1, F.lit(n))))
+
+
+def _short_hash(run: Column, n: int) -> Column:
+    return F.xxhash64(F.array_join(run, " "), F.lit(n))
+
+
 def _short_hashes(words: str, lengths: list[int]) -> Column:
     """Hashes of every run of words as long as a short item; mostly there are none."""
-    runs = [F.when(F.size(words) >= n, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))),
-        lambda i, n=n: F.xxhash64(F.array_join(F.slice(words, i, F.lit(n)), " "), F.lit(n)))) for n in lengths]
-    empty = F.array().cast("array<bigint>")
-    return F.concat(empty, *[F.coalesce(x, empty) for x in runs])
+    def of_length(n: int) -> Column:
+        return _runs(words, n, lambda _, run: _short_hash(run, n))
+    return F.concat(F.array().cast("array<bigint>"), *[of_length(n) for n in lengths])
 
 
 def _windows(words: str, lengths: list[int]) -> Column:
-    """(start, words, text, fp) of every window of 10 words, and of every run as long as a short item."""
+    """(start, len, window, fp) of every window of 10 words, and of every run as long as a short item."""
+    def of_length(n: int) -> Column:
+        return _runs(words, n, lambda i, run: F.struct(
+            i.alias("start"), F.lit(n).alias("len"), F.array_join(run, " ").alias("window"),
+            _short_hash(F.transform(run, F.lower), n).alias("fp")))
     ten = F.transform("fp", lambda x, i: F.struct(
         i.alias("start"), F.lit(WINDOW).alias("len"),
         F.array_join(F.slice(words, i + 1, F.lit(WINDOW)), " ").alias("window"), x.alias("fp")))
-    out = [ten]
-    for n in lengths:
-        out.append(F.when(F.size(words) >= n, F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))),
-            lambda i, n=n: F.struct(i.alias("start"), F.lit(n).alias("len"),
-                                    F.array_join(F.slice(words, i + 1, F.lit(n)), " ").alias("window"),
-                                    F.xxhash64(F.array_join(F.slice(F.transform(words, F.lower), i + 1, F.lit(n)), " "),
-                                               F.lit(n)).alias("fp")))).otherwise(F.array().cast(
-                                                   "array<struct<start:int,len:int,window:string,fp:bigint>>")))
-    return F.concat(*out) if len(out) > 1 else ten
+    return F.concat(ten, *[of_length(n) for n in lengths])
 
 
 def _exact(df: DataFrame, carried: list[str], lengths: list[int]) -> DataFrame:
