@@ -1,6 +1,6 @@
 """BPE encoding and decoding by prefix-sharing trie traversal.
 
-Each batch's distinct new words go into a byte trie.  A depth-first walk carries the
+Each batch's distinct new words go into a byte trie.  Its depth-first walk carries the
 last token of the encoding of every prefix: of the tokens that end there, it is the
 one that may follow the last token of the prefix it leaves, so a prefix that many
 words share is worked out once.  A word's encoding follows the last tokens back.
@@ -26,7 +26,7 @@ _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _S + r"\p{L}\p{N}]+|["
            + _S + r"]+(?![^" + _S + r"])|[" + _S + r"]+")
 #: Words whose encodings a task holds at once.
-HELD_WORDS = 300_000
+HELD_WORDS = 600_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -78,41 +78,46 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.known = vocabulary, {}
-        self.longest = max(map(len, vocabulary.ids))
+        #: What tokens end with: the token's id, or -1 for a mere end of a longer one.
+        self.tails = {t[i:]: -1 for t in vocabulary.ids for i in range(1, len(t))} | vocabulary.ids
 
     def learn(self, words: set[str]) -> None:
-        trie: dict = {}
-        for word in words:
-            node = trie
-            for b in word.encode():
-                node = node.setdefault(b, {})
-            node[-1] = word
-        ids, may_follow, longest = self.vocabulary.ids, self.vocabulary.may_follow, self.longest
-        # depth first, by a stack of (node, depth); last[d] and size[d] are the state of the prefix of d bytes
-        path, last, size = bytearray(), [0], [0]
-        stack = [(trie, 0, -1)]
-        while stack:
-            node, depth, byte = stack.pop()
-            if depth:
-                del path[depth - 1:]
-                path.append(byte)
-                del last[depth:], size[depth:]
-                for n in range(min(depth, longest), 0, -1):
-                    token = ids.get(bytes(path[depth - n:]))
-                    if token is not None and (n == depth or may_follow(last[depth - n], token)):
-                        last.append(token)
-                        size.append(n)
+        """Encode ``words``.  Their trie is held as the sorted words: that is its depth-first order, and what a word
+        shares with the one before is the branch that both lie on."""
+        vocabulary, tails, known = self.vocabulary, self.tails, self.known
+        follows, may_follow, token_bytes = vocabulary.follows, vocabulary.may_follow, vocabulary.bytes
+        last, size, before = [0], [0], b""  # last token of each prefix of the branch, and that token's length
+        for path, word in sorted((w.encode(), w) for w in words):
+            depth, most = 0, min(len(path), len(before))
+            while depth < most and path[depth] == before[depth]:
+                depth += 1
+            del last[depth + 1:], size[depth + 1:]
+            while depth < len(path):
+                depth += 1
+                ends, n = [], 1
+                while n <= depth:
+                    token = tails.get(path[depth - n:depth])
+                    if token is None:
                         break
-            for b, child in node.items():
-                if b != -1:
-                    stack.append((child, depth + 1, b))
-                else:
-                    found, at = [], depth
-                    while at:
-                        found.append(last[at])
-                        at -= size[at]
-                    found.reverse()
-                    self.known[child] = (",".join(map(str, found)), b"".join([self.vocabulary.bytes[t] for t in found]))
+                    if token >= 0:
+                        ends.append((token, n))
+                    n += 1
+                for token, n in reversed(ends):
+                    if n == depth:
+                        break
+                    pair = (last[depth - n], token)
+                    fits = follows.get(pair)
+                    if may_follow(*pair) if fits is None else fits:
+                        break
+                last.append(token)
+                size.append(n)
+            found, at = [], depth
+            while at:
+                found.append(last[at])
+                at -= size[at]
+            found.reverse()
+            known[word] = (",".join(map(str, found)), b"".join([token_bytes[t] for t in found]))
+            before = path
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text, special tokens among them."""
