@@ -96,6 +96,9 @@ PLACE_SUFFIXES = [
     "town", "city", "CDP",
 ]
 
+# Fixed value: places of which only the largest part counts (state, place).
+LARGEST_PART_PLACES = (("06", "67000"),)
+
 # Consolidated city-county government: target place and its member places.
 CONSOLIDATED_TARGET = ("21", "48006")
 CONSOLIDATED_POINT_SOURCE = ("21", "48000")

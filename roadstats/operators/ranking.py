@@ -51,15 +51,21 @@ ALL_RANK_OUTPUTS = RANK_COLS + PCT_COLS + RANK_VZ_COLS + PCT_VZ_COLS
 
 
 def sort_key(col: str, ascending: bool = True, nulls_last: bool = True,
-             prefix: str | None = None) -> list:
+             prefix: str | None = None, text: bool = False) -> list:
     """Null-free, ascending-comparable key columns for one ORDER BY term.
 
     (null flag, value) — the flag puts nulls last (or first); descending
-    numeric terms are negated.  Equal keys <=> tied rows.
+    numeric terms are negated.  ``text``: the column is a string; descending,
+    its key is the negated code points, closed by a value above them all so
+    that a longer string precedes its own beginning.  Equal keys <=> tied rows.
     """
     p = prefix or f"_k_{col}"
     c = F.col(col)
     flag = c.isNull() if nulls_last else c.isNotNull()
+    if text:
+        points = F.transform(F.split(F.coalesce(c, F.lit("")), ""), lambda x: -F.ascii(x))
+        val = F.coalesce(c, F.lit("")) if ascending else F.concat(points, F.array(F.lit(1)))
+        return [flag.alias(f"{p}_n"), val.alias(f"{p}_v")]
     val = c if ascending else -c
     return [flag.alias(f"{p}_n"), F.coalesce(val.cast("double"), F.lit(0.0)).alias(f"{p}_v")]
 

@@ -68,7 +68,7 @@ def normalize_crashes(spark: SparkSession, raw: DataFrame, city_codes: DataFrame
         lon.alias("lon"), lat.alias("lat"), status.alias("coord_status"),
         F.coalesce(*[F.when(~has[c], F.lit(f"missing_column_{c}")) for c in CRASH_REQUIRED])
          .alias("_missing"),
-        "source_file", "load_order",
+        "source_file", "load_order", *_raw_row(raw),
     )
     codes = (city_codes.groupBy("state_code", "fars_city_code")
              .agg(F.max("fars_city_name").alias("_code_name"))
@@ -97,8 +97,8 @@ def normalize_crashes(spark: SparkSession, raw: DataFrame, city_codes: DataFrame
         F.when(F.col("total_fatalities") < 0, F.lit("negative_fatalities")),
         *too_long,
     )
-    return t.withColumn("reject_reason", reason).select(
-        *CRASH_COLUMNS, "reject_reason", "source_file", "load_order")
+    return _rejected_raw(t.withColumn("reject_reason", reason).select(
+        *CRASH_COLUMNS, "reject_reason", "source_file", "load_order", *_raw_row(t)))
 
 
 def load_crashes(typed: DataFrame, target: DataFrame | None = None) -> DataFrame:
@@ -131,9 +131,23 @@ def normalize_persons(raw: DataFrame) -> DataFrame:
     ints = [nz.int_text(src).alias(dst) for src, dst in PERSON_INT_FIELDS]
     t = raw.select(nz.int_text("ST_CASE").alias("st_case"),
                    F.col("dataset_year").alias("year"), *ints,
-                   "source_file", "load_order")
+                   "source_file", "load_order", *_raw_row(raw))
     bad = [F.when(F.col(dst).isNull(), F.lit(f"bad_{dst}")) for _, dst in PERSON_INT_FIELDS]
-    return t.withColumn("reject_reason", F.coalesce(*bad))
+    return _rejected_raw(t.withColumn("reject_reason", F.coalesce(*bad)))
+
+
+def with_raw_row(raw: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """``raw`` and ``raw_row``, its fields as they stand in the file (JSON), for the quarantine."""
+    return raw.withColumn("raw_row", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+
+
+def _raw_row(df: DataFrame) -> list[str]:
+    return ["raw_row"] if "raw_row" in df.columns else []
+
+
+def _rejected_raw(df: DataFrame) -> DataFrame:
+    """``raw_row`` is kept for rejected rows only."""
+    return df.withColumns({c: F.when(F.col("reject_reason").isNotNull(), F.col(c)) for c in _raw_row(df)})
 
 
 def load_persons(typed_persons: DataFrame, crashes: DataFrame,

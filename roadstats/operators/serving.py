@@ -140,7 +140,8 @@ def sort_positions(cities: DataFrame, field: str = "population", ascending: bool
            "avgFatalities": "avg_fatalities_5yr" if not sfx else f"avg_5yr{sfx}",
            "perCapita": "avg_per_100k_5yr" if not sfx else f"avg_per_100k{sfx}",
            "trend": f"trend_pct_change{sfx}"}.get(field, "population")
-    k = sort_key(col, ascending=ascending, nulls_last=True, prefix="_s")
+    k = sort_key(col, ascending=ascending, nulls_last=True, prefix="_s",
+                 text=dict(cities.dtypes)[col] == "string")
     keyed = cities.select("*", F.lit("sort").alias("_g"), *k)
     ranked = global_rank(keyed, "_g", ["_s_n", "_s_v", *CITY_KEY])
     return ranked.withColumnRenamed("rank", "position").drop("_g", "_s_n", "_s_v", "n")

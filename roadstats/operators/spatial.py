@@ -123,8 +123,9 @@ def assign_points(points: DataFrame, vertices: DataFrame, point_key: Sequence[st
     (e.g. merged city targets), then the smallest key (deterministic).
     Returns (point_key…, key…)."""
     pk = list(point_key)
-    key = list(key)
-    rows, boundary, interior = classify_cells(edges(vertices, key), cell, key)
+    place, key = list(key), [*key, "part"]
+    # parity is taken per part: a point in two overlapping parts is inside (holes belong to their part)
+    rows, boundary, interior = classify_cells(edges(vertices, place), cell, key)
     pts = points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(
         *pk, "lon", "lat", F.floor(F.col("lon") / F.lit(cell)).alias("cx"),
         F.floor(F.col("lat") / F.lit(cell)).alias("cy"))
@@ -146,7 +147,8 @@ def assign_points(points: DataFrame, vertices: DataFrame, point_key: Sequence[st
             .agg(F.bool_or("_in").alias("_in"), F.count_if(crosses).alias("n"),
                  F.coalesce(F.bool_or(on_edge), F.lit(False)).alias("edge"))
             .filter(F.col("_in") | ((F.col("n") % 2 == 1) & ~F.col("edge")))
-            .select(*pk, *key))
+            .select(*pk, *place))
+    key = place
     if preferred is not None:
         pref = preferred.select(*key).withColumn("_pref", F.lit(0))
         hits = hits.join(pref, key, "left") \
@@ -189,8 +191,15 @@ def part_areas(vertices: DataFrame, key: Sequence[str] = PLACE_KEY) -> DataFrame
         F.count(F.lit(1)).alias("n_rings"))
 
 
-def largest_part(vertices: DataFrame, key: Sequence[str] = PLACE_KEY) -> DataFrame:
-    """Keep only the largest part of each place (ties: lowest part id)."""
+def largest_part(vertices: DataFrame, key: Sequence[str] = PLACE_KEY,
+                 only: DataFrame | None = None) -> DataFrame:
+    """Keep only the largest part of each place (ties: lowest part id);
+    ``only``: of these places alone, others keep all their parts."""
+    if only is not None:
+        named = only.select(*key).distinct()
+        rest = vertices.join(named, list(key), "left_anti")
+        return rest.unionByName(largest_part(vertices.join(named, list(key), "left_semi"), key)
+                                .select(*rest.columns))
     areas = part_areas(vertices, key)
     best = areas.groupBy(*key).agg(
         F.max_by("part", F.struct(F.col("area"), -F.col("part"))).alias("part"))
@@ -201,12 +210,14 @@ def union_edges(edge_tab: DataFrame, members: DataFrame, key: Sequence[str] = PL
                 target: Sequence[str] = ("target_state", "target_place")) -> DataFrame:
     """Union of member polygons into a target as an edge set.
 
-    Shared borders appear once per neighbour in opposite directions; the
-    undirected edge then occurs twice and is cancelled.  What remains is the
-    boundary of the union (overlapping members stay a multi-part cover).
+    Shared borders appear in opposite directions and cancel; an edge that
+    several members have in the same direction (identical or nested members)
+    counts once.  What remains is the boundary of the union where members
+    touch or coincide (members that partly overlap stay a cover by their own
+    rings).
     """
     t = list(target)
-    e = edge_tab.join(members, list(key), "inner")
+    e = edge_tab.join(members, list(key), "inner").select(*t, "x1", "y1", "x2", "y2").distinct()
     a = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))
     b = F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
     lo, hi = F.least(a, b), F.greatest(a, b)

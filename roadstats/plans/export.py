@@ -79,15 +79,22 @@ def write_cities(cities: DataFrame, out: str) -> str:
     return path
 
 
-def boundary_export(vertices: DataFrame, tolerance: float = SIMPLIFY_TOLERANCE) -> DataFrame:
-    """E3 rows: (state_fips, place_fips, geometry) after G10."""
-    return sa.geojson_geometries(sa.simplify_rings(vertices, tolerance))
-
-
-def write_boundaries(vertices: DataFrame, out: str,
+def boundary_export(vertices: DataFrame, places: DataFrame,
+                    tolerance: float = SIMPLIFY_TOLERANCE) -> DataFrame:
+    """E3 rows: (state_fips, place_fips, value), value a GeoJSON Feature with
+    the place's name and codes and its geometry after G10."""
+    shapes = sa.geojson_geometries(sa.simplify_rings(vertices, tolerance))
+    keys = ["state_fips", "place_fips"]
+    named = shapes.join(places.select(*keys, "place_name").dropDuplicates(keys), keys, "left")
+    properties = F.to_json(F.struct("place_name", *keys), {"ignoreNullFields": "false"})
+    return named.select(*keys, F.concat(F.lit('{"type":"Feature","properties":'), properties,
+                                        F.lit(',"geometry":'), F.col("geometry"), F.lit("}")).alias("value"))
+
+
+def write_boundaries(vertices: DataFrame, places: DataFrame, out: str,
                      tolerance: float = SIMPLIFY_TOLERANCE) -> str:
     path = f"{out}/boundaries"
-    (boundary_export(vertices, tolerance)
+    (boundary_export(vertices, places, tolerance)
      .write.mode("overwrite").partitionBy("state_fips", "place_fips").text(path))
     return path
 
@@ -102,9 +109,11 @@ def write_annual(annual: DataFrame, out: str) -> str:
 
 
 def write_crash_points(points: DataFrame, out: str, partitions: int | None = None) -> str:
-    """E5: one folder per (city, year); skew-safe range partitioning."""
+    """E5: one folder per (city, year); skew-safe range partitioning.  The
+    folder's year is a copy, so that the rows keep theirs."""
     path = f"{out}/crashes"
-    keys = ["state_fips", "place_fips", "year"]
+    keys = ["state_fips", "place_fips", "folder_year"]
+    points = points.withColumn("folder_year", F.col("year"))
     ranged = (points.repartitionByRange(partitions, *keys, "st_case") if partitions
               else points.repartitionByRange(*keys, "st_case"))   # AQE may coalesce
     (ranged.sortWithinPartitions(*keys, "st_case")

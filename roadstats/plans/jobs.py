@@ -27,6 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadstats.functions import dims
 from roadstats.operators import city_stats as cs
 from roadstats.operators import hotspots as hs
 from roadstats.operators import places as pl
@@ -46,13 +47,17 @@ def _table(spark: SparkSession, out: str, name: str) -> DataFrame:
 
 
 def run_city_load(spark: SparkSession, place_root: str, out: str,
-                  largest_part_only: bool = True) -> DataFrame:
-    """§3.2: the places table with populations, pledged flags and points."""
+                  largest_part_places: Sequence[tuple[str, str]] = dims.LARGEST_PART_PLACES
+                  ) -> DataFrame:
+    """§3.2: the places table with populations, pledged flags and points.
+    ``largest_part_places``: (state, place) of which only the largest part
+    counts (O4); all others keep every part."""
     v = pf.scan_boundaries(spark, place_root)
     places = pl.load_boundaries(spark, v)
     verts = pl.boundary_vertices(v, places)
-    if largest_part_only:
-        verts = sa.largest_part(verts)
+    if largest_part_places:
+        verts = sa.largest_part(verts, only=F.broadcast(spark.createDataFrame(
+            list(largest_part_places), "state_fips string, place_fips string")))
     verts.write.mode("overwrite").parquet(f"{out}/place_vertices")
 
     pops = reliable_checkpoint(pl.load_populations(pf.scan_populations(spark, place_root)))
@@ -70,28 +75,64 @@ def run_city_load(spark: SparkSession, place_root: str, out: str,
             .withColumn("dataset", F.lit("populations")))
 
 
+def _loaded(path: str, years: list[int] | None, like: DataFrame) -> DataFrame | None:
+    """The table at ``path`` (columns of ``like``) cut to the incoming years
+    (its partitions), or None if there is none yet."""
+    spark = like.sparkSession
+    if not rf._exists(spark, path):
+        return None
+    t = spark.read.schema(like.schema).parquet(path)
+    return t if years is None else t.filter(F.col("year").isin(years))
+
+
 def run_crash_load(spark: SparkSession, raw_root: str, out: str, codes: DataFrame,
                    years: Sequence[int] | None = None) -> DataFrame:
     """§3.1 stages 2–8: crash and person files of the selected years into
-    keyed tables; returns rows per (dataset, year, outcome)."""
-    selected = rf.resolve_years(years) if years is not None else None
-    crashes = reliable_checkpoint(rl.load_crashes(rl.normalize_crashes(
-        spark, rf.scan_crash_files(spark, raw_root, selected), codes)))
+    keyed tables; returns rows per (dataset, year, outcome).
+
+    New keys are appended, so other years and rows that are there already
+    stay, and a run that is repeated adds nothing.  A year without a person
+    file keeps its crashes and is reported as (person, year, missing_file).
+    Rejected rows go to ``quarantine`` as they stood in the file; a repeated
+    year replaces its own.
+    """
+    selected = None if years is None else sorted(rf.resolve_years(years))
+    files = rf.dataset_presence(rf.dataset_files(spark, raw_root))
+    if selected is not None:
+        files = files.filter(F.col("year").isin(selected))
+    missing = files.filter("loads_crashes AND NOT loads_persons").select(
+        F.lit("person").alias("dataset"), "year", F.lit("missing_file").alias("outcome"),
+        F.lit(1).cast("long").alias("n_rows"))
+    raw = rf.scan_crash_files(spark, raw_root, selected)
+    if raw is None:
+        return missing
+    typed = rl.normalize_crashes(spark, rl.with_raw_row(raw, rf.CRASH_FIELDS), codes)
+    table = typed.select(*rl.CRASH_COLUMNS)
+    crashes = reliable_checkpoint(rl.load_crashes(typed, _loaded(f"{out}/crashes", selected, table)))
     rl.inserted(crashes, rl.CRASH_COLUMNS) \
-        .write.mode("overwrite").partitionBy("year").parquet(f"{out}/crashes")
-    keys = rl.inserted(crashes, rl.CRASH_KEY)
-    persons = reliable_checkpoint(rl.load_persons(
-        rl.normalize_persons(rf.scan_person_files(spark, raw_root, selected)), keys))
-    persons.filter(F.col("outcome") == "inserted").drop("outcome", "reject_reason", "load_order") \
-        .write.mode("overwrite").partitionBy("year").parquet(f"{out}/persons")
-    q_cols = ["year", "source_file", "reject_reason"]
-    (crashes.filter(F.col("outcome") == "error").select(*q_cols, F.lit("crash").alias("dataset"))
-     .unionByName(persons.filter(F.col("outcome") == "error")
-                  .select(*q_cols, F.lit("person").alias("dataset")))
-     .write.mode("overwrite").parquet(f"{out}/quarantine"))
-    counts = (crashes.select("year", "outcome").withColumn("dataset", F.lit("crash"))
-              .unionByName(persons.select("year", "outcome").withColumn("dataset", F.lit("person"))))
-    return counts.groupBy("dataset", "year", "outcome").agg(F.count(F.lit(1)).alias("n_rows"))
+        .write.mode("append").partitionBy("year").parquet(f"{out}/crashes")
+    loads = [(crashes, "crash")]
+    raw = rf.scan_person_files(spark, raw_root, selected)
+    if raw is not None:
+        keys = _loaded(f"{out}/crashes", selected, table).select(*rl.CRASH_KEY)
+        typed = rl.normalize_persons(rl.with_raw_row(raw, rf.PERSON_FIELDS))
+        table = typed.drop("reject_reason", "load_order", "raw_row")
+        persons = reliable_checkpoint(rl.load_persons(
+            typed, keys, _loaded(f"{out}/persons", selected, table)))
+        persons.filter(F.col("outcome") == "inserted").select(*table.columns) \
+            .write.mode("append").partitionBy("year").parquet(f"{out}/persons")
+        loads.append((persons, "person"))
+    for rows, dataset in loads:
+        (rows.filter(F.col("outcome") == "error")
+         .select("source_file", "reject_reason", "raw_row", "year", F.lit(dataset).alias("dataset"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("year", "dataset").parquet(f"{out}/quarantine"))
+    counts = missing
+    for rows, dataset in loads:
+        counts = counts.unionByName(
+            rows.withColumn("dataset", F.lit(dataset)).groupBy("dataset", "year", "outcome")
+            .agg(F.count(F.lit(1)).alias("n_rows")))
+    return counts
 
 
 def run_enrichment(spark: SparkSession, out: str, cell: float = 0.05) -> DataFrame:
@@ -141,7 +182,7 @@ def run_exports(spark: SparkSession, out: str, export_root: str,
     ex.write_cities(ex.city_export(places, stats, min_population), export_root)
     verts = _table(spark, out, "place_vertices").join(eligible, ["state_fips", "place_fips"],
                                                      "left_semi")
-    ex.write_boundaries(verts, export_root)
+    ex.write_boundaries(verts, places, export_root)
     ex.write_annual(sv.annual_fatalities(crashes, eligible), export_root)
     points = sv.export_crash_points(crashes, eligible)
     ex.write_crash_points(points, export_root)

@@ -378,15 +378,12 @@ def q_dominant_type_summary(spark, sf_dir):
     f"round(abs({c}), 1) AS magnitude FROM sp_eligible" for c in cs.TREND_COLS))
 def q_trend_directions(spark, sf_dir):
     stats = cs.eligible(cs.city_stats(sp.loaded_crashes(spark, sf_dir), sp.places(spark, sf_dir)))
-    parts = []
+    rows = []
     for c in cs.TREND_COLS:
         d, m = sv.trend_direction(c)
-        parts.append(stats.select("state_fips", "place_fips", F.lit(c).alias("metric"),
-                                  d.alias("direction"), m.alias("magnitude")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        rows.append(F.struct(F.lit(c).alias("metric"), d.alias("direction"), m.alias("magnitude")))
+    # one pass over the stats: a row per metric
+    return stats.select("state_fips", "place_fips", F.inline(F.array(*rows)))
 
 
 @register("city_search", """
@@ -830,11 +827,11 @@ def q_export_boundaries(spark, sf_dir):
     counted per part and ring (closing point included)."""
     v = pf.scan_boundaries(spark, _place_root(spark, sf_dir))
     places = pl.load_boundaries(spark, v)
-    path = ex.write_boundaries(pl.boundary_vertices(v, places), _export_dir(spark))
+    path = ex.write_boundaries(pl.boundary_vertices(v, places), places, _export_dir(spark))
     back = spark.read.schema("value string, state_fips string, place_fips string").text(path)
     g = back.select("state_fips", "place_fips",
-                    F.get_json_object("value", "$.type").alias("t"),
-                    F.get_json_object("value", "$.coordinates").alias("c"))
+                    F.get_json_object("value", "$.geometry.type").alias("t"),
+                    F.get_json_object("value", "$.geometry.coordinates").alias("c"))
     parts = F.when(F.col("t") == "Polygon", F.array(F.from_json("c", "array<array<array<double>>>"))) \
         .otherwise(F.from_json("c", "array<array<array<array<double>>>>"))
     p = g.select("state_fips", "place_fips", F.posexplode(parts).alias("part", "rings"))

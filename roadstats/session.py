@@ -41,8 +41,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
     Reads ``spark.checkpoint.dir`` from the session (or an already-set
-    SparkContext checkpoint dir).  Only when nothing is configured — local
-    tests — a fresh scratch folder is created and registered.
+    SparkContext checkpoint dir).  Only when nothing is configured on a local
+    master (tests) a fresh scratch folder is created and registered; on a
+    cluster that is an error, as executors share no local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,6 +52,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="roadstats-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -44,6 +44,30 @@ def test_runs_chain(spark, tmp_path):
     assert years == {1996}
 
 
+def test_year_loads_keep_other_years(spark, tmp_path):
+    out, raw_root = str(tmp_path / "tables"), rf.ensure_fars_files(spark, SF_SMALL)
+    codes = sp.city_codes(spark, SF_SMALL)
+    jobs.run_crash_load(spark, raw_root, out, codes).collect()
+
+    def per_year(table):
+        return {r["year"]: r["count"] for r in spark.read.parquet(f"{out}/{table}").groupBy("year").count().collect()}
+    before = {t: per_year(t) for t in ("crashes", "persons", "quarantine")}
+    assert len(before["crashes"]) == 7
+    again = jobs.run_crash_load(spark, raw_root, out, codes, years=[1996]).collect()
+    assert {t: per_year(t) for t in before} == before
+    assert not [r for r in again if r["outcome"] == "inserted"] and {r["year"] for r in again} == {1996}
+    rejected = spark.read.parquet(f"{out}/quarantine")
+    assert rejected.filter("raw_row IS NULL").count() == 0
+    assert rejected.filter("dataset = 'crash'").select(F.get_json_object("raw_row", "$.STATE").alias("s")) \
+        .filter("s IS NOT NULL").count() > 0
+
+    # a year without a person file keeps its crashes, and says so
+    alone = str(tmp_path / "alone")
+    got = jobs.run_crash_load(spark, raw_root, alone, codes, years=[2001]).collect()
+    assert ("person", 2001, "missing_file", 1) in [tuple(r) for r in got]
+    assert spark.read.parquet(f"{alone}/crashes").count() == before["crashes"][2001]
+
+
 def test_hotspot_run(spark, tmp_path):
     out, exports = str(tmp_path / "tables"), str(tmp_path / "exports")
     # hotspots from the stand-in crash table (eligible customer places)

@@ -48,3 +48,14 @@ def test_hot_key_rank(spark):
     zeros = {v[0] for k, v in got.items() if k % 3 == 0}
     assert zeros == {1}
     assert got[1][0] == 101  # 100 zeros precede the smallest non-zero value
+
+
+def test_sort_positions_by_name(spark):
+    from roadstats.operators import serving
+    rows = [("01", "1", "Abc"), ("01", "2", "Ab"), ("01", "3", None), ("01", "4", "b"), ("01", "5", "Ab")]
+    df = spark.createDataFrame(rows, "state_fips string, place_fips string, place_name string")
+
+    def order(ascending):
+        got = serving.sort_positions(df, "city", ascending=ascending).collect()
+        return [r["place_fips"] for r in sorted(got, key=lambda r: r["position"])]
+    assert order(True) == ["2", "5", "1", "4", "3"] and order(False) == ["4", "1", "2", "5", "3"]

@@ -113,3 +113,37 @@ def test_assignment_matches_brute_force_with_a_hot_cell(spark):
             want[i] = hits[0]
     assert got == want
     assert sum(1 for i in got if i >= 2000) > 0
+
+
+def _square(place, part, x, y, size, ring=0):
+    corners = [(x, y), (x + size, y), (x + size, y + size), (x, y + size)]
+    return [("01", place, part, ring, i, float(a), float(b)) for i, (a, b) in enumerate(corners)]
+
+
+SQUARES = "state_fips string, place_fips string, part int, ring int, seq int, x double, y double"
+
+
+def test_overlapping_parts_and_holes(spark):
+    rows = _square("A", 0, 0, 0, 4) + _square("A", 1, 2, 2, 4) + _square("A", 0, 0.5, 0.5, 1, ring=1)
+    vertices = spark.createDataFrame(rows, SQUARES)
+    points = spark.createDataFrame([(1, 3.0, 3.0), (2, 1.0, 1.0), (3, 5.0, 5.0), (4, 0.25, 3.0), (5, 5.0, 1.0)],
+                                   "id int, lon double, lat double")
+    for cell in (0.3, 2.5, 10.0):
+        got = {r["id"] for r in sa.assign_points(points, vertices, ["id"], cell).collect()}
+        assert got == {1, 3, 4}
+
+
+def test_largest_part_of_named_places(spark):
+    rows = [r for p in "AB" for r in _square(p, 0, 0, 0, 1) + _square(p, 1, 5, 5, 3)]
+    only = spark.createDataFrame([("01", "A")], "state_fips string, place_fips string")
+    got = sa.largest_part(spark.createDataFrame(rows, SQUARES), only=only)
+    assert {(r["place_fips"], r["part"]) for r in got.collect()} == {("A", 1), ("B", 0), ("B", 1)}
+
+
+def test_union_of_identical_and_touching_members(spark):
+    rows = _square("A", 0, 0, 0, 1) + _square("B", 0, 0, 0, 1) + _square("C", 0, 1, 0, 1)
+    members = spark.createDataFrame([("01", p, "01", "T") for p in "ABC"],
+                                    "state_fips string, place_fips string, target_state string, target_place string")
+    got = sa.union_edges(sa.edges(spark.createDataFrame(rows, SQUARES)), members).collect()
+    area = sum(r["x1"] * r["y2"] - r["x2"] * r["y1"] for r in got) / 2
+    assert len(got) == 6 and area == 2.0
