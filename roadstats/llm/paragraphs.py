@@ -1,7 +1,7 @@
 """Substring dedup: paragraph MinHash banding.
 
 A paragraph is a line of at least ``MIN_WORDS`` words, as its set of 5-word shingles.
-Equal sets are one entry.  Each entry's MinHash signature is cut into bands, tuned for
+Equal word sequences (A-Z lower-cased) are one entry.  Each entry's MinHash signature is cut into bands, tuned for
 high recall at the similarity asked for; entries that collide in a band are joined
 (with the first of the bucket and with the one before, never all with all), their
 exact Jaccard similarity is checked, and components of what is similar are clusters.
@@ -21,11 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadstats.llm.common import connected_components, null_safe, save, sent
-from roadstats.llm.shingles import WordHashes, shingle_set, signature, words_of
+from roadstats.llm.shingles import WordHashes, shingle_hashes, shingle_set, words_of
 
 MIN_WORDS, THRESHOLD = 20, 80
 FLUSH, RANGE = 1_500_000, 2_000_000
@@ -69,16 +70,21 @@ def _paragraphs(text: str | None) -> Iterator[tuple[int, int, int, list[bytes]]]
         at += len(line) + 1
 
 
+def entry(words: list[bytes]) -> int:
+    """A signed 64-bit hash of a paragraph's words."""
+    h = xxhash.xxh3_64_intdigest(b" ".join(words))
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
 def paragraph_table(docs: DataFrame) -> DataFrame:
     """(doc_id, paragraph, start, end, n_words, sig) of every paragraph."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             at, cols = [], [[] for _ in range(5)]
             for row, text in enumerate(batch.column(1)):
                 for i, start, end, words in _paragraphs(text.as_py()):
                     at.append(row)
-                    for col, v in zip(cols, (i, start, end, len(words), signature(shingle_set(words, hashes)))):
+                    for col, v in zip(cols, (i, start, end, len(words), entry(words))):
                         col.append(v)
             yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, pa.int64()) for c in cols]],
                                   names=["doc_id", "paragraph", "start", "end", "n_words", "sig"])
@@ -107,14 +113,13 @@ def _packed_bands(docs: DataFrame, ranges: int) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 for *_, words in _paragraphs(text.as_py()):
-                    tokens = shingle_set(words, hashes)
-                    sig = signature(tokens)
+                    sig = entry(words)
                     if sig in seen:
                         continue
                     if len(seen) >= 500_000:
                         seen.clear()
                     seen.add(sig)
-                    keys.append(band_keys(tokens))
+                    keys.append(band_keys(shingle_hashes(words, hashes)))
                     owners.append(np.full(BANDS, sig, np.int64))
                     held += BANDS
                     if held >= FLUSH:
@@ -148,12 +153,11 @@ def _token_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
                 wanted, sigs, sets = set(wanted), [], []
                 for *_, words in _paragraphs(text.as_py()):
-                    tokens = shingle_set(words, hashes)
-                    sig = signature(tokens)
+                    sig = entry(words)
                     if sig in wanted:
                         wanted.discard(sig)
                         sigs.append(sig)
-                        sets.append(tokens)
+                        sets.append(shingle_set(words, hashes))
                 yield pa.record_batch([pa.array(sigs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["sig", "tokens"])
     per_doc = save(chosen.groupBy("doc_id").agg(F.collect_set("sig").alias("wanted")), "paragraph-wanted")
     texts = null_safe(docs.select("doc_id", "text"), sent(per_doc, 80), ["doc_id"], "inner").select("text", "wanted")

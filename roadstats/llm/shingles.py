@@ -33,8 +33,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_set(words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes (int64) of the text's shingles; fewer than five words are one shingle."""
+def shingle_hashes(words: list[bytes], hashes: WordHashes) -> np.ndarray:
+    """64-bit hashes (int64) of the text's shingles in order; fewer than five words are one shingle."""
     n = len(words)
     if not n:
         return np.empty(0, np.int64)
@@ -43,7 +43,12 @@ def shingle_set(words: list[bytes], hashes: WordHashes) -> np.ndarray:
     out = _mixed(h[:n - width + 1] + np.uint64(width))
     for i in range(1, width):
         out = _mixed(out + h[i:n - width + 1 + i])
-    return np.unique(out.view(np.int64))
+    return out.view(np.int64)
+
+
+def shingle_set(words: list[bytes], hashes: WordHashes) -> np.ndarray:
+    """The distinct hashes, sorted."""
+    return np.unique(shingle_hashes(words, hashes))
 
 
 def signature(values: np.ndarray) -> int:
