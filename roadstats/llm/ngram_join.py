@@ -42,7 +42,7 @@ from roadstats.llm.shingles import WordHashes, shingle_set, signature, words_of
 #: Per cent of the union that linked sets share.
 THRESHOLD = 80
 #: Postings that a task packs at once, and that one hash range holds at most on average.
-FLUSH, RANGE = 1_500_000, 2_000_000
+FLUSH, RANGE = 1_000_000, 1_000_000
 #: Hashes of each set whose lists are searched first, sets in a block of these, and sets that one query is held to at once.
 FIRST_LISTS, BLOCK, ASKED = 2, 64, 512
 
@@ -185,10 +185,10 @@ def t_occurrence(query: np.ndarray, lists: dict[int, np.ndarray], need: int) ->
 
 def inverted_lists(sets: list[np.ndarray], only: np.ndarray | None = None) -> dict[int, np.ndarray]:
     """{hash: entries that have it, ascending} of the hashes that two entries have; only: of these alone."""
-    t, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     if only is not None:
-        there = np.isin(t, only)
-        t, owner = t[there], owner[there]
+        # set by set, so that no copy of all of them is made
+        sets = [x[only[np.minimum(np.searchsorted(only, x), len(only) - 1)] == x] for x in sets]
+    t, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     order = np.argsort(t, kind="stable")
     t, owner = t[order], owner[order]
     cuts = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
@@ -196,9 +196,10 @@ def inverted_lists(sets: list[np.ndarray], only: np.ndarray | None = None) -> di
 
 
 def search_block(sets: list[np.ndarray], queries: list[int], spanning: bool) -> list[tuple[int, int]]:
-    """Links (i, j) of ``queries`` with all of ``sets``; spanning: none between entries that links already connect."""
+    """Links (i, j) of ``queries`` with all of ``sets``; spanning: none between entries that links already connect, so
+    that the search ends when all are."""
     lists = inverted_lists(sets, sets[queries[0]] if len(queries) == 1 else None)
-    group = list(range(len(sets)))
+    group, apart = list(range(len(sets))), len(sets)
 
     def root(i: int) -> int:
         while group[i] != i:
@@ -208,6 +209,8 @@ def search_block(sets: list[np.ndarray], queries: list[int], spanning: bool) ->
 
     links = []
     for q in queries:
+        if spanning and apart == 1:
+            break
         size = len(sets[q])
         need = -(-size * THRESHOLD // 100)
         for other, shared in t_occurrence(sets[q], lists, need).items():
@@ -217,6 +220,7 @@ def search_block(sets: list[np.ndarray], queries: list[int], spanning: bool) ->
             a, b = root(q), root(other)
             if a != b or not spanning:
                 links.append((q, other))
+                apart -= a != b
                 group[max(a, b)] = min(a, b)
     return links
 
