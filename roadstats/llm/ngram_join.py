@@ -42,7 +42,7 @@ from roadstats.llm.shingles import WordHashes, shingle_set, signature, words_of
 #: Per cent of the union that linked sets share.
 THRESHOLD = 80
 #: Postings that a task packs at once, and that one hash range holds at most on average.
-FLUSH, RANGE = 1_000_000, 1_000_000
+FLUSH, RANGE = 1_000_000, 2_000_000
 #: Hashes of each set whose lists are searched first, sets in a block of these, and sets that one query is held to at once.
 FIRST_LISTS, BLOCK, ASKED = 2, 64, 512
 
