@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadstats.session import reliable_checkpoint
+
 CITY_KEY = ("state_fips", "place_fips")
 
 # FIXED VALUES: EPSG:5070 (NAD83 / Conus Albers) on the GRS80 ellipsoid and
@@ -175,8 +177,10 @@ def edge_area(edge_tab: DataFrame, key, unit_m: int = SUB_M) -> DataFrame:
 
 
 def zone_summary(hot: DataFrame, key=CITY_KEY) -> DataFrame:
-    """Per city: hot cells, dissolved core area, buffered area."""
+    """Per city: hot cells, dissolved core area, buffered area (G5, G7).  The
+    hot set is read three times, so it is computed once."""
     k = list(key)
+    hot = reliable_checkpoint(hot.select(*k, "cx", "cy"))
     n = hot.groupBy(*k).agg(F.count(F.lit(1)).alias("hot_cells"))
     core = edge_area(core_edges(hot, k), k).withColumnRenamed("area_m2", "core_area_m2") \
         .withColumnRenamed("boundary_edges", "core_edges")
@@ -190,39 +194,39 @@ def zone_summary(hot: DataFrame, key=CITY_KEY) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _rings(edges_pdf: pd.DataFrame) -> list[list[tuple[int, int]]]:
-    """Chain directed boundary edges into closed rings.  At a vertex with
-    two outgoing edges (cells touching at a corner) take the sharpest left
-    turn, which keeps CCW shells and CW holes separate polygons."""
+    """Chain directed boundary edges into closed simple rings, each from its
+    smallest vertex on.  At a vertex with two outgoing edges take the sharpest
+    left turn, which keeps shells that touch at a corner apart.  A walk that
+    comes back to a vertex of its own closes a ring there, so a hole that
+    touches its shell, or another hole, at a corner is a ring of its own."""
     out: dict[tuple, list[tuple]] = {}
     for x1, y1, x2, y2 in edges_pdf[["x1", "y1", "x2", "y2"]].itertuples(index=False):
         out.setdefault((x1, y1), []).append((x2, y2))
     rings = []
-    while out:
-        start = next(iter(out))
-        ring = [start]
-        prev, cur = None, start
-        nxt = out[start].pop()
-        if not out[start]:
-            del out[start]
-        prev, cur = cur, nxt
-        while cur != start:
-            ring.append(cur)
-            cands = out[cur]
-            if len(cands) == 1:
-                nxt = cands.pop()
-            else:
-                dx, dy = cur[0] - prev[0], cur[1] - prev[1]
-
-                def turn(c):
-                    ex, ey = c[0] - cur[0], c[1] - cur[1]
-                    return -(dx * ey - dy * ex)   # most positive cross = sharpest left
-                cands.sort(key=turn)
-                nxt = cands.pop(0)
-            if not cands:
-                del out[cur]
-            prev, cur = cur, nxt
-        ring.append(start)
-        rings.append(ring)
+    for start in sorted(out):
+        while out[start]:
+            path, place, prev = [start], {start: 0}, None
+            while True:
+                cur = path[-1]
+                cands = sorted(out[cur])
+                if prev is not None and len(cands) > 1:
+                    dx, dy = cur[0] - prev[0], cur[1] - prev[1]
+                    cands.sort(key=lambda c: dy * (c[0] - cur[0]) - dx * (c[1] - cur[1]))
+                nxt = cands[0]
+                out[cur].remove(nxt)
+                prev = cur
+                if nxt not in place:
+                    place[nxt] = len(path)
+                    path.append(nxt)
+                    continue
+                ring = path[place[nxt]:]
+                low = ring.index(min(ring))
+                rings.append([*ring[low:], *ring[:low], ring[low]])
+                for v in ring[1:]:
+                    del place[v]
+                path = path[:place[nxt] + 1]
+                if len(path) == 1:
+                    break
     return rings
 
 
@@ -257,17 +261,22 @@ def _to_lonlat(xs, ys):
     return np.degrees(theta / N_CONE) + LON_0, np.degrees(phi)
 
 
-def geojson_geometry(edges_pdf: pd.DataFrame, unit_m: int = SUB_M,
-                     precision: int = PRECISION) -> dict:
+def zone_polygons(edges_pdf: pd.DataFrame) -> list[list[list[tuple[int, int]]]]:
+    """[shell, hole…] of every polygon, in lattice units; a hole belongs to
+    the smallest shell around it."""
     rings = _rings(edges_pdf)
-    shells = [r for r in rings if _signed_area(r) > 0]
-    holes = [r for r in rings if _signed_area(r) < 0]
+    shells = sorted((r for r in rings if _signed_area(r) > 0), key=lambda r: (_signed_area(r), r[0]))
     polys = [[s] for s in shells]
-    for h in holes:
-        for p in polys:
-            if _inside((h[0][0] + 0.5, h[0][1] + 0.5), p[0]) or _inside(h[0], p[0]):
-                p.append(h)
-                break
+    for h in (r for r in rings if _signed_area(r) < 0):
+        # half a unit up and right of its smallest vertex: within the hole, on no edge
+        inner = (h[0][0] + 0.5, h[0][1] + 0.5)
+        next(p for p in polys if _inside(inner, p[0])).append(h)
+    return sorted(polys)
+
+
+def geojson_geometry(edges_pdf: pd.DataFrame, unit_m: int = SUB_M,
+                     precision: int = PRECISION) -> dict:
+    polys = zone_polygons(edges_pdf)
 
     def coords(ring):
         lon, lat = _to_lonlat([p[0] * unit_m for p in ring], [p[1] * unit_m for p in ring])
@@ -289,6 +298,7 @@ def zone_features(hot: DataFrame, key=CITY_KEY) -> DataFrame:
     """U1 + G8 + G9: one GeoJSON feature (string) per city and zone type
     ('core', 'buffer').  Only each city's boundary edges reach its task."""
     k = list(key)
+    hot = reliable_checkpoint(hot.select(*k, "cx", "cy"))
     both = (core_edges(hot, k).withColumn("zone_type", F.lit("core"))
             .unionByName(buffer_edges(hot, k).withColumn("zone_type", F.lit("buffer"))))
 

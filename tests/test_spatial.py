@@ -2,6 +2,7 @@
 round trip (G2/G8)."""
 
 import json
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -77,6 +78,51 @@ def test_ring_with_hole():
     assert geom["type"] == "Polygon" and len(geom["coordinates"]) == 2
 
 
+def _boundary(cells):
+    """Dissolved directed edges of unit cells (lattice side 2), plain Python."""
+    seen = {}
+    for i, j in cells:
+        p = [(2 * i - 1, 2 * j - 1), (2 * i + 1, 2 * j - 1), (2 * i + 1, 2 * j + 1), (2 * i - 1, 2 * j + 1)]
+        for a, b in zip(p, p[1:] + p[:1]):
+            if (b, a) in seen:
+                del seen[b, a]
+            else:
+                seen[a, b] = True
+    return pd.DataFrame([(*a, *b) for a, b in seen], columns=["x1", "y1", "x2", "y2"])
+
+
+def test_pinch_vertices_give_simple_rings():
+    block = {(i, j) for i in range(3) for j in range(3)}
+    # the missing corner meets the missing centre in a vertex
+    polys = hs.zone_polygons(_boundary(block - {(1, 1), (2, 2)}))
+    assert [len(p) for p in polys] == [2] and len(set(polys[0][0][:-1])) == len(polys[0][0]) - 1
+    # two holes that touch in a corner
+    wide = {(i, j) for i in range(4) for j in range(4)}
+    assert [len(p) for p in hs.zone_polygons(_boundary(wide - {(1, 1), (2, 2)}))] == [3]
+    # four cells around an empty one touch in corners only: four polygons
+    assert [len(p) for p in hs.zone_polygons(_boundary({(0, 1), (1, 0), (2, 1), (1, 2)}))] == [1] * 4
+    # an island within a hole
+    ring = {(i, j) for i in range(5) for j in range(5)} - {(i, j) for i in (1, 2, 3) for j in (1, 2, 3)}
+    assert sorted(len(p) for p in hs.zone_polygons(_boundary(ring | {(2, 2)}))) == [1, 2]
+
+
+def test_zone_polygons_cover_their_cells():
+    r = random.Random(5)
+    for share in (0.3, 0.5, 0.6, 0.75, 0.9):
+        for size in (4, 9, 14):
+            cells = {(i, j) for i in range(size) for j in range(size) if r.random() < share}
+            polys = hs.zone_polygons(_boundary(cells))
+            for p in polys:
+                for ring in p:
+                    assert ring[0] == ring[-1] == min(ring) and len(set(ring)) == len(ring) - 1
+            assert sum(hs._signed_area(ring) for p in polys for ring in p) == 4 * len(cells)
+            for i in range(size):
+                for j in range(size):
+                    at = (2 * i + 0.25, 2 * j + 0.25)
+                    held = [p for p in polys if hs._inside(at, p[0]) and not any(hs._inside(at, h) for h in p[1:])]
+                    assert len(held) == ((i, j) in cells)
+
+
 def _brute_within(px, py, ring):
     """Crossing-number test with the on-edge exclusion (plain Python)."""
     inside, n = False, len(ring)
