@@ -2,9 +2,11 @@
 
 A paragraph is a line of at least ``MIN_WORDS`` words, as its set of 5-word shingles.
 Equal word sequences (A-Z lower-cased) are one entry.  Each entry's MinHash signature is cut into bands, tuned for
-high recall at the similarity asked for; entries that collide in a band are joined
-(with the first of the bucket and with the one before, never all with all), their
-exact Jaccard similarity is checked, and components of what is similar are clusters.
+high recall at the similarity asked for.  Of entries that collide in a band each is held
+against the first of the bucket and the one before, by exact Jaccard similarity; then
+every bucket whose entries still lie in two components is searched with inverted lists,
+in blocks of bounded size, until each of its pairs across components is decided
+(``across_links``).  Components of what is similar are clusters.
 The first paragraph of a cluster stays, the others are to be removed.
 
 Band keys travel in packed blocks, by key range, and only keys that two entries have
@@ -30,6 +32,8 @@ from roadstats.llm.shingles import WordHashes, shingle_hashes, shingle_set, word
 
 MIN_WORDS, THRESHOLD = 20, 80
 FLUSH, RANGE = 1_500_000, 2_000_000
+#: Shingles in a block of a bucket on average, and entries of a block that ask before the largest group is left out.
+BLOCK, CENTRAL = 400_000, 16
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -131,7 +135,8 @@ def _packed_bands(docs: DataFrame, ranges: int) -> DataFrame:
 
 
 def _collisions(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (a, b), a < b: of every bucket's entries each with the first and with the one before."""
+    """Pairs (a, b), a < b, with bucket -1: of every bucket's entries each with the first and with the one before.  That
+    is all pairs of up to three entries; larger buckets leave as (bucket, entry) as well."""
     k = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["keys"]])
     s = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["sigs"]])
     order = np.lexsort((s, k))
@@ -142,7 +147,67 @@ def _collisions(pdf: pd.DataFrame) -> pd.DataFrame:
     first = s[np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))]
     later = np.flatnonzero(~head)
     pairs = np.unique(np.concatenate([np.stack([first[later], s[later]], 1), np.stack([s[later - 1], s[later]], 1)]), axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    starts = np.flatnonzero(head)
+    sizes = np.diff(np.r_[starts, len(k)])
+    large = np.repeat(sizes > 3, sizes)
+    bucket = (np.int64(pdf["part"].iloc[0]) << np.int64(32)) | k[large].astype(np.int64)
+    return pd.DataFrame({"bucket": np.r_[np.full(len(pairs), -1, np.int64), bucket], "a": np.r_[pairs[:, 0], s[large]],
+                         "b": np.r_[pairs[:, 1], s[large]]})
+
+
+def _decided(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) that decide every pair of a block of entries (sig, label, tokens) whose labels differ.
+
+    The entries that share most ask first, as they join most; then all that lie outside the largest group ask.  So of
+    two entries in different groups one has asked, unless links connect them already.
+    """
+    pdf = pdf.drop_duplicates("sig")
+    sigs, group = pdf["sig"].to_numpy(), pd.factorize(pdf["label"])[0]
+    if not len(group) or not group.max():
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    sizes = np.array([len(x) for x in pdf["tokens"]])
+    owner = np.repeat(np.arange(len(sigs)), sizes)
+    token = np.unique(np.concatenate([np.asarray(x, np.int64) for x in pdf["tokens"]]), return_inverse=True)[1]
+    lists, ends = owner[np.argsort(token, kind="stable")], np.r_[0, np.cumsum(np.bincount(token))]
+    own = np.split(token, np.cumsum(sizes)[:-1])
+    weight = np.bincount(owner, np.diff(ends)[token])
+    links, anchor = [], None
+    for i, q in enumerate(np.argsort(-weight, kind="stable").tolist()):
+        if i == CENTRAL:
+            anchor = int(np.flatnonzero(group == np.bincount(group).argmax())[0])
+        if anchor is not None and group[q] == group[anchor]:
+            continue
+        shared = np.bincount(np.concatenate([lists[ends[t]:ends[t + 1]] for t in own[q].tolist()]), minlength=len(sigs))
+        alike = shared * 100 >= (sizes + sizes[q] - shared) * THRESHOLD
+        met = np.flatnonzero(alike & (group != group[q]))
+        if len(met):
+            joined, at = np.unique(group[met], return_index=True)
+            links += [(sigs[q], sigs[j]) for j in met[at].tolist()]
+            group[np.isin(group, joined)] = group[q]
+            if (group == group[q]).all():
+                break
+    return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+
+def across_links(postings: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Links (a, b) of entries that share a bucket of ``postings`` (bucket, sig) but no component of ``labels``; None if
+    no bucket spans two.  A bucket is cut into blocks by a salt, and each two of its blocks meet in a task's group."""
+    named = postings.join(labels, postings["sig"] == labels["node"], "left").select(
+        "bucket", "sig", F.coalesce("component", "sig").alias("label"))
+    named = save(named.join(sets.select("sig", F.size("tokens").alias("n")), "sig"), "paragraph-buckets")
+    split = named.groupBy("bucket").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.sum("n") / BLOCK).alias("blocks"),
+        F.count("*").alias("size"), F.bit_xor(F.xxhash64("sig")).alias("print")).where("low <> high")
+    # buckets of the same entries are searched once
+    split = save(split.groupBy("size", "print", "low", "high").agg(
+        F.min("bucket").alias("bucket"), F.max("blocks").alias("blocks")).select("bucket", "blocks"), "paragraph-split")
+    if split.isEmpty():
+        return None
+    held = named.join(split, "bucket").withColumn("own", F.pmod(F.xxhash64("bucket", "sig"), "blocks"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    held = held.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "sig", "label")
+    found = held.join(sets, "sig").groupBy("bucket", "x", "y").applyInPandas(_decided, "a bigint, b bigint")
+    return save(found.distinct(), "paragraph-across")
 
 
 def _token_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -161,7 +226,8 @@ def _token_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(sigs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["sig", "tokens"])
     per_doc = save(chosen.groupBy("doc_id").agg(F.collect_set("sig").alias("wanted")), "paragraph-wanted")
     texts = null_safe(docs.select("doc_id", "text"), sent(per_doc, 80), ["doc_id"], "inner").select("text", "wanted")
-    return save(texts.mapInArrow(run, "sig bigint, tokens array<bigint>"), "paragraph-sets").dropDuplicates(["sig"])
+    found = texts.mapInArrow(run, "sig bigint, tokens array<bigint>")
+    return save(save(found, "paragraph-found").dropDuplicates(["sig"]), "paragraph-sets")
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
@@ -171,8 +237,9 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc_id", "paragraph", "start")).alias("first")
     entries = save(table.groupBy("sig").agg(F.count("*").alias("n"), first), "paragraph-entries")
     ranges = max(8, -(-entries.count() * BANDS // RANGE))
-    pairs = save(_packed_bands(docs, ranges).groupBy("part").applyInPandas(_collisions, "a bigint, b bigint").distinct(),
-                 "paragraph-pairs")
+    met = save(_packed_bands(docs, ranges).groupBy("part").applyInPandas(_collisions, "bucket bigint, a bigint, b bigint"),
+               "paragraph-met")
+    pairs = save(met.where("bucket = -1").select("a", "b").distinct(), "paragraph-pairs")
     asked = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
     sets = _token_sets(docs, entries.join(asked, "sig").select("sig", "first.doc_id"))
     a, b = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), sets.select(
@@ -181,6 +248,9 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
                                                   F.size(F.array_intersect("x", "y")).alias("shared"))
     links = both.where(F.col("shared") * 100 >= (F.col("m") + F.col("n") - F.col("shared")) * THRESHOLD).select("a", "b")
     labels = connected_components(links)
+    more = across_links(met.where("bucket >= 0").select("bucket", F.col("a").alias("sig")), labels, sets)
+    if more is not None:
+        labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     grouped = entries.join(labels, entries["sig"] == labels["node"], "left").select(
         "sig", "n", "first", F.coalesce("component", "sig").alias("cluster"))
     clusters = grouped.groupBy("cluster").agg(F.sum("n").alias("n_members"), F.min("first").alias("keep")).where("n_members > 1")

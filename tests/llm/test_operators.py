@@ -273,6 +273,31 @@ def test_bands():
     assert met >= 297
 
 
+@pytest.mark.parametrize("block", [paragraphs.BLOCK, 4000])
+def test_star_of_paragraphs(spark, monkeypatch, block):
+    monkeypatch.setattr(paragraphs, "BLOCK", block)
+    r, base, rows = random.Random(8), words(120, 70).split(), []
+    for i in range(300):
+        own = list(base)
+        for at in (r.randrange(5, 55), r.randrange(65, 115)):
+            own[at] = f"own{i}x{at}"
+        rows.append((i + 1, " ".join(own)))
+    rows.append((0, " ".join(base)))
+    hashes = paragraphs.WordHashes()
+    sets = {i: paragraphs.shingle_set(paragraphs.words_of(t), hashes) for i, t in rows}
+    keys = {i: set(paragraphs.band_keys(x).tolist()) for i, x in sets.items()}
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            shared = len(np.intersect1d(sets[a], sets[b])) if a < b and keys[a] & keys[b] else 0
+            if shared and shared * 100 >= 80 * (len(sets[a]) + len(sets[b]) - shared) and group[a] != group[b]:
+                old = max(group[a], group[b])
+                group = {i: min(group[a], group[b]) if g == old else g for i, g in group.items()}
+    got = paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id bigint, text string")).where("paragraph = 0").collect()
+    want = {i: g for i, g in group.items() if sum(x == g for x in group.values()) > 1}
+    assert len(want) > 290 and {r["doc_id"]: r["keep_doc_id"] for r in got} == want
+
+
 def test_winnowing(spark, docs, empty):
     own = PASSAGE.split()
     items = spark.createDataFrame([(1, " ".join(own[10:20])), (1, " ".join(own[10:20])), (2, "TWO  words!"), (3, None), (4, "--"), (5, words(40, 99)),
