@@ -1,13 +1,23 @@
 """Substring dedup: paragraph MinHash banding.
 
 A paragraph is a line of at least ``MIN_WORDS`` words, as its set of 5-word shingles.
+So that passages are also met inside longer lines and across line breaks, the text's
+word sequence (line breaks are blanks) has units besides: ``UNIT`` words from each word
+whose shingle hash is the least of some ``WINDOW`` consecutive ones.  Any ``SPAN`` (50)
+words in a row that two texts share hold a whole unit of both: that is the shortest span
+that is surely met; a shorter one may be.
 Equal word sequences (A-Z lower-cased) are one entry.  Each entry's MinHash signature is cut into bands, tuned for
 high recall at the similarity asked for.  Of entries that collide in a band each is held
 against the first of the bucket and the one before, by exact Jaccard similarity; then
 every bucket whose entries still lie in two components is searched with inverted lists,
 in blocks of bounded size, until each of its pairs across components is decided
 (``across_links``).  Components of what is similar are clusters.
-The first paragraph of a cluster stays, the others are to be removed.
+The first paragraph of a cluster stays, the others are to be removed.  Units are verified
+and clustered likewise, never with lines; instead of bands they have a key for each of
+four classes of their shingles, as two that are alike differ in at most three.  Units of a
+cluster that overlap in one text are one member, and its span is theirs; the first member
+outside removed lines stays.  A unit's number follows those of its text's lines; units
+inside a removed line, and staying ones inside a repeated line, get no row.
 
 Band keys travel in packed blocks, by key range, and only keys that two entries have
 leave them.  Defined cases: null, empty and short-lined texts have no paragraphs and no
@@ -26,11 +36,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from roadstats.llm.common import connected_components, null_safe, save, sent
-from roadstats.llm.shingles import WordHashes, shingle_hashes, shingle_set, words_of
+from roadstats.llm.shingles import SHINGLE, WordHashes, shingle_hashes, shingle_set, words_of
 
 MIN_WORDS, THRESHOLD = 20, 80
+#: Words that surely hold a whole unit, words of a unit (whole shingles), and shingles of which the least starts one.
+SPAN, UNIT = 50, MIN_WORDS
+WINDOW, UNIT_SHINGLES, UNIT_KEYS = SPAN - UNIT + 1, UNIT - SHINGLE + 1, 4
 FLUSH, RANGE = 1_500_000, 2_000_000
 #: Shingles in a block of a bucket on average, and entries of a block that ask before the largest group is left out.
 BLOCK, CENTRAL = 400_000, 16
@@ -80,21 +94,90 @@ def entry(words: list[bytes]) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+def _slide(x: np.ndarray, f: np.ufunc) -> np.ndarray:
+    """``f`` over every ``WINDOW`` consecutive values."""
+    width = 1
+    while width * 2 <= WINDOW:
+        x, width = f(x[:-width], x[width:]), width * 2
+    return f(x[:-(WINDOW - width)], x[WINDOW - width:]) if width < WINDOW else x
+
+
+def units(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, sig) of every unit of a text, from its shingle hashes in order; sig: a hash of the unit's words."""
+    x = shingles.view(np.uint64)
+    if len(x) < WINDOW:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    edge = np.zeros(WINDOW - 1, np.uint64)
+    at = np.flatnonzero(_slide(np.concatenate([edge, _slide(x, np.minimum), edge]), np.maximum) == x)
+    at = at[at + UNIT_SHINGLES <= len(x)]
+    sig = np.zeros(len(at), np.uint64)
+    for i in range(0, UNIT, SHINGLE):
+        sig = (sig ^ x[at + i]) * _MIX
+        sig ^= sig >> np.uint64(32)
+    return at, sig.view(np.int64)
+
+
+def unit_keys(shingles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, held), both with a column per class: a hash of the unit's distinct shingles of the class, and if it has any.
+
+    Sets of at most 16 that are alike to 0.8 differ in at most 0.11 * (16 + 16) shingles, so in three, and agree in
+    one of the four classes.
+    """
+    x = np.sort(shingles.view(np.uint64)[at[:, None] + np.arange(UNIT_SHINGLES)], axis=1)
+    fresh = np.ones(x.shape, bool)
+    fresh[:, 1:] = x[:, 1:] != x[:, :-1]
+    kind, y = (x >> np.uint64(17)) % np.uint64(UNIT_KEYS), (x ^ (x >> np.uint64(29))) * _MIX
+    y ^= y >> np.uint64(32)
+    keys, held = np.empty((len(at), UNIT_KEYS), np.uint64), np.empty((len(at), UNIT_KEYS), bool)
+    for c in range(UNIT_KEYS):
+        own = fresh & (kind == c)
+        key = (np.where(own, y, np.uint64(0)).sum(axis=1, dtype=np.uint64) + np.uint64(BANDS + 1 + c)) * _MIX
+        keys[:, c], held[:, c] = key ^ (key >> np.uint64(32)), own.any(axis=1)
+    return keys, held
+
+
+def _places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, line of the start, line of the end) of every word, in code points."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    turn = np.diff(np.r_[True, space, True].astype(np.int8))
+    start, last = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1) - 1
+    line, point = np.cumsum(data == 10), np.cumsum((data & 0xC0) != 0x80)
+    return point[start] - 1, point[last], line[start], line[last]
+
+
 def paragraph_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, start, end, n_words, sig) of every paragraph."""
+    """(doc_id, paragraph, start, end, n_words, sig, row, word, line) of every paragraph and unit; word and line are
+    null for a whole line, else the unit's first word and the line that holds it, -1 if none does."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            at, cols = [], [[] for _ in range(5)]
-            for row, text in enumerate(batch.column(1)):
-                for i, start, end, words in _paragraphs(text.as_py()):
-                    at.append(row)
-                    for col, v in zip(cols, (i, start, end, len(words), entry(words))):
-                        col.append(v)
-            yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, pa.int64()) for c in cols]],
-                                  names=["doc_id", "paragraph", "start", "end", "n_words", "sig"])
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                at, cols, own = [], [[] for _ in range(5)], [[] for _ in range(8)]
+                for row, text in enumerate(part.column(1).to_pylist()):
+                    for i, start, end, words in _paragraphs(text):
+                        at.append(row)
+                        for col, v in zip(cols, (i, start, end, len(words), entry(words))):
+                            col.append(v)
+                    first, sigs = units(shingle_hashes(words_of(text), hashes))
+                    if len(first):
+                        starts, ends, line, last = _places(text)
+                        n, to = len(first), first + UNIT - 1
+                        for col, v in zip(own, (np.full(n, row), text.count("\n") + 1 + np.arange(n), starts[first], ends[to],
+                                                np.full(n, UNIT), sigs, first, np.where(line[first] == last[to], line[first], -1))):
+                            col.append(v)
+                own = [np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in own]
+                rows, n = np.r_[np.array(at, np.int64), own[0]], len(at)
+                none = pa.nulls(n, pa.int64())
+                yield pa.record_batch(
+                    [part.column(0).take(pa.array(rows)), *[pa.array(np.r_[np.array(c, np.int64), u]) for c, u in zip(cols, own[1:])],
+                     part.column(2).take(pa.array(rows)), *[pa.concat_arrays([none, pa.array(u)]) for u in own[6:]]],
+                    names=["doc_id", "paragraph", "start", "end", "n_words", "sig", "row", "word", "line"])
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, paragraph bigint, start bigint, end bigint, n_words bigint, sig bigint")
+    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(
+        run, f"doc_id {kind}, paragraph bigint, start bigint, end bigint, n_words bigint, sig bigint, row bigint, "
+             "word bigint, line bigint")
 
 
 def _packed_bands(docs: DataFrame, ranges: int) -> DataFrame:
@@ -126,9 +209,23 @@ def _packed_bands(docs: DataFrame, ranges: int) -> DataFrame:
                     keys.append(band_keys(shingle_hashes(words, hashes)))
                     owners.append(np.full(BANDS, sig, np.int64))
                     held += BANDS
-                    if held >= FLUSH:
-                        yield from flush()
-                        keys, owners, held = [], [], 0
+                shingles = shingle_hashes(words_of(text.as_py()), hashes)
+                at, sigs = units(shingles)
+                fresh = []
+                for i, sig in enumerate(sigs.tolist()):
+                    if sig not in seen:
+                        if len(seen) >= 500_000:
+                            seen.clear()
+                        seen.add(sig)
+                        fresh.append(i)
+                if fresh:
+                    own, has = unit_keys(shingles, at[fresh])
+                    keys.append(own[has])
+                    owners.append(np.repeat(sigs[fresh], has.sum(axis=1)))
+                    held += len(keys[-1])
+                if held >= FLUSH:
+                    yield from flush()
+                    keys, owners, held = [], [], 0
         if held:
             yield from flush()
     return docs.select("text").mapInArrow(run, "part bigint, keys binary, sigs binary")
@@ -223,6 +320,12 @@ def _token_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                         wanted.discard(sig)
                         sigs.append(sig)
                         sets.append(shingle_set(words, hashes))
+                shingles = shingle_hashes(words_of(text.as_py()), hashes) if wanted else np.empty(0, np.int64)
+                for at, sig in zip(*[x.tolist() for x in units(shingles)]):
+                    if sig in wanted:
+                        wanted.discard(sig)
+                        sigs.append(sig)
+                        sets.append(np.unique(shingles[at:at + UNIT_SHINGLES]))
                 yield pa.record_batch([pa.array(sigs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["sig", "tokens"])
     per_doc = save(chosen.groupBy("doc_id").agg(F.collect_set("sig").alias("wanted")), "paragraph-wanted")
     texts = null_safe(docs.select("doc_id", "text"), sent(per_doc, 80), ["doc_id"], "inner").select("text", "wanted")
@@ -231,12 +334,13 @@ def _token_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
-    """The paragraphs of ``docs`` (doc_id, text) that repeat: doc_id, paragraph, start, end (code points), n_words,
+    """The paragraphs and units of ``docs`` (doc_id, text) that repeat: doc_id, paragraph, start, end (code points), n_words,
     cluster, n_members, keep_doc_id, keep_paragraph, and removed (false for the one that stays)."""
     table = save(paragraph_table(docs), "paragraphs")
     first = F.min(F.struct("doc_id", "paragraph", "start")).alias("first")
-    entries = save(table.groupBy("sig").agg(F.count("*").alias("n"), first), "paragraph-entries")
-    ranges = max(8, -(-entries.count() * BANDS // RANGE))
+    entries = save(table.groupBy("sig").agg(F.count("*").alias("n"), F.count("line").alias("unit"), first), "paragraph-entries")
+    postings = entries.agg(F.sum(F.when(F.col("unit") > 0, UNIT_KEYS).otherwise(BANDS))).first()[0] or 0
+    ranges = max(8, -(-postings // RANGE))
     met = save(_packed_bands(docs, ranges).groupBy("part").applyInPandas(_collisions, "bucket bigint, a bigint, b bigint"),
                "paragraph-met")
     pairs = save(met.where("bucket = -1").select("a", "b").distinct(), "paragraph-pairs")
@@ -252,10 +356,37 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     if more is not None:
         labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     grouped = entries.join(labels, entries["sig"] == labels["node"], "left").select(
-        "sig", "n", "first", F.coalesce("component", "sig").alias("cluster"))
-    clusters = grouped.groupBy("cluster").agg(F.sum("n").alias("n_members"), F.min("first").alias("keep")).where("n_members > 1")
-    clusters = save(grouped.select("sig", "cluster").join(clusters, "cluster"), "paragraph-clusters")
-    out = table.join(sent(clusters, 64), "sig")
-    return out.select("doc_id", "paragraph", "start", "end", "n_words", "cluster", "n_members",
-                      F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"),
-                      (~F.struct("doc_id", "paragraph", "start").eqNullSafe(F.col("keep"))).alias("removed"))
+        "sig", "n", F.coalesce("component", "sig").alias("cluster"))
+    many = grouped.groupBy("cluster").agg(F.sum("n").alias("n")).where("n > 1").select("cluster")
+    named = save(grouped.select("sig", "cluster").join(many, "cluster"), "paragraph-named")
+    found = save(table.join(sent(named, 32), "sig").drop("sig"), "paragraph-members")
+    lines = _judged(found.where("line is null").withColumn("gone", F.lit(False)))
+    lines = save(lines, "paragraph-lines")
+    whole = lines.select("row", F.col("paragraph").alias("line"), F.col("removed").alias("line_removed"))
+    spans = _unit_members(found.where("line is not null")).join(whole, ["row", "line"], "left")
+    spans = _judged(save(spans.withColumn("gone", F.coalesce("line_removed", F.lit(False))), "paragraph-units"))
+    shown = ~F.col("gone") & (F.col("line_removed").isNull() | F.col("removed"))
+    columns = ["doc_id", "paragraph", "start", "end", "n_words", "cluster", "n_members", "keep_doc_id", "keep_paragraph", "removed"]
+    return lines.select(*columns).union(spans.where(shown).select(*columns))
+
+
+def _unit_members(found: DataFrame) -> DataFrame:
+    """Units of one cluster that overlap in one row, taken together."""
+    own = Window.partitionBy("cluster", "row").orderBy("word")
+    apart = F.coalesce(F.lag("word").over(own) + UNIT <= F.col("word"), F.lit(True)).cast("long")
+    chains = found.withColumn("apart", apart).withColumn("chain", F.sum("apart").over(own))
+    return chains.groupBy("cluster", "row", "chain").agg(
+        F.first("doc_id").alias("doc_id"), F.min("paragraph").alias("paragraph"), F.min("start").alias("start"),
+        F.max("end").alias("end"), (F.max("word") - F.min("word") + UNIT).alias("n_words"),
+        F.when(F.min("line") == F.max("line"), F.min("line")).otherwise(-1).alias("line"))
+
+
+def _judged(members: DataFrame) -> DataFrame:
+    """``members`` of clusters that have two, with n_members, the one that stays (of those not ``gone`` if there are
+    any, the first) and removed."""
+    at = F.struct("doc_id", "paragraph", "start")
+    clusters = members.groupBy("cluster").agg(F.count("*").alias("n_members"), F.min(F.struct("gone", at.alias("at"))).alias("keep"))
+    clusters = save(clusters.where("n_members > 1"), "paragraph-clusters")
+    return members.join(sent(clusters, 64), "cluster").withColumns({
+        "keep_doc_id": F.col("keep.at.doc_id"), "keep_paragraph": F.col("keep.at.paragraph"),
+        "removed": ~at.eqNullSafe(F.col("keep.at"))})

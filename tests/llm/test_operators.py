@@ -298,6 +298,38 @@ def test_star_of_paragraphs(spark, monkeypatch, block):
     assert len(want) > 290 and {r["doc_id"]: r["keep_doc_id"] for r in got} == want
 
 
+def test_passages_across_lines(spark):
+    passage = words(50, 71)
+    wrapped = "\n".join(" ".join(passage.split()[i:i + 8]) for i in range(0, 50, 8))
+    rows = [(1, f"{words(200, 72)} {passage} {words(200, 73)}"), (2, f"{words(150, 74)}é {passage.upper()}\n{words(90, 75)}"),
+            (3, words(30, 76) + "\n" + wrapped + "\n" + words(5, 77)), (4, words(400, 78)), (5, "the the " * 100)]
+    got = paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    texts = dict(rows)
+    spans = {i: [texts[i][r["start"]:r["end"]].lower().split() for r in got if r["doc_id"] == i] for i in texts}
+    assert spans[1] and len(spans[1]) == len(spans[2]) == len(spans[3]) and not spans[4] and not spans[5]
+    assert all(" ".join(x) in passage and len(x) >= 20 for i in (1, 2, 3) for x in spans[i])
+    assert all(r["keep_doc_id"] == 1 and r["n_members"] == 3 and r["removed"] == (r["doc_id"] > 1) for r in got)
+
+
+def test_units():
+    hashes, rng = paragraphs.WordHashes(), random.Random(9)
+    for i in range(200):
+        run = words(50, 1000 + i)
+        found = []
+        for side in range(2):
+            text = f"{words(rng.randint(0, 60), 5000 + 2 * i + side)} {run} {words(rng.randint(0, 60), 9000 + 2 * i + side)}"
+            found.append(set(paragraphs.units(paragraphs.shingle_hashes(paragraphs.words_of(text), hashes))[1].tolist()))
+        assert found[0] & found[1]
+    met = 0
+    for i in range(200):
+        own = words(21, 20000 + i).split()
+        keys = []
+        for text in (own[:20], own[1:]):
+            keys.append(paragraphs.unit_keys(paragraphs.shingle_hashes([w.encode() for w in text], hashes), np.array([0])))
+        met += bool(((keys[0][0] == keys[1][0]) & keys[0][1] & keys[1][1]).any())
+    assert met == 200
+
+
 def test_winnowing(spark, docs, empty):
     own = PASSAGE.split()
     items = spark.createDataFrame([(1, " ".join(own[10:20])), (1, " ".join(own[10:20])), (2, "TWO  words!"), (3, None), (4, "--"), (5, words(40, 99)),
