@@ -55,7 +55,7 @@ def _digits(s: str) -> str:
 
 
 def is_ip(s: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+    return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in s.split("."))
 
 
 def is_card(s: str) -> bool:

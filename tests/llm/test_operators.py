@@ -138,6 +138,13 @@ def test_base_pii():
     assert not pii.is_ip("300.1.1.1") and pii.is_ip("0255.1.1.1") and not pii.is_card("4111111111111112")
 
 
+def test_long_runs_of_digits():
+    zeros = "0" * 5000
+    for text, ip in ((zeros + "1.1.1.1", True), (f"1.{zeros}.1.{zeros}255", True), (zeros + "256.1.1.1", False), ("7" * 5000 + ".1.1.1", False)):
+        spans = pii.base_spans(text)
+        assert ((0, 1, len(text)) in spans) == ip == pii.is_ip(text)
+
+
 def test_network(spark, docs, empty):
     r = random.Random(1)
     rows = [(i, f"{words(20, i)} {r.randint(1, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}.7 {words(20, i + 1)}"
