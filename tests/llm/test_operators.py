@@ -75,6 +75,21 @@ def test_line_rules(spark, docs, empty):
     assert all(got[200 + i]["kept"] for i in range(40))  # exact copies are one document
 
 
+def test_without_frequent_lines(spark, docs, empty):
+    common = "Shared  line 7 that many documents of one host have"
+    own = [(i, f"{words(8, i)}\n\n{common.replace('7', str(i))} \n {words(9, 50 + i)}\n", "h") for i in range(40)]
+    own += [(100, common, "other"), (101, common, None), (102, None, "h"), (103, "", "h"), (104, common, "h")]
+    df = spark.createDataFrame(own, "doc_id bigint, text string, source string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in line_rules.without_frequent_lines(df).collect()}
+    assert len(got) == len(own) and got[100] == got[101] == common and got[102] is None and got[103] == got[104] == ""
+    assert all(got[i] == f"{words(8, i)}\n\n {words(9, 50 + i)}\n" for i in range(40))
+    judged = by_id(line_rules.line_frequency(df))
+    for i, text, _ in own:
+        chars = [sum(len(" ".join(re.sub("[0-9]+", "0", x).split())) for x in (t or "").split("\n")) for t in (text, got[i])]
+        assert judged[i]["line_chars"] == chars[0] and judged[i]["line_chars"] - judged[i]["removed_chars"] == chars[1]
+    assert line_rules.without_frequent_lines(docs).count() == len(DOCS) and line_rules.without_frequent_lines(empty).count() == 0
+
+
 def test_repeated_windows(spark):
     r = random.Random(5)
     texts = [" ".join(r.choice("ab") for _ in range(r.randint(0, 60))) for _ in range(60)]
