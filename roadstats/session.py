@@ -89,6 +89,41 @@ def reliable_checkpoint(df):
         held.unpersist()
 
 
+_SHIPPED: dict[str, str] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Workers that run Python functions of the package must be able to import
+    it, wherever the driver was started.  The zip is written to the shared
+    folder and handed to ``addPyFile``.
+    """
+    import hashlib
+    import io
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    if not root.is_dir():  # already running from a shipped zip
+        return
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(str(f.relative_to(root.parent))), f.read_bytes())
+    data = held.getvalue()
+    name = f"{shared_dir(spark)}/code-{hashlib.sha1(data).hexdigest()[:12]}-{sc.applicationId}/{root.name}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(name)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(data))
+    out.close()
+    sc.addPyFile(name)
+    _SHIPPED[sc.applicationId] = name
+
+
 def scale_tag(sf_dir: str) -> str:
     """Folder-safe name for data derived from ``sf_dir``: its base name plus
     a short hash of the full path (two scales with the same base name in
