@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadstats.session import checkpoint_dir, shared_dir
+from roadstats.session import checkpoint_dir, shared_dir, ship_package
 
 #: The six ASCII white-space characters that end a word.
 WHITE_SPACE = " \t\n\x0b\f\r"
@@ -19,6 +19,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from roadstats.llm import (
     bpe,
+    cap_filters,
+    conversations,
     line_rules,
     nbsvm,
     ngram_join,
@@ -15,6 +17,7 @@ from roadstats.llm import (
     secrets,
     sharding,
     url_model,
+    whitening,
     winnowing,
 )
 from roadstats.llm.common import read
@@ -178,3 +181,18 @@ def op7_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_cyk_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(read(spark, sf_dir, "conversations")))
+
+
+@query()
+def op12_qd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(read(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicates(read(spark, sf_dir, "embeddings"))
