@@ -182,3 +182,9 @@ def consolidated_member_dim(spark: SparkSession) -> DataFrame:
     rows = [(st, target, st, m) for m in CONSOLIDATED_MEMBERS]
     return spark.createDataFrame(
         rows, "target_state string, target_place string, state_fips string, place_fips string")
+
+
+def consolidated_point_dim(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        [(*CONSOLIDATED_TARGET, *CONSOLIDATED_POINT_SOURCE)],
+        "target_state string, target_place string, state_fips string, place_fips string")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadstats.session import reliable_checkpoint
+from roadstats.session import reliable_checkpoint, ship_package
 
 CITY_KEY = ("state_fips", "place_fips")
 
@@ -298,6 +298,7 @@ def zone_features(hot: DataFrame, key=CITY_KEY) -> DataFrame:
     """U1 + G8 + G9: one GeoJSON feature (string) per city and zone type
     ('core', 'buffer').  Only each city's boundary edges reach its task."""
     k = list(key)
+    ship_package(hot.sparkSession)
     hot = reliable_checkpoint(hot.select(*k, "cx", "cy"))
     both = (core_edges(hot, k).withColumn("zone_type", F.lit("core"))
             .unionByName(buffer_edges(hot, k).withColumn("zone_type", F.lit("buffer"))))

@@ -81,6 +81,22 @@ def apply_points(places: DataFrame, resolved: DataFrame) -> DataFrame:
     return ld.write_back(base, resolved, PLACE_KEY, ["point_lon", "point_lat", "point_source"])
 
 
+def copy_points(places: DataFrame, sources: DataFrame) -> DataFrame:
+    """A13 + L7: a consolidated place without a point of its own takes that of
+    its source place.  ``sources``: (target_state, target_place, state_fips,
+    place_fips), one row per target."""
+    pts = places.select(*PLACE_KEY, F.col("point_lon").alias("_lon"), F.col("point_lat").alias("_lat")) \
+        .filter(F.col("_lon").isNotNull())
+    found = sources.join(pts, list(PLACE_KEY)).select(
+        F.col("target_state").alias("state_fips"), F.col("target_place").alias("place_fips"), "_lon", "_lat")
+    j = places.join(found, list(PLACE_KEY), "left")
+    lacks = F.col("point_lon").isNull() & F.col("_lon").isNotNull()
+    return j.withColumns({
+        "point_source": F.when(lacks, F.lit("member")).otherwise(F.col("point_source")),
+        "point_lon": F.when(lacks, F.col("_lon")).otherwise(F.col("point_lon")),
+        "point_lat": F.when(lacks, F.col("_lat")).otherwise(F.col("point_lat"))}).select(*places.columns)
+
+
 # ---------------------------------------------------------------------------
 # S7 + N10 + L7 + J10 — pledged flags
 # ---------------------------------------------------------------------------

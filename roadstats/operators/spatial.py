@@ -1,5 +1,5 @@
 """Point-in-polygon assignment and polygon operators on vertex tables
-(J4/G1, G6/A13, G12, G14, O4).
+(J4/G1, G12, G14, O4; unions are in ``overlay``).
 
 Polygons are rows of a *vertex table* (state_fips, place_fips, part, ring,
 seq, x, y); rings may be open or closed (the closing edge is always added;
@@ -29,6 +29,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadstats.session import ship_package
+
 PLACE_KEY = ("state_fips", "place_fips")
 EPS = 1e-9
 
@@ -206,27 +208,6 @@ def largest_part(vertices: DataFrame, key: Sequence[str] = PLACE_KEY,
     return vertices.join(best, [*key, "part"], "left_semi")
 
 
-def union_edges(edge_tab: DataFrame, members: DataFrame, key: Sequence[str] = PLACE_KEY,
-                target: Sequence[str] = ("target_state", "target_place")) -> DataFrame:
-    """Union of member polygons into a target as an edge set.
-
-    Shared borders appear in opposite directions and cancel; an edge that
-    several members have in the same direction (identical or nested members)
-    counts once.  What remains is the boundary of the union where members
-    touch or coincide (members that partly overlap stay a cover by their own
-    rings).
-    """
-    t = list(target)
-    e = edge_tab.join(members, list(key), "inner").select(*t, "x1", "y1", "x2", "y2").distinct()
-    a = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))
-    b = F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
-    lo, hi = F.least(a, b), F.greatest(a, b)
-    counted = e.withColumn("_u", F.struct(lo.alias("a"), hi.alias("b"))) \
-        .groupBy(*t, "_u").agg(F.count(F.lit(1)).alias("_n"),
-                               F.first(F.struct("x1", "y1", "x2", "y2")).alias("_e"))
-    return counted.filter(F.col("_n") == 1).select(*t, "_e.*")
-
-
 def _douglas_peucker(xs, ys, tol: float):
     """Indices kept by Douglas–Peucker on an open polyline (numpy arrays)."""
     import numpy as np
@@ -262,6 +243,7 @@ def simplify_rings(vertices: DataFrame, tolerance: float = 0.0001,
     vertices (declared difference: no check for crossings between rings).
     """
     import pandas as pd
+    ship_package(vertices.sparkSession)
     ring_key = [*key, "part", "ring"]
     cols = [*ring_key, "seq", "x", "y"]
     schema = vertices.select(*cols).schema

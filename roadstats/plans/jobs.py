@@ -5,9 +5,11 @@ package and writes parquet tables under ``out`` (one folder per table; a
 write-back produces a new table version).  They return small outcome
 DataFrames (counts per dataset / year / outcome), never the data itself.
 
-* ``run_city_load``   — §3.2: boundaries (S9, L3, N11), largest part (O4),
+* ``run_city_load``   — §3.2: boundaries (S9, L3, N11), union of consolidated
+  places (A13, G6) and their points, largest part (O4),
   populations (S5, N9, L4), pledged flags (S7, N10, L7), city points
-  (S6, N12, L7) -> ``places``, ``place_vertices``, ``populations``
+  (S6, N12, L7) -> ``places``, ``place_vertices``, ``populations``,
+  ``consolidated``
 * ``run_crash_load``  — §3.1 stages 2–8: year selection (S4), dataset
   dispatch (S3), crash and person scans (S1, S2), normalisation, keyed
   loads with quarantine (L1, L2, L5) -> ``crashes``, ``persons``,
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from roadstats.functions import dims
 from roadstats.operators import city_stats as cs
 from roadstats.operators import hotspots as hs
+from roadstats.operators import overlay as ov
 from roadstats.operators import places as pl
 from roadstats.operators import raw_load as rl
 from roadstats.operators import ranking as rk
@@ -47,14 +50,22 @@ def _table(spark: SparkSession, out: str, name: str) -> DataFrame:
 
 
 def run_city_load(spark: SparkSession, place_root: str, out: str,
-                  largest_part_places: Sequence[tuple[str, str]] = dims.LARGEST_PART_PLACES
+                  largest_part_places: Sequence[tuple[str, str]] = dims.LARGEST_PART_PLACES,
+                  members: DataFrame | None = None, point_sources: DataFrame | None = None
                   ) -> DataFrame:
     """§3.2: the places table with populations, pledged flags and points.
     ``largest_part_places``: (state, place) of which only the largest part
-    counts (O4); all others keep every part."""
+    counts (O4); all others keep every part.  ``members`` (target_state,
+    target_place, state_fips, place_fips): consolidated governments, whose
+    polygon becomes the union of their members' (A13); ``point_sources``
+    (the same columns): where such a target takes its point from when it has
+    none.  Both default to the fixed lists."""
+    members = dims.consolidated_member_dim(spark) if members is None else members
+    point_sources = dims.consolidated_point_dim(spark) if point_sources is None else point_sources
     v = pf.scan_boundaries(spark, place_root)
     places = pl.load_boundaries(spark, v)
-    verts = pl.boundary_vertices(v, places)
+    verts = ov.merge_places(pl.boundary_vertices(v, places), members)
+    members.write.mode("overwrite").parquet(f"{out}/consolidated")
     if largest_part_places:
         verts = sa.largest_part(verts, only=F.broadcast(spark.createDataFrame(
             list(largest_part_places), "state_fips string, place_fips string")))
@@ -69,7 +80,7 @@ def run_city_load(spark: SparkSession, place_root: str, out: str,
     resolved = pl.resolve_points(spark, pf.scan_city_points(spark, place_root))
     table = places.drop("load_order")
     table = pl.apply_pledges(table, pledges)
-    table = pl.apply_points(table, resolved)
+    table = pl.copy_points(pl.apply_points(table, resolved), point_sources)
     table.write.mode("overwrite").parquet(f"{out}/places")
     return (pops.groupBy("outcome").agg(F.count(F.lit(1)).alias("n_rows"))
             .withColumn("dataset", F.lit("populations")))
@@ -143,8 +154,12 @@ def run_enrichment(spark: SparkSession, out: str, cell: float = 0.05) -> DataFra
         crashes = crashes.withColumn("place_fips", F.lit(None).cast("string")) \
             .withColumn("fips_city_name", F.lit(None).cast("string"))
     places = _table(spark, out, "places")
+    # a crash within a merged place and one of its members counts for the merged one
+    merged = _table(spark, out, "consolidated").select(F.col("target_state").alias("state_fips"),
+                                                       F.col("target_place").alias("place_fips")).distinct()
     assignment = sa.assign_points(crashes.select("st_case", "year", "lon", "lat"),
-                                  _table(spark, out, "place_vertices"), ["st_case", "year"], cell)
+                                  _table(spark, out, "place_vertices"), ["st_case", "year"], cell,
+                                  preferred=merged)
     located = sa.enrich_crash_locations(crashes, assignment, places)
     enriched = st.apply_subtypes(located, _table(spark, out, "persons"), ("st_case", "year"))
     enriched.write.mode("overwrite").partitionBy("year").parquet(f"{out}/crashes_enriched")

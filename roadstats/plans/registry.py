@@ -20,6 +20,7 @@ from roadstats.operators import loads as ld
 from roadstats.operators import quality as qa
 from roadstats.operators import ranking as rk
 from roadstats.operators import serving as sv
+from roadstats.operators import overlay as ov
 from roadstats.operators import spatial as sa
 from roadstats.operators import hotspots as hs
 from roadstats.operators import places as pl
@@ -436,20 +437,56 @@ def q_part_areas(spark, sf_dir):
            round(abs(sum(x1 * y2 - x2 * y1)) / 2, 6) AS area
     FROM d GROUP BY n_regionkey""")
 def q_region_unions(spark, sf_dir):
-    """Union of the member polygons of each region (edge cancellation)."""
-    verts = sp.polygon_vertices(spark, sf_dir)
+    """Union of the member polygons of each region."""
     n = sp.table(spark, sf_dir, "nation")
     members = n.select(F.lpad(F.col("n_regionkey").cast("string"), 2, "0").alias("target_state"),
                        F.lit("00000").alias("target_place"),
                        F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("state_fips"),
                        F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("place_fips"))
-    u = sa.union_edges(sa.edges(verts), F.broadcast(members))
+    u = ov.polygon_unions(sp.polygon_vertices(spark, sf_dir), members)
     return u.groupBy("target_state").agg(
         F.count(F.lit(1)).alias("n_edges"),
         F.round(F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))) / 2, 6)
          .alias("area"))
 
 
+# a block's footprints as rectangles of whole units, covered unit squares counted once
+CONSOLIDATED_SQL = """
+    WITH c AS (SELECT c_custkey // 6 AS block, c_custkey % 6 AS k, ((CAST(floor(c_acctbal) AS BIGINT) % 4) + 4) % 4 AS s FROM customer),
+    r AS (SELECT block, 0 AS x0, 0 AS y0, 10 AS x1, 5 AS y1 FROM c WHERE k = 0 OR k = 3
+          UNION ALL SELECT block, 0, 0, 5, 10 FROM c WHERE k = 0 OR (k = 3 AND s % 2 = 0)
+          UNION ALL SELECT block, s + 4, 3, s + 12, 9 FROM c WHERE k = 1
+          UNION ALL SELECT block, 1, 1, 3, 3 FROM c WHERE k = 2
+          UNION ALL SELECT block, 10, s, 14, s + 4 FROM c WHERE k = 4
+          UNION ALL SELECT block, x0, y0, x1, y1 FROM c, (VALUES (-3, -3, 20, -2), (-3, 13, 20, 16), (-3, -3, -2, 16), (14, -3, 20, 16))
+                    AS f(x0, y0, x1, y1) WHERE k = 5),
+    q AS (SELECT DISTINCT block, x, y FROM r, unnest(range(x0, x1)) AS a(x), unnest(range(y0, y1)) AS b(y)),
+    e AS (SELECT block, 2 * x AS x, 2 * y + 1 AS y FROM q UNION ALL SELECT block, 2 * x + 2, 2 * y + 1 FROM q
+          UNION ALL SELECT block, 2 * x + 1, 2 * y FROM q UNION ALL SELECT block, 2 * x + 1, 2 * y + 2 FROM q),
+    side AS (SELECT block, x, y FROM e GROUP BY ALL HAVING count(*) = 1),
+    around AS (SELECT block, count(*) AS n FROM side GROUP BY block)
+    SELECT CAST(block AS BIGINT) AS block, count(*) AS area, any_value(n) AS perimeter, count(*) AS ring_area
+    FROM q JOIN around USING (block) GROUP BY block"""
+
+
+@register("consolidated_unions", CONSOLIDATED_SQL)
+def q_consolidated_unions(spark, sf_dir):
+    """Unions of overlapping, nested, equal and touching places with holes: area, length of the boundary, and
+    area of the assembled rings, in units of 0.01 degree."""
+    v = sp.footprints(spark, sf_dir)
+    key = ["state_fips", "place_fips"]
+    members = v.select("block", *key).distinct()
+    e = reliable_checkpoint(ov.union_boundary(ov.directed_edges(v, key).join(members, key), ["block"]))
+    unit = F.lit(2 * round(sp.FOOTPRINT_UNIT / ov.UNIT))
+    cross = lambda x1, y1, x2, y2: (F.col(x1) / unit * F.col(y2) - F.col(x2) * (F.col(y1) / unit)) / unit / 2
+    measured = e.groupBy("block").agg(
+        F.round(F.sum(cross("ax", "ay", "bx", "by"))).cast("long").alias("area"),
+        F.round(F.sum(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) / unit)).cast("long").alias("perimeter"))
+    w = sa.edges(ov.ring_vertices(e, ["block"]), ["block"])
+    rings = w.groupBy("block").agg(F.round(F.sum(cross("x1", "y1", "x2", "y2"))).cast("long").alias("ring_area"))
+    return measured.join(rings, "block")
+
+
 # ---------------------------------------------------------------------------
 # Hotspots (A11, W5, G2–G9, U1, E6)
 # ---------------------------------------------------------------------------

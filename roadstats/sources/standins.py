@@ -12,7 +12,7 @@ is already unique, so persons refer to their crash by st_case alone
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadstats.functions import dims
@@ -227,6 +227,43 @@ def polygon_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# FIXED VALUES of ``footprints``: outer ring, and hole if any, by c_custkey % 6, in hundredths of a degree
+# from the block's corner; s = floor(c_acctbal) mod 4.
+FOOTPRINT_UNIT = 0.01
+FOOTPRINT_FRAME = ((-3, -3, 20, 16), (-2, -2, 14, 13))
+
+
+def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places whose polygons overlap: a vertex table with ``block`` = floor(c_custkey / 6).
+
+    The six customers of a block are, by c_custkey % 6: an L; a square half over it; a square
+    within it; the same L again (s even) or its lower bar; a bar that touches the L from the right
+    along a part of its side; and a frame around all (with a hole, whose right border the bar may touch).
+    """
+    c = table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_nationkey", F.pmod(F.floor("c_acctbal").cast("int"), F.lit(4)).alias("s"))
+    k, s = F.col("c_custkey") % 6, F.col("s")
+
+    def rect(x0, y0, x1, y1):
+        x0, y0, x1, y1 = (v if isinstance(v, Column) else F.lit(v) for v in (x0, y0, x1, y1))
+        return F.array(*[F.array(x.cast("int"), y.cast("int")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
+
+    ell = F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ((0, 0), (10, 0), (10, 5), (5, 5), (5, 10), (0, 10))])
+    rings = (F.when(k == 0, F.array(ell)).when(k == 1, F.array(rect(s + 4, 3, s + 12, 9)))
+             .when(k == 2, F.array(rect(1, 1, 3, 3))).when((k == 3) & (s % 2 == 0), F.array(ell))
+             .when(k == 3, F.array(rect(0, 0, 10, 5))).when(k == 4, F.array(rect(10, s, 14, s + 4)))
+             .otherwise(F.array(*[rect(*r) for r in FOOTPRINT_FRAME])))
+    block = F.floor(F.col("c_custkey") / 6)
+    v = c.select(zfill(F.col("c_nationkey"), 2).alias("state_fips"), zfill(F.col("c_custkey"), 5).alias("place_fips"),
+                 block.alias("block"), F.posexplode(rings).alias("ring", "points"))
+    v = v.select("state_fips", "place_fips", "block", "ring", F.posexplode("points").alias("seq", "xy"))
+    x0 = F.lit(TILE_LON0) + F.col("block") % 500 * F.lit(0.1)
+    y0 = F.lit(TILE_LAT0) + F.floor(F.col("block") / 500) % 200 * F.lit(0.1)
+    return v.select("state_fips", "place_fips", "block", F.lit(0).alias("part"), "ring", "seq",
+                    (x0 + F.col("xy")[0] * F.lit(FOOTPRINT_UNIT)).alias("x"),
+                    (y0 + F.col("xy")[1] * F.lit(FOOTPRINT_UNIT)).alias("y"))
+
+
 def hotspot_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct grid-cell ids for the hotspot operators.
 

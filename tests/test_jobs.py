@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from roadstats.operators import places as pl
+from roadstats.operators import spatial as sa
 from roadstats.plans import jobs
 from roadstats.sources import place_files as pf
 from roadstats.sources import raw_files as rf
@@ -44,6 +46,36 @@ def test_runs_chain(spark, tmp_path):
     assert years == {1996}
 
 
+def test_consolidated_places(spark, tmp_path):
+    """The target's polygon is the union of its members', its point is the source's, and crashes within it count for it
+    although the members' polygons are still there."""
+    out = str(tmp_path / "tables")
+    schema = "target_state string, target_place string, state_fips string, place_fips string"
+    places = [(f"{n:02d}", f"{n:05d}") for n in (7, 1, 2)]
+    members = spark.createDataFrame([("07", "00007", *p) for p in places], schema)
+    jobs.run_city_load(spark, pf.ensure_place_files(spark, SF_SMALL), out, members=members,
+                       point_sources=spark.createDataFrame([("07", "00007", "01", "00001")], schema)).collect()
+    areas = {}
+    for r in sa.part_areas(spark.read.parquet(f"{out}/place_vertices")).collect():
+        areas[r["place_fips"]] = areas.get(r["place_fips"], 0) + r["area"]
+    assert abs(areas["00007"] - areas["00001"] - areas["00002"] - areas["00003"]) < 1e-6  # 3 and 7 are of one shape
+
+    sp.crash_points(spark, SF_SMALL).withColumn("total_fatalities", F.lit(1)).write.partitionBy("year").parquet(f"{out}/crashes")
+    spark.createDataFrame([], "st_case bigint, year int, person_type int, injury_severity int").write.parquet(f"{out}/persons")
+    jobs.run_enrichment(spark, out)
+    found = {r["place_fips"] for r in spark.read.parquet(f"{out}/crashes_enriched").select("place_fips").distinct().collect()}
+    assert "00007" in found and not found & {"00001", "00002"} and "00003" in found
+
+
+def test_point_of_a_member(spark):
+    rows = [("21", "1", None, None, None), ("21", "2", -85.7, 38.2, "geocoded"), ("21", "3", -1.0, 2.0, "override"), ("21", "4", None, None, None)]
+    places = spark.createDataFrame(rows, "state_fips string, place_fips string, point_lon double, point_lat double, point_source string")
+    sources = spark.createDataFrame([("21", "1", "21", "2"), ("21", "3", "21", "2"), ("21", "4", "21", "9")],
+                                    "target_state string, target_place string, state_fips string, place_fips string")
+    got = {r["place_fips"]: (r["point_lon"], r["point_lat"], r["point_source"]) for r in pl.copy_points(places, sources).collect()}
+    assert got == {"1": (-85.7, 38.2, "member"), "2": (-85.7, 38.2, "geocoded"), "3": (-1.0, 2.0, "override"), "4": (None, None, None)}
+
+
 def test_year_loads_keep_other_years(spark, tmp_path):
     out, raw_root = str(tmp_path / "tables"), rf.ensure_fars_files(spark, SF_SMALL)
     codes = sp.city_codes(spark, SF_SMALL)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from roadstats.operators import hotspots as hs
+from roadstats.operators import overlay as ov
 from roadstats.operators import spatial as sa
 
 
@@ -190,6 +191,6 @@ def test_union_of_identical_and_touching_members(spark):
     rows = _square("A", 0, 0, 0, 1) + _square("B", 0, 0, 0, 1) + _square("C", 0, 1, 0, 1)
     members = spark.createDataFrame([("01", p, "01", "T") for p in "ABC"],
                                     "state_fips string, place_fips string, target_state string, target_place string")
-    got = sa.union_edges(sa.edges(spark.createDataFrame(rows, SQUARES)), members).collect()
+    got = ov.polygon_unions(spark.createDataFrame(rows, SQUARES), members).collect()
     area = sum(r["x1"] * r["y2"] - r["x2"] * r["y1"] for r in got) / 2
     assert len(got) == 6 and area == 2.0
