@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from roadstats.operators import city_stats as cs
 from roadstats.operators import hotspots as hs
 from roadstats.operators import serving as sv
+from roadstats.operators import arcs as ar
 from roadstats.operators import spatial as sa
 from roadstats.operators.ranking import ALL_RANK_OUTPUTS
 
@@ -83,7 +84,7 @@ def boundary_export(vertices: DataFrame, places: DataFrame,
                     tolerance: float = SIMPLIFY_TOLERANCE) -> DataFrame:
     """E3 rows: (state_fips, place_fips, value), value a GeoJSON Feature with
     the place's name and codes and its geometry after G10."""
-    shapes = sa.geojson_geometries(sa.simplify_rings(vertices, tolerance))
+    shapes = sa.geojson_geometries(ar.simplify_shared(vertices, tolerance))
     keys = ["state_fips", "place_fips"]
     named = shapes.join(places.select(*keys, "place_name").dropDuplicates(keys), keys, "left")
     properties = F.to_json(F.struct("place_name", *keys), {"ignoreNullFields": "false"})

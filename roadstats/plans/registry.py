@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadstats.operators import arcs as ar
 from roadstats.operators import city_stats as cs
 from roadstats.operators import loads as ld
 from roadstats.operators import quality as qa
@@ -487,6 +488,27 @@ def q_consolidated_unions(spark, sf_dir):
     return measured.join(rings, "block")
 
 
+# corners stay, and the middle of a border that is further off than the tolerance
+SIMPLIFIED_SQL = """
+    WITH c AS (SELECT lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS state_fips, lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS place_fips,
+                      c_custkey % 50 AS col, c_custkey // 50 AS r FROM customer),
+    b AS (SELECT state_fips, place_fips, TRUE AS level, col, r + d AS r FROM c, (VALUES (0), (1)) AS s(d)
+          UNION ALL SELECT state_fips, place_fips, FALSE, col + d, r FROM c, (VALUES (0), (1)) AS s(d)),
+    m AS (SELECT *, CASE WHEN level THEN (7 * col + 13 * r) % 3 ELSE (5 * col + 11 * r) % 3 END AS kind FROM b),
+    v AS (SELECT state_fips, place_fips, (col + dx) * 100000 AS x, (r + dy) * 100000 AS y
+          FROM c, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS s(dx, dy)
+          UNION ALL SELECT state_fips, place_fips, col * 100000 + CASE WHEN level THEN 50000 ELSE 150 END,
+                           r * 100000 + CASE WHEN level THEN 150 ELSE 50000 END FROM m WHERE kind = 2)
+    SELECT state_fips, place_fips, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM v"""
+
+
+@register("simplified_borders", SIMPLIFIED_SQL)
+def q_simplified_borders(spark, sf_dir):
+    """Vertices left of neighbours with common borders, in millionths of a degree, where the tolerance decides."""
+    v = ar.simplify_shared(sp.board_places(spark, sf_dir), ex.SIMPLIFY_TOLERANCE)
+    return v.select("state_fips", "place_fips", *[F.round(F.col(c) * sp.BOARD_SCALE).cast("long").alias(c) for c in "xy"])
+
+
 # ---------------------------------------------------------------------------
 # Hotspots (A11, W5, G2–G9, U1, E6)
 # ---------------------------------------------------------------------------

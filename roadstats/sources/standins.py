@@ -264,6 +264,41 @@ def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (y0 + F.col("xy")[1] * F.lit(FOOTPRINT_UNIT)).alias("y"))
 
 
+# FIXED VALUES of ``board_places``: a millionth of a degree, a square's side, points on it, and by kind how far its
+# middle lies off the straight line.
+BOARD_SCALE, BOARD_SIDE, BOARD_STEPS, BOARD_COLS = 1_000_000, 100_000, 4, 50
+BOARD_OFFSETS = (0, 50, 150)
+
+
+def board_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours with common borders: customer k is the square (k % 50, k // 50) of a board, as a vertex table.
+
+    Each border has three points between its corners; the middle one lies 0, 50 or 150 millionths of a degree off, by
+    (7 column + 13 row) % 3 for the border below a square and (5 column + 11 row) % 3 for the one left of it.
+    """
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    col, row = F.col("c_custkey") % BOARD_COLS, F.floor(F.col("c_custkey") / BOARD_COLS)
+    off = F.array(*[F.lit(o) for o in BOARD_OFFSETS])
+
+    def border(cx, cy, level, back):
+        kind = F.pmod(cx * (7 if level else 5) + cy * (13 if level else 11), F.lit(len(BOARD_OFFSETS)))
+        far = F.element_at(off, (kind + 1).cast("int"))
+        steps = range(BOARD_STEPS, 0, -1) if back else range(BOARD_STEPS)
+        points = []
+        for i in steps:
+            along, aside = F.lit(i * BOARD_SIDE // BOARD_STEPS), far if i * 2 == BOARD_STEPS else F.lit(0)
+            x, y = (along, aside) if level else (aside, along)
+            points.append(F.array((cx * BOARD_SIDE + x).cast("long"), (cy * BOARD_SIDE + y).cast("long")))
+        return points
+
+    ring = F.array(*border(col, row, True, False), *border(col + 1, row, False, False),
+                   *border(col, row + 1, True, True), *border(col, row, False, True))
+    v = c.select(zfill(F.col("c_nationkey"), 2).alias("state_fips"), zfill(F.col("c_custkey"), 5).alias("place_fips"),
+                 F.posexplode(ring).alias("seq", "xy"))
+    return v.select("state_fips", "place_fips", F.lit(0).alias("part"), F.lit(0).alias("ring"), "seq",
+                    (F.col("xy")[0] / F.lit(BOARD_SCALE)).alias("x"), (F.col("xy")[1] / F.lit(BOARD_SCALE)).alias("y"))
+
+
 def hotspot_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct grid-cell ids for the hotspot operators.
 
