@@ -28,7 +28,7 @@ def normalize_populations(raw: DataFrame) -> DataFrame:
     """Drop Puerto Rico (state 72); split and clean the place name;
     integer population (a non-integer value is a rejected row)."""
     city, state = nz.population_place("NAME")
-    t = raw.filter(F.col("state") != "72").select(
+    t = raw.filter(F.col("state").isNull() | (F.col("state") != "72")).select(
         F.col("state").alias("state_fips"), F.col("place").alias("place_fips"),
         city.alias("place_name"), state.alias("state_name"),
         nz.int_text("B01003_001E").alias("population"), "load_order")

@@ -39,6 +39,7 @@ from roadstats.functions import dims
 from roadstats.functions.exprs import zfill
 from roadstats.session import scale_tag, shared_dir
 from roadstats.sources import standins as sp
+from roadstats.sources.file_heads import array_rows
 from roadstats.sources.raw_files import _exists, _fs, _milli_text, _reset
 
 GENERATOR_VERSION = 2
@@ -231,29 +232,9 @@ def ensure_place_files(spark: SparkSession, sf_dir: str) -> str:
 # ---------------------------------------------------------------------------
 
 def scan_populations(spark: SparkSession, root: str) -> DataFrame:
-    """Every population file (one JSON array of arrays per file).
-
-    Each file is one document, so it is read whole by one task; the files
-    are per state, so a state's place list is the unit of work (bounded by
-    geography, not by the crash data).  Row 0 is the header; fields are
-    looked up by header position.
-    """
-    t = spark.read.text(f"{root}/populations", wholetext=True, recursiveFileLookup=True)
-    arr = t.select(F.col("_metadata.file_path").alias("source_file"),
-                   F.from_json("value", "array<array<string>>").alias("rows"))
-    header = arr.select("source_file", F.col("rows")[0].alias("header"))
-    rows = arr.select("source_file", F.posexplode("rows").alias("pos", "row")) \
-        .filter(F.col("pos") > 0)
-    j = rows.join(header, "source_file")
-
-    def field(name: str) -> F.Column:
-        idx = F.array_position(F.col("header"), F.lit(name)).cast("int")
-        return F.when(idx > 0, F.element_at(F.col("row"), idx))
-
-    return j.select("source_file", "pos", field("NAME").alias("NAME"),
-                    field("B01003_001E").alias("B01003_001E"), field("state").alias("state"),
-                    field("place").alias("place"),
-                    F.struct("source_file", "pos").alias("load_order"))
+    """Every population file (one JSON array of arrays per file), read by blocks; fields are looked up by their
+    place in the file's first row."""
+    return array_rows(spark, f"{root}/populations", POP_HEADER)
 
 
 def scan_city_points(spark: SparkSession, root: str) -> DataFrame:

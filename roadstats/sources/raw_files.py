@@ -50,6 +50,7 @@ from pyspark.sql import types as T
 
 from roadstats.session import scale_tag, shared_dir
 from roadstats.sources import standins as sp
+from roadstats.sources.file_heads import first_records, group_by_head
 
 YEAR_DIR_RE = r"fars_((19|20)[0-9]{2})"
 DEFAULT_FIRST_YEAR, DEFAULT_LAST_YEAR = 1987, 2024
@@ -330,28 +331,14 @@ def _file_list(files: DataFrame, dataset: str, years: Sequence[int] | None,
     return sorted(r["path"] for r in f.select("path").collect())
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names of one CSV file (reads only its first line)."""
-    fs, p = _fs(spark, path)
-    jvm = spark.sparkContext._jvm
-    stream = fs.open(p)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        line = reader.readLine() or ""
-    finally:
-        stream.close()
-    line = line.lstrip("\ufeff")
-    return tuple(next(csv.reader(io.StringIO(line)), []))
-
-
 def _scan(spark: SparkSession, paths: Sequence[str], fields: Sequence[str],
           aliases: dict[str, Sequence[str]]) -> DataFrame | None:
-    """Read files era by era (same header = same era) and union by name."""
-    eras: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        eras.setdefault(_header(spark, p), []).append(p)
+    """Read files era by era (same header = same era) and union by name.
+
+    Headers are read in tasks; a file without a line has no rows."""
     out = None
-    for header, era_paths in eras.items():
+    for head, era_paths in group_by_head(paths, first_records(spark, paths)).items():
+        header = tuple(next(csv.reader(io.StringIO(head)), []))
         # all-text schema from the header already read: no schema-inference
         # job; enforceSchema=false still checks each file's header against it
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
