@@ -37,18 +37,6 @@ def first_wins(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataF
                          ).select(*df.columns)
 
 
-def keyed_insert(target: DataFrame | None, batch: DataFrame, key: Sequence[str],
-                 order: Sequence[str]) -> DataFrame:
-    """``INSERT … ON CONFLICT (key) DO NOTHING`` as a set operation.
-
-    Returns the *new* rows only (batch minus existing keys, first row per
-    key).  The caller appends them to the target (new table version).
-    """
-    fresh = batch if target is None else batch.join(
-        target.select(*key), list(key), "left_anti")
-    return first_wins(fresh, key, order)
-
-
 def load_outcomes(batch: DataFrame, target: DataFrame | None, key: Sequence[str],
                   order: Sequence[str], valid: F.Column | None = None,
                   group_cols: Sequence[str] = ()) -> DataFrame:
@@ -81,11 +69,38 @@ def load_outcomes(batch: DataFrame, target: DataFrame | None, key: Sequence[str]
     return b.withColumn("outcome", outcome).drop("_valid", "_exists", "_win")
 
 
-def outcome_counts(outcomes: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """Counts per outcome (L5), one row per group with a column per outcome."""
-    kinds = ["inserted", "skipped_existing", "skipped_duplicate", "error"]
-    return (outcomes.groupBy(*group_cols).pivot("outcome", kinds).count()
-            .na.fill(0, subset=kinds))
+def keyed_ledger(batch: DataFrame, target: DataFrame | None, key: Sequence[str],
+                 order: Sequence[str], valid: F.Column, orphan: F.Column | None = None) -> DataFrame:
+    """``INSERT … ON CONFLICT (key) DO NOTHING`` of a whole batch in one aggregate.
+
+    Batch rows and the target's keys go into one aggregate per key together: the first batch row
+    by ``order`` (with its payload), how many rows there were, and whether the target has the key.
+    The batch is evaluated and shuffled once, and a hot key shrinks on the map side.  Rows that
+    are not ``valid``, or are an ``orphan``, are groups of their own.
+
+    Returns the batch's columns, ``outcome`` and ``n_rows``: one row per inserted key and per
+    rejected row, and one per key for the rows skipped (their columns are those of the first).
+    """
+    key, order = list(key), list(order)
+    payload = [c for c in batch.columns if c not in key]
+    first = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c) for c in payload])
+    kind = F.when(F.coalesce(orphan, F.lit(False)), F.lit("skipped_orphan")) if orphan is not None else F.lit(None).cast("string")
+    kind = F.coalesce(kind, F.when(~F.coalesce(valid, F.lit(False)), F.lit("error")))
+    rows = batch.select(*key, kind.alias("_kind"), first.alias("_row"), F.lit(False).alias("_there"))
+    rows = rows.withColumn("_own", F.when(F.col("_kind").isNotNull(), F.struct(*[F.col(f"_row._o{i}") for i in range(len(order))])))
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    if target is not None:
+        there = target.select(*[F.col(c).cast(types[c]).alias(c) for c in key],
+                              *[F.lit(None).cast(types[c]).alias(c) for c in ("_kind", "_row")], F.lit(True).alias("_there"),
+                              F.lit(None).cast(types["_own"]).alias("_own"))
+        rows = rows.unionByName(there)
+    one = rows.groupBy(*key, "_kind", "_own").agg(F.min("_row").alias("_row"), F.count("_row").alias("_n"), F.max("_there").alias("_there"))
+    pair = lambda what, n: F.struct(what.alias("outcome"), n.cast("long").alias("n_rows"))
+    ways = F.when(F.col("_kind").isNotNull(), F.array(pair(F.col("_kind"), F.col("_n")))) \
+        .when(F.col("_there"), F.array(pair(F.lit("skipped_existing"), F.col("_n")))) \
+        .otherwise(F.array(pair(F.lit("inserted"), F.lit(1)), pair(F.lit("skipped_duplicate"), F.col("_n") - 1)))
+    told = one.where("_n > 0").select(*key, "_row", F.explode(F.filter(ways, lambda w: w["n_rows"] > 0)).alias("_w"))
+    return told.select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in batch.columns], "_w.outcome", "_w.n_rows")
 
 
 def write_back(target: DataFrame, updates: DataFrame, key: Sequence[str],
@@ -112,3 +127,19 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: Sequence[str],
     parent_key = list(parent_key or child_key)
     p = parent.select(*[F.col(a).alias(b) for a, b in zip(parent_key, child_key)])
     return child.join(p, list(child_key), "left_anti")
+
+
+def partition_prints(tables: Sequence[DataFrame], column: str) -> DataFrame:
+    """(column, print): a fingerprint per value of the partition column, of the rows of all ``tables`` (any order)."""
+    out = None
+    for i, t in enumerate(tables):
+        h = t.select(F.col(column), F.xxhash64(F.lit(i), *[F.col(c) for c in sorted(t.columns)]).cast("decimal(38,0)").alias("h"))
+        out = h if out is None else out.unionByName(h)
+    return out.groupBy(column).agg(F.concat_ws(":", F.count(F.lit(1)), F.sum("h")).alias("print"))
+
+
+def changed_partitions(now: DataFrame, before: DataFrame | None, column: str) -> list:
+    """Values of ``column`` whose fingerprint is new or other than ``before`` (one row per partition value)."""
+    if before is not None:
+        now = now.join(before, [column, "print"], "left_anti")
+    return sorted(r[column] for r in now.select(column).collect())

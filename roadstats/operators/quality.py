@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CRASH_KEY = ("st_case", "year")
@@ -52,6 +52,32 @@ def blocking_checks(crashes: DataFrame, date_lo: str = "1987-01-01",
     return dups.unionByName(row_checks).withColumn("passed", F.col("violations") == 0)
 
 
+#: Blocking checks that a crash file's rows can fail before they are enriched, and counts for the report.
+LOAD_CHECKS = ("missing_required_fields", "date_out_of_range", "negative_fatalities", "implausible_fatalities")
+LOAD_COUNTS = ("inserted", "skipped_existing", "skipped_duplicate", "error", "missing_date", "missing_point")
+
+
+def load_metrics(date_lo: str = "1987-01-01", date_hi: str = "2024-12-31", max_fatalities: int = 30) -> list[F.Column]:
+    """V2, V3, V4 and V6 over the rows that a load inserts, its outcomes (L5) and gaps (D10), as aggregates for
+    ``DataFrame.observe``: they are counted while the rows are written, without another scan."""
+    new = F.col("outcome") == "inserted"
+    d, tot = F.col("crash_date"), F.col("total_fatalities")
+    found = {
+        "missing_required_fields": F.col("year").isNull() | F.col("st_case").isNull() | F.col("state").isNull(),
+        "date_out_of_range": (d < F.lit(date_lo).cast("date")) | (d > F.lit(date_hi).cast("date")),
+        "negative_fatalities": tot < 0, "implausible_fatalities": tot > max_fatalities,
+        "missing_date": d.isNull(), "missing_point": F.col("lon").isNull()}
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    outcomes = [n(F.when(F.col("outcome") == o, F.col("n_rows"))).alias(o) for o in LOAD_COUNTS[:4]]
+    return [*[n(F.when(new & F.coalesce(c, F.lit(False)), 1)).alias(k) for k, c in found.items()], *outcomes]
+
+
+def load_report(spark: SparkSession, metrics: dict) -> DataFrame:
+    """(check, violations, passed) of observed ``load_metrics``; counts that no check limits always pass."""
+    rows = [(k, int(metrics.get(k) or 0), k not in LOAD_CHECKS or not metrics.get(k)) for k in (*LOAD_CHECKS, *LOAD_COUNTS)]
+    return spark.createDataFrame(rows, "check string, violations long, passed boolean")
+
+
 class BlockingCheckFailed(RuntimeError):
     pass
 

@@ -112,6 +112,20 @@ def load_crashes(typed: DataFrame, target: DataFrame | None = None) -> DataFrame
                             valid=F.col("reject_reason").isNull())
 
 
+def crash_ledger(typed: DataFrame, target: DataFrame | None = None) -> DataFrame:
+    """L1 + L5 as a ledger (``loads.keyed_ledger``): what ``load_crashes`` tells row by row, with the rows skipped
+    counted per key; the files are parsed and shuffled once."""
+    return ld.keyed_ledger(typed, target, CRASH_KEY, ["load_order"], F.col("reject_reason").isNull())
+
+
+def person_ledger(typed_persons: DataFrame, crashes: DataFrame, target: DataFrame | None = None) -> DataFrame:
+    """J1 + L2 + L5 as a ledger; an unparsable ST_CASE is an error, a missing crash an orphan, then field errors."""
+    keys = crashes.select(*CRASH_KEY).distinct().withColumn("_crash", F.lit(True))
+    p = typed_persons.join(keys, list(CRASH_KEY), "left")
+    orphan = F.col("_crash").isNull() & F.col("st_case").isNotNull()
+    return ld.keyed_ledger(p, target, PERSON_KEY, ["load_order"], F.col("reject_reason").isNull(), orphan).drop("_crash")
+
+
 def loaded_keys(typed: DataFrame, target: DataFrame | None = None) -> DataFrame:
     """Crash keys present after a load: the target's keys plus every key of
     a valid batch row (each such key gets exactly one inserted row).  An

@@ -26,14 +26,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from roadstats.functions import dims
 from roadstats.operators import city_stats as cs
 from roadstats.operators import hotspots as hs
+from roadstats.operators import loads as ld
 from roadstats.operators import overlay as ov
 from roadstats.operators import places as pl
+from roadstats.operators import quality as qa
 from roadstats.operators import raw_load as rl
 from roadstats.operators import ranking as rk
 from roadstats.operators import serving as sv
@@ -97,7 +99,7 @@ def _loaded(path: str, years: list[int] | None, like: DataFrame) -> DataFrame |
 
 
 def run_crash_load(spark: SparkSession, raw_root: str, out: str, codes: DataFrame,
-                   years: Sequence[int] | None = None) -> DataFrame:
+                   years: Sequence[int] | None = None, refuse: bool = False) -> DataFrame:
     """§3.1 stages 2–8: crash and person files of the selected years into
     keyed tables; returns rows per (dataset, year, outcome).
 
@@ -106,6 +108,11 @@ def run_crash_load(spark: SparkSession, raw_root: str, out: str, codes: DataFram
     file keeps its crashes and is reported as (person, year, missing_file).
     Rejected rows go to ``quarantine`` as they stood in the file; a repeated
     year replaces its own.
+
+    The crash rows are written once beside the tables and checked while that
+    happens (``load_report``: V2–V4, V6, outcomes, gaps).  With ``refuse``, a
+    batch that fails a blocking check is not loaded: the report stays, the
+    tables are as before, and ``BlockingCheckFailed`` is raised (V7).
     """
     selected = None if years is None else sorted(rf.resolve_years(years))
     files = rf.dataset_presence(rf.dataset_files(spark, raw_root))
@@ -119,7 +126,14 @@ def run_crash_load(spark: SparkSession, raw_root: str, out: str, codes: DataFram
         return missing
     typed = rl.normalize_crashes(spark, rl.with_raw_row(raw, rf.CRASH_FIELDS), codes)
     table = typed.select(*rl.CRASH_COLUMNS)
-    crashes = reliable_checkpoint(rl.load_crashes(typed, _loaded(f"{out}/crashes", selected, table)))
+    seen = Observation("crash load")
+    (rl.crash_ledger(typed, _loaded(f"{out}/crashes", selected, table)).observe(seen, *qa.load_metrics())
+     .write.mode("overwrite").partitionBy("outcome").parquet(f"{out}/_staged/crashes"))
+    report = qa.load_report(spark, seen.get)
+    report.coalesce(1).write.mode("overwrite").parquet(f"{out}/load_report")
+    if refuse:
+        qa.enforce(report)
+    crashes = spark.read.parquet(f"{out}/_staged/crashes")
     rl.inserted(crashes, rl.CRASH_COLUMNS) \
         .write.mode("append").partitionBy("year").parquet(f"{out}/crashes")
     loads = [(crashes, "crash")]
@@ -128,8 +142,9 @@ def run_crash_load(spark: SparkSession, raw_root: str, out: str, codes: DataFram
         keys = _loaded(f"{out}/crashes", selected, table).select(*rl.CRASH_KEY)
         typed = rl.normalize_persons(rl.with_raw_row(raw, rf.PERSON_FIELDS))
         table = typed.drop("reject_reason", "load_order", "raw_row")
-        persons = reliable_checkpoint(rl.load_persons(
-            typed, keys, _loaded(f"{out}/persons", selected, table)))
+        (rl.person_ledger(typed, keys, _loaded(f"{out}/persons", selected, table))
+         .write.mode("overwrite").partitionBy("outcome").parquet(f"{out}/_staged/persons"))
+        persons = spark.read.parquet(f"{out}/_staged/persons")
         persons.filter(F.col("outcome") == "inserted").select(*table.columns) \
             .write.mode("append").partitionBy("year").parquet(f"{out}/persons")
         loads.append((persons, "person"))
@@ -142,27 +157,43 @@ def run_crash_load(spark: SparkSession, raw_root: str, out: str, codes: DataFram
     for rows, dataset in loads:
         counts = counts.unionByName(
             rows.withColumn("dataset", F.lit(dataset)).groupBy("dataset", "year", "outcome")
-            .agg(F.count(F.lit(1)).alias("n_rows")))
+            .agg(F.sum("n_rows").alias("n_rows")))
     return counts
 
 
 def run_enrichment(spark: SparkSession, out: str, cell: float = 0.05) -> DataFrame:
     """§3.1 stages 9–10: place assignment (J4 + L7) and victim subtypes
-    (A1 + L7) as a new version of the crash table."""
-    crashes = _table(spark, out, "crashes")
-    if "place_fips" not in crashes.columns:
-        crashes = crashes.withColumn("place_fips", F.lit(None).cast("string")) \
-            .withColumn("fips_city_name", F.lit(None).cast("string"))
-    places = _table(spark, out, "places")
-    # a crash within a merged place and one of its members counts for the merged one
-    merged = _table(spark, out, "consolidated").select(F.col("target_state").alias("state_fips"),
-                                                       F.col("target_place").alias("place_fips")).distinct()
-    assignment = sa.assign_points(crashes.select("st_case", "year", "lon", "lat"),
-                                  _table(spark, out, "place_vertices"), ["st_case", "year"], cell,
-                                  preferred=merged)
-    located = sa.enrich_crash_locations(crashes, assignment, places)
-    enriched = st.apply_subtypes(located, _table(spark, out, "persons"), ("st_case", "year"))
-    enriched.write.mode("overwrite").partitionBy("year").parquet(f"{out}/crashes_enriched")
+    (A1 + L7) as a new version of the crash table.
+
+    Only years whose crashes or persons changed since the last run are
+    enriched and rewritten; a change of the places touches all years.  The
+    fingerprints are written last, so a run that ends early is repeated."""
+    crashes, persons = _table(spark, out, "crashes"), _table(spark, out, "persons")
+    city = [_table(spark, out, t) for t in ("places", "place_vertices", "consolidated")]
+    places = ld.partition_prints([t.withColumn("_all", F.lit(0)) for t in city], "_all").first()
+    now = ld.partition_prints([crashes, persons], "year").withColumn(
+        "print", F.concat_ws("/", "print", F.lit(f"{places['print'] if places else ''}/{cell}")))
+    now = reliable_checkpoint(now)
+    known = f"{out}/enriched_prints"
+    whole = rf._exists(spark, f"{out}/crashes_enriched") and rf._exists(spark, known)
+    before = spark.read.parquet(known) if whole else None
+    years = ld.changed_partitions(now, before, "year")
+    if years:
+        crashes, persons = crashes.filter(F.col("year").isin(years)), persons.filter(F.col("year").isin(years))
+        if "place_fips" not in crashes.columns:
+            crashes = crashes.withColumn("place_fips", F.lit(None).cast("string")) \
+                .withColumn("fips_city_name", F.lit(None).cast("string"))
+        # a crash within a merged place and one of its members counts for the merged one
+        merged = _table(spark, out, "consolidated").select(F.col("target_state").alias("state_fips"),
+                                                           F.col("target_place").alias("place_fips")).distinct()
+        assignment = sa.assign_points(crashes.select("st_case", "year", "lon", "lat"),
+                                      _table(spark, out, "place_vertices"), ["st_case", "year"], cell,
+                                      preferred=merged)
+        located = sa.enrich_crash_locations(crashes, assignment, _table(spark, out, "places"))
+        enriched = st.apply_subtypes(located, persons, ("st_case", "year"))
+        (enriched.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if whole else "static")
+         .partitionBy("year").parquet(f"{out}/crashes_enriched"))
+        now.write.mode("overwrite").parquet(known)
     t = _table(spark, out, "crashes_enriched")
     return t.agg(F.count(F.lit(1)).alias("crashes"),
                  F.count_if(F.col("place_fips").isNotNull()).alias("with_place"),

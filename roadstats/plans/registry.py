@@ -573,7 +573,7 @@ def _raw_crash_outcomes(spark, sf_dir):
     root = rf.ensure_fars_files(spark, sf_dir)
     typed = rl.normalize_crashes(spark, rf.scan_crash_files(spark, root),
                                  sp.city_codes(spark, sf_dir))
-    return root, rl.load_crashes(typed)
+    return root, rl.crash_ledger(typed)
 
 
 _RAW_CRASH_OUT = rl.CRASH_COLUMNS
@@ -598,7 +598,7 @@ def q_raw_crash_load(spark, sf_dir):
 def q_raw_crash_outcomes(spark, sf_dir):
     """Rows per (year, outcome, reason) of the crash load."""
     _, out = _raw_crash_outcomes(spark, sf_dir)
-    return out.groupBy("year", "outcome", "reject_reason").agg(F.count(F.lit(1)).alias("n_rows"))
+    return out.groupBy("year", "outcome", "reject_reason").agg(F.sum("n_rows").alias("n_rows"))
 
 
 @register("raw_person_outcomes", """
@@ -614,9 +614,9 @@ def q_raw_person_outcomes(spark, sf_dir):
     root = rf.ensure_fars_files(spark, sf_dir)
     typed = rl.normalize_crashes(spark, rf.scan_crash_files(spark, root),
                                  sp.city_codes(spark, sf_dir))
-    persons = rl.load_persons(rl.normalize_persons(rf.scan_person_files(spark, root)),
-                              rl.loaded_keys(typed))
-    return persons.groupBy("year", "outcome").agg(F.count(F.lit(1)).alias("n_rows"))
+    persons = rl.person_ledger(rl.normalize_persons(rf.scan_person_files(spark, root)),
+                               rl.loaded_keys(typed))
+    return persons.groupBy("year", "outcome").agg(F.sum("n_rows").alias("n_rows"))
 
 
 @register("raw_person_subtypes", """
@@ -632,8 +632,8 @@ def q_raw_person_subtypes(spark, sf_dir):
     root = rf.ensure_fars_files(spark, sf_dir)
     typed = rl.normalize_crashes(spark, rf.scan_crash_files(spark, root),
                                  sp.city_codes(spark, sf_dir))
-    persons = rl.load_persons(rl.normalize_persons(rf.scan_person_files(spark, root)),
-                              rl.loaded_keys(typed))
+    persons = rl.person_ledger(rl.normalize_persons(rf.scan_person_files(spark, root)),
+                               rl.loaded_keys(typed))
     loaded = persons.filter(F.col("outcome") == "inserted")
     counts = st.crash_subtype_counts(loaded, ["st_case", "year"])
     return counts.groupBy("year").agg(
@@ -1049,12 +1049,12 @@ def q_incremental_reload(spark, sf_dir):
     rows = []
     for run in (1, 2):
         r = inc.load_new_files(spark, root, f"{base}/batch_crashes", codes)
-        n = spark.read.parquet(f"{base}/batch_crashes").count()
+        n = inc.read_table(spark, f"{base}/batch_crashes").count()
         rows.append(("batch", run, r["new_files"], r["rows_added"], n))
     for run in (1, 2):
         r = inc.stream_new_files(spark, root, f"{base}/stream_crashes", codes,
                                  f"{base}/stream_checkpoint")
-        n = spark.read.parquet(f"{base}/stream_crashes").count()
+        n = inc.read_table(spark, f"{base}/stream_crashes").count()
         rows.append(("stream", run, r["new_files"], r["rows_added"], n))
     return spark.createDataFrame(
         rows, "form string, run long, new_files long, rows_added long, table_rows long")

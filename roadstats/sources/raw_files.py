@@ -295,6 +295,11 @@ def dataset_files(spark: SparkSession, root: str) -> DataFrame:
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", "*.[cC][sS][vV]").load(root)
              .select("path", "length"))
+    return with_dataset(files)
+
+
+def with_dataset(files: DataFrame) -> DataFrame:
+    """(path, length) with the dataset year and kind that the path tells."""
     fname = F.upper(F.element_at(F.split("path", "/"), -1))
     year = F.regexp_extract("path", YEAR_DIR_RE, 1)
     return files.select(
