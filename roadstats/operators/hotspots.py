@@ -13,22 +13,21 @@
 * G7: a mitre buffer of 250 m around axis-aligned cells equals dilation by a
   square: each hot cell covers 4x4 sub-cells of 250 m; distinct sub-cells are
   dissolved the same way.
-* G9/U1/E6: rings are assembled per city in ``applyInPandas`` (only the
-  city's boundary edges travel to the task), projected back to lon/lat and
-  emitted as one GeoJSON feature per line.
+* G9/U1/E6: rings are assembled by pointer doubling over the boundary edges
+  (``overlay``), projected back to lon/lat and emitted as one GeoJSON feature
+  per line.
 """
 
 from __future__ import annotations
 
-import json
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from roadstats.session import reliable_checkpoint, ship_package
+from roadstats.operators import overlay as ov
+from roadstats.operators import spatial as sa
+from roadstats.session import reliable_checkpoint
 
 CITY_KEY = ("state_fips", "place_fips")
 
@@ -190,125 +189,25 @@ def zone_summary(hot: DataFrame, key=CITY_KEY) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Ring assembly and GeoJSON (per city, applyInPandas)
+# GeoJSON features
 # ---------------------------------------------------------------------------
 
-def _rings(edges_pdf: pd.DataFrame) -> list[list[tuple[int, int]]]:
-    """Chain directed boundary edges into closed simple rings, each from its
-    smallest vertex on.  At a vertex with two outgoing edges take the sharpest
-    left turn, which keeps shells that touch at a corner apart.  A walk that
-    comes back to a vertex of its own closes a ring there, so a hole that
-    touches its shell, or another hole, at a corner is a ring of its own."""
-    out: dict[tuple, list[tuple]] = {}
-    for x1, y1, x2, y2 in edges_pdf[["x1", "y1", "x2", "y2"]].itertuples(index=False):
-        out.setdefault((x1, y1), []).append((x2, y2))
-    rings = []
-    for start in sorted(out):
-        while out[start]:
-            path, place, prev = [start], {start: 0}, None
-            while True:
-                cur = path[-1]
-                cands = sorted(out[cur])
-                if prev is not None and len(cands) > 1:
-                    dx, dy = cur[0] - prev[0], cur[1] - prev[1]
-                    cands.sort(key=lambda c: dy * (c[0] - cur[0]) - dx * (c[1] - cur[1]))
-                nxt = cands[0]
-                out[cur].remove(nxt)
-                prev = cur
-                if nxt not in place:
-                    place[nxt] = len(path)
-                    path.append(nxt)
-                    continue
-                ring = path[place[nxt]:]
-                low = ring.index(min(ring))
-                rings.append([*ring[low:], *ring[:low], ring[low]])
-                for v in ring[1:]:
-                    del place[v]
-                path = path[:place[nxt] + 1]
-                if len(path) == 1:
-                    break
-    return rings
-
-
-def _signed_area(r):
-    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:])) / 2
-
-
-def _inside(pt, ring):
-    x, y = pt
-    c = False
-    for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
-        if (y1 > y) != (y2 > y) and x1 + (y - y1) * (x2 - x1) / (y2 - y1) > x:
-            c = not c
-    return c
-
-
-def _to_lonlat(xs, ys):
-    """Inverse Albers in numpy for the assembled ring vertices (metres)."""
-    import numpy as np
-    x = np.asarray(xs, dtype=float)
-    y = np.asarray(ys, dtype=float)
-    dy = RHO_0 - y
-    rho = np.sqrt(x * x + dy * dy)
-    theta = np.arctan2(x, dy)
-    q = (C_CONE - rho * rho * N_CONE * N_CONE / (A_AXIS * A_AXIS)) / N_CONE
-    phi = np.arcsin(q / 2)
-    for _ in range(8):
-        s = np.sin(phi)
-        one = 1 - E2 * s * s
-        phi = phi + one * one / (2 * np.cos(phi)) * (
-            q / (1 - E2) - s / one + (1 / (2 * E)) * np.log((1 - E * s) / (1 + E * s)))
-    return np.degrees(theta / N_CONE) + LON_0, np.degrees(phi)
-
-
-def zone_polygons(edges_pdf: pd.DataFrame) -> list[list[list[tuple[int, int]]]]:
-    """[shell, hole…] of every polygon, in lattice units; a hole belongs to
-    the smallest shell around it."""
-    rings = _rings(edges_pdf)
-    shells = sorted((r for r in rings if _signed_area(r) > 0), key=lambda r: (_signed_area(r), r[0]))
-    polys = [[s] for s in shells]
-    for h in (r for r in rings if _signed_area(r) < 0):
-        # half a unit up and right of its smallest vertex: within the hole, on no edge
-        inner = (h[0][0] + 0.5, h[0][1] + 0.5)
-        next(p for p in polys if _inside(inner, p[0])).append(h)
-    return sorted(polys)
-
-
-def geojson_geometry(edges_pdf: pd.DataFrame, unit_m: int = SUB_M,
-                     precision: int = PRECISION) -> dict:
-    polys = zone_polygons(edges_pdf)
-
-    def coords(ring):
-        lon, lat = _to_lonlat([p[0] * unit_m for p in ring], [p[1] * unit_m for p in ring])
-        return [[round(float(a), precision), round(float(b), precision)] for a, b in zip(lon, lat)]
-
-    parts = [[coords(r) for r in p] for p in polys]
-    if len(parts) == 1:
-        return {"type": "Polygon", "coordinates": parts[0]}
-    return {"type": "MultiPolygon", "coordinates": parts}
-
-
-FEATURE_SCHEMA = T.StructType([T.StructField("state_fips", T.StringType()),
-                               T.StructField("place_fips", T.StringType()),
-                               T.StructField("zone_type", T.StringType()),
-                               T.StructField("feature", T.StringType())])
-
-
 def zone_features(hot: DataFrame, key=CITY_KEY) -> DataFrame:
-    """U1 + G8 + G9: one GeoJSON feature (string) per city and zone type
-    ('core', 'buffer').  Only each city's boundary edges reach its task."""
-    k = list(key)
-    ship_package(hot.sparkSession)
-    hot = reliable_checkpoint(hot.select(*k, "cx", "cy"))
-    both = (core_edges(hot, k).withColumn("zone_type", F.lit("core"))
-            .unionByName(buffer_edges(hot, k).withColumn("zone_type", F.lit("buffer"))))
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        geom = geojson_geometry(pdf)
-        st, pl, zt = pdf["state_fips"].iloc[0], pdf["place_fips"].iloc[0], pdf["zone_type"].iloc[0]
-        feat = {"type": "Feature", "geometry": geom,
-                "properties": {"place_fips": pl, "zone_type": zt}}
-        return pd.DataFrame({"state_fips": [st], "place_fips": [pl], "zone_type": [zt],
-                             "feature": [json.dumps(feat)]})
-
-    return both.groupBy(*k, "zone_type").applyInPandas(build, FEATURE_SCHEMA)
+    """U1 + G8 + G9: (key, zone_type, feature): one GeoJSON feature (string) per
+    city and zone type ('core', 'buffer').  Rings are ranked edge by edge over
+    all zones together (``overlay.ring_vertices``), so a zone of any size is
+    many tasks' work until its feature is written as one value."""
+    k = [*key, "zone_type"]
+    hot = reliable_checkpoint(hot.select(*key, "cx", "cy"))
+    both = (core_edges(hot, key).withColumn("zone_type", F.lit("core"))
+            .unionByName(buffer_edges(hot, key).withColumn("zone_type", F.lit("buffer"))))
+    half = both.select(*k, *[(F.col(c) * 2).cast("long").alias(d)
+                             for c, d in (("x1", "ax"), ("y1", "ay"), ("x2", "bx"), ("y2", "by"))])
+    v = ov.ring_vertices(half, k)
+    metres = v.withColumns({c: F.col(c) / 2 * F.lit(float(SUB_M)) for c in ("x", "y")})
+    v = with_albers_inverse(metres, "x", "y", "_lon", "_lat").drop("x", "y") \
+        .withColumnsRenamed({"_lon": "x", "_lat": "y"})
+    shapes = sa.geojson_geometries(v, k, PRECISION)
+    properties = F.to_json(F.struct("place_fips", "zone_type"))
+    return shapes.select(*k, F.concat(F.lit('{"type":"Feature","geometry":'), F.col("geometry"),
+                                      F.lit(',"properties":'), properties, F.lit("}")).alias("feature"))

@@ -194,20 +194,10 @@ def union_boundary(edge_tab: DataFrame, key: Sequence[str]) -> DataFrame:
     return p.select(*k, *[c.alias(n) for n, c in swap.items()])
 
 
-def assemble_rings(edge_tab: DataFrame, key: Sequence[str]) -> DataFrame:
-    """(key, ring_id, seq, n, ax, ay, bx, by): the edges of ``edge_tab`` (key, ax, ay, bx, by; the inside on their left,
-    each once) in their rings' order; n: edges of the ring.
-
-    Where several rings touch in a point, the sharpest left turn keeps them apart."""
-    k = list(key)
-    e = reliable_checkpoint(edge_tab.select(*k, *ENDS).withColumn("id", F.xxhash64(*k, *ENDS)))
-    then = e.select(*k, F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("bx").alias("nx"), F.col("by").alias("ny"),
-                    F.col("id").alias("next"))
-    back = F.atan2(F.col("ay") - F.col("by"), F.col("ax") - F.col("bx"))
-    out = F.atan2(F.col("ny") - F.col("by"), F.col("nx") - F.col("bx"))
-    turn = F.when(back - out <= 0, back - out + 2 * F.pi()).otherwise(back - out)
-    state = e.join(then, [*k, "bx", "by"]).groupBy("id").agg(F.min_by("next", F.struct(turn, F.col("next"))).alias("ptr"))
-    state = reliable_checkpoint(state.select("id", "ptr", F.col("id").alias("low"), F.lit(0).cast("long").alias("off")))
+def _ranked(links: DataFrame) -> DataFrame:
+    """(id, ring_id, n, seq) of the cycles of ``links`` (id, ptr): the smallest id of the cycle, its length, and the place
+    in it, from that id on; by pointer doubling."""
+    state = reliable_checkpoint(links.select("id", "ptr", F.col("id").alias("low"), F.lit(0).cast("long").alias("off")))
     for turn_no in range(MAX_DOUBLINGS):
         ahead = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("far"), F.col("low").alias("low2"), F.col("off").alias("off2"))
         state = reliable_checkpoint(state.join(ahead, "ptr").select(
@@ -219,8 +209,41 @@ def assemble_rings(edge_tab: DataFrame, key: Sequence[str]) -> DataFrame:
     else:
         raise RuntimeError("rings did not close")
     lengths = state.groupBy("low").agg(F.count(F.lit(1)).alias("n"))
-    placed = state.join(lengths, "low").select("id", F.col("low").alias("ring_id"), "n", F.pmod(F.col("n") - F.col("off"), "n").alias("seq"))
-    return e.join(placed, "id").select(*k, "ring_id", F.col("seq").cast("long").alias("seq"), "n", *ENDS)
+    return state.join(lengths, "low").select("id", F.col("low").alias("ring_id"), "n",
+                                             F.pmod(F.col("n") - F.col("off"), "n").cast("long").alias("seq"))
+
+
+def assemble_rings(edge_tab: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, ring_id, seq, n, ax, ay, bx, by): the edges of ``edge_tab`` (key, ax, ay, bx, by; the inside on their left,
+    each once) in the order of their rings, which are simple; n: edges of the ring.
+
+    Where rings touch in a point, the sharpest left turn keeps shells apart.  It runs a hole that touches its shell, or
+    another hole, into one ring with it; such a ring is cut where it comes back to a vertex, and ranked again."""
+    k = list(key)
+    e = reliable_checkpoint(edge_tab.select(*k, *ENDS).withColumn("id", F.xxhash64(*k, *ENDS)))
+    then = e.select(*k, F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("bx").alias("nx"), F.col("by").alias("ny"),
+                    F.col("id").alias("next"))
+    back = F.atan2(F.col("ay") - F.col("by"), F.col("ax") - F.col("bx"))
+    out = F.atan2(F.col("ny") - F.col("by"), F.col("nx") - F.col("bx"))
+    turn = F.when(back - out <= 0, back - out + 2 * F.pi()).otherwise(back - out)
+    links = reliable_checkpoint(e.join(then, [*k, "bx", "by"]).groupBy("id").agg(
+        F.min_by("next", F.struct(turn, F.col("next"))).alias("ptr")))
+    placed = reliable_checkpoint(e.join(_ranked(links), "id"))
+
+    again = placed.groupBy("ring_id", "ax", "ay").agg(F.count(F.lit(1)).alias("visits")).where("visits > 1")
+    again = reliable_checkpoint(again)
+    if not again.isEmpty():
+        visit = Window.partitionBy("ring_id", "ax", "ay").orderBy("seq")
+        whole = visit.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        visits = placed.join(again.drop("visits"), ["ring_id", "ax", "ay"]).select(
+            "ring_id", F.pmod(F.col("seq") - 1, "n").alias("seq"),  # the edge that comes to the visit goes on as the one before did
+            F.coalesce(F.lag("id").over(visit), F.last("id").over(whole)).alias("instead"))
+        torn = placed.join(again.select("ring_id").distinct(), "ring_id", "left_semi")
+        new = torn.join(visits, ["ring_id", "seq"], "left").select("id", "instead").join(links, "id").select(
+            "id", F.coalesce("instead", "ptr").alias("ptr"))
+        ranked = _ranked(new)
+        placed = placed.join(again.select("ring_id").distinct(), "ring_id", "left_anti").unionByName(e.join(ranked, "id"))
+    return placed.select(*k, "ring_id", "seq", "n", *ENDS)
 
 
 def ring_vertices(edge_tab: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from collections import Counter
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from roadstats.operators import hotspots as hs
 from roadstats.operators import overlay as ov
 from roadstats.operators import spatial as sa
+from tests import ring_walk as rw
 
 SCHEMA = "state_fips string, place_fips string, part int, ring int, seq int, x double, y double"
 MEMBERS = "target_state string, target_place string, state_fips string, place_fips string"
@@ -125,24 +127,44 @@ def test_merge_places(spark):
     assert {x["place_fips"]: round(x["area"], 9) for x in sa.part_areas(v).collect()} == {"a": 1.5, "b": 1.0, "c": 1.0}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+def cycle(ring):
+    low = ring.index(min(ring))
+    return tuple(ring[low:] + ring[:low])
+
+
+@pytest.mark.parametrize("seed", [3, 4])
 def test_rings_equal_zone_polygons(spark, seed):
-    """The rings of dissolved cells, corners that touch included, equal those that the per-city assembly walks."""
+    """The rings of dissolved cells, holes that touch shells and each other included, are those that a walk finds."""
     r = random.Random(seed)
-    cells = {(r.randint(0, 14), r.randint(0, 14)) for _ in range(150)}
+    cells = {(r.randint(0, 14), r.randint(0, 14)) for _ in range(260)}
     e = hs.core_edges(spark.createDataFrame([("01", "x", x, y) for x, y in cells], "state_fips string, place_fips string, cx long, cy long"))
     e = e.select("state_fips", "place_fips", *[(F.col(c) * 2).alias(d) for c, d in (("x1", "ax"), ("y1", "ay"), ("x2", "bx"), ("y2", "by"))])
-    rows = ov.ring_vertices(e, ["state_fips", "place_fips"]).collect()
-    polys = hs.zone_polygons(e.selectExpr("ax as x1", "ay as y1", "bx as x2", "by as y2").toPandas())
-    total = lambda ring: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1])) / 2
     found = {}
-    for x in sorted(rows, key=lambda x: x["seq"]):
-        found.setdefault((x["part"], x["ring"]), []).append((x["x"], x["y"]))
-    mine = {}
-    for (part, _), ring in found.items():
-        mine[part] = mine.get(part, 0) + total(ring)
-    assert sorted(mine.values()) == sorted(sum(total(ring[:-1]) for ring in p) for p in polys)
-    assert Counter(v for ring in found.values() for v in ring) == Counter(v for p in polys for ring in p for v in ring[:-1])
+    for x in sorted(ov.ring_vertices(e, ["state_fips", "place_fips"]).collect(), key=lambda x: x["seq"]):
+        found.setdefault(x["part"], {}).setdefault(x["ring"], []).append((x["x"], x["y"]))
+    polys = rw.zone_polygons(e.selectExpr("ax as x1", "ay as y1", "bx as x2", "by as y2").toPandas())
+    want = sorted((cycle(p[0][:-1]), sorted(cycle(h[:-1]) for h in p[1:])) for p in polys)
+    assert sorted((cycle(p[0]), sorted(cycle(h) for i, h in p.items() if i)) for p in found.values()) == want
+    assert sum(len(holes) for _, holes in want) > 3
+
+
+def test_zone_features(spark):
+    """Features of several cities, their holes and pinches included, equal those of the walk, ring by ring."""
+    r = random.Random(9)
+    cells = {(f"{c:05d}", r.randint(0, 9), r.randint(0, 9)) for c in range(3) for _ in range(110)}
+    hot = spark.createDataFrame([("01", *x) for x in cells], "state_fips string, place_fips string, cx long, cy long")
+    both = {"core": hs.core_edges(hot).toPandas(), "buffer": hs.buffer_edges(hot).toPandas()}
+
+    def rings(geometry):
+        parts = [geometry["coordinates"]] if geometry["type"] == "Polygon" else geometry["coordinates"]
+        return sorted((cycle([tuple(v) for v in p[0][:-1]]), sorted(cycle([tuple(v) for v in h[:-1]]) for h in p[1:])) for p in parts)
+    got = hs.zone_features(hot).collect()
+    assert len(got) == 6
+    for f in got:
+        feature, edges = json.loads(f["feature"]), both[f["zone_type"]]
+        want = rw.geojson_geometry(edges[edges["place_fips"] == f["place_fips"]])
+        assert feature["type"] == "Feature" and feature["properties"] == {"place_fips": f["place_fips"], "zone_type": f["zone_type"]}
+        assert feature["geometry"]["type"] == want["type"] and rings(feature["geometry"]) == rings(want)
 
 
 def test_one_long_ring(spark):

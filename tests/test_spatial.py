@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from roadstats.operators import hotspots as hs
 from roadstats.operators import overlay as ov
 from roadstats.operators import spatial as sa
+from tests import ring_walk as rw
 
 
 def _zones(spark, cells):
@@ -59,7 +60,7 @@ def test_ring_assembly_corner_touch():
     edges = pd.DataFrame([(0, 0, 2, 0), (2, 0, 2, 2), (2, 2, 0, 2), (0, 2, 0, 0),
                           (2, 2, 4, 2), (4, 2, 4, 4), (4, 4, 2, 4), (2, 4, 2, 2)],
                          columns=["x1", "y1", "x2", "y2"])
-    geom = hs.geojson_geometry(edges)
+    geom = rw.geojson_geometry(edges)
     assert geom["type"] == "MultiPolygon" and len(geom["coordinates"]) == 2
     json.dumps(geom)
 
@@ -75,7 +76,7 @@ def test_ring_with_hole():
     e = pd.DataFrame(rows, columns=["x1", "y1", "x2", "y2"])
     key = e.apply(lambda r: tuple(sorted([(r.x1, r.y1), (r.x2, r.y2)])), axis=1)
     e = e[key.map(key.value_counts()) == 1]
-    geom = hs.geojson_geometry(e)
+    geom = rw.geojson_geometry(e)
     assert geom["type"] == "Polygon" and len(geom["coordinates"]) == 2
 
 
@@ -95,16 +96,16 @@ def _boundary(cells):
 def test_pinch_vertices_give_simple_rings():
     block = {(i, j) for i in range(3) for j in range(3)}
     # the missing corner meets the missing centre in a vertex
-    polys = hs.zone_polygons(_boundary(block - {(1, 1), (2, 2)}))
+    polys = rw.zone_polygons(_boundary(block - {(1, 1), (2, 2)}))
     assert [len(p) for p in polys] == [2] and len(set(polys[0][0][:-1])) == len(polys[0][0]) - 1
     # two holes that touch in a corner
     wide = {(i, j) for i in range(4) for j in range(4)}
-    assert [len(p) for p in hs.zone_polygons(_boundary(wide - {(1, 1), (2, 2)}))] == [3]
+    assert [len(p) for p in rw.zone_polygons(_boundary(wide - {(1, 1), (2, 2)}))] == [3]
     # four cells around an empty one touch in corners only: four polygons
-    assert [len(p) for p in hs.zone_polygons(_boundary({(0, 1), (1, 0), (2, 1), (1, 2)}))] == [1] * 4
+    assert [len(p) for p in rw.zone_polygons(_boundary({(0, 1), (1, 0), (2, 1), (1, 2)}))] == [1] * 4
     # an island within a hole
     ring = {(i, j) for i in range(5) for j in range(5)} - {(i, j) for i in (1, 2, 3) for j in (1, 2, 3)}
-    assert sorted(len(p) for p in hs.zone_polygons(_boundary(ring | {(2, 2)}))) == [1, 2]
+    assert sorted(len(p) for p in rw.zone_polygons(_boundary(ring | {(2, 2)}))) == [1, 2]
 
 
 def test_zone_polygons_cover_their_cells():
@@ -112,15 +113,15 @@ def test_zone_polygons_cover_their_cells():
     for share in (0.3, 0.5, 0.6, 0.75, 0.9):
         for size in (4, 9, 14):
             cells = {(i, j) for i in range(size) for j in range(size) if r.random() < share}
-            polys = hs.zone_polygons(_boundary(cells))
+            polys = rw.zone_polygons(_boundary(cells))
             for p in polys:
                 for ring in p:
                     assert ring[0] == ring[-1] == min(ring) and len(set(ring)) == len(ring) - 1
-            assert sum(hs._signed_area(ring) for p in polys for ring in p) == 4 * len(cells)
+            assert sum(rw._signed_area(ring) for p in polys for ring in p) == 4 * len(cells)
             for i in range(size):
                 for j in range(size):
                     at = (2 * i + 0.25, 2 * j + 0.25)
-                    held = [p for p in polys if hs._inside(at, p[0]) and not any(hs._inside(at, h) for h in p[1:])]
+                    held = [p for p in polys if rw._inside(at, p[0]) and not any(rw._inside(at, h) for h in p[1:])]
                     assert len(held) == ((i, j) in cells)
 
 
