@@ -8,18 +8,22 @@ has one row per directed edge.
 
 Spatial join (``assign_points``) without a nested-loop join:
 
-* every polygon's bbox is covered by grid cells of size ``cell``; cells an
-  edge passes through are *boundary* cells (found by clipping each edge to
-  each grid row it spans), all other cover cells are wholly inside or
-  wholly outside, decided once per cell by testing its centre;
-* points equi-join the covered cells on (cx, cy) once: points in *interior*
+* every polygon is covered by grid cells, of size ``cell`` where an edge
+  passes through (*boundary* cells, found by clipping each edge to each grid
+  row it spans) and up to 16 times as wide elsewhere (``cover_cells``); a cell
+  without an edge is wholly inside or wholly outside, decided once per cell by
+  testing its centre;
+* points equi-join the cells on (level, cx, cy) once: points in *interior*
   cells are inside with no further work, points in boundary cells are
   refined by counting crossings of a rightward ray with the polygon's edges
   *of the same grid row* (half-open rule ``(y1 > py) != (y2 > py)``), odd =
-  inside; points on an edge are not "within".  The point table is read once.
+  inside; points on an edge are not "within".  The cell brings these edges
+  along (a few, as a row is as high as a fine cell), so the point table is
+  read once and joined once.
 
 All steps are equi-joins and aggregates, so Spark shuffles on cell / place
-keys; a dense cell is a skewed join key that AQE's skew-join splits.
+keys; a dense cell's points are dealt over ``SALTS`` tasks, each of which gets
+the cell and its edges.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ from roadstats.session import ship_package
 
 PLACE_KEY = ("state_fips", "place_fips")
 EPS = 1e-9
+#: Levels of cover cells, how much coarser each is than the one below, and parts that a dense cell's points go to.
+LEVELS, COARSER, SALTS = 3, 4, 8
 
 
 def edges(vertices: DataFrame, key: Sequence[str] = PLACE_KEY) -> DataFrame:
@@ -46,9 +52,9 @@ def edges(vertices: DataFrame, key: Sequence[str] = PLACE_KEY) -> DataFrame:
         F.coalesce(F.lead("y").over(w), F.first("y").over(wall)).alias("y2"))
 
 
-def _crossing(px: str, py: str) -> tuple[F.Column, F.Column]:
-    """(crosses, on_edge) of a rightward ray from (px, py) with an edge row."""
-    x1, y1, x2, y2 = F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")
+def _crossing(px: str, py: str, x1="x1", y1="y1", x2="x2", y2="y2") -> tuple[F.Column, F.Column]:
+    """(crosses, on_edge) of a rightward ray from (px, py) with an edge."""
+    x1, y1, x2, y2 = (F.col(c) if isinstance(c, str) else c for c in (x1, y1, x2, y2))
     p_x, p_y = F.col(px), F.col(py)
     straddles = (y1 > p_y) != (y2 > p_y)
     # only evaluated where the edge straddles the ray, so y2 != y1
@@ -87,33 +93,47 @@ def boundary_cells(rows: DataFrame, cell: float, key: Sequence[str] = PLACE_KEY)
     return rows.select(*key, "cy", F.explode(F.sequence(lo, hi)).alias("cx")).distinct()
 
 
-def cover_cells(edge_tab: DataFrame, cell: float, key: Sequence[str] = PLACE_KEY) -> DataFrame:
-    """All cells of each polygon's bounding box."""
-    c = F.lit(cell)
-    bb = edge_tab.groupBy(*key).agg(F.min(F.least("x1", "x2")).alias("minx"),
-                                    F.max(F.greatest("x1", "x2")).alias("maxx"),
-                                    F.min(F.least("y1", "y2")).alias("miny"),
-                                    F.max(F.greatest("y1", "y2")).alias("maxy"))
-    return (bb.select(*key, F.explode(F.sequence(F.floor(F.col("minx") / c),
-                                                 F.floor(F.col("maxx") / c))).alias("cx"),
-                      "miny", "maxy")
-            .select(*key, "cx", F.explode(F.sequence(F.floor(F.col("miny") / c),
-                                                     F.floor(F.col("maxy") / c))).alias("cy")))
+def cover_cells(edge_tab: DataFrame, boundary: DataFrame, cell: float,
+                key: Sequence[str] = PLACE_KEY) -> DataFrame:
+    """(key, level, cx, cy): cells no edge passes through, as coarse as they come.
+
+    A cell of a level is ``COARSER`` cells of the level below wide.  The coarsest
+    level covers the bounding box; below it only cells that an edge passes through
+    are split.  So their number grows with the outline, not with the area."""
+    k = list(key)
+    crossed = [boundary.select(*k, "cx", "cy")]
+    for _ in range(LEVELS - 1):
+        crossed.append(crossed[-1].select(*k, *[F.floor(F.col(c) / COARSER).alias(c) for c in ("cx", "cy")]).distinct())
+    top = F.lit(cell * COARSER ** (LEVELS - 1))
+    bb = edge_tab.groupBy(*k).agg(F.min(F.least("x1", "x2")).alias("minx"),
+                                  F.max(F.greatest("x1", "x2")).alias("maxx"),
+                                  F.min(F.least("y1", "y2")).alias("miny"),
+                                  F.max(F.greatest("y1", "y2")).alias("maxy"))
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / top), F.floor(F.col(hi) / top)))
+    cells = bb.select(*k, span("minx", "maxx").alias("cx"), "miny", "maxy").select(*k, "cx", span("miny", "maxy").alias("cy"))
+    out = None
+    for level in range(LEVELS - 1, -1, -1):
+        free = cells.join(crossed[level], [*k, "cx", "cy"], "left_anti").select(*k, F.lit(level).alias("level"), "cx", "cy")
+        out = free if out is None else out.unionByName(free)
+        child = lambda c: F.explode(F.sequence(F.col(c) * COARSER, F.col(c) * COARSER + COARSER - 1))
+        cells = crossed[level].select(*k, child("cx").alias("cx"), "cy").select(*k, "cx", child("cy").alias("cy"))
+    return out
 
 
 def classify_cells(edge_tab: DataFrame, cell: float,
                    key: Sequence[str] = PLACE_KEY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edge rows, boundary cells, interior cells) for a polygon set."""
+    """(edge rows, boundary cells, interior cells) for a polygon set; interior
+    cells have a ``level`` (see ``cover_cells``), boundary cells are of level 0."""
     rows = edge_rows(edge_tab, cell, key)
     boundary = boundary_cells(rows, cell, key)
-    rest = cover_cells(edge_tab, cell, key).join(boundary, [*key, "cx", "cy"], "left_anti")
-    centres = rest.select(*key, "cx", "cy",
-                          ((F.col("cx") + 0.5) * F.lit(cell)).alias("px"),
-                          ((F.col("cy") + 0.5) * F.lit(cell)).alias("py"))
+    size = F.lit(cell) * F.pow(F.lit(float(COARSER)), F.col("level"))
+    centres = cover_cells(edge_tab, boundary, cell, key).withColumns(
+        {"px": (F.col("cx") + 0.5) * size, "py": (F.col("cy") + 0.5) * size}).withColumn(
+        "_row", F.floor(F.col("py") / F.lit(cell)))
     crosses, _ = _crossing("px", "py")
-    interior = (centres.join(rows, [*key, "cy"], "inner")
-                .groupBy(*key, "cx", "cy").agg(F.count_if(crosses).alias("n"))
-                .filter(F.col("n") % 2 == 1).select(*key, "cx", "cy"))
+    interior = (centres.join(rows.withColumnRenamed("cy", "_row"), [*key, "_row"], "inner")
+                .groupBy(*key, "level", "cx", "cy").agg(F.count_if(crosses).alias("n"))
+                .filter(F.col("n") % 2 == 1).select(*key, "level", "cx", "cy"))
     return rows, boundary, interior
 
 
@@ -128,28 +148,23 @@ def assign_points(points: DataFrame, vertices: DataFrame, point_key: Sequence[st
     place, key = list(key), [*key, "part"]
     # parity is taken per part: a point in two overlapping parts is inside (holes belong to their part)
     rows, boundary, interior = classify_cells(edges(vertices, place), cell, key)
+    # one pass over the points: each meets the cells of every level once, by a salt that
+    # spreads a dense cell over tasks
+    at = lambda level: F.struct(F.lit(level).alias("level"), *[
+        F.floor(F.col(v) / F.lit(cell * COARSER ** level)).alias(c) for v, c in (("lon", "cx"), ("lat", "cy"))])
     pts = points.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(
-        *pk, "lon", "lat", F.floor(F.col("lon") / F.lit(cell)).alias("cx"),
-        F.floor(F.col("lat") / F.lit(cell)).alias("cy"))
-    # one pass over the points: a single join with all covered cells, tagged
-    # interior / boundary; boundary hits then meet the edges of their grid
-    # row (the join condition keeps interior hits edge-free), and one
-    # aggregate per (point, place) decides
-    cells = (interior.select(*key, "cx", "cy").withColumn("_in", F.lit(True))
-             .unionByName(boundary.select(*key, "cx", "cy").withColumn("_in", F.lit(False))))
-    hits = pts.join(cells, ["cx", "cy"], "inner")
-    e = rows.select(*[F.col(k).alias(f"_e_{k}") for k in key], F.col("cy").alias("_e_cy"),
-                    "x1", "y1", "x2", "y2")
-    cond = (hits["cy"] == e["_e_cy"]) & ~hits["_in"]
-    for k in key:
-        cond = cond & (hits[k] == e[f"_e_{k}"])
-    crosses, on_edge = _crossing("lon", "lat")
-    hits = (hits.join(e, cond, "left")
-            .groupBy(*pk, *key)
-            .agg(F.bool_or("_in").alias("_in"), F.count_if(crosses).alias("n"),
-                 F.coalesce(F.bool_or(on_edge), F.lit(False)).alias("edge"))
-            .filter(F.col("_in") | ((F.col("n") % 2 == 1) & ~F.col("edge")))
-            .select(*pk, *place))
+        *pk, "lon", "lat", F.pmod(F.xxhash64(*pk), F.lit(SALTS)).cast("int").alias("_salt"),
+        F.explode(F.array(*[at(level) for level in range(LEVELS)])).alias("_at")).select(*pk, "lon", "lat", "_salt", "_at.*")
+    # a boundary cell brings its outline's edges of its grid row
+    row_edges = rows.groupBy(*key, "cy").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
+    cells = (interior.select(*key, "level", "cx", "cy").withColumn("_edges", F.lit(None).cast(row_edges.schema["_edges"].dataType))
+             .unionByName(boundary.join(row_edges, [*key, "cy"]).select(*key, F.lit(0).alias("level"), "cx", "cy", "_edges"))
+             .withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))))
+    hits = pts.join(cells, ["level", "cx", "cy", "_salt"], "inner")
+    tested = lambda i: lambda e: _crossing("lon", "lat", *[e[c] for c in ("x1", "y1", "x2", "y2")])[i]
+    crossed = F.size(F.filter("_edges", tested(0)))
+    within = F.col("_edges").isNull() | ((crossed % 2 == 1) & ~F.exists("_edges", tested(1)))
+    hits = hits.filter(within).select(*pk, *place)
     key = place
     if preferred is not None:
         pref = preferred.select(*key).withColumn("_pref", F.lit(0))

@@ -195,3 +195,20 @@ def test_union_of_identical_and_touching_members(spark):
     got = ov.polygon_unions(spark.createDataFrame(rows, SQUARES), members).collect()
     area = sum(r["x1"] * r["y2"] - r["x2"] * r["y1"] for r in got) / 2
     assert len(got) == 6 and area == 2.0
+
+
+def test_cover_grows_with_the_outline(spark):
+    """Twice as wide a polygon has about twice as many cells, not four times; and they are exact."""
+    counts = {}
+    for size in (4.0, 8.0):
+        ring = [(0.013, 0.013), (size, 0.02), (size * .9, size), (0.1, size * .8)]
+        rows = [("01", "A", 0, 0, i, x, y) for i, (x, y) in enumerate(ring)]
+        e = sa.edges(spark.createDataFrame(rows, SQUARES))
+        _, boundary, interior = sa.classify_cells(e, 0.05)
+        counts[size] = boundary.count() + interior.count()
+        for r in interior.collect():
+            side = 0.05 * sa.COARSER ** r["level"]
+            corners = [(x * side, y * side) for x in (r["cx"], r["cx"] + 1) for y in (r["cy"], r["cy"] + 1)]
+            assert all((b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) > -1e-9
+                       for a, b in zip(ring, ring[1:] + ring[:1]) for x, y in corners)
+    assert counts[8.0] < 2.6 * counts[4.0] and counts[8.0] < 0.3 * (8 / 0.05) ** 2
