@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _S + r"\p{L}\p{N}]+|["
            + _S + r"]+(?![^" + _S + r"])|[" + _S + r"]+")
-#: Words whose encodings a task holds at once.
-HELD_WORDS = 600_000
+#: Words whose encodings a worker holds at once, unless told otherwise, and pairs of tokens known to follow or not.
+HELD_WORDS, HELD_PAIRS = 600_000, 500_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -67,7 +67,7 @@ class Vocabulary:
         """Whether the encoding of the two tokens' bytes is these two tokens: an encoding is one whose neighbours all do."""
         known = self.follows.get((a, b))
         if known is None:
-            if len(self.follows) > 2_000_000:
+            if len(self.follows) > HELD_PAIRS:
                 self.follows.clear()
             known = self.follows[a, b] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
         return known
@@ -77,7 +77,7 @@ class Encoder:
     """Encodings of words, {word: (ids, decoded bytes)}, worked out over a trie of the words asked for together."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.known = vocabulary, {}
+        self.vocabulary, self.known, self.held = vocabulary, {}, HELD_WORDS
         #: What tokens end with: the token's id, or -1 for a mere end of a longer one.
         self.tails = {t[i:]: -1 for t in vocabulary.ids for i in range(1, len(t))} | vocabulary.ids
 
@@ -136,7 +136,7 @@ class Encoder:
         """For each text its words' ids (joined by commas) and decoded bytes."""
         words = [self.pieces(x) for x in texts]
         new = set().union(*words).difference(self.known)
-        if len(self.known) + len(new) > HELD_WORDS:  # what these texts need stays together
+        if len(self.known) + len(new) > self.held:  # what these texts need stays together
             new = set().union(*words)
             special = {w for w in new if w in self.vocabulary.special}
             self.known = {w: (str(self.vocabulary.special[w]), w.encode()) for w in special}
@@ -146,7 +146,7 @@ class Encoder:
         return [([known[w][0] for w in ws], [known[w][1] for w in ws]) for ws in words]
 
 
-def in_chunks(texts: list[str], most_chars: int = 1_000_000) -> Iterator[list[str]]:
+def in_chunks(texts: Iterable[str], most_chars: int = 1_000_000) -> Iterator[list[str]]:
     """Consecutive texts of about ``most_chars`` together; a longer text is a chunk of its own."""
     chunk, chars = [], 0
     for text in texts:
@@ -162,33 +162,34 @@ def in_chunks(texts: list[str], most_chars: int = 1_000_000) -> Iterator[list[st
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, held: int) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(Vocabulary(path))
+    _ENCODERS[path].held = held
     return _ENCODERS[path]
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, held: int = HELD_WORDS) -> DataFrame:
     """(doc_id, ids) of every row; ids: array of int.  ``path``: the vocabulary file, on every node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = _encoder(path, held)
         for batch in batches:
             out = []
-            for chunk in in_chunks([x or "" for x in batch.column(1).to_pylist()]):
+            for chunk in in_chunks(x.as_py() or "" for x in batch.column(1)):
                 out += [[int(i) for piece in ids for i in piece.split(",")] for ids, _ in encoder.texts(chunk)]
             yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
-def digest(docs: DataFrame, path: str) -> DataFrame:
+def digest(docs: DataFrame, path: str, held: int = HELD_WORDS) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 (of the decimal ids, joined by commas) and decoded_sha256 (of the text
-    that decoding the ids gives, bytes that aren't UTF-8 replaced)."""
+    that decoding the ids gives, bytes that aren't UTF-8 replaced).  ``held``: words whose encodings a worker holds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = _encoder(path, held)
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
-            for chunk in in_chunks([x or "" for x in batch.column(1).to_pylist()]):
+            for chunk in in_chunks(x.as_py() or "" for x in batch.column(1)):
                 for ids, parts in encoder.texts(chunk):
                     joined = ",".join(ids)
                     counts.append(joined.count(",") + 1 if joined else 0)

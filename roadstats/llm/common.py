@@ -58,11 +58,23 @@ def ascii_lower(text: Column) -> Column:
     return F.when(only_ascii, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until no column of ``df`` has it (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Equi-join in which nulls of a key are equal; ``right``'s keys are dropped."""
-    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
-    on = [left[k].eqNullSafe(renamed[f"__right_{k}"]) for k in keys]
-    return left.join(renamed, on, how).drop(*[f"__right_{k}" for k in keys])
+    theirs = dict(zip(keys, free_names(left, *[f"__right_{k}" for k in keys])))
+    renamed = right.withColumnsRenamed(theirs)
+    on = [left[k].eqNullSafe(renamed[theirs[k]]) for k in keys]
+    return left.join(renamed, on, how).drop(*theirs.values())
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

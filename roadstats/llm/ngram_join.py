@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from roadstats.llm.common import connected_components, null_safe, save, sent
+from roadstats.llm.common import connected_components, free_names, null_safe, save, sent
 from roadstats.llm.shingles import WordHashes, shingle_set, signature, words_of
 
 #: Per cent of the union that linked sets share.
@@ -303,7 +303,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = save(jaccard_join(docs), "join-components")
     first = found.where("component is not null").groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("x"))
-    keys = ["__doc_id", "__text_hash"]
+    keys = free_names(docs, "__doc_id", "__text_hash")
     stay = first.select(F.col("x.doc_id").alias(keys[0]), F.col("x.text_hash").alias(keys[1])).union(
         found.where("component is null").select("doc_id", "text_hash")).distinct()
     worded = found.where("component is not null").select("doc_id", "text_hash")

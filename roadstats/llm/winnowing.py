@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadstats.llm.common import ascii_lower, null_safe, save
+from roadstats.llm.common import ascii_lower, free_names, null_safe, save
 from roadstats.llm.common import sent as sent_rows
 from roadstats.llm.line_rules import shifted
 
@@ -140,7 +140,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no item's window occurs."""
-    keys = ["__doc_id", "__text_hash"]
+    keys = free_names(docs, "__doc_id", "__text_hash")
     found = decontaminate(docs, benchmark).where("n_hit > 0").select(
         F.col("doc_id").alias(keys[0]), F.col("text_hash").alias(keys[1])).distinct()
     keyed = docs.withColumns({keys[0]: F.col("doc_id"), keys[1]: F.xxhash64("text")})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from roadstats.llm import ngram_join
@@ -47,3 +48,17 @@ def test_pipeline(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d in ids if group[d] == d)
     out = corpus_pipeline.run(spark, SF_SMALL).collect()
     assert 0 < len(out) < len(ids) and all(r["n_tokens"] >= 0 for r in out)
+
+
+@pytest.mark.parametrize("rows", [0, 40])
+def test_stages_keep_columns(spark, rows):
+    """Stages on an empty table and on one with nulls, and with columns named like their own temporary ones."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").where("doc_id < 200").limit(rows)
+    null = docs.withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.col("doc_id") + 10_000).limit(3)
+    extra = docs.union(null).withColumns({c: F.lit(7) for c in ("__doc_id", "__text_hash", "__right___doc_id", "sig", "component", "row")})
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        kept = stage(spark, extra, SF_SMALL)
+        assert kept.columns == extra.columns
+        got = kept.collect()
+        assert all(r["__doc_id"] == r["__text_hash"] == 7 for r in got)
+        assert sum(r["text"] is None for r in got) == min(rows, 3), name
