@@ -2,7 +2,10 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written as Parquet and read again as the next one's docs.  All but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``, whatever others there are and whatever their names.
+
+Defined cases: a null text is of quality as an empty one is scored, is no one's duplicate, holds no benchmark or personal
+data, and has no tokens; an empty table stays empty through every stage.
 """
 
 from __future__ import annotations
@@ -15,6 +18,10 @@ from roadstats.llm import bpe, nbsvm, ngram_join, pii, winnowing
 from roadstats.llm.common import read, save
 
 
+#: Words that an encoder holds in the last stage: its workers share their executors with what the stages before left.
+HELD_WORDS = 150_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from ``labels``, predicts to be of quality 1."""
     model = nbsvm.train(docs, read(spark, sf_dir, "labels"))
@@ -39,7 +46,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's token count, and digests of its ids and of what they decode to."""
-    return bpe.digest(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.digest(docs, public_tokenizers.path("byte_bpe_50k.json"), HELD_WORDS)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
