@@ -199,6 +199,8 @@ def digest(docs: DataFrame, path: str, held: int = HELD_WORDS) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()),
                                    pa.array(text_sha, pa.string())],
                                   names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        if held < HELD_WORDS:  # a worker that is to be small leaves nothing behind for later stages
+            encoder.known = {}
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
