@@ -601,6 +601,25 @@ def q_raw_crash_outcomes(spark, sf_dir):
     return out.groupBy("year", "outcome", "reject_reason").agg(F.sum("n_rows").alias("n_rows"))
 
 
+@register("load_checks", """
+    WITH t AS (SELECT * FROM sp_raw_points),
+    o AS (SELECT CASE WHEN reason IS NOT NULL THEN 'error' WHEN cp = 0 THEN 'inserted' ELSE 'skipped_duplicate' END AS outcome
+          FROM sp_raw_crash, (SELECT unnest([0, 1]) AS cp) u WHERE cp = 0 OR k % 29 = 0),
+    m AS (SELECT 'missing_required_fields' AS "check", count(*) FILTER (WHERE year IS NULL OR st_case IS NULL OR state IS NULL) AS v, TRUE AS blocks FROM t
+          UNION ALL SELECT 'date_out_of_range', count(*) FILTER (WHERE crash_date < DATE '1987-01-01' OR crash_date > DATE '2024-12-31'), TRUE FROM t
+          UNION ALL SELECT 'negative_fatalities', count(*) FILTER (WHERE total_fatalities < 0), TRUE FROM t
+          UNION ALL SELECT 'implausible_fatalities', count(*) FILTER (WHERE total_fatalities > 30), TRUE FROM t
+          UNION ALL SELECT 'missing_date', count(*) FILTER (WHERE crash_date IS NULL), FALSE FROM t
+          UNION ALL SELECT 'missing_point', count(*) FILTER (WHERE lon IS NULL), FALSE FROM t
+          UNION ALL SELECT kind, (SELECT count(*) FROM o WHERE outcome = kind), FALSE
+                    FROM (VALUES ('inserted'), ('skipped_existing'), ('skipped_duplicate'), ('error')) AS n(kind))
+    SELECT "check", CAST(v AS BIGINT) AS violations, NOT blocks OR v = 0 AS passed FROM m""")
+def q_load_checks(spark, sf_dir):
+    """What the crash load observes while it writes, and whether its gate lets the batch through."""
+    _, out = _raw_crash_outcomes(spark, sf_dir)
+    return qa.load_report(spark, out.agg(*qa.load_metrics()).first().asDict())
+
+
 @register("raw_person_outcomes", """
     SELECT CAST(year AS BIGINT) AS year, outcome, count(*) AS n_rows FROM (
       SELECT year, CASE WHEN NOT has_crash THEN 'skipped_orphan' ELSE 'error' END AS outcome
