@@ -428,6 +428,27 @@ CTES["sp_city_points"] = """
     WHERE population > 100000 AND ((c % 7 = 0 AND c % 3 = 0) OR (c % 7 <> 0 AND c % 13 <> 0))"""
 
 
+# ---------------------------------------------------------------------------
+# Tables with defects (rules of standins.flawed_crashes, spread_points)
+# ---------------------------------------------------------------------------
+
+CTES["sp_flawed"] = """
+    SELECT CASE WHEN st_case % 103 <> 0 THEN st_case END AS st_case,
+           CASE WHEN st_case % 101 <> 0 THEN year END AS year,
+           CASE WHEN st_case % 41 = 0 THEN DATE '1986-12-31' WHEN st_case % 67 <> 0 THEN crash_date END AS crash_date,
+           CASE WHEN st_case % 37 <> 0 THEN state END AS state,
+           CASE WHEN st_case % 61 = 0 AND lon IS NOT NULL THEN 200 ELSE lon END AS lon, lat,
+           CAST(CASE WHEN st_case % 43 = 0 THEN -1 WHEN st_case % 47 = 0 THEN 31 + st_case % 5
+                     WHEN st_case % 53 = 0 THEN total_fatalities + 1 ELSE total_fatalities END AS BIGINT) AS total_fatalities,
+           CAST(CASE WHEN st_case % 59 <> 0 THEN motorist_fatalities END AS BIGINT) AS motorist_fatalities,
+           CAST(cyclist_fatalities AS BIGINT) AS cyclist_fatalities,
+           CAST(pedestrian_fatalities AS BIGINT) AS pedestrian_fatalities,
+           CAST(other_fatalities AS BIGINT) AS other_fatalities
+    FROM sp_crashes, (SELECT unnest([0, 1]) AS flaw_copy) WHERE flaw_copy = 0 OR st_case % 31 = 0"""
+CTES["sp_spread"] = """
+    SELECT o_orderkey AS st_case, CAST(year(o_orderdate) + (o_orderkey % 4) * 3 AS BIGINT) AS year FROM orders"""
+
+
 def albers_xy_sql(lon: str, lat: str) -> tuple[str, str]:
     """EPSG:5070 forward projection (same closed form as the Spark side)."""
     from roadstats.operators import hotspots as hs

@@ -37,6 +37,8 @@ from roadstats.sources import standins as sp
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: The SQL as written, before the stand-ins' definitions are put in front.
+ORACLES_TEXT: dict[str, str] = {}
 
 
 def normalise(df: DataFrame) -> DataFrame:
@@ -58,6 +60,7 @@ def register(name: str, oracle: str | None = None):
     def deco(fn: Query) -> Query:
         QUERIES[name] = lambda spark, sf_dir: normalise(fn(spark, sf_dir))
         if oracle is not None:
+            ORACLES_TEXT[name] = oracle
             ORACLES[name] = osql.with_ctes(oracle)
         return fn
     return deco
@@ -1256,3 +1259,7 @@ def q_hotspot_feature_edges(spark, sf_dir):
         .select("state_fips", "place_fips", "zone_type", F.explode("p").alias("r"))
     return rings.groupBy("state_fips", "place_fips", "zone_type").agg(
         F.sum(F.size("r") - 1).cast("long").alias("n_edges"))
+
+
+# queries over tables with defects and over the raw text of the sinks
+from roadstats.plans import written_queries  # noqa: E402,F401

@@ -315,3 +315,48 @@ def hotspot_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((r * r) % 29).cast("long").alias("cx"),
         ((F.col("o_orderkey") % 5) * 7 % 5).cast("long").alias("cy"),
     )
+
+
+def flawed_crashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loaded crash table with defects, by k = st_case: twice (k % 31 = 0), no state (37), a date before
+    1987 (41), -1 deaths (43), 31 to 35 deaths (47), one death too many for the sum (53), motorists unknown
+    (59), a longitude of 200 (61), no date (67), no year (101), no st_case (103).  Of two rules for one
+    column the first holds.
+    """
+    k = F.col("st_case")
+    c = loaded_crashes(spark, sf_dir)
+    c = c.withColumn("_copy", F.explode(F.when(k % 31 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    tot = F.col("total_fatalities")
+    return c.withColumns({
+        "state": F.when(k % 37 != 0, F.col("state")),
+        "crash_date": F.when(k % 41 == 0, F.lit("1986-12-31").cast("date")).when(k % 67 != 0, F.col("crash_date")),
+        "total_fatalities": F.when(k % 43 == 0, F.lit(-1)).when(k % 47 == 0, (k % 5 + 31).cast("int"))
+        .when(k % 53 == 0, tot + 1).otherwise(tot),
+        "motorist_fatalities": F.when(k % 59 != 0, F.col("motorist_fatalities")),
+        "lon": F.when((k % 61 == 0) & F.col("lon").isNotNull(), F.lit(200.0)).otherwise(F.col("lon")),
+        "year": F.when(k % 101 != 0, F.col("year")),
+        "st_case": F.when(k % 103 != 0, k)}).drop("_copy")
+
+
+#: Rules of ``spread_points``: the years are spread over groups of three more.
+SPREAD_GROUPS, SPREAD_STEP = 4, 3
+
+
+def spread_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crash points over more than ten years: year + (st_case % 4) * 3."""
+    return crash_points(spark, sf_dir).withColumn(
+        "year", (F.col("year") + F.col("st_case") % SPREAD_GROUPS * SPREAD_STEP).cast("int"))
+
+
+def titled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundary features whose names need the display-name table, one per customer: place k has the
+    (k % 9)-th of its first six names, others their own; k % 5 = 0 has a later second feature named 'Later'."""
+    names = F.array(*[F.lit(n) for n, _ in dims.DISPLAY_NAMES[:6]])
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    orders = F.when(k % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    f = c.select(k, "c_name", "c_nationkey", F.explode(orders).alias("load_order"))
+    return f.select(zfill(F.col("c_nationkey"), 2).alias("state_fips"), zfill(k, 5).alias("place_fips"),
+                    F.when(F.col("load_order") == 2, "Later")
+                    .when(k % 9 < 6, F.element_at(names, (k % 9 + 1).cast("int")))
+                    .otherwise(F.col("c_name")).alias("place_name"), F.lit("25").alias("place_type"), "load_order")
