@@ -9,6 +9,8 @@ uses the distributed operators.
 
 from __future__ import annotations
 
+import math
+
 
 def zf(expr: str, n: int) -> str:
     """Zero-fill without truncation (SQL text)."""
@@ -449,9 +451,33 @@ CTES["sp_spread"] = """
     SELECT o_orderkey AS st_case, CAST(year(o_orderdate) + (o_orderkey % 4) * 3 AS BIGINT) AS year FROM orders"""
 
 
+class _Conus:
+    """EPSG:5070 from its published parameters: GRS 80, standard parallels 29.5 and 45.5, origin 23 N 96 W."""
+
+    A_AXIS, FLATTENING = 6378137.0, 1 / 298.257222101
+    LON_0 = -96.0
+    E2 = FLATTENING * (2 - FLATTENING)
+    E = math.sqrt(E2)
+
+    @classmethod
+    def m2(cls, lat: float) -> float:
+        s = math.sin(math.radians(lat))
+        return math.cos(math.radians(lat)) ** 2 / (1 - cls.E2 * s * s)
+
+    @classmethod
+    def q(cls, lat: float) -> float:
+        s = math.sin(math.radians(lat))
+        return (1 - cls.E2) * (s / (1 - cls.E2 * s * s) + math.atanh(cls.E * s) / cls.E)
+
+
+_Conus.N_CONE = (_Conus.m2(29.5) - _Conus.m2(45.5)) / (_Conus.q(45.5) - _Conus.q(29.5))
+_Conus.C_CONE = _Conus.m2(29.5) + _Conus.N_CONE * _Conus.q(29.5)
+_Conus.RHO_0 = _Conus.A_AXIS * math.sqrt(_Conus.C_CONE - _Conus.N_CONE * _Conus.q(23.0)) / _Conus.N_CONE
+
+
 def albers_xy_sql(lon: str, lat: str) -> tuple[str, str]:
-    """EPSG:5070 forward projection (same closed form as the Spark side)."""
-    from roadstats.operators import hotspots as hs
+    """EPSG:5070 forward projection (same closed form as the Spark side, constants of its own)."""
+    hs = _Conus
     s = f"sin(radians({lat}))"
     q = (f"((1 - {hs.E2!r}) * ({s} / (1 - {hs.E2!r} * {s} * {s}) - (1 / (2 * {hs.E!r})) * "
          f"ln((1 - {hs.E!r} * {s}) / (1 + {hs.E!r} * {s}))))")
@@ -463,7 +489,7 @@ def albers_xy_sql(lon: str, lat: str) -> tuple[str, str]:
 def albers_inverse_ctes(src: str, iterations: int = 8) -> tuple[str, str]:
     """(CTE text, final CTE name): lon/lat from EPSG:5070 x/y columns of
     ``src``, the same closed form and operation order as the Spark side."""
-    from roadstats.operators import hotspots as hs
+    hs = _Conus
     k = repr(hs.N_CONE * hs.N_CONE / (hs.A_AXIS * hs.A_AXIS))
     parts = [
         f"inv_q AS (SELECT *, ({hs.C_CONE!r} - (x * x + ({hs.RHO_0!r} - y) * ({hs.RHO_0!r} - y))"
