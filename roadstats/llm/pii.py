@@ -1,13 +1,14 @@
 """Personal data: base patterns, and a character-level bidirectional LSTM with CRF transitions.
 
-The network is trained in numpy from the base patterns' spans in a bounded sample of
-windows.  Texts are cut into overlapping windows on a fixed grid; every window's tags
+The network is trained in numpy from a bounded sample of windows: with the base patterns'
+spans, with made ones that no base pattern knows (spaced, bracketed and dotted forms, phones
+without +), and with made numbers of other kinds.  Texts are cut into overlapping windows on a fixed grid; every window's tags
 are decoded with the transitions, overlaps are settled by the window in which a
 character is nearer the middle, and what the tags of the whole text say are the
 network's spans.  Each kind holds a digit or an @; a tag run without one is no span, so
 a window without one decodes to no tags at all and isn't run (``decode`` with
 ``every`` set runs them, to the same result).  A span of the network must pass its
-kind's own test (parts, digits, Luhn) and is added where it meets no base span.
+kind's own test (``TESTS``: parts, digits, Luhn) and is added where it meets no base span.
 
 Defined cases: a null text is an empty one, with no spans; equal texts give equal
 spans; with nothing to learn from the network adds none; other columns are ignored.
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match starts only where a run of digits does, and gives none back: a long run is read once.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ANCHOR = re.compile(r"[0-9@]")
@@ -264,12 +266,39 @@ def decode(network: Network, texts: list[str], every: bool = False, most: int =
     return out
 
 
+_GLUE = re.compile(r"[\x20\[\]()]")
+_APART = re.compile(r"[\x20().\[\]/-]+")
+
+
+def _is_email(s: str) -> bool:
+    local, at, domain = s.partition("@")
+    local = local.rstrip(" [(")
+    return bool(at and local and not local.strip(LOCAL) and DOMAIN.fullmatch(_GLUE.sub("", domain)))
+
+
+def _is_ip(s: str) -> bool:
+    plain = _GLUE.sub("", s)
+    return IP.fullmatch(plain) is not None and is_ip(plain)
+
+
+def _is_card(s: str) -> bool:
+    return not s.strip("0123456789 -./") and is_card(s)
+
+
+def _is_phone(s: str) -> bool:
+    groups = [g for g in _APART.split(s.lstrip("+")) if g]
+    return is_phone(s) and all(g.isascii() and g.isdigit() for g in groups) and (
+        s[0] == "+" or (3 <= len(groups) <= 5 and all(2 <= len(g) <= 4 for g in groups)))
+
+
+#: What a span of the network must be, by kind.
+TESTS = (_is_email, _is_ip, _is_card, _is_phone)
+
+
 def all_spans(network: Network | None, texts: list[str]) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text, as (start, kind, end)."""
     base = [base_spans(t) for t in texts]
     added = decode(network, texts) if network else [[] for _ in texts]
-    tests = (lambda s: DOMAIN.search(s) is not None and "@" in s, lambda s: IP.fullmatch(s) is not None and is_ip(s),
-             is_card, is_phone)
     out = []
     for text, own, more in zip(texts, base, added):
         extra = []
@@ -279,15 +308,65 @@ def all_spans(network: Network | None, texts: list[str]) -> list[tuple[list, lis
             while b > a and not text[b - 1].isalnum():
                 b -= 1
             whole = not text[a - 1:a].isalnum() and not text[b:b + 1].isalnum()  # no part of a longer run
-            if a < b and whole and tests[kind](text[a:b]) and not any(x < b and a < y for x, _, y in own):
+            if a < b and whole and TESTS[kind](text[a:b]) and not any(x < b and a < y for x, _, y in own):
                 extra.append((a, kind, b))
         out.append((own, sorted(own + extra)))
     return out
 
 
-def train(docs: DataFrame, sample: int = 2000, per_text: int = 6) -> Network | None:
+def made_span(rng: np.random.Generator) -> tuple[str, int]:
+    """(text, kind) of personal data as people write it, in a form that the base patterns don't find."""
+    def word(a, b):
+        return "".join(chr(c) for c in rng.integers(97, 123, rng.integers(a, b)))
+
+    def pick(*forms):
+        return forms[rng.integers(len(forms))]
+    kind = int(rng.integers(4))
+    if kind == 0:
+        local = word(3, 8) + pick("", "." + word(3, 8), str(rng.integers(1, 99)))
+        domain, end = word(3, 9), pick("com", "org", "net", "de", "co")
+        return pick(f"{local} @ {domain}.{end}", f"{local}(@){domain}.{end}", f"{local}[@]{domain}.{end}",
+                    f"{local} @ {domain} . {end}", f"{local}@{domain}[.]{end}"), kind
+    if kind == 1:
+        return pick(" . ", "[.]", "(.)").join(map(str, rng.integers(0, 256, 4))), kind
+    if kind == 2:
+        d = "".join(map(str, rng.integers(0, 10, 15)))
+        d += next(c for c in "0123456789" if luhn(d + c))
+        return pick(".", "/", "  ", " - ").join(d[i:i + 4] for i in range(0, 16, 4)), kind
+    a, b, c = rng.integers(200, 999), rng.integers(200, 999), rng.integers(1000, 9999)
+    return pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"({a}) {b} {c}"), kind
+
+
+def made_number(rng: np.random.Generator) -> str:
+    """A number that is no personal data."""
+    n = rng.integers(0, 10000, 6).tolist()
+    forms = (f"{n[0]}", f"{n[0]}.{n[1] % 100:02d}", f"{1900 + n[0] % 200}-{1 + n[1] % 12:02d}-{1 + n[2] % 28:02d}",
+             f"{n[0] % 24}:{n[1] % 60:02d}:{n[2] % 60:02d}", f"{n[0] % 20}.{n[1] % 20}.{n[2] % 20}", f"{n[0] % 999}-{n[1] % 999}",
+             f"{n[0] % 9 + 1},{n[1] % 1000:03d},{n[2] % 1000:03d}", f"{n[0]}{n[1]}{n[2]}", f"{n[0] % 10}/{n[1] % 10}",
+             f"{n[0] % 1000:03d}-{n[1]:04d}", f"({n[0] % 2100})", f"{n[0] % 99} {n[1] % 99} {n[2] % 99}", f"@ {n[0] % 100}")
+    return forms[rng.integers(len(forms))]
+
+
+def planted(text: str, rng: np.random.Generator, personal: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, tags) of a window of ``text`` with a made span or number between two of its words."""
+    put, kind = made_span(rng) if personal else (made_number(rng), -1)
+    room = max(0, WIDTH - len(put) - 2)
+    at = int(rng.integers(0, max(1, len(text) - room)))
+    own = text[at:at + room]
+    cuts = [i for i, c in enumerate(own) if c == " "] or [0]
+    cut = cuts[rng.integers(len(cuts))]
+    shown = f"{own[:cut]} {put}{own[cut:] or ' '}"
+    tags = np.zeros(max(len(shown), WIDTH), np.uint8)
+    for a, k, b in base_spans(shown):
+        tags[a:b] = k + 1
+    if personal:
+        tags[cut + 1:cut + 1 + len(put)] = kind + 1
+    return _cut(classes(shown), np.array([0]))[0], tags[:WIDTH]
+
+
+def train(docs: DataFrame, sample: int = 2000, per_text: int = 6, per_text_made: int = 4) -> Network | None:
     """A network from the windows of at most ``sample`` texts that hold a digit or an @ (taken by a hash), at most
-    ``per_text`` windows of each."""
+    ``per_text`` windows of each, and ``per_text_made`` with something planted: personal data and other numbers by turns."""
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").where(F.col("text").rlike("[0-9@]"))
     chosen = keyed.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(sample)
     texts = keyed.join(F.broadcast(chosen), "key", "left_semi")
@@ -306,6 +385,12 @@ def train(docs: DataFrame, sample: int = 2000, per_text: int = 6) -> Network | N
                     keys.append(key)
                     xs.append(_cut(c, np.array([s]))[0].tobytes())
                     ys.append(y[s:s + WIDTH].tobytes())
+                rng = np.random.default_rng(key % 2**63)
+                for i in range(per_text_made):
+                    c, tags = planted(text, rng, i % 2 == 0)
+                    keys.append(key)
+                    xs.append(c.tobytes())
+                    ys.append(tags.tobytes())
             yield pd.DataFrame({"key": keys, "x": xs, "y": ys})
     got = texts.mapInPandas(run, "key bigint, x binary, y binary").dropDuplicates().toPandas()
     if not len(got) or not any(any(y) for y in got["y"]):
@@ -313,7 +398,7 @@ def train(docs: DataFrame, sample: int = 2000, per_text: int = 6) -> Network | N
     got = got.sort_values(["key", "x", "y"])
     x = np.array([np.frombuffer(v, np.uint8) for v in got["x"]])
     y = np.array([np.frombuffer(v, np.uint8) for v in got["y"]]).astype(np.int64)
-    return Network().learn(x, y)
+    return Network().learn(x, y, steps=500)
 
 
 def detect(docs: DataFrame, network: Network | None) -> DataFrame:

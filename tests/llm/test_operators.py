@@ -141,6 +141,42 @@ def test_url_model_learns(spark):
     assert got[900] == "block" and got[901] == "allow"
 
 
+def test_url_models_by_brute_force(spark):
+    """The models' tables against counts of whole contexts in dictionaries, and what they don't read."""
+    rows = [(i, f"http://{'casino' if i % 2 else 'news'}{i % 9}.{words(1, i % 7)}.example.{'net' if i % 3 else 'org'}/"
+             f"{('en', 'fr', 'de')[i % 4 % 3]}/{i}") for i in range(240)]
+    pages = spark.createDataFrame(rows, "page_id int, url string")
+    judged = url_model.ruled(pages)
+    shown = {r["page_id"]: r for r in judged.collect()}
+    assert all("example" not in r["read"] and ".net" not in r["read"] and ".org" not in r["read"] for r in shown.values())
+    assert shown[1]["read"] == f"casino1.{words(1, 1)}/fr/1"
+    table, limit = url_model.fit(judged)
+
+    def model(verdict):
+        seen = {}
+        for r in shown.values():
+            if r["decided"] == verdict:
+                folded = [0] * 3 + [int(url_model._FOLD[b]) for b in r["read"].encode()]
+                for i in range(3, len(folded)):
+                    for k in range(4):
+                        after = seen.setdefault(tuple(folded[i - k:i]), {})
+                        after[folded[i]] = after.get(folded[i], 0) + 1
+
+        def p(context, c):
+            shorter = p(context[1:], c) if context else 1 / url_model.ALPHABET
+            after = seen.get(context, {})
+            kinds = max(1, len(after))
+            return (after.get(c, 0) + kinds * shorter) / (sum(after.values()) + kinds)
+        return p
+    allow, block = model("allow"), model("block")
+    for r in url_model.filter_urls(pages).collect():
+        if r["rule"] is None:
+            folded = [0] * 3 + [int(url_model._FOLD[b]) for b in shown[r["page_id"]]["read"].encode()]
+            want = [np.log(allow(tuple(folded[i - 3:i]), folded[i]) / block(tuple(folded[i - 3:i]), folded[i]))
+                    for i in range(3, len(folded))]
+            assert abs(r["score"] - np.mean(want)) < 1e-4 and r["verdict"] == ("block" if r["score"] < limit else "allow")
+
+
 def test_base_pii():
     text = DOCS[14][1]
     got = [(pii.KINDS[k], text[a:b]) for a, k, b in pii.base_spans(text)]
@@ -160,6 +196,35 @@ def test_long_runs_of_digits():
         assert ((0, 1, len(text)) in spans) == ip == pii.is_ip(text)
 
 
+def test_ip_is_linear():
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    r = random.Random(5)
+    for _ in range(4000):
+        t = "".join(r.choice("12..3 ") for _ in range(r.randint(0, 24)))
+        assert [m.span() for m in pii.IP.finditer(t)] == [m.span() for m in ip.finditer(t)], t
+    assert list(pii.IP.finditer("7" * 1_000_000)) == []
+
+
+def test_network_adds_spans(spark):
+    """Made personal data in texts that the network hasn't seen: precision and recall of what it adds."""
+    rng = np.random.default_rng(11)
+    rows = [(i, f"{words(20, i)} {i} {words(12, i + 3)} {i * 37 % 1000}.{i % 90 + 10} {words(9, i + 1)}") for i in range(400)]
+    network = pii.train(spark.createDataFrame(rows + [(900, "to a@b.example.com")], "doc_id bigint, text string"))
+    texts, truth = [], []
+    for i in range(300):
+        put, kind = pii.made_span(rng)
+        before = f"{words(15, 5000 + i)} {pii.made_number(rng)} {words(8, 7000 + i)} "
+        texts.append(f"{before}{put} {words(12, 6000 + i)}")
+        truth.append((len(before), kind, len(before) + len(put)))
+    found = [[s for s in spans if s not in base] for base, spans in pii.all_spans(network, texts)]
+    right = sum(t in f for t, f in zip(truth, found))
+    extra = sum(len(f) for f in found) - right
+    print("added spans: right", right, "of 300, others", extra)
+    assert right >= 210 and extra <= 0.1 * right
+    clean = [f"{words(15, i)} {pii.made_number(rng)} {words(15, i + 1)}" for i in range(300)]
+    assert sum(len(spans) for _, spans in pii.all_spans(network, clean)) <= 6
+
+
 def test_network(spark, docs, empty):
     r = random.Random(1)
     rows = [(i, f"{words(20, i)} {r.randint(1, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}.7 {words(20, i + 1)}"
