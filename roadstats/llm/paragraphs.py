@@ -12,9 +12,9 @@ against the first of the bucket and the one before, by exact Jaccard similarity;
 every bucket whose entries still lie in two components is searched with inverted lists,
 in blocks of bounded size, until each of its pairs across components is decided
 (``across_links``).  Components of what is similar are clusters.
-The first paragraph of a cluster stays, the others are to be removed.  Units are verified
-and clustered likewise, never with lines; instead of bands they have a key for each of
-four classes of their shingles, as two that are alike differ in at most three.  Units of a
+The first paragraph of a cluster stays, the others are to be removed.  A unit that comes
+only once in all texts is dropped by an aggregate before anything else of it is computed;
+those that come twice are banded, verified and clustered as the lines are, never with lines.  Units of a
 cluster that overlap in one text are one member, and its span is theirs; the first member
 outside removed lines stays.  A unit's number follows those of its text's lines; units
 inside a removed line, and staying ones inside a repeated line, get no row.
@@ -33,19 +33,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from roadstats.llm.common import connected_components, null_safe, save, sent
-from roadstats.llm.shingles import SHINGLE, WordHashes, shingle_hashes, shingle_set, words_of
+from roadstats.llm.shingles import SHINGLE
+from roadstats.llm.word_arrays import Words, in_chunks, mixed, taken
 
 MIN_WORDS, THRESHOLD = 20, 80
 #: Words that surely hold a whole unit, words of a unit (whole shingles), and shingles of which the least starts one.
 SPAN, UNIT = 50, MIN_WORDS
-WINDOW, UNIT_SHINGLES, UNIT_KEYS = SPAN - UNIT + 1, UNIT - SHINGLE + 1, 4
-FLUSH, RANGE = 1_500_000, 2_000_000
+WINDOW, UNIT_SHINGLES = SPAN - UNIT + 1, UNIT - SHINGLE + 1
+#: Hashes that a task holds before it sends them, band keys of a range on average, and bytes of text whose units are.
+FLUSH, RANGE, RANGE_BYTES = 1_500_000, 2_000_000, 100_000_000
 #: Shingles in a block of a bucket on average, and entries of a block that ask before the largest group is left out.
 BLOCK, CENTRAL = 400_000, 16
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -63,35 +64,52 @@ def tune_bands(threshold: float, recall: float, most_hashes: int = 80) -> tuple[
 
 BANDS, ROWS = tune_bands(THRESHOLD / 100, 0.999)
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingles whose hashes are computed together.
+TOGETHER = 4096
 
 
-def band_keys(tokens: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band (uint64)."""
+def band_keys(tokens: np.ndarray, offsets: np.ndarray, kind: int = 0) -> np.ndarray:
+    """Band keys (sets, bands; uint64) of the sets of ``tokens`` (none empty) that begin at ``offsets``; sets of another
+    ``kind`` have other keys."""
     x = tokens.view(np.uint64)
     x = x ^ (x >> np.uint64(29))
-    least = np.concatenate([(x[i:i + 4096, None] * _SEEDS).min(axis=0)[None] for i in range(0, len(x), 4096)]).min(
-        axis=0).reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
+    sizes = np.diff(np.r_[offsets, len(x)])
+    # a long set is hashed in pieces
+    pieces = -(-sizes // TOGETHER)
+    own = np.cumsum(pieces) - pieces
+    starts = np.repeat(offsets - own * TOGETHER, pieces) + np.arange(pieces.sum()) * TOGETHER
+    ends, least, i = np.r_[starts[1:], len(x)], np.empty((len(starts), BANDS * ROWS), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + TOGETHER, "right")))
+        hashed = _SEEDS[:, None] * x[starts[i]:ends[j - 1]]
+        least[i:j] = np.minimum.reduceat(hashed, starts[i:j] - starts[i], axis=1).T
+        i = j
+    if len(starts) > len(offsets):
+        least = np.minimum.reduceat(least, own, axis=0)
+    least = least.reshape(len(offsets), BANDS, ROWS)
+    key = np.tile(np.arange(1 + kind * BANDS, 1 + (kind + 1) * BANDS, dtype=np.uint64) * _MIX, (len(offsets), 1))
     for i in range(ROWS):
-        key = (key ^ least[:, i]) * _MIX
+        key = (key ^ least[:, :, i]) * _MIX
         key ^= key >> np.uint64(32)
     return key
 
 
-def _paragraphs(text: str | None) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """(number, start, end, words) of the lines with enough words; code points."""
-    at = 0
-    for i, line in enumerate((text or "").split("\n")):
-        words = words_of(line)
-        if len(words) >= MIN_WORDS:
-            yield i, at, at + len(line), words
-        at += len(line) + 1
+class Lines:
+    """The lines of ``words`` that have enough words: ``first`` word, ``count`` of words, and ``sig``, a hash of them."""
 
+    def __init__(self, words: Words, shingles: np.ndarray):
+        first, count = words.runs(words.line)
+        long = count >= MIN_WORDS
+        self.first, self.count, self.shingles = first[long], count[long], shingles
+        tokens, offsets = self.tokens(np.arange(len(self.first)))
+        place = np.arange(len(tokens)) - np.repeat(offsets, self.count - SHINGLE + 1)
+        value = mixed(tokens.view(np.uint64) + place.astype(np.uint64) * _MIX)
+        self.sig = (np.add.reduceat(value, offsets) if len(offsets) else value).view(np.int64)
 
-def entry(words: list[bytes]) -> int:
-    """A signed 64-bit hash of a paragraph's words."""
-    h = xxhash.xxh3_64_intdigest(b" ".join(words))
-    return h - (1 << 64) if h >= 1 << 63 else h
+    def tokens(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shingles of the lines ``which``, where each line's begin)."""
+        at, offsets = taken(self.first[which], self.count[which] - SHINGLE + 1)
+        return self.shingles[at], offsets
 
 
 def _slide(x: np.ndarray, f: np.ufunc) -> np.ndarray:
@@ -117,120 +135,162 @@ def units(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, sig.view(np.int64)
 
 
-def unit_keys(shingles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, held), both with a column per class: a hash of the unit's distinct shingles of the class, and if it has any.
-
-    Sets of at most 16 that are alike to 0.8 differ in at most 0.11 * (16 + 16) shingles, so in three, and agree in
-    one of the four classes.
-    """
-    x = np.sort(shingles.view(np.uint64)[at[:, None] + np.arange(UNIT_SHINGLES)], axis=1)
-    fresh = np.ones(x.shape, bool)
-    fresh[:, 1:] = x[:, 1:] != x[:, :-1]
-    kind, y = (x >> np.uint64(17)) % np.uint64(UNIT_KEYS), (x ^ (x >> np.uint64(29))) * _MIX
-    y ^= y >> np.uint64(32)
-    keys, held = np.empty((len(at), UNIT_KEYS), np.uint64), np.empty((len(at), UNIT_KEYS), bool)
-    for c in range(UNIT_KEYS):
-        own = fresh & (kind == c)
-        key = (np.where(own, y, np.uint64(0)).sum(axis=1, dtype=np.uint64) + np.uint64(BANDS + 1 + c)) * _MIX
-        keys[:, c], held[:, c] = key ^ (key >> np.uint64(32)), own.any(axis=1)
-    return keys, held
-
-
-def _places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, line of the start, line of the end) of every word, in code points."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    turn = np.diff(np.r_[True, space, True].astype(np.int8))
-    start, last = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1) - 1
-    line, point = np.cumsum(data == 10), np.cumsum((data & 0xC0) != 0x80)
-    return point[start] - 1, point[last], line[start], line[last]
+def all_units(words: Words, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, sig) of every unit of every text of ``words``."""
+    at, sigs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for first, n in zip(*[x.tolist() for x in words.runs(words.text)]):
+        if n >= SPAN:
+            own, sig = units(shingles[first:first + n - SHINGLE + 1])
+            at.append(own + first)
+            sigs.append(sig)
+    return np.concatenate(at), np.concatenate(sigs)
+
+
+class Packer:
+    """Rows of 64-bit keys packed by range: blocks (part, keys, sigs), a key held by 32 bits in its range."""
+
+    def __init__(self, ranges: int):
+        self.ranges, self.keys, self.owners, self.held = ranges, [], [], 0
+
+    def add(self, keys: np.ndarray, sigs: np.ndarray) -> None:
+        self.keys.append(keys.ravel())
+        self.owners.append(np.repeat(sigs, keys.shape[1]))
+        self.held += keys.size
+
+    def blocks(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        """What is held, if that is ``least`` keys."""
+        if self.held < least:
+            return
+        k, s = np.concatenate(self.keys), np.concatenate(self.owners)
+        self.keys, self.owners, self.held = [], [], 0
+        part = ((k >> np.uint64(32)) % np.uint64(self.ranges)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        k, s = k[order].astype(np.uint32), s[order]
+        cuts = np.searchsorted(part[order], np.arange(self.ranges + 1))
+        for i in np.flatnonzero(np.diff(cuts)):
+            a, b = cuts[i], cuts[i + 1]
+            yield pa.record_batch([pa.array([int(i)], pa.int64()), pa.array([k[a:b].tobytes()], pa.binary()),
+                                   pa.array([s[a:b].tobytes()], pa.binary())], names=["part", "keys", "sigs"])
+
+
+class Seen:
+    """The hashes that a worker has met lately."""
+
+    def __init__(self, most: int = 300_000):
+        self.most, self.held = most, set()
+
+    def fresh(self, sigs: np.ndarray) -> np.ndarray:
+        """Places of the first of each hash not met."""
+        if len(self.held) > self.most:
+            self.held.clear()
+        out = []
+        for i, sig in enumerate(sigs.tolist()):
+            if sig not in self.held:
+                self.held.add(sig)
+                out.append(i)
+        return np.array(out, np.int64)
+
+
+def repeated_units(docs: DataFrame, ranges: int) -> DataFrame:
+    """(sig) of the units that come twice or more.  Each task sends a unit's hash once for every so many units it
+    reads, packed by range and marked if it came twice there; so no hash can fill a range."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            sigs, counts = np.unique(np.concatenate(held), return_counts=True)
+            part = (sigs.view(np.uint64) % np.uint64(ranges)).astype(np.int64)
+            for twice in (False, True):
+                own, sent_to = sigs[(counts > 1) == twice], part[(counts > 1) == twice]
+                order = np.argsort(sent_to, kind="stable")
+                cuts = np.searchsorted(sent_to[order], np.arange(ranges + 1))
+                for i in np.flatnonzero(np.diff(cuts)):
+                    yield pa.record_batch([pa.array([int(i)], pa.int64()), pa.array([twice]),
+                                           pa.array([own[order[cuts[i]:cuts[i + 1]]].tobytes()], pa.binary())],
+                                          names=["part", "twice", "sigs"])
+        for batch in batches:
+            for _, texts in in_chunks(batch.column(0)):
+                words = Words(texts)
+                held.append(all_units(words, words.shingles())[1])
+                n += len(held[-1])
+                if n >= FLUSH:
+                    yield from blocks()
+                    held, n = [], 0
+        if n:
+            yield from blocks()
+
+    def met(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [np.frombuffer(x, np.int64) for x in pdf["sigs"]]
+        sigs, counts = np.unique(np.concatenate(own), return_counts=True)
+        twice = [x for x, t in zip(own, pdf["twice"]) if t]
+        return pd.DataFrame({"sig": np.unique(np.concatenate([sigs[counts > 1], *twice]))})
+    packed = docs.select("text").mapInArrow(run, "part bigint, twice boolean, sigs binary")
+    return save(packed.groupBy("part").applyInPandas(met, "sig bigint"), "paragraph-repeated-units")
 
 
 def paragraph_table(docs: DataFrame) -> DataFrame:
     """(doc_id, paragraph, start, end, n_words, sig, row, word, line) of every paragraph and unit; word and line are
     null for a whole line, else the unit's first word and the line that holds it, -1 if none does."""
+    names = ["doc_id", "paragraph", "start", "end", "n_words", "sig", "row", "word", "line"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                at, cols, own = [], [[] for _ in range(5)], [[] for _ in range(8)]
-                for row, text in enumerate(part.column(1).to_pylist()):
-                    for i, start, end, words in _paragraphs(text):
-                        at.append(row)
-                        for col, v in zip(cols, (i, start, end, len(words), entry(words))):
-                            col.append(v)
-                    first, sigs = units(shingle_hashes(words_of(text), hashes))
-                    if len(first):
-                        starts, ends, line, last = _places(text)
-                        n, to = len(first), first + UNIT - 1
-                        for col, v in zip(own, (np.full(n, row), text.count("\n") + 1 + np.arange(n), starts[first], ends[to],
-                                                np.full(n, UNIT), sigs, first, np.where(line[first] == last[to], line[first], -1))):
-                            col.append(v)
-                own = [np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in own]
-                rows, n = np.r_[np.array(at, np.int64), own[0]], len(at)
-                none = pa.nulls(n, pa.int64())
+            for begin, texts in in_chunks(batch.column(1)):
+                words = Words(texts)
+                shingles = words.shingles()
+                lines, (at, sigs) = Lines(words, shingles), all_units(words, shingles)
+                text, line = words.text[lines.first], words.line[lines.first]
+                start, end = words.line_bytes(line)
+                of_lines = [line - words.first_line(text), words.points(start, text), words.points(end, text), lines.count, lines.sig]
+                own, to = words.text[at], at + UNIT - 1
+                head, n = words.runs(own)
+                numbers = np.arange(len(at)) - np.repeat(head, n)
+                begins, _ = words.runs(words.text)
+                word = at - begins[np.searchsorted(begins, at, "right") - 1] if len(at) else at
+                inside = np.where(words.line[at] == words.line[to], words.line[at] - words.first_line(own), -1)
+                of_units = [words.first_line(own + 1) - words.first_line(own) + numbers, words.points(words.first[at], own),
+                            words.points(words.last[to], own), np.full(len(at), UNIT), sigs]
+                rows, none = pa.array(np.r_[text, own] + begin), pa.nulls(len(text), pa.int64())
                 yield pa.record_batch(
-                    [part.column(0).take(pa.array(rows)), *[pa.array(np.r_[np.array(c, np.int64), u]) for c, u in zip(cols, own[1:])],
-                     part.column(2).take(pa.array(rows)), *[pa.concat_arrays([none, pa.array(u)]) for u in own[6:]]],
-                    names=["doc_id", "paragraph", "start", "end", "n_words", "sig", "row", "word", "line"])
+                    [batch.column(0).take(rows), *[pa.array(np.r_[a, b].astype(np.int64)) for a, b in zip(of_lines, of_units)],
+                     batch.column(2).take(rows), *[pa.concat_arrays([none, pa.array(x.astype(np.int64))]) for x in (word, inside)]],
+                    names=names)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(
         run, f"doc_id {kind}, paragraph bigint, start bigint, end bigint, n_words bigint, sig bigint, row bigint, "
              "word bigint, line bigint")
 
 
-def _packed_bands(docs: DataFrame, ranges: int) -> DataFrame:
-    """(part, keys, sigs): blocks of one range of band keys, packed as arrays; a key is held by 32 bits in its range."""
+def _line_bands(docs: DataFrame, ranges: int) -> DataFrame:
+    """(part, keys, sigs): packed band keys of every line that is a paragraph."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
-        keys, owners, held = [], [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            k, s = np.concatenate(keys), np.concatenate(owners)
-            part = ((k >> np.uint64(32)) % np.uint64(ranges)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            k, s = k[order].astype(np.uint32), s[order]
-            cuts = np.searchsorted(part[order], np.arange(ranges + 1))
-            for i in np.flatnonzero(np.diff(cuts)):
-                a, b = cuts[i], cuts[i + 1]
-                yield pa.record_batch([pa.array([int(i)], pa.int64()), pa.array([k[a:b].tobytes()], pa.binary()),
-                                       pa.array([s[a:b].tobytes()], pa.binary())], names=["part", "keys", "sigs"])
-
+        packer, seen = Packer(ranges), Seen()
         for batch in batches:
-            for text in batch.column(0):
-                for *_, words in _paragraphs(text.as_py()):
-                    sig = entry(words)
-                    if sig in seen:
-                        continue
-                    if len(seen) >= 500_000:
-                        seen.clear()
-                    seen.add(sig)
-                    keys.append(band_keys(shingle_hashes(words, hashes)))
-                    owners.append(np.full(BANDS, sig, np.int64))
-                    held += BANDS
-                shingles = shingle_hashes(words_of(text.as_py()), hashes)
-                at, sigs = units(shingles)
-                fresh = []
-                for i, sig in enumerate(sigs.tolist()):
-                    if sig not in seen:
-                        if len(seen) >= 500_000:
-                            seen.clear()
-                        seen.add(sig)
-                        fresh.append(i)
-                if fresh:
-                    own, has = unit_keys(shingles, at[fresh])
-                    keys.append(own[has])
-                    owners.append(np.repeat(sigs[fresh], has.sum(axis=1)))
-                    held += len(keys[-1])
-                if held >= FLUSH:
-                    yield from flush()
-                    keys, owners, held = [], [], 0
-        if held:
-            yield from flush()
+            for _, texts in in_chunks(batch.column(0)):
+                words = Words(texts)
+                lines = Lines(words, words.shingles())
+                fresh = seen.fresh(lines.sig)
+                if len(fresh):
+                    packer.add(band_keys(*lines.tokens(fresh)), lines.sig[fresh])
+                yield from packer.blocks(FLUSH)
+        yield from packer.blocks()
     return docs.select("text").mapInArrow(run, "part bigint, keys binary, sigs binary")
 
 
+def _set_bands(sets: DataFrame, ranges: int) -> DataFrame:
+    """(part, keys, sigs): packed band keys of units, from their sets (sig, tokens)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(ranges)
+        for batch in batches:
+            tokens = batch.column(1)
+            if batch.num_rows:
+                offsets = tokens.offsets.to_numpy().astype(np.int64)
+                packer.add(band_keys(tokens.flatten().to_numpy(), offsets[:-1] - offsets[0], 1), batch.column(0).to_numpy())
+            yield from packer.blocks(FLUSH)
+        yield from packer.blocks()
+    return sets.select("sig", "tokens").mapInArrow(run, "part bigint, keys binary, sigs binary")
+
+
 def _collisions(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pairs (a, b), a < b, with bucket -1: of every bucket's entries each with the first and with the one before.  That
     is all pairs of up to three entries; larger buckets leave as (bucket, entry) as well."""
@@ -308,25 +368,21 @@ def across_links(postings: DataFrame, labels: DataFrame, sets: DataFrame) -> Dat
 
 
 def _token_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(sig, tokens) of the entries of ``chosen`` (sig, doc_id, paragraph)."""
+    """(sig, tokens) of the entries of ``chosen`` (sig, doc_id); tokens: distinct shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
-                wanted, sigs, sets = set(wanted), [], []
-                for *_, words in _paragraphs(text.as_py()):
-                    sig = entry(words)
-                    if sig in wanted:
-                        wanted.discard(sig)
-                        sigs.append(sig)
-                        sets.append(shingle_set(words, hashes))
-                shingles = shingle_hashes(words_of(text.as_py()), hashes) if wanted else np.empty(0, np.int64)
-                for at, sig in zip(*[x.tolist() for x in units(shingles)]):
-                    if sig in wanted:
-                        wanted.discard(sig)
-                        sigs.append(sig)
-                        sets.append(np.unique(shingles[at:at + UNIT_SHINGLES]))
-                yield pa.record_batch([pa.array(sigs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["sig", "tokens"])
+            asked = batch.column(1)
+            for begin, texts in in_chunks(batch.column(0)):
+                words = Words(texts)
+                shingles = words.shingles()
+                lines, (at, unit) = Lines(words, shingles), all_units(words, shingles)
+                sigs, first = np.r_[lines.sig, unit], np.r_[lines.first, at]
+                n = np.r_[lines.count - SHINGLE + 1, np.full(len(at), UNIT_SHINGLES)]
+                wanted = asked.slice(begin, len(texts)).flatten().to_numpy()
+                own = np.flatnonzero(np.isin(sigs, wanted))
+                own = own[np.unique(sigs[own], return_index=True)[1]]
+                sets = [np.unique(shingles[a:a + k]) for a, k in zip(first[own].tolist(), n[own].tolist())]
+                yield pa.record_batch([pa.array(sigs[own]), pa.array(sets, pa.list_(pa.int64()))], names=["sig", "tokens"])
     per_doc = save(chosen.groupBy("doc_id").agg(F.collect_set("sig").alias("wanted")), "paragraph-wanted")
     texts = null_safe(docs.select("doc_id", "text"), sent(per_doc, 80), ["doc_id"], "inner").select("text", "wanted")
     found = texts.mapInArrow(run, "sig bigint, tokens array<bigint>")
@@ -336,16 +392,24 @@ def _token_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """The paragraphs and units of ``docs`` (doc_id, text) that repeat: doc_id, paragraph, start, end (code points), n_words,
     cluster, n_members, keep_doc_id, keep_paragraph, and removed (false for the one that stays)."""
-    table = save(paragraph_table(docs), "paragraphs")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(8, -(-size // RANGE_BYTES))
+    twice = repeated_units(docs, ranges).select(F.col("sig").alias("unit"))
+    # one unit in many texts is one key of the join, whose side of all units Spark may split
+    table = paragraph_table(docs)
+    table = table.join(twice.hint("shuffle_hash"), table["sig"] == twice["unit"], "left").where("line is null or unit is not null")
+    table = save(table.drop("unit"), "paragraphs")
     first = F.min(F.struct("doc_id", "paragraph", "start")).alias("first")
     entries = save(table.groupBy("sig").agg(F.count("*").alias("n"), F.count("line").alias("unit"), first), "paragraph-entries")
-    postings = entries.agg(F.sum(F.when(F.col("unit") > 0, UNIT_KEYS).otherwise(BANDS))).first()[0] or 0
+    unit_sets = _token_sets(docs, entries.where("unit > 0").select("sig", "first.doc_id"))
+    postings = entries.count() * BANDS
     ranges = max(8, -(-postings // RANGE))
-    met = save(_packed_bands(docs, ranges).groupBy("part").applyInPandas(_collisions, "bucket bigint, a bigint, b bigint"),
-               "paragraph-met")
+    packed = _line_bands(docs, ranges).union(_set_bands(unit_sets, ranges))
+    met = save(packed.groupBy("part").applyInPandas(_collisions, "bucket bigint, a bigint, b bigint"), "paragraph-met")
     pairs = save(met.where("bucket = -1").select("a", "b").distinct(), "paragraph-pairs")
     asked = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    sets = _token_sets(docs, entries.join(asked, "sig").select("sig", "first.doc_id"))
+    line_sets = _token_sets(docs, entries.where("unit = 0").join(asked, "sig").select("sig", "first.doc_id"))
+    sets = unit_sets.union(line_sets)
     a, b = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), sets.select(
         F.col("sig").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"),

@@ -24,6 +24,7 @@ from roadstats.llm import (
     url_model,
     winnowing,
 )
+from roadstats.llm.word_arrays import Words
 
 SCHEMA = "doc_id bigint, text string, source string, row string, words string, score double, spans string"
 
@@ -356,10 +357,43 @@ def test_bands():
     for _ in range(300):
         base = rng.integers(0, 1 << 60, 90)
         other = np.concatenate([base[:80], rng.integers(0, 1 << 60, 10)])  # similarity 0.8
-        met += bool((paragraphs.band_keys(np.unique(base)) == paragraphs.band_keys(np.unique(other))).any())
+        keys = paragraphs.band_keys(np.r_[np.unique(base), np.unique(other)], np.array([0, len(np.unique(base))]))
+        met += bool((keys[0] == keys[1]).any())
     assert met >= 297
 
 
+def test_band_keys_together_and_alone(monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = [rng.integers(-(1 << 62), 1 << 62, n) for n in (1, 16, 300, 9000, 2, 4096, 4097)]
+    offsets = np.cumsum([0] + [len(x) for x in sets[:-1]])
+    keys = paragraphs.band_keys(np.concatenate(sets), offsets)
+    for x, own in zip(sets, keys):
+        y = x.view(np.uint64) ^ (x.view(np.uint64) >> np.uint64(29))
+        least = [min(int(v) * int(seed) % (1 << 64) for v in y[:300]) for seed in paragraphs._SEEDS[:4]]
+        if len(x) <= 300:
+            key = int(np.uint64(1) * paragraphs._MIX)
+            for v in least:
+                key = ((key ^ v) * int(paragraphs._MIX)) % (1 << 64)
+                key ^= key >> 32
+            assert key == int(own[0])
+        assert (paragraphs.band_keys(x, np.array([0]))[0] == own).all()
+        assert not (paragraphs.band_keys(x, np.array([0]), 1)[0] == own).any()
+
+
+def test_word_arrays():
+    texts = ["One two\tthree", None, "", " \n é\u00a0x ß four\x1cfive\nlast ", "y" * 2000 + " " + "Y" * 2000, "end"]
+    got = Words(texts)
+    want = [(i, m.start(), m.end(), m[0]) for i, t in enumerate(texts) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+    assert [(int(a), int(b), int(c)) for a, b, c in zip(got.text, got.points(got.first, got.text), got.points(got.last, got.text))] == [
+        x[:3] for x in want]
+    assert (got.line - got.first_line(got.text)).tolist() == [(texts[i] or "")[:a].count("\n") for i, a, _, _ in want]
+    named = {}
+    for word, h in zip(want, got.hash.tolist()):
+        assert named.setdefault("".join(c.lower() if c.isascii() else c for c in word[3]), h) == h
+    assert len(set(named.values())) == len(named)
+    assert len(Words([]).hash) == len(Words([None, ""]).hash) == len(Words([""]).shingles()) == 0
+
+
 @pytest.mark.parametrize("block", [paragraphs.BLOCK, 4000])
 def test_star_of_paragraphs(spark, monkeypatch, block):
     monkeypatch.setattr(paragraphs, "BLOCK", block)
@@ -370,14 +404,11 @@ def test_star_of_paragraphs(spark, monkeypatch, block):
             own[at] = f"own{i}x{at}"
         rows.append((i + 1, " ".join(own)))
     rows.append((0, " ".join(base)))
-    hashes = paragraphs.WordHashes()
-    sets = {i: paragraphs.shingle_set(paragraphs.words_of(t), hashes) for i, t in rows}
-    keys = {i: set(paragraphs.band_keys(x).tolist()) for i, x in sets.items()}
+    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.lower().split()) for i, t in rows)}
     group = {i: i for i in sets}
     for a in sets:
         for b in sets:
-            shared = len(np.intersect1d(sets[a], sets[b])) if a < b and keys[a] & keys[b] else 0
-            if shared and shared * 100 >= 80 * (len(sets[a]) + len(sets[b]) - shared) and group[a] != group[b]:
+            if a < b and len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b]) and group[a] != group[b]:
                 old = max(group[a], group[b])
                 group = {i: min(group[a], group[b]) if g == old else g for i, g in group.items()}
     got = paragraphs.repeated_paragraphs(spark.createDataFrame(rows, "doc_id bigint, text string")).where("paragraph = 0").collect()
@@ -399,22 +430,49 @@ def test_passages_across_lines(spark):
 
 
 def test_units():
-    hashes, rng = paragraphs.WordHashes(), random.Random(9)
+    rng = random.Random(9)
     for i in range(200):
         run = words(50, 1000 + i)
-        found = []
-        for side in range(2):
-            text = f"{words(rng.randint(0, 60), 5000 + 2 * i + side)} {run} {words(rng.randint(0, 60), 9000 + 2 * i + side)}"
-            found.append(set(paragraphs.units(paragraphs.shingle_hashes(paragraphs.words_of(text), hashes))[1].tolist()))
-        assert found[0] & found[1]
-    met = 0
-    for i in range(200):
-        own = words(21, 20000 + i).split()
-        keys = []
-        for text in (own[:20], own[1:]):
-            keys.append(paragraphs.unit_keys(paragraphs.shingle_hashes([w.encode() for w in text], hashes), np.array([0])))
-        met += bool(((keys[0][0] == keys[1][0]) & keys[0][1] & keys[1][1]).any())
-    assert met == 200
+        texts = [f"{words(rng.randint(0, 60), 5000 + 2 * i + side)} {run} {words(rng.randint(0, 60), 9000 + 2 * i + side)}" for side in range(2)]
+        both = Words(texts)
+        at, sigs = paragraphs.all_units(both, both.shingles())
+        assert set(sigs[both.text[at] == 0].tolist()) & set(sigs[both.text[at] == 1].tolist())
+
+
+def test_whole_corpus_of_lines_and_units(spark):
+    """Lines and spans of a corpus with copies, edited lines and planted passages, against all pairs and all 50-word runs."""
+    r, texts = random.Random(31), {}
+    lines = [words(r.randint(20, 60), 40_000 + i) for i in range(60)]
+    passages = [words(r.randint(50, 70), 50_000 + i) for i in range(6)]
+    for d in range(120):
+        own = []
+        for _ in range(r.randint(1, 4)):
+            line = r.choice(lines).split()
+            if r.random() < 0.4:
+                line[r.randrange(len(line))] = f"edit{d}"
+            own.append(" ".join(line) if r.random() < 0.5 else words(30, r.randrange(1 << 30)))
+        if r.random() < 0.4:
+            own.append(f"{words(80, r.randrange(1 << 30))} {r.choice(passages)} {words(80, r.randrange(1 << 30))}")
+        texts[d] = "\n".join(own) + r.choice(["", "\n", " "])
+    got = paragraphs.repeated_paragraphs(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    all_lines = [(d, i, tuple(x.split())) for d, t in texts.items() for i, x in enumerate(t.split("\n")) if len(x.split()) >= 20]
+    sets = [{w[k:k + 5] for k in range(len(w) - 4)} for *_, w in all_lines]
+    group = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if group[a] != group[b] and len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    want = {}
+    for (d, i, _), g in zip(all_lines, group):
+        want.setdefault(g, []).append((d, i))
+    want = {x: min(members) for members in want.values() if len(members) > 1 for x in members}
+    assert want == {(x["doc_id"], x["paragraph"]): (x["keep_doc_id"], x["keep_paragraph"])
+                    for x in got if x["paragraph"] <= texts[x["doc_id"]].count("\n")}
+    spans = {d: [(x["start"], x["end"]) for x in got if x["doc_id"] == d] for d in texts}
+    for p in passages:
+        holders = [d for d in texts if p in texts[d]]
+        met = [d for d in holders if any(a < texts[d].index(p) + len(p) and texts[d].index(p) < b for a, b in spans[d])]
+        assert len(holders) > 1 and met == holders
 
 
 def test_winnowing(spark, docs, empty):
