@@ -47,8 +47,9 @@ SPAN, UNIT = 50, MIN_WORDS
 WINDOW, UNIT_SHINGLES = SPAN - UNIT + 1, UNIT - SHINGLE + 1
 #: Hashes that a task holds before it sends them, band keys of a range on average, and bytes of text whose units are.
 FLUSH, RANGE, RANGE_BYTES = 1_500_000, 2_000_000, 100_000_000
-#: Shingles in a block of a bucket on average, and entries of a block that ask before the largest group is left out.
-BLOCK, CENTRAL = 400_000, 16
+#: Shingles in a block of a bucket on average, entries of a block that ask before the largest group is left out, and
+#: lots of blocks at least.
+BLOCK, CENTRAL, LEAST_LOTS = 400_000, 16, 200
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -312,19 +313,19 @@ def _collisions(pdf: pd.DataFrame) -> pd.DataFrame:
                          "b": np.r_[pairs[:, 1], s[large]]})
 
 
-def _decided(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links (a, b) that decide every pair of a block of entries (sig, label, tokens) whose labels differ.
+def _decided(sigs: np.ndarray, labels: np.ndarray, tokens: np.ndarray) -> list[tuple[int, int]]:
+    """Links that decide every pair of a block of entries whose labels differ.
 
     The entries that share most ask first, as they join most; then all that lie outside the largest group ask.  So of
     two entries in different groups one has asked, unless links connect them already.
     """
-    pdf = pdf.drop_duplicates("sig")
-    sigs, group = pdf["sig"].to_numpy(), pd.factorize(pdf["label"])[0]
-    if not len(group) or not group.max():
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    sizes = np.array([len(x) for x in pdf["tokens"]])
+    sigs, at = np.unique(sigs, return_index=True)
+    group, tokens = np.unique(labels[at], return_inverse=True)[1], tokens[at]
+    if not group.any():
+        return []
+    sizes = np.array([len(x) for x in tokens])
     owner = np.repeat(np.arange(len(sigs)), sizes)
-    token = np.unique(np.concatenate([np.asarray(x, np.int64) for x in pdf["tokens"]]), return_inverse=True)[1]
+    token = np.unique(np.concatenate([np.asarray(x, np.int64) for x in tokens]), return_inverse=True)[1]
     lists, ends = owner[np.argsort(token, kind="stable")], np.r_[0, np.cumsum(np.bincount(token))]
     own = np.split(token, np.cumsum(sizes)[:-1])
     weight = np.bincount(owner, np.diff(ends)[token])
@@ -343,27 +344,43 @@ def _decided(pdf: pd.DataFrame) -> pd.DataFrame:
             group[np.isin(group, joined)] = group[q]
             if (group == group[q]).all():
                 break
+    return links
+
+
+def _decided_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """``_decided`` of each block (bucket, x, y) of a lot of them."""
+    order = np.lexsort((pdf["y"], pdf["x"], pdf["bucket"]))
+    pdf = pdf.iloc[order]
+    keys = pdf[["bucket", "x", "y"]].to_numpy()
+    cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(pdf)]
+    sigs, labels, tokens = pdf["sig"].to_numpy(), pdf["label"].to_numpy(), pdf["tokens"].to_numpy()
+    links = [x for a, b in zip(cuts[:-1], cuts[1:]) for x in _decided(sigs[a:b], labels[a:b], tokens[a:b])]
     return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
 def across_links(postings: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame | None:
     """Links (a, b) of entries that share a bucket of ``postings`` (bucket, sig) but no component of ``labels``; None if
-    no bucket spans two.  A bucket is cut into blocks by a salt, and each two of its blocks meet in a task's group."""
+    no bucket spans two.  A bucket is cut into blocks by a salt, and each two of its blocks meet in a task's group;
+    blocks are dealt into lots of bounded size on average, as most are small."""
     named = postings.join(labels, postings["sig"] == labels["node"], "left").select(
         "bucket", "sig", F.coalesce("component", "sig").alias("label"))
     named = save(named.join(sets.select("sig", F.size("tokens").alias("n")), "sig"), "paragraph-buckets")
     split = named.groupBy("bucket").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.sum("n") / BLOCK).alias("blocks"),
+        F.min("label").alias("low"), F.max("label").alias("high"), F.sum("n").alias("n"), F.ceil(F.sum("n") / BLOCK).alias("blocks"),
         F.count("*").alias("size"), F.bit_xor(F.xxhash64("sig")).alias("print")).where("low <> high")
     # buckets of the same entries are searched once
     split = save(split.groupBy("size", "print", "low", "high").agg(
-        F.min("bucket").alias("bucket"), F.max("blocks").alias("blocks")).select("bucket", "blocks"), "paragraph-split")
-    if split.isEmpty():
+        F.min("bucket").alias("bucket"), F.max("blocks").alias("blocks"), F.max("n").alias("n")).select("bucket", "blocks", "n"), "paragraph-split")
+    sizes = split.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0]
+    if sizes is None:
         return None
-    held = named.join(split, "bucket").withColumn("own", F.pmod(F.xxhash64("bucket", "sig"), "blocks"))
+    lots = max(LEAST_LOTS, -(-sizes // BLOCK))
+    held = named.join(split.drop("n"), "bucket").withColumn("own", F.pmod(F.xxhash64("bucket", "sig"), "blocks"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     held = held.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "sig", "label")
-    found = held.join(sets, "sig").groupBy("bucket", "x", "y").applyInPandas(_decided, "a bigint, b bigint")
+    lot = F.pmod(F.xxhash64("bucket", "x", "y"), F.lit(lots)).alias("lot")
+    found = held.join(sets, "sig").select(lot, "bucket", "x", "y", "sig", "label", "tokens").groupBy("lot").applyInPandas(
+        _decided_blocks, "a bigint, b bigint")
     return save(found.distinct(), "paragraph-across")
 
 
