@@ -377,9 +377,10 @@ def across_links(postings: DataFrame, labels: DataFrame, sets: DataFrame) -> Dat
     lots = max(LEAST_LOTS, -(-sizes // BLOCK))
     held = named.join(split.drop("n"), "bucket").withColumn("own", F.pmod(F.xxhash64("bucket", "sig"), "blocks"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    held = held.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "sig", "label")
+    held = save(held.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "sig", "label"),
+                "paragraph-blocks")
     lot = F.pmod(F.xxhash64("bucket", "x", "y"), F.lit(lots)).alias("lot")
-    found = held.join(sets, "sig").select(lot, "bucket", "x", "y", "sig", "label", "tokens").groupBy("lot").applyInPandas(
+    found = sets.join(sent(held, 64), "sig").select(lot, "bucket", "x", "y", "sig", "label", "tokens").groupBy("lot").applyInPandas(
         _decided_blocks, "a bigint, b bigint")
     return save(found.distinct(), "paragraph-across")
 
@@ -402,8 +403,10 @@ def _token_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(sigs[own]), pa.array(sets, pa.list_(pa.int64()))], names=["sig", "tokens"])
     per_doc = save(chosen.groupBy("doc_id").agg(F.collect_set("sig").alias("wanted")), "paragraph-wanted")
     texts = null_safe(docs.select("doc_id", "text"), sent(per_doc, 80), ["doc_id"], "inner").select("text", "wanted")
-    found = texts.mapInArrow(run, "sig bigint, tokens array<bigint>")
-    return save(save(found, "paragraph-found").dropDuplicates(["sig"]), "paragraph-sets")
+    found = save(texts.mapInArrow(run, "sig bigint, tokens array<bigint>"), "paragraph-found")
+    # an entry is found twice only where a doc_id comes twice
+    asked = per_doc.agg(F.sum(F.size("wanted"))).first()[0] or 0
+    return found if found.count() == asked else save(found.dropDuplicates(["sig"]), "paragraph-sets")
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
@@ -414,7 +417,8 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     twice = repeated_units(docs, ranges).select(F.col("sig").alias("unit"))
     # one unit in many texts is one key of the join, whose side of all units Spark may split
     table = paragraph_table(docs)
-    table = table.join(twice.hint("shuffle_hash"), table["sig"] == twice["unit"], "left").where("line is null or unit is not null")
+    known = sent(twice, 16)
+    table = table.join(twice.hint("shuffle_hash") if known is twice else known, table["sig"] == twice["unit"], "left").where("line is null or unit is not null")
     table = save(table.drop("unit"), "paragraphs")
     first = F.min(F.struct("doc_id", "paragraph", "start")).alias("first")
     entries = save(table.groupBy("sig").agg(F.count("*").alias("n"), F.count("line").alias("unit"), first), "paragraph-entries")
