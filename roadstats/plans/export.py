@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadstats.operators import city_stats as cs
 from roadstats.operators import hotspots as hs
@@ -34,20 +35,49 @@ from roadstats.operators import serving as sv
 from roadstats.operators import arcs as ar
 from roadstats.operators import spatial as sa
 from roadstats.operators.ranking import ALL_RANK_OUTPUTS
+from roadstats.session import small_files_session
 
 CITY_EXPORT_COLS = ("place_name", "display_name", "state_fips", "place_fips", "state_name",
                     "population", "is_pledged", "lon", "lat") + cs.STAT_COLS + ALL_RANK_OUTPUTS
 SIMPLIFY_TOLERANCE = 0.0001
 MIN_EXPORT_YEAR = 2001
 
+#: Hadoop options of a write of one small file a folder: tasks move their files to the final folders themselves
+#: (the driver would move all, one by one), and a local folder gets no checksum file beside each file (other file
+#: systems do not look at these options).
+FOLDER_OPTIONS = {"mapreduce.fileoutputcommitter.algorithm.version": "2",
+                  "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 
 def _json(df: DataFrame, path: str, partition_by=(), mode: str = "overwrite") -> None:
     w = df.write.mode(mode).option("ignoreNullFields", False)
     if partition_by:
-        w = w.partitionBy(*partition_by)
+        w = w.options(**FOLDER_OPTIONS).partitionBy(*partition_by)
     w.json(path)
 
 
+def _folder_tasks(df: DataFrame) -> int:
+    """Tasks of a write into very many folders.  Its time goes by the files, which are few bytes each; a count that is
+    given keeps Spark from merging the tasks by their bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def read_folders(spark: SparkSession, path: str, schema: T.StructType, folders: tuple[str, ...]) -> DataFrame:
+    """The JSON rows under ``path`` as ``schema``; ``folders`` are its columns that the files' folders name (codes).
+
+    They are taken from each row's file: as partitions Spark's driver would parse every folder's name."""
+    body = T.StructType([f for f in schema.fields if f.name not in folders])
+    rows = small_files_session(spark).read.option("recursiveFileLookup", "true").schema(body).json(path)
+    rows = rows.select("*", *[folder_value(F.col("_metadata.file_path"), f).alias(f) for f in folders])
+    return rows.select(*schema.fieldNames())
+
+
+def folder_value(file: F.Column, folder: str) -> F.Column:
+    """What ``folder`` is in the path ``file``; null if it is null there."""
+    value = F.regexp_extract(file, f"/{folder}=([^/]*)/", 1)
+    return F.when(value != "__HIVE_DEFAULT_PARTITION__", value)
+
+
 def crashes_metadata(crashes: DataFrame) -> DataFrame:
     """E1 rows: the year extent (A10)."""
     return sv.year_extent(crashes)
@@ -103,7 +133,7 @@ def write_boundaries(vertices: DataFrame, places: DataFrame, out: str,
 def write_annual(annual: DataFrame, out: str) -> str:
     """A9 rows, one folder per city, rows in year order."""
     path = f"{out}/annual_fatalities"
-    _json(annual.repartition("state_fips", "place_fips")
+    _json(annual.repartition(_folder_tasks(annual), "state_fips", "place_fips")
           .sortWithinPartitions("state_fips", "place_fips", "year"),
           path, ("state_fips", "place_fips"))
     return path
@@ -115,10 +145,8 @@ def write_crash_points(points: DataFrame, out: str, partitions: int | None = Non
     path = f"{out}/crashes"
     keys = ["state_fips", "place_fips", "folder_year"]
     points = points.withColumn("folder_year", F.col("year"))
-    ranged = (points.repartitionByRange(partitions, *keys, "st_case") if partitions
-              else points.repartitionByRange(*keys, "st_case"))   # AQE may coalesce
-    (ranged.sortWithinPartitions(*keys, "st_case")
-     .write.mode("overwrite").option("ignoreNullFields", False).partitionBy(*keys).json(path))
+    ranged = points.repartitionByRange(partitions or _folder_tasks(points), *keys, "st_case")
+    _json(ranged.sortWithinPartitions(*keys, "st_case"), path, keys)
     return path
 
 
@@ -152,7 +180,7 @@ def write_hotspots(hot: DataFrame, out: str) -> str:
 def export_sizes(spark: SparkSession, out: str) -> DataFrame:
     """Files and bytes per sink folder (distributed listing, no content
     read).  Spark's bookkeeping files (``_SUCCESS``, ``.crc``) are skipped."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = (small_files_session(spark).read.format("binaryFile").option("recursiveFileLookup", "true")
              .load(out).select("path", "length"))
     rel = F.regexp_replace("path", "^.*?" + out.rstrip("/").split("/")[-1] + "/", "")
     name = F.element_at(F.split("path", "/"), -1)

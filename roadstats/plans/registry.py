@@ -865,8 +865,7 @@ def q_export_annual(spark, sf_dir):
     """annual_fatalities per city folder, read back."""
     annual = sv.annual_fatalities(sp.loaded_crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
     path = ex.write_annual(annual, _export_dir(spark))
-    schema = T.StructType([f for f in annual.schema.fields])
-    return spark.read.schema(schema).json(path)
+    return ex.read_folders(spark, path, annual.schema, ("state_fips", "place_fips"))
 
 
 @register("export_crash_files", "SELECT " + ", ".join(
@@ -877,7 +876,7 @@ def q_export_crash_files(spark, sf_dir):
     """E5: crash points per (city, year) folder, read back."""
     pts = sv.export_crash_points(sp.loaded_crashes(spark, sf_dir), cs.eligible(sp.places(spark, sf_dir)))
     path = ex.write_crash_points(pts, _export_dir(spark))
-    return spark.read.schema(pts.schema).json(path).select(*_EXPORT_OUT)
+    return ex.read_folders(spark, path, pts.schema, ("state_fips", "place_fips")).select(*_EXPORT_OUT)
 
 
 @register("export_empty_slots", """

@@ -19,6 +19,7 @@ from roadstats.plans import export as ex
 from roadstats.plans import oracle_sql as osql
 from roadstats.plans import registry as rg
 from roadstats.plans.registry import register
+from roadstats.session import reliable_checkpoint, small_files_session
 from roadstats.sources import place_files as pf
 from roadstats.sources import raw_files as rf
 from roadstats.sources import standins as sp
@@ -156,11 +157,12 @@ def q_quarantine_rows(spark, sf_dir):
 def written_lines(spark, path: str, folders: tuple[str, ...] = ()) -> DataFrame:
     """(folders..., file, position, value): the lines of every file under ``path`` in their order.
 
-    A file is what one task wrote, and is read by one task."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    A file is what one task wrote, and is read by one task; the texts are checkpointed, as each file is opened but once."""
+    files = (small_files_session(spark).read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+             .select("value", F.col("_metadata.file_path").alias("file")))
+    files = reliable_checkpoint(files.where("value <> ''"))
     lines = F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n"))
-    named = [F.regexp_extract("file", f"/{f}=([^/]*)/", 1).alias(f) for f in folders]
-    return files.where("value <> ''").select("file", *named, lines.alias("position", "value"))
+    return files.select("file", *[ex.folder_value(F.col("file"), f).alias(f) for f in folders], lines.alias("position", "value"))
 
 
 def in_order(lines: DataFrame, folders: tuple[str, ...] = ()) -> DataFrame:

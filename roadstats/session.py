@@ -89,6 +89,22 @@ def reliable_checkpoint(df):
         held.unpersist()
 
 
+def small_files_session(spark: SparkSession) -> SparkSession:
+    """A session with ``spark``'s settings for reading folders of very many small files.
+
+    Spark lists up to 10000 folders a job in a task each and counts a file as 4 MB when it
+    packs files into tasks: for a file of a few lines the tasks then cost more than the
+    reading.  Here a listing job has a few tasks a core, and a task reads thousands of files.
+    """
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    own.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * spark.sparkContext.defaultParallelism)
+    own.conf.set("spark.sql.files.openCostInBytes", "64k")
+    return own
+
+
 _SHIPPED: dict[str, str] = {}
 
 
