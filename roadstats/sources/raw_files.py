@@ -42,7 +42,8 @@ from __future__ import annotations
 import csv
 import io
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -207,6 +208,17 @@ _ERA_COLUMNS = {
 }
 
 
+def _era_of(year: int) -> str:
+    if year < ROUTE_FROM_YEAR:
+        return "early"
+    return "named" if year % 2 == NAMED_ERA_PARITY else "route"
+
+
+def _csv_line(columns: Sequence[str]) -> F.Column:
+    """A row as the CSV writer writes it."""
+    return F.to_csv(F.struct(*columns), {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -218,31 +230,37 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _write_per_year(spark: SparkSession, df: DataFrame, stage: str, root: str,
-                    columns: Sequence[str], sort_cols: Sequence[str], name_of_year) -> None:
-    """One CSV per dataset year: write partitioned by year, then rename the
-    single part file of each year to its dataset file name."""
-    (df.repartition("_year").sortWithinPartitions("_year", *sort_cols)
-       .select(*columns, "_year")
-       .write.mode("overwrite").partitionBy("_year")
-       .option("header", True).option("ignoreLeadingWhiteSpace", False)
-       .option("ignoreTrailingWhiteSpace", False).csv(stage))
+def _write_per_year(spark: SparkSession, df: DataFrame, stage: str, root: str, sort_cols: Sequence[str],
+                    columns_of_year: Callable[[int], Sequence[str]], name_of_year: Callable[[int], str]) -> None:
+    """One CSV per dataset year of the lines ``value``, in the order of ``sort_cols``.
+
+    Ranges of (year, order) are sorted and written by tasks of their own, so no task sorts a year; then one task a
+    year copies its ranges' lines, one after the other, to the year's file, which holds no more than a line."""
+    (df.repartitionByRange("_year", *sort_cols).sortWithinPartitions("_year", *sort_cols).select("value", "_year")
+       .write.mode("overwrite").partitionBy("_year").option("lineSep", "\n").text(stage))
     fs, stage_p = _fs(spark, stage)
-    jvm = spark.sparkContext._jvm
-    for st in fs.listStatus(stage_p):
-        name = st.getPath().getName()
-        m = re.match(r"_year=(\d+)$", name)
-        if not m:
-            continue
-        year = int(m.group(1))
-        parts = [f for f in fs.listStatus(st.getPath())
-                 if f.getPath().getName().startswith("part-")]
-        target_dir = jvm.org.apache.hadoop.fs.Path(f"{root}/fars_{year}")
-        fs.mkdirs(target_dir)
-        for i, part in enumerate(sorted(parts, key=lambda f: f.getPath().getName())):
-            fname = name_of_year(year) if i == 0 else f"extra_{i}_{name_of_year(year)}"
-            if not fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(target_dir, fname)):
-                raise OSError(f"could not move {part.getPath()} to {target_dir}/{fname}")
+    folders = [(int(m.group(1)), st.getPath()) for st in fs.listStatus(stage_p)
+               if (m := re.match(r"_year=(\d+)$", st.getPath().getName()))]
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.ignoreDataLocality", True)  # coalesce keeps the order of tasks that are bound to no host
+
+    def join(folder: tuple[int, object]) -> None:
+        year, path = folder
+        parts = sorted(f.getPath().toString() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-"))
+        lines = own.createDataFrame([(",".join(columns_of_year(year)),)], "value string").coalesce(1)
+        for part in parts:
+            lines = lines.unionByName(own.read.schema("value string").option("lineSep", "\n").text(part))
+        one = f"{stage}_joined/{year}"
+        lines.coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(one)
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/fars_{year}")
+        fs.mkdirs(target)
+        file, = (f.getPath() for f in fs.listStatus(_fs(spark, one)[1]) if f.getPath().getName().startswith("part-"))
+        if not fs.rename(file, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target, name_of_year(year))):
+            raise OSError(f"could not move {file} to {target}/{name_of_year(year)}")
+
+    with ThreadPoolExecutor(8) as pool:  # a job of one task each
+        list(pool.map(join, folders))
+    _reset(spark, f"{stage}_joined")
     fs.delete(stage_p, True)
 
 
@@ -264,18 +282,15 @@ def ensure_fars_files(spark: SparkSession, sf_dir: str) -> str:
     if _exists(spark, done):
         return root
     _reset(spark, root)   # an interrupted earlier run leaves no partial files behind
-    crashes = raw_crash_text(spark, sf_dir).withColumn("_era", _crash_era(F.col("_year")))
-    for era, cols in _ERA_COLUMNS.items():
-        part = crashes.filter(F.col("_era") == era)
-        if era == "named":
-            part = part.withColumnRenamed("LATITUDE", "latitude") \
-                .withColumnRenamed("LONGITUD", "longitud")
-        _write_per_year(spark, part, f"{root}/_stage_crash_{era}", root, cols, ["_k", "_copy"],
-                        lambda y: "accident.csv" if y in LOWER_CASE_CRASH_FILE_YEARS
-                        else "ACCIDENT.CSV")
+    era = _crash_era(F.col("_year"))
+    line = F.coalesce(*[F.when(era == e, _csv_line(cols)) for e, cols in _ERA_COLUMNS.items()])
+    crashes = raw_crash_text(spark, sf_dir).select("_year", "_k", "_copy", line.alias("value"))
+    _write_per_year(spark, crashes, f"{root}/_stage_crash", root, ["_k", "_copy"], lambda y: _ERA_COLUMNS[_era_of(y)],
+                    lambda y: "accident.csv" if y in LOWER_CASE_CRASH_FILE_YEARS else "ACCIDENT.CSV")
     persons = raw_person_text(spark, sf_dir).filter(~F.col("_year").isin(*NO_PERSON_FILE_YEARS))
-    _write_per_year(spark, persons, f"{root}/_stage_person", root, PERSON_FIELDS,
-                    ["_k", "_veh", "_per", "_lo", "_pt", "_sev"], lambda y: "PERSON.CSV")
+    order = ["_k", "_veh", "_per", "_lo", "_pt", "_sev"]
+    _write_per_year(spark, persons.select("_year", *order, _csv_line(PERSON_FIELDS).alias("value")), f"{root}/_stage_person",
+                    root, order, lambda y: PERSON_FIELDS, lambda y: "PERSON.CSV")
     fs, p = _fs(spark, done)
     fs.create(p, True).close()
     return root
