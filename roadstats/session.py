@@ -89,6 +89,17 @@ def reliable_checkpoint(df):
         held.unpersist()
 
 
+def session_with(spark: SparkSession, settings: dict[str, object]) -> SparkSession:
+    """A session with ``spark``'s settings but for ``settings``, for reads that need others than the rest of a query."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    for k, v in settings.items():
+        own.conf.set(k, v)
+    return own
+
+
 def small_files_session(spark: SparkSession) -> SparkSession:
     """A session with ``spark``'s settings for reading folders of very many small files.
 
@@ -96,13 +107,15 @@ def small_files_session(spark: SparkSession) -> SparkSession:
     packs files into tasks: for a file of a few lines the tasks then cost more than the
     reading.  Here a listing job has a few tasks a core, and a task reads thousands of files.
     """
-    own = spark.newSession()
-    for k, v in spark.conf.getAll.items():
-        if own.conf.isModifiable(k):
-            own.conf.set(k, v)
-    own.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * spark.sparkContext.defaultParallelism)
-    own.conf.set("spark.sql.files.openCostInBytes", "64k")
-    return own
+    return session_with(spark, {
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": 4 * spark.sparkContext.defaultParallelism,
+        "spark.sql.files.openCostInBytes": "64k"})
+
+
+def light_tasks_session(spark: SparkSession) -> SparkSession:
+    """A session for writes of wide rows: tasks after a shuffle get 16 MB, as 64 MB of packed rows are some 400 MB in a
+    sort, which four of them on an executor spill."""
+    return session_with(spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"})
 
 
 _SHIPPED: dict[str, str] = {}

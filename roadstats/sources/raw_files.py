@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadstats.session import scale_tag, shared_dir
+from roadstats.session import light_tasks_session, scale_tag, shared_dir
 from roadstats.sources import standins as sp
 from roadstats.sources.file_heads import first_records, group_by_head
 
@@ -284,10 +284,11 @@ def ensure_fars_files(spark: SparkSession, sf_dir: str) -> str:
     _reset(spark, root)   # an interrupted earlier run leaves no partial files behind
     era = _crash_era(F.col("_year"))
     line = F.coalesce(*[F.when(era == e, _csv_line(cols)) for e, cols in _ERA_COLUMNS.items()])
-    crashes = raw_crash_text(spark, sf_dir).select("_year", "_k", "_copy", line.alias("value"))
+    light = light_tasks_session(spark)
+    crashes = raw_crash_text(light, sf_dir).select("_year", "_k", "_copy", line.alias("value"))
     _write_per_year(spark, crashes, f"{root}/_stage_crash", root, ["_k", "_copy"], lambda y: _ERA_COLUMNS[_era_of(y)],
                     lambda y: "accident.csv" if y in LOWER_CASE_CRASH_FILE_YEARS else "ACCIDENT.CSV")
-    persons = raw_person_text(spark, sf_dir).filter(~F.col("_year").isin(*NO_PERSON_FILE_YEARS))
+    persons = raw_person_text(light, sf_dir).filter(~F.col("_year").isin(*NO_PERSON_FILE_YEARS))
     order = ["_k", "_veh", "_per", "_lo", "_pt", "_sev"]
     _write_per_year(spark, persons.select("_year", *order, _csv_line(PERSON_FIELDS).alias("value")), f"{root}/_stage_person",
                     root, order, lambda y: PERSON_FIELDS, lambda y: "PERSON.CSV")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from roadstats.session import session_with
+
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -15,7 +17,10 @@ DRIVER_TABLES = (
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, split: str | None = None) -> DataFrame:
+    """A driver table; ``split`` is the most that one task reads of it (Spark's own setting if none is given)."""
     if name not in DRIVER_TABLES:
         raise ValueError(f"unknown driver table {name!r}")
+    if split is not None:
+        spark = session_with(spark, {"spark.sql.files.maxPartitionBytes": split})
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
