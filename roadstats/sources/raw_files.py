@@ -356,14 +356,15 @@ def _scan(spark: SparkSession, paths: Sequence[str], fields: Sequence[str],
           aliases: dict[str, Sequence[str]]) -> DataFrame | None:
     """Read files era by era (same header = same era) and union by name.
 
-    Headers are read in tasks; a file without a line has no rows."""
-    out = None
+    Headers are read in tasks; a file without a line has no rows.  What is made of the rows (loads, which sort them) runs
+    in light tasks."""
+    out, light = None, light_tasks_session(spark)
     for head, era_paths in group_by_head(paths, first_records(spark, paths)).items():
         header = tuple(next(csv.reader(io.StringIO(head)), []))
         # all-text schema from the header already read: no schema-inference
         # job; enforceSchema=false still checks each file's header against it
         schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        df = (spark.read.option("header", True).option("enforceSchema", False)
+        df = (light.read.option("header", True).option("enforceSchema", False)
               .schema(schema).csv(era_paths))
         sel = []
         for name in fields:

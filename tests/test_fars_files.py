@@ -49,3 +49,12 @@ def test_lines_are_what_the_csv_writer_writes(spark, tmp_path):
     rows.coalesce(1).write.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{tmp_path}/c")
     file, = Path(f"{tmp_path}/c").glob("part-*.csv")
     assert [r[0] for r in rows.orderBy("i").select(rf._csv_line(rows.columns)).collect()] == file.read_text().splitlines()
+
+
+def test_a_load_of_scanned_files_runs_in_light_tasks(spark, tmp_path):
+    Path(f"{tmp_path}/fars_1999").mkdir()
+    Path(f"{tmp_path}/fars_1999/ACCIDENT.CSV").write_text("ST_CASE,YEAR\n1,99\n2,99\n")
+    rows = rf.scan_crash_files(spark, str(tmp_path))
+    assert [r["ST_CASE"] for r in rows.orderBy("load_order").collect()] == ["1", "2"]
+    for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"):
+        assert rows.join(spark.range(1)).sparkSession.conf.get(k) != spark.conf.get(k)
