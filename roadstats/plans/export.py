@@ -25,6 +25,12 @@ the plain ``01/`` folders of the source.
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +41,8 @@ from roadstats.operators import serving as sv
 from roadstats.operators import arcs as ar
 from roadstats.operators import spatial as sa
 from roadstats.operators.ranking import ALL_RANK_OUTPUTS
-from roadstats.session import small_files_session
+from roadstats.session import ship_package, small_files_session
+from roadstats.sources.raw_files import _fs, _reset
 
 CITY_EXPORT_COLS = ("place_name", "display_name", "state_fips", "place_fips", "state_name",
                     "population", "is_pledged", "lon", "lat") + cs.STAT_COLS + ALL_RANK_OUTPUTS
@@ -43,17 +50,66 @@ SIMPLIFY_TOLERANCE = 0.0001
 MIN_EXPORT_YEAR = 2001
 
 #: Hadoop options of a write of one small file a folder: tasks move their files to the final folders themselves
-#: (the driver would move all, one by one), and a local folder gets no checksum file beside each file (other file
-#: systems do not look at these options).
-FOLDER_OPTIONS = {"mapreduce.fileoutputcommitter.algorithm.version": "2",
-                  "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
-
-
-def _json(df: DataFrame, path: str, partition_by=(), mode: str = "overwrite") -> None:
-    w = df.write.mode(mode).option("ignoreNullFields", False)
-    if partition_by:
-        w = w.options(**FOLDER_OPTIONS).partitionBy(*partition_by)
-    w.json(path)
+#: (the driver would move all, one by one).
+FOLDER_OPTIONS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+#: What Spark writes as %XX in the name of a folder, and the name for no value.
+_UNSAFE, NO_VALUE = re.compile("[\x01-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]"), "__HIVE_DEFAULT_PARTITION__"
+
+
+def _json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def _json_folders(df: DataFrame, path: str, folders: Sequence[str], order: Sequence[str]) -> None:
+    """JSON lines under ``path``, a folder for each value of ``folders``, by each task of ``df`` in their ``order``.
+
+    In a local folder Hadoop starts a process for each file it creates, to set its permissions, which takes far longer
+    than the few lines do: there tasks write the files themselves.  Elsewhere Spark's own writer does."""
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    df = df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in folders if c in text})  # one folder for both, as Spark's
+    rows = df.sortWithinPartitions(*folders, *order)
+    fs, target = _fs(df.sparkSession, path)
+    if fs.getUri().getScheme() != "file":
+        rows.write.mode("overwrite").option("ignoreNullFields", False).options(**FOLDER_OPTIONS).partitionBy(*folders).json(path)
+        return
+    _reset(df.sparkSession, path)
+    ship_package(df.sparkSession)
+    body = F.to_json(F.struct(*[c for c in df.columns if c not in folders]), {"ignoreNullFields": "false"})
+    lines = rows.select(*[F.col(c).cast("string") for c in folders], body.cast("binary").alias("line"))
+    write = _folder_writer(fs.makeQualified(target).toUri().getPath(), tuple(folders))
+    lines.mapInArrow(write, "files long").write.format("noop").mode("overwrite").save()
+    fs.create(_fs(df.sparkSession, f"{path}/_SUCCESS")[1], True).close()
+
+
+def _folder_writer(root: str, folders: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes the lines (last column) of sorted rows to a file a folder, named by the task; a file shows when it is whole,
+    and a task that runs again replaces its own."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = f"part-{TaskContext.get().partitionId():05d}.json"
+        at, out, files = None, None, 0
+
+        def end() -> None:
+            if out is not None:
+                out.close()
+                os.replace(f"{at}/.{name}", f"{at}/{name}")
+        for batch in batches:
+            *keys, lines = (c.to_pylist() for c in batch.columns)
+            for key, line in zip(zip(*keys), lines):
+                folder = "/".join((root, *(f"{f}={folder_name(v)}" for f, v in zip(folders, key))))
+                if folder != at:
+                    end()
+                    os.makedirs(folder, exist_ok=True)
+                    at, out, files = folder, open(f"{folder}/.{name}", "wb"), files + 1
+                out.write(line + b"\n")
+        end()
+        yield pa.record_batch([pa.array([files], pa.int64())], names=["files"])
+    return write
+
+
+def folder_name(value: str | None) -> str:
+    """``value`` as Spark names a folder by it."""
+    return NO_VALUE if not value else _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", value)
 
 
 def _folder_tasks(df: DataFrame) -> int:
@@ -75,7 +131,7 @@ def read_folders(spark: SparkSession, path: str, schema: T.StructType, folders:
 def folder_value(file: F.Column, folder: str) -> F.Column:
     """What ``folder`` is in the path ``file``; null if it is null there."""
     value = F.regexp_extract(file, f"/{folder}=([^/]*)/", 1)
-    return F.when(value != "__HIVE_DEFAULT_PARTITION__", value)
+    return F.when(value != NO_VALUE, value)
 
 
 def crashes_metadata(crashes: DataFrame) -> DataFrame:
@@ -133,9 +189,8 @@ def write_boundaries(vertices: DataFrame, places: DataFrame, out: str,
 def write_annual(annual: DataFrame, out: str) -> str:
     """A9 rows, one folder per city, rows in year order."""
     path = f"{out}/annual_fatalities"
-    _json(annual.repartition(_folder_tasks(annual), "state_fips", "place_fips")
-          .sortWithinPartitions("state_fips", "place_fips", "year"),
-          path, ("state_fips", "place_fips"))
+    keys = ["state_fips", "place_fips"]
+    _json_folders(annual.repartition(_folder_tasks(annual), *keys), path, keys, ["year"])
     return path
 
 
@@ -146,7 +201,7 @@ def write_crash_points(points: DataFrame, out: str, partitions: int | None = Non
     keys = ["state_fips", "place_fips", "folder_year"]
     points = points.withColumn("folder_year", F.col("year"))
     ranged = points.repartitionByRange(partitions or _folder_tasks(points), *keys, "st_case")
-    _json(ranged.sortWithinPartitions(*keys, "st_case"), path, keys)
+    _json_folders(ranged, path, keys, ["st_case"])
     return path
 
 

@@ -50,3 +50,37 @@ def test_small_files_session_keeps_the_settings(spark):
     for k in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         assert own.conf.get(k) == spark.conf.get(k)
     assert spark.conf.get("spark.sql.files.openCostInBytes") != own.conf.get("spark.sql.files.openCostInBytes")
+
+
+def _started():
+    with open("/proc/stat") as f:
+        return next(int(line.split()[1]) for line in f if line.startswith("processes"))
+
+
+def test_folders_are_written_without_a_process_for_each_file(spark, tmp_path):
+    rows = _folders(_annual(spark, 1500)).localCheckpoint()
+    ex.write_annual(_folders(_annual(spark, 20)), f"file:{tmp_path}/first")  # Python workers are there now
+    before = _started()
+    path = ex.write_annual(rows, f"file:{tmp_path}/out")
+    started, at = _started() - before, Path(path.removeprefix("file:"))
+    assert started < 1500  # Hadoop's local files took one each, and threads that read what it says
+    assert len([*at.rglob("part-*.json")]) == 1500 and (at / "_SUCCESS").exists()
+
+
+def test_folders_and_lines_are_those_of_sparks_writer(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("a/b", "1", 2000, 1.5, None), ("a/b", "1", 1999, 2.0, "é\n\"x"), (None, "", 2001, None, "y"), ("", None, 2000, 0.1, "z"),
+         ("50%=[#]", "né ^{'", 2002, 1e30, "w"), (" ", "\\:*?\x01\x7f", 2003, -0.0, "")],
+        "state_fips string, place_fips string, year int, share double, note string")
+    folders = ("state_fips", "place_fips")
+    ex.write_annual(rows, f"{tmp_path}/own")
+    rows.write.option("ignoreNullFields", False).partitionBy(*folders).json(f"{tmp_path}/sparks/annual_fatalities")
+
+    def lines(root):
+        found = {}
+        for f in Path(f"{tmp_path}/{root}").rglob("part-*.json"):
+            found.setdefault(str(f.parent.relative_to(f"{tmp_path}/{root}")), []).extend(f.read_bytes().splitlines())
+        return {k: sorted(v) for k, v in found.items()}
+    assert lines("own") == lines("sparks") and len(lines("own")) == 4
+    ex.write_annual(rows.where("year = 2002"), f"{tmp_path}/own")  # what was there is replaced
+    assert len(lines("own")) == 1
