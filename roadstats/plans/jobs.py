@@ -42,7 +42,7 @@ from roadstats.operators import serving as sv
 from roadstats.operators import spatial as sa
 from roadstats.operators import subtypes as st
 from roadstats.plans import export as ex
-from roadstats.session import reliable_checkpoint
+from roadstats.session import light_tasks_session, reliable_checkpoint
 from roadstats.sources import place_files as pf
 from roadstats.sources import raw_files as rf
 
@@ -133,7 +133,8 @@ def run_crash_load(spark: SparkSession, raw_root: str, out: str, codes: DataFram
     report.coalesce(1).write.mode("overwrite").parquet(f"{out}/load_report")
     if refuse:
         qa.enforce(report)
-    crashes = spark.read.parquet(f"{out}/_staged/crashes")
+    light = light_tasks_session(spark)  # a write by year sorts what its task reads
+    crashes = light.read.parquet(f"{out}/_staged/crashes")
     rl.inserted(crashes, rl.CRASH_COLUMNS) \
         .write.mode("append").partitionBy("year").parquet(f"{out}/crashes")
     loads = [(crashes, "crash")]
@@ -144,7 +145,7 @@ def run_crash_load(spark: SparkSession, raw_root: str, out: str, codes: DataFram
         table = typed.drop("reject_reason", "load_order", "raw_row")
         (rl.person_ledger(typed, keys, _loaded(f"{out}/persons", selected, table))
          .write.mode("overwrite").partitionBy("outcome").parquet(f"{out}/_staged/persons"))
-        persons = spark.read.parquet(f"{out}/_staged/persons")
+        persons = light.read.parquet(f"{out}/_staged/persons")
         persons.filter(F.col("outcome") == "inserted").select(*table.columns) \
             .write.mode("append").partitionBy("year").parquet(f"{out}/persons")
         loads.append((persons, "person"))

@@ -112,11 +112,28 @@ def small_files_session(spark: SparkSession) -> SparkSession:
         "spark.sql.files.openCostInBytes": "64k"})
 
 
-def light_tasks_session(spark: SparkSession) -> SparkSession:
+#: Bytes of input for each partition that a shuffle begins with, and the most partitions that input alone asks for.
+PARTITION_INPUT, MOST_PARTITIONS = 2 << 20, 20_000
+
+
+def shuffle_partitions(spark: SparkSession, *inputs: str) -> int:
+    """Partitions of a shuffle of ``inputs``: as many as are set, more if the files hold more than they can take.
+
+    A count that is set and stays makes every task of a shuffle grow with the input; Spark merges what is too many."""
+    size = 0
+    for name in inputs:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        size += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PARTITION_INPUT), MOST_PARTITIONS))
+
+
+def light_tasks_session(spark: SparkSession, *inputs: str) -> SparkSession:
     """A session for jobs that sort wide rows: a task reads 32 MB and gets 16 MB after a shuffle, as 64 MB of packed rows
-    are some 400 MB in a sort, which four of them on an executor spill."""
+    are some 400 MB in a sort, which four of them on an executor spill.  Shuffles begin with partitions by the size of
+    the files ``inputs`` (see ``shuffle_partitions``)."""
     return session_with(spark, {"spark.sql.files.maxPartitionBytes": "32m",
-                                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"})
+                                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+                                "spark.sql.shuffle.partitions": shuffle_partitions(spark, *inputs)})
 
 
 _SHIPPED: dict[str, str] = {}

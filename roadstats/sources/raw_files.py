@@ -284,7 +284,7 @@ def ensure_fars_files(spark: SparkSession, sf_dir: str) -> str:
     _reset(spark, root)   # an interrupted earlier run leaves no partial files behind
     era = _crash_era(F.col("_year"))
     line = F.coalesce(*[F.when(era == e, _csv_line(cols)) for e, cols in _ERA_COLUMNS.items()])
-    light = light_tasks_session(spark)
+    light = light_tasks_session(spark, *sp.crash_inputs(sf_dir))
     crashes = raw_crash_text(light, sf_dir).select("_year", "_k", "_copy", line.alias("value"))
     _write_per_year(spark, crashes, f"{root}/_stage_crash", root, ["_k", "_copy"], lambda y: _ERA_COLUMNS[_era_of(y)],
                     lambda y: "accident.csv" if y in LOWER_CASE_CRASH_FILE_YEARS else "ACCIDENT.CSV")
@@ -357,8 +357,8 @@ def _scan(spark: SparkSession, paths: Sequence[str], fields: Sequence[str],
     """Read files era by era (same header = same era) and union by name.
 
     Headers are read in tasks; a file without a line has no rows.  What is made of the rows (loads, which sort them) runs
-    in light tasks."""
-    out, light = None, light_tasks_session(spark)
+    in light tasks, with shuffle partitions by the files' size."""
+    out, light = None, light_tasks_session(spark, *paths)
     for head, era_paths in group_by_head(paths, first_records(spark, paths)).items():
         header = tuple(next(csv.reader(io.StringIO(head)), []))
         # all-text schema from the header already read: no schema-inference

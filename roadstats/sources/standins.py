@@ -19,6 +19,7 @@ from roadstats.functions import dims
 from roadstats.functions.exprs import zfill
 from roadstats.operators.loads import first_wins
 from roadstats.operators.subtypes import SUBTYPE_COLS, crash_subtype_counts
+from roadstats.session import light_tasks_session, scale_tag, shared_dir
 from roadstats.sources.tables import table
 
 PERSON_CRASH_KEY = ("st_case",)
@@ -116,6 +117,11 @@ def crash_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def crash_inputs(sf_dir: str) -> list[str]:
+    """The files that ``crashes`` and ``raw_persons`` read and shuffle."""
+    return [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("orders", "customer", "lineitem")]
+
+
 def crashes(spark: SparkSession, sf_dir: str, person_table: DataFrame | None = None,
             with_subtypes: bool = True) -> DataFrame:
     """The typed crash table.
@@ -125,6 +131,7 @@ def crashes(spark: SparkSession, sf_dir: str, person_table: DataFrame | None = N
     from A1 over the loaded persons; total_fatalities counts every fatal
     person, unrecognised codes included.
     """
+    spark = light_tasks_session(spark, *crash_inputs(sf_dir))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     k = F.col("o_orderkey")
@@ -187,16 +194,15 @@ def loaded_crashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     Readers get year partition pruning (``year >= 2001``, ten-year window).
     A missing ``_SUCCESS`` marker (interrupted write) means it is rewritten.
     """
-    from roadstats.session import light_tasks_session, scale_tag, shared_dir
     tag = scale_tag(sf_dir)
     path = f"{shared_dir(spark)}/roadstats_tables/v{TABLE_VERSION}/{tag}/crashes"
     jvm = spark.sparkContext._jvm
     marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(marker):
-        # no fixed count: AQE coalesces small ranges, large data keeps the
-        # configured shuffle partitions
-        (crashes(light_tasks_session(spark), sf_dir).repartitionByRange("year", "state", "st_case")
+        # no fixed count: partitions by the size of the inputs, of which AQE
+        # coalesces small ones
+        (crashes(spark, sf_dir).repartitionByRange("year", "state", "st_case")
          .sortWithinPartitions("year", "state", "st_case")
          .write.mode("overwrite").partitionBy("year").parquet(path))
     # explicit schema: no footer-reading job to infer it on every read
