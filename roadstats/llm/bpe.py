@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from roadstats.llm.common import give_back
+
 #: The byte-level pre-tokenizer's pattern (fixed value).  \\s is spelt out as Unicode white space.
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _S + r"\p{L}\p{N}]+|["
@@ -200,7 +202,9 @@ def digest(docs: DataFrame, path: str, held: int = HELD_WORDS) -> DataFrame:
                                    pa.array(text_sha, pa.string())],
                                   names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         if held < HELD_WORDS:  # a worker that is to be small leaves nothing behind for later stages
-            encoder.known = {}
+            _ENCODERS.pop(path, None)
+            del encoder
+            give_back()
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadstats.llm.common import give_back
+
 #: Indicators are held in so many slots.
 SLOTS = 1 << 18
 _SHAPES = bytes(b"a"[0] if 97 <= b < 123 or b >= 128 else b"A"[0] if 65 <= b < 91 else b"0"[0] if 48 <= b < 58 else b
@@ -161,6 +163,8 @@ def score(model: Model, text: Column) -> Column:
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
             yield pd.Series(model.scores([indicators(t) for t in part]))
+            del part
+            give_back()
     return scored(text)
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from roadstats.llm.common import connected_components, free_names, null_safe, save, sent
+from roadstats.llm.common import connected_components, free_names, give_back, null_safe, save, sent
 from roadstats.llm.shingles import WordHashes, shingle_set, signature, words_of
 
 #: Per cent of the union that linked sets share.
@@ -68,6 +68,8 @@ def set_signatures(docs: DataFrame) -> DataFrame:
                 sigs.append(signature(values) if len(values) else None)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sigs, pa.int64()),
                                    pa.array(sizes, pa.int64())], names=["doc_id", "text_hash", "sig", "n_shingles"])
+        del hashes
+        give_back()
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
         run, f"doc_id {kind}, text_hash bigint, sig bigint, n_shingles bigint")
@@ -114,6 +116,8 @@ def _packed_postings(docs: DataFrame, ranges: int) -> DataFrame:
                     tokens, owners, held = [], [], 0
         if held:
             yield from flush()
+        hashes, seen, tokens, owners = None, None, None, None
+        give_back()
     return docs.select("text").mapInArrow(run, "part bigint, hashes binary, sigs binary")
 
 
@@ -131,6 +135,8 @@ def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     again[1:] |= same
     again[:-1] |= same
     sigs, hits = np.unique(s[again], return_counts=True)
+    del t, s, order, fresh, same, again
+    give_back()
     return pd.DataFrame({"sig": sigs, "hits": hits.astype(np.int64)})
 
 
@@ -153,6 +159,8 @@ def candidate_sets(docs: DataFrame, signatures: DataFrame) -> DataFrame:
                 if len(values) and signature(values) == sig:
                     yield pa.record_batch([pa.array([sig], pa.int64()), pa.array([len(values)], pa.int64()),
                                            pa.array([values], pa.list_(pa.int64()))], names=["sig", "n", "tokens"])
+        del hashes
+        give_back()
     texts = null_safe(docs.select("doc_id", "text"), sent(chosen, 32), ["doc_id"], "inner").select("sig", "text")
     found = texts.mapInArrow(run, "sig bigint, n bigint, tokens array<bigint>")
     return save(found, "join-sets").dropDuplicates(["sig"])

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadstats.llm.common import give_back
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -434,4 +436,6 @@ def masked(network: Network | None, text: Column) -> Column:
                         at = b
                 out.append(None if original is None else "".join([*pieces, text[at:]]))
             yield pd.Series(out, dtype=object)
+            del part, out, texts
+            give_back()
     return mask(text)

@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import shutil
 import zlib
 
 import numpy as np
@@ -508,6 +509,20 @@ def test_bpe(spark, docs, empty):
     assert bpe.digest(empty, path).count() == 0
 
 
+def test_small_bpe_worker_leaves_nothing(spark, tmp_path):
+    import public_tokenizers
+    import pyarrow as pa
+
+    path = shutil.copy(public_tokenizers.path("byte_bpe_50k.json"), tmp_path)  # a path that no other test uses
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), "id").alias("text")).repartition(4)
+    assert bpe.digest(docs, path, 1000).count() == 40
+
+    def left(batches):
+        for _ in batches:
+            yield pa.record_batch([pa.array([int(path in bpe._ENCODERS)])], names=["n"])
+    assert docs.select("doc_id").mapInArrow(left, "n bigint").agg(F.sum("n")).first()[0] == 0
+
+
 def test_bpe_random_texts(monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
