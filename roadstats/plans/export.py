@@ -42,6 +42,7 @@ from roadstats.operators import arcs as ar
 from roadstats.operators import spatial as sa
 from roadstats.operators.ranking import ALL_RANK_OUTPUTS
 from roadstats.session import ship_package, small_files_session
+from roadstats.sources import folder_files as ff
 from roadstats.sources.raw_files import _fs, _reset
 
 CITY_EXPORT_COLS = ("place_name", "display_name", "state_fips", "place_fips", "state_name",
@@ -121,10 +122,17 @@ def _folder_tasks(df: DataFrame) -> int:
 def read_folders(spark: SparkSession, path: str, schema: T.StructType, folders: tuple[str, ...]) -> DataFrame:
     """The JSON rows under ``path`` as ``schema``; ``folders`` are its columns that the files' folders name (codes).
 
-    They are taken from each row's file: as partitions Spark's driver would parse every folder's name."""
+    They are taken from each row's file: as partitions Spark's driver would parse every folder's name.  In a local folder
+    tasks list and read the files (``folder_files``): Spark's driver would hold them all."""
     body = T.StructType([f for f in schema.fields if f.name not in folders])
-    rows = small_files_session(spark).read.option("recursiveFileLookup", "true").schema(body).json(path)
-    rows = rows.select("*", *[folder_value(F.col("_metadata.file_path"), f).alias(f) for f in folders])
+    root = ff.local_root(spark, path)
+    if root is None:
+        rows = small_files_session(spark).read.option("recursiveFileLookup", "true").schema(body).json(path)
+        rows = rows.select("*", *[folder_value(F.col("_metadata.file_path"), f).alias(f) for f in folders])
+    else:
+        texts = ff.file_texts(spark, root).select("text", *[folder_value(F.col("file"), f).alias(f) for f in folders])
+        lines = texts.select(*folders, F.explode(F.split("text", "\n")).alias("_line")).where(F.trim("_line") != "")
+        rows = lines.select(*folders, F.from_json("_line", body).alias("_row")).select("_row.*", *folders)
     return rows.select(*schema.fieldNames())
 
 
