@@ -88,26 +88,36 @@ def _folder_writer(root: str, folders: tuple[str, ...]) -> Callable[[Iterator[pa
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"part-{TaskContext.get().partitionId():05d}.json"
-        at, out, files = None, None, 0
+        at, folder, out, files = None, None, None, 0
 
         def end() -> None:
             if out is not None:
                 out.close()
-                os.replace(f"{at}/.{name}", f"{at}/{name}")
+                os.replace(f"{folder}/.{name}", f"{folder}/{name}")
         for batch in batches:
             *keys, lines = (c.to_pylist() for c in batch.columns)
             for key, line in zip(zip(*keys), lines):
-                folder = "/".join((root, *(f"{f}={folder_name(v)}" for f, v in zip(folders, key))))
-                if folder != at:
+                if key != at:
                     end()
-                    os.makedirs(folder, exist_ok=True)
-                    at, out, files = folder, open(f"{folder}/.{name}", "wb"), files + 1
+                    folder = "/".join((root, *(f"{f}={folder_name(v)}" for f, v in zip(folders, key))))
+                    _make_folder(folder)
+                    at, out, files = key, open(f"{folder}/.{name}", "wb"), files + 1
                 out.write(line + b"\n")
         end()
         yield pa.record_batch([pa.array([files], pa.int64())], names=["files"])
     return write
 
 
+def _make_folder(path: str) -> None:
+    """``os.makedirs`` without a look at what is there first, as the folder above mostly is."""
+    try:
+        os.mkdir(path)
+    except FileExistsError:
+        pass
+    except FileNotFoundError:
+        os.makedirs(path, exist_ok=True)
+
+
 def folder_name(value: str | None) -> str:
     """``value`` as Spark names a folder by it."""
     return NO_VALUE if not value else _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", value)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -61,3 +62,27 @@ def test_names_of_files_are_those_that_spark_gives(spark, tmp_path):
     ours = {r["file"] for r in ff.file_texts(spark, root).collect()}
     theirs = spark.read.option("recursiveFileLookup", "true").text(root).select(F.col("_metadata.file_path")).collect()
     assert len(ours) == 6 and ours == {r[0].replace("file:///", "file:/") for r in theirs}
+
+
+def test_reading_starts_no_job_and_is_dealt_to_many_tasks(spark, tmp_path):
+    rows = _points(spark, 200).drop("crash_date")
+    path = ex.write_annual(rows, f"file:{tmp_path}/out")
+    sc = spark.sparkContext
+    sc.setJobGroup("read_folders", "read_folders")
+    try:
+        back = ex.read_folders(spark, path, rows.schema, FOLDERS)
+        assert not sc.statusTracker().getJobIdsForGroup("read_folders")  # as Spark's listing of all folders
+    finally:
+        sc.setJobGroup("other", "other")
+    tasks = back.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 2 and sum(r["count"] for r in tasks) == 800
+
+
+def test_a_folder_is_made_once_and_with_what_lies_above_it(tmp_path, monkeypatch):
+    looks = []
+    monkeypatch.setattr(os.path, "exists", lambda p, real=os.path.exists: looks.append(p) or real(p))
+    ex._make_folder(f"{tmp_path}/a/b")
+    before = len(looks)
+    for name in ("c", "c", "d"):
+        ex._make_folder(f"{tmp_path}/a/{name}")
+    assert len(looks) == before and sorted(os.listdir(f"{tmp_path}/a")) == ["b", "c", "d"]
