@@ -253,8 +253,12 @@ def write_hotspots(hot: DataFrame, out: str) -> str:
 def export_sizes(spark: SparkSession, out: str) -> DataFrame:
     """Files and bytes per sink folder (distributed listing, no content
     read).  Spark's bookkeeping files (``_SUCCESS``, ``.crc``) are skipped."""
-    files = (small_files_session(spark).read.format("binaryFile").option("recursiveFileLookup", "true")
-             .load(out).select("path", "length"))
+    root = ff.local_root(spark, out)
+    if root is None:
+        files = (small_files_session(spark).read.format("binaryFile").option("recursiveFileLookup", "true")
+                 .load(out).select("path", "length"))
+    else:
+        files = ff.file_sizes(spark, root).withColumnRenamed("file", "path")
     rel = F.regexp_replace("path", "^.*?" + out.rstrip("/").split("/")[-1] + "/", "")
     name = F.element_at(F.split("path", "/"), -1)
     return (files.filter(~name.startswith("_") & ~name.startswith("."))

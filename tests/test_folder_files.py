@@ -78,6 +78,19 @@ def test_reading_starts_no_job_and_is_dealt_to_many_tasks(spark, tmp_path):
     assert len(tasks) > 2 and sum(r["count"] for r in tasks) == 800
 
 
+def test_sizes_are_those_of_the_files_and_no_file_is_listed_on_the_driver(spark, tmp_path, monkeypatch):
+    rows = _points(spark).drop("crash_date")
+    ex.write_annual(rows, f"file:{tmp_path}/out")
+    ex.write_crashes_metadata(rows, f"file:{tmp_path}/out")
+    monkeypatch.setattr(ex, "small_files_session", None)  # Spark's sources would list each file
+    got = {r["sink"]: (r["files"], r["bytes"]) for r in ex.export_sizes(spark, f"file:{tmp_path}/out").collect()}
+    want = {}
+    for sink in ("annual_fatalities", "crashes_metadata"):
+        sizes = [f.stat().st_size for f in Path(f"{tmp_path}/out/{sink}").rglob("part-*.json")]
+        want[sink] = (len(sizes), sum(sizes))
+    assert got == want and want["annual_fatalities"][0] == 50
+
+
 def test_a_folder_is_made_once_and_with_what_lies_above_it(tmp_path, monkeypatch):
     looks = []
     monkeypatch.setattr(os.path, "exists", lambda p, real=os.path.exists: looks.append(p) or real(p))
