@@ -20,6 +20,7 @@ from roadstats.plans import oracle_sql as osql
 from roadstats.plans import registry as rg
 from roadstats.plans.registry import register
 from roadstats.session import reliable_checkpoint, small_files_session
+from roadstats.sources import folder_files as ff
 from roadstats.sources import place_files as pf
 from roadstats.sources import raw_files as rf
 from roadstats.sources import standins as sp
@@ -157,12 +158,19 @@ def q_quarantine_rows(spark, sf_dir):
 def written_lines(spark, path: str, folders: tuple[str, ...] = ()) -> DataFrame:
     """(folders..., file, position, value): the lines of every file under ``path`` in their order.
 
-    A file is what one task wrote, and is read by one task; the texts are checkpointed, as each file is opened but once."""
-    files = (small_files_session(spark).read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-             .select("value", F.col("_metadata.file_path").alias("file")))
-    files = reliable_checkpoint(files.where("value <> ''"))
-    lines = F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n"))
-    return files.select("file", *[ex.folder_value(F.col("file"), f).alias(f) for f in folders], lines.alias("position", "value"))
+    A file is what one task wrote, and is read by one task, in a local folder by one that listed it; the texts are
+    checkpointed, as each file is opened but once."""
+    root = ff.local_root(spark, path)
+    if root is None:
+        texts = (small_files_session(spark).read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+                 .where("value <> ''").select(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("start"),
+                                              F.regexp_replace("value", "\n$", "").alias("text")))
+    else:
+        texts = ff.file_texts(spark, root)
+    texts = reliable_checkpoint(texts)
+    lines = texts.select("file", "start", F.posexplode(F.split("text", "\n")).alias("_at", "value"))
+    return lines.select("file", *[ex.folder_value(F.col("file"), f).alias(f) for f in folders],
+                        (F.col("start") + F.col("_at")).alias("position"), "value")
 
 
 def in_order(lines: DataFrame, folders: tuple[str, ...] = ()) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from roadstats.plans import export as ex
+from roadstats.plans import written_queries as wq
 from roadstats.sources import folder_files as ff
 
 FOLDERS = ("state_fips", "place_fips")
@@ -78,6 +80,18 @@ def test_reading_starts_no_job_and_is_dealt_to_many_tasks(spark, tmp_path):
     assert len(tasks) > 2 and sum(r["count"] for r in tasks) == 800
 
 
+@pytest.mark.parametrize("where", ["root", "one/two/three/four"])
+def test_long_files_come_in_pieces_of_whole_lines(spark, tmp_path, monkeypatch, where):
+    lines = [f'{{"year":{i},"note":"{"x" * (i % 300)}"}}' for i in range(20_000)]
+    _tree(tmp_path / "out", {f"{where}/part-0.json": "\n".join(lines).encode() + b"\n", f"{where}/part-1.json": b"last", "part-2.json": b"top\n"})
+    texts = ff.file_texts(spark, f"{tmp_path}/out")
+    assert texts.where("file like '%part-0.json'").count() > 1
+    assert texts.agg(F.max(F.length("text"))).first()[0] < 2 * ff.PIECE_BYTES
+    monkeypatch.setattr(wq, "small_files_session", None)  # Spark's sources would list and open each file
+    got = {r["place"]: r["value"] for r in wq.in_order(wq.written_lines(spark, f"file:{tmp_path}/out")).collect()}
+    assert [got[i + 1] for i in range(len(got))] in ([*lines, "last", "top"], ["top", *lines, "last"])
+
+
 def test_sizes_are_those_of_the_files_and_no_file_is_listed_on_the_driver(spark, tmp_path, monkeypatch):
     rows = _points(spark).drop("crash_date")
     ex.write_annual(rows, f"file:{tmp_path}/out")
