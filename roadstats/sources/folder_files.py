@@ -1,7 +1,7 @@
 """Trees of very many small files in a local folder, listed and read by tasks.
 
-Spark's file sources list every file on the driver, which keeps some 2 KB of each, and open each one through Hadoop, some
-1.5 ms a file.  Here a task lists a folder, others list what that holds, and those that read walk the rest, so that the
+Spark's file sources list every file on the driver, which keeps 1 to 2 KB of each, and open each one through Hadoop, about
+a ms a file.  Here a task lists a folder, others list what that holds, and those that read walk the rest, so that the
 driver knows the root alone.  Names that begin with ``.`` or ``_`` are left out, as by Spark (``_x=`` is a folder's column).
 """
 
